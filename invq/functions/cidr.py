@@ -16,8 +16,8 @@ PRIVATE_BLOCKS = (
     ("192.168.0.0/16", 3232235520, 16),
 )
 
-_OCTET = "(?:0|[1-9][0-9]{0,2})"
-_NOTATION = rf"\A{_OCTET}(?:\.{_OCTET}){{3}}(?:/0*[0-9]{{1,2}})?\z"
+_OCTET = "(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
+_NOTATION = rf"\A{_OCTET}(?:\.{_OCTET}){{3}}(?:/0*(?:3[0-2]|[12]?[0-9]))?\z"
 
 
 def block_size(prefix: Column) -> Column:
@@ -45,17 +45,15 @@ def parse_cidr(text: Column) -> Column:
     Strict: host bits, leading zeros, octets over 255, IPv6 and netmask notation are all null.
     A bare address is a /32.
     """
-    octets = F.split(F.substring_index(text, "/", 1), r"\.")
-    parts = [F.get(octets, F.lit(i)).try_cast("bigint") for i in range(4)]
-    lo = parts[0] * 16777216 + parts[1] * 65536 + parts[2] * 256 + parts[3]
-    prefix = F.when(
-        F.contains(text, F.lit("/")), F.substring_index(text, "/", -1).try_cast("int")
-    ).otherwise(F.lit(32))
-    in_bounds = (F.greatest(*parts) <= 255) & (prefix <= 32)
-    candidate = block(lo, prefix)
-    return F.when(
-        text.rlike(_NOTATION) & in_bounds & (truncate(lo, prefix) == lo), candidate
+    # each part appears once in the expression, so filters pushed below it stay small
+    lo = F.aggregate(
+        F.split(F.substring_index(text, "/", 1), r"\."),
+        F.lit(0).cast("bigint"),
+        lambda address, octet: address * 256 + octet.try_cast("bigint"),
     )
+    prefix = F.coalesce(F.get(F.split(text, "/"), F.lit(1)).try_cast("int"), F.lit(32))
+    shaped = F.array(F.when(text.rlike(_NOTATION), block(lo, prefix)))
+    return F.get(F.filter(shaped, lambda b: truncate(b["lo"], b["prefix"]) == b["lo"]), F.lit(0))
 
 
 def format_cidr(net: Column) -> Column:

@@ -17,7 +17,7 @@ def _wanted(spark: SparkSession, sf_dir: str) -> DataFrame:
         "vpc_id",
         "is_public",
         "non_interactive",
-        C.parse_cidr(F.col("cidr")).alias("net"),
+        C.block(F.col("lo"), F.col("prefix")).alias("net"),
         F.sequence(F.lit(0), F.col("zones") - 1).alias("zones"),
     )
 
@@ -25,13 +25,13 @@ def _wanted(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _existing(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = fixture(spark, sf_dir, "subnet_existing")
     return df.select(
-        "subnet_id", "vpc_id", "zone", "is_ours", C.parse_cidr(F.col("cidr")).alias("net")
+        "subnet_id", "vpc_id", "zone", "is_ours", C.block(F.col("lo"), F.col("prefix")).alias("net")
     )
 
 
 def _blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = fixture(spark, sf_dir, "vpc_block")
-    return df.select("vpc_id", "position", "state", C.parse_cidr(F.col("cidr")).alias("net"))
+    return df.select("vpc_id", "position", "state", C.block(F.col("lo"), F.col("prefix")).alias("net"))
 
 
 def _networks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,7 +41,7 @@ def _networks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _edge(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = fixture(spark, sf_dir, "range_edge")
-    return df.select("range_id", C.parse_cidr(F.col("cidr")).alias("net"))
+    return df.select("range_id", C.block(F.col("lo"), F.col("prefix")).alias("net"))
 
 
 def _text(net: str):
