@@ -102,7 +102,59 @@ FIXTURES = {
                     from {{orders}}) a) b""",
 }
 
-_TABLE = re.compile(r"\{(\w+)\}")
+# credential-shaped text is put together from pieces when the query runs
+_SECRET = """case {id} % 9
+        when 0 then concat(' key=', md5(cast({id} as string)), ' end')
+        when 1 then concat(' pc', 'sk', '_', md5(cast({id} as string)), ' ', 'pu', 'l-', md5(cast({id} as string)))
+        when 2 then concat(' AK', 'IA', upper(substring(md5(cast({id} as string)), 1, 16)), '.')
+        when 3 then concat(' e', 'y', md5(cast({id} as string)), '.', md5('a'), '.', md5('b'), ' ')
+        when 4 then concat(' postgres', '://user:', md5(cast({id} as string)), '@db.internal:5432/x')
+        when 5 then concat(' commit ', md5(cast({id} as string)), '0123abcd done')
+        else '' end"""
+
+FIXTURES |= {
+    "log_text": "select 'documents' as source, doc_id as id, concat(text, "
+    + _SECRET.format(id="doc_id")
+    + ") as text from {documents} union all select 'pages', page_id, concat(html, "
+    + _SECRET.format(id="page_id")
+    + ") from {pages} union all select 'conversations', conv_id * 1000 + turn, concat(text, "
+    + _SECRET.format(id="(conv_id * 1000 + turn)")
+    + ") from {conversations}",
+    "log_line": "select event_id as id, case when event_type in ('view', 'error') then 'lib' else 'root' end as logger, "
+    "concat(event_type, case user_id % 4 when 0 then concat(' update --name   clu-', cast(user_id as string), ' ok') "
+    "when 1 then concat(' server: https://h', cast(user_id as string), '.example:443') else ' plain' end, "
+    + _SECRET.format(id="event_id")
+    + ") as line from {events}",
+    "probe_log": """
+        select user_id as probe_id, event_id, ts, concat('attempt ', cast(event_id as string), ': ',
+               case event_type when 'error' then '000' when 'view' then '200' when 'click' then '503'
+                    else '404' end) as line
+        from {events}""",
+    "pod_listing": """
+        select cast(floor(event_id / 100) as bigint) as cluster, event_id as position,
+               concat('{"metadata":{"namespace":"ns-', cast(user_id % 7 as string), '","name":"pod-',
+                 cast(event_id as string), '"},"status":{"phase":"',
+                 case event_type when 'signup' then 'Pending' when 'error' then 'Failed'
+                      when 'view' then 'Succeeded' else 'Running' end, '"',
+                 case when user_id % 3 = 0 then concat(',"conditions":[{"type":"Ready","status":"False"},',
+                      '{"type":"PodScheduled","status":"', case when event_id % 2 = 0 then 'False' else 'True' end, '"}]')
+                      else '' end,
+                 case event_id % 5
+                      when 0 then ''
+                      when 1 then ',"containerStatuses":[{"ready":true,"restartCount":0,"state":{}}]'
+                      when 2 then concat(',"containerStatuses":[{"ready":true,"restartCount":', cast(user_id % 6 as string),
+                        ',"state":{}},{"ready":false,"restartCount":1,"state":{"waiting":{"reason":"',
+                        case user_id % 4 when 0 then 'CrashLoopBackOff' when 1 then 'ErrImagePull'
+                             when 2 then 'ContainerCreating' else 'CreateContainerError' end, '"}}}]')
+                      when 3 then ',"containerStatuses":[{"ready":false,"restartCount":4}]'
+                      else ',"containerStatuses":[{"ready":true,"restartCount":2},{"ready":true}]' end,
+                 case when user_id % 5 = 0 then
+                      ',"initContainerStatuses":[{"state":{"waiting":{"reason":"ImagePullBackOff"}}}]' else '' end,
+                 '}}') as pod
+        from {events}""",
+}
+
+_TABLE = re.compile(r"\{([a-z]+)\}")
 
 
 def spark_sql(sql: str, sf_dir: str) -> str:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import ranges
+from . import health, logs, ranges
 
-_MODULES = (ranges,)
+_MODULES = (ranges, logs, health)
 
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in _MODULES for name, sql in module.ORACLES.items()}
