@@ -178,3 +178,114 @@ def oracle(query: str, *names: str) -> str:
     if query.lower().startswith("with "):
         return "with " + ",\n".join(parts) + ",\n" + query[5:]
     return "with " + ",\n".join(parts) + "\n" + query
+
+FIXTURES |= {
+    "usage": """
+        select o_custkey as account, case o_orderstatus when 'F' then 'vpc' when 'O' then 'eip' else 'balancer' end as resource,
+               case when o_orderpriority in ('1-URGENT', '2-HIGH') then 'application' else 'network' end as kind
+        from {orders}""",
+    "quota": """
+        select account, resource, needed, fallback, provider_default,
+               case when c_acctbal < 0 then cast(0 as double) when n = 3 then null else n / 4.0 + 1.75 end as applied
+        from (select c_custkey as account, 'vpc' as resource, 1 as needed, 5 as fallback, c_acctbal,
+                     cast(5 as double) as provider_default, c_nationkey % 9 as n from {customer}
+              union all select c_custkey, 'eip', 1 + c_nationkey % 3, 5, c_acctbal, cast(null as double), c_nationkey % 7 from {customer}
+              union all select c_custkey, 'balancer', 1, 50, c_acctbal, cast(4 as double), c_nationkey % 5 from {customer}) q""",
+    "nat_gateway": """
+        select l_partkey as gateway_id, l_orderkey as subnet_id,
+               case l_returnflag when 'R' then 'deleted' when 'A' then 'available' else 'pending' end as state
+        from {lineitem}""",
+    "enabled": "select o_custkey as account, o_orderpriority as item from {orders}",
+    "offering": """
+        select cast(floor(l_orderkey / 20) as bigint) as account, p_brand as item,
+               cast(l_suppkey % 4 as int) as zone
+        from {lineitem} join {part} on l_partkey = p_partkey""",
+    "zone_request": """
+        select o_orderkey as request_id, cast(floor(o_orderkey / 20) as bigint) as account,
+               case o_orderstatus when 'F' then '0' when 'O' then '1,0' else '0,5,2' end as zones
+        from {orders}""",
+    "sku_listing": """
+        select cast(floor(o_orderkey / 60) as bigint) as region, o_orderkey as position,
+               o_orderpriority as name,
+               case when o_orderstatus = 'F' and o_totalprice > 400000 then 'disks' else 'virtualMachines' end as resource_type,
+               case o_orderstatus when 'F' then 'a,b' when 'O' then 'b,c' else 'a,b,c' end as zones,
+               case when o_totalprice < 60000 then 'b' when o_totalprice < 90000 then 'a,c' else '' end as barred_zones,
+               case when o_totalprice > 450000 then 'Location' else 'Zone' end as barred_by
+        from {orders}""",
+    "server_listing": """
+        select s_suppkey as region,
+               case when s_acctbal < 1000 then '[]' else
+               concat('[{"reason":', case when s_acctbal < 2500 then '"Provisioning is Restricted here"' else 'null' end,
+                 ',"supportedServerEditions":[{"name":"Burstable","supportedServerSkus":[{"name":"Standard_D2s_v3"}]},',
+                 '{"name":"', case when s_acctbal < 5000 then 'GeneralPurpose' else 'MemoryOptimized' end,
+                 '","supportedServerSkus":[{"name":"x"},{"name":"', case when s_nationkey < 13 then 'Standard_D2s_v3' else 'y' end,
+                 '"}]}]},{"reason":"restricted"}]') end as listing
+        from {supplier}""",
+    "check_result": """
+        select l_orderkey as deployment, l_returnflag <> 'R' or l_quantity < 25 as passed,
+               case cast(l_partkey % 14 as int) when 0 then 'VPC Quota' when 1 then 'Elastic IPs' when 2 then 'NAT Gateways'
+                 when 3 then 'Internet Gateways' when 4 then 'EKS Clusters' when 5 then 'Network Load Balancers'
+                 when 6 then 'Availability Zones' when 7 then 'Instance Types' when 8 then 'VPC CIDR' when 9 then 'VPC Exists'
+                 when 10 then 'VPC DNS' when 11 then 'VPC Permissions' when 12 then 'Subnet Egress' else 'Internet Gateway' end as name
+        from {lineitem}""",
+    "deployment": """
+        select o_orderkey as deployment, o_custkey as vpc_id, o_orderstatus <> 'F' as in_their_network,
+               o_orderpriority in ('1-URGENT', '3-MEDIUM') as is_public
+        from {orders}""",
+    "saved_zones": """
+        select o_orderkey as id, case o_orderpriority when '1-URGENT' then '' when '2-HIGH' then 'a, b'
+                 when '3-MEDIUM' then 'c' when '5-LOW' then 'z,a' else null end as saved,
+               case o_orderstatus when 'F' then 'a,b,c' when 'O' then 'b' else 'c,a,d' end as available
+        from {orders}""",
+    "probe_answer": """
+        select l_orderkey as deployment,
+               case l_linenumber when 1 then 'ec2:CreateSubnet' when 2 then 'ec2:CreateSecurityGroup'
+                    when 3 then 'ec2:CreateRouteTable' else 'ec2:AssociateRouteTable' end as action,
+               case when l_linenumber > 3 then concat('rtb-', cast(l_suppkey % 5 as string)) end as table_id,
+               case when l_returnflag = 'R' and l_quantity < 20 then 'UnauthorizedOperation'
+                    when l_returnflag = 'A' then 'DryRunOperation' when l_linestatus = 'O' then 'RequestLimitExceeded'
+                    else 'InvalidSubnetRange' end as error_code
+        from {lineitem}""",
+    "state_resource": """
+        select l_orderkey as stack,
+               concat('{"arn":"', case when l_returnflag = 'R' then concat('arn:aws:ec2:us-east-2:',
+                        lpad(cast(l_suppkey % 3 as string), 12, '0'), ':vpc/x","role":"arn:aws:iam::',
+                        lpad(cast(l_partkey % 4 as string), 12, '0'), ':role/y') else 'none' end, '"}') as outputs,
+               case l_linenumber when 1 then 'aws:ec2/vpc:Vpc' when 2 then 'aws:ec2/natGateway:NatGateway'
+                 when 3 then 'aws:ec2/routeTable:RouteTable' when 4 then 'aws:ec2/vpcIpv4CidrBlockAssociation:VpcIpv4CidrBlockAssociation'
+                 when 5 then case l_returnflag when 'A' then 'aws:eks/cluster:Cluster' when 'N' then 'kubernetes:apps/v1' else 'aws:rds/x' end
+                 else 'aws:ec2/subnet:Subnet' end as type,
+               concat('urn::p::', case when l_quantity > 48 then 'pc-api-key' else 'pc-vpc' end) as urn,
+               case when l_suppkey % 2 = 0 then o_custkey end as vpc_id
+        from {lineitem} join {orders} on l_orderkey = o_orderkey""",
+    "caller": "select o_orderkey as stack, lpad(cast(o_custkey % 3 as string), 12, '0') as caller from {orders}",
+    "stack": """
+        select o_orderkey as stack, case o_orderstatus when 'F' then 'own' when 'O' then 'existing' else 'private' end as shape,
+               cast(1 + o_custkey % 2 as int) as n_zones, o_custkey as expected_vpc_id
+        from {orders}""",
+    "balancer": """
+        select o_custkey as vpc_id, case when l_returnflag = 'R' and l_tax > 0.06 then 'internet-facing' else 'internal' end as scheme
+        from {lineitem} join {orders} on l_orderkey = o_orderkey where l_linenumber <> 7""",
+    "ingress": """
+        select l_orderkey as deployment, case when l_returnflag = 'N' then 'other' else 'gloo-system' end as namespace,
+               case l_linenumber when 1 then 'gloo-lb' when 2 then 'gloo-lb-http1' when 3 then 'x' else 'private-gloo-lb' end as name
+        from {lineitem}""",
+    "stack_listing": """
+        select concat('org/', case when o_orderstatus = 'F' then 'p' else 'q' end, '/ci-', case o_orderpriority
+                 when '1-URGENT' then 'aws-' when '2-HIGH' then 'gcp-' when '3-MEDIUM' then 'azure-' else '' end,
+                 cast(o_orderkey as string)) as qualified
+        from {orders}""",
+    "stack_gone": """
+        select concat('ci-', case when c_acctbal < 2000 then 'aws-' when c_acctbal < 4000 then 'gcp-'
+                 when c_acctbal < 6000 then 'azure-' else '' end, cast(c_custkey as string)) as name
+        from {customer}""",
+    "cluster_listing": """
+        select cast(floor(o_custkey / 10) as bigint) as region, o_custkey as vpc_id,
+               concat('clu-', lpad(cast(o_orderkey % 1000 as string), 4, '0'), '-', cast(o_orderkey as string)) as name,
+               o_orderstatus as status
+        from {orders}""",
+    "cluster_request": """
+        select c_custkey as request_id, cast(floor(c_custkey / 10) as bigint) as region,
+               case when c_acctbal > 3000 then c_custkey end as vpc_id, c_mktsegment <> 'BUILDING' as has_baseline
+        from {customer}""",
+}

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import health, logs, ranges
+from . import audit, capacity, health, logs, ranges
 
-_MODULES = (ranges, logs, health)
+_MODULES = (ranges, logs, health, capacity, audit)
 
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in _MODULES for name, sql in module.ORACLES.items()}
