@@ -289,3 +289,31 @@ FIXTURES |= {
                case when c_acctbal > 3000 then c_custkey end as vpc_id, c_mktsegment <> 'BUILDING' as has_baseline
         from {customer}""",
 }
+
+_TABLE_ID = "concat('rtb-', cast(o_custkey as string), '-', cast(o_orderkey % 4 as string))"
+
+FIXTURES |= {
+    # a position can repeat; tie makes the order total
+    "route": f"""
+        select table_id, position, destination, state, nat_gateway_id, transit_gateway_id, gateway_id, peering_id,
+               concat(state, coalesce(nat_gateway_id, ''), transit_gateway_id, coalesce(gateway_id, ''), coalesce(peering_id, '')) as tie
+        from (select {_TABLE_ID} as table_id, l_orderkey * 10 + l_linenumber as position,
+                     case when l_linenumber < 3 then '0.0.0.0/0' else '10.0.0.0/8' end as destination,
+                     case when l_tax < 0.05 then 'active' else 'blackhole' end as state,
+                     case when l_returnflag = 'R' then concat('nat-', cast(l_partkey as string)) end as nat_gateway_id,
+                     case when l_quantity > 45 then concat('tgw-', cast(l_partkey as string)) else '' end as transit_gateway_id,
+                     case when l_returnflag = 'A' and l_quantity < 8 then concat('vgw-', cast(l_partkey as string))
+                          when l_returnflag = 'A' then concat('igw-', cast(l_partkey as string)) end as gateway_id,
+                     case when l_returnflag = 'N' and l_quantity < 20 then concat('pcx-', cast(l_partkey as string)) end as peering_id
+              from {{lineitem}} join {{orders}} on l_orderkey = o_orderkey) r""",
+    "association": f"""
+        select {_TABLE_ID} as table_id, o_custkey as vpc_id, o_orderkey as subnet_id, false as main from {{orders}}
+        union all
+        select concat('rtb-', cast(c_custkey as string), '-0'), c_custkey, cast(null as bigint), true from {{customer}}""",
+    "egress_subnet": "select o_orderkey as subnet_id, o_custkey as vpc_id, cast(length(o_orderpriority) % 3 as int) as zone from {orders}",
+    "egress_zone": """
+        select vpc_id, zone, case when c_acctbal < 2000 and zone <> 1 then concat('rtb-', cast(vpc_id as string), '-', cast(zone as string)) end as named
+        from (select c_custkey as vpc_id, 0 as zone, c_acctbal from {customer}
+              union all select c_custkey, 1, c_acctbal from {customer}
+              union all select c_custkey, 2, c_acctbal from {customer}) z""",
+}
