@@ -317,3 +317,72 @@ FIXTURES |= {
               union all select c_custkey, 1, c_acctbal from {customer}
               union all select c_custkey, 2, c_acctbal from {customer}) z""",
 }
+
+_RECORD = """
+        select o_orderkey as id,
+               case o_orderkey % 5 when 0 then 'environment' when 1 then 'api_key' when 2 then 'dns_delegation'
+                    when 3 then 'metrics_key' else 'uninstaller' end as kind, {fields}
+        from {{orders}} where o_orderpriority <> '{absent}'"""
+
+FIXTURES |= {
+    "record_old": _RECORD.format(
+        absent="1-URGENT",
+        fields="""case when o_totalprice < 30000 then null when o_totalprice < 40000 then '' else cast(o_custkey as string) end as a,
+               case when o_custkey % 2 = 0 then 'AWS' else 'gcp' end as b, o_orderpriority as c,
+               case when o_totalprice > 300000 then 'false' end as d""",
+    ),
+    "record_new": _RECORD.format(
+        absent="5-LOW",
+        fields="""case when o_totalprice > 200000 then 'fresh' end as a,
+               case when o_custkey % 2 = 0 and o_totalprice < 250000 then 'aws' when o_totalprice > 420000 then 'azure'
+                    when o_custkey % 2 = 0 then 'AWS' else 'gcp' end as b,
+               case when o_totalprice > 380000 and o_totalprice < 400000 then 'moved' else o_orderpriority end as c,
+               case when o_totalprice > 320000 then 'false' when o_totalprice > 100000 then 'true' end as d""",
+    ),
+    "tagged": """
+        select o_orderkey as id, case o_orderstatus when 'F' then 'aws' when 'O' then 'gcp' else 'azure' end as cloud,
+               case when o_totalprice > 250000 then 'prod' else 'staging' end as env,
+               case when o_custkey % 3 = 0 then concat('team', cast(o_custkey as string)) end as owner,
+               concat('n', cast(o_orderkey as string)) as name, o_orderpriority = '1-URGENT' as has_extra
+        from {orders}""",
+    "setting": """
+        select l_orderkey as scope, case l_linenumber when 1 then 'api_url' when 2 then 'cidr' when 3 then 'domain'
+                 when 4 then 'env' when 5 then 'key' when 6 then 'region' else 'zones' end as key,
+               case l_returnflag when 'A' then 'env' when 'N' then 'saved' else 'default' end as layer,
+               case when l_quantity < 10 then '' else concat('v', cast(l_partkey as string)) end as value
+        from {lineitem}""",
+    "keyvalue": """
+        select o_orderkey as id,
+               concat(' team = a', cast(o_custkey as string), case o_orderstatus when 'F' then ',noval,x=' when 'O' then ', team=b=c=d ,,y = 1'
+                      else ',=z,  ' end, ',tier=', o_orderpriority) as tags,
+               concat('us-1a = rtb-', cast(o_custkey as string), case o_orderstatus when 'F' then ', us-1a=rtb-2,=rtb-3' when 'O' then ',us-1b=nope,,rtb-9'
+                      else '' end) as zone_tables,
+               concat('export A=1', chr(10), '# note', chr(10), 'export B=', o_orderpriority, '=x', chr(10),
+                      case o_orderstatus when 'F' then 'export A=2' when 'O' then 'export BROKEN' else 'exported C=3' end) as exports
+        from {orders}""",
+    "object": """
+        select l_orderkey * 1000000000 + l_partkey * 10000 + l_suppkey * 10 + l_linenumber as id,
+               concat(case l_partkey % 6 when 0 then 'activity-scrapes/' when 1 then 'janitor/' when 2 then 'lag-reporter/'
+                      when 3 then 'data/activity-scrapes/' when 4 then 'internal/lag-reporter/' else 'data/' end, cast(l_partkey as string)) as object_key,
+               l_shipdate as modified, l_returnflag <> 'R' as is_current,
+               case when l_returnflag = 'R' and l_linestatus = 'O' then l_shipdate + interval '9' day
+                    when l_returnflag = 'R' then l_shipdate + interval '1' day end as noncurrent_since
+        from {lineitem}""",
+    "tenant": """
+        select c_custkey as id, concat(case when c_nationkey % 5 = 0 then 'My byoc ' else 'Acme_' end, c_mktsegment, ' Group ',
+                 cast(c_nationkey as string)) as organisation,
+               concat('env-', substring(md5(cast(c_custkey as string)), 1, 1 + c_nationkey), '.svc.example') as environment,
+               concat('pool-', c_mktsegment, '_', cast(c_custkey as string)) as pool
+        from {customer}""",
+    "namespace_listed": """
+        select cast(floor(o_custkey / 10) as bigint) as cluster, case o_orderstatus when 'F' then concat('pc-', cast(o_custkey as string))
+                 when 'O' then concat('x-', cast(o_custkey as string)) else '' end as name from {orders}""",
+    "namespace": """
+        select cast(floor(o_custkey / 10) as bigint) as cluster, case o_orderpriority when '1-URGENT' then 'metering'
+                 when '2-HIGH' then 'default' else concat('pc-', cast(o_custkey as string)) end as name from {orders}""",
+    "pool_config": """
+        select o_orderkey as id, case o_orderstatus when 'F' then '[]' else concat('[{"name":"main","max_size":', cast(o_custkey as string),
+                 ',"labels":{"tier":"', o_orderpriority, '","nodepool":"own"}},{"name":"side","instance_type":"m.x","taints":[{"key":"k","value":"',
+                 cast(o_custkey as string), case when o_orderpriority = '5-LOW' then '","effect":"NO_EXECUTE"' else '"' end, '}]}]') end as pools
+        from {orders}""",
+}

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import audit, capacity, egress, health, logs, ranges
+from . import audit, capacity, egress, health, logs, ranges, snapshots
 
-_MODULES = (ranges, logs, health, capacity, audit, egress)
+_MODULES = (ranges, logs, health, capacity, audit, egress, snapshots)
 
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in _MODULES for name, sql in module.ORACLES.items()}
