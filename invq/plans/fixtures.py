@@ -386,3 +386,32 @@ FIXTURES |= {
                  cast(o_custkey as string), case when o_orderpriority = '5-LOW' then '","effect":"NO_EXECUTE"' else '"' end, '}]}]') end as pools
         from {orders}""",
 }
+
+FIXTURES |= {
+    # one listing a day per cluster, one in ten of them failed
+    "poll": """
+        select cluster, poll_seq, min(ts) as ts, poll_seq % 10 <> 4 as poll_ok
+        from (select user_id % 3 as cluster, cast(extract(day from ts) as bigint) as poll_seq, ts from {events}) e
+        group by cluster, poll_seq""",
+    "poll_seen": """
+        select distinct user_id % 3 as cluster, cast(extract(day from ts) as bigint) as poll_seq, user_id
+        from {events} where event_type in ('error', 'click', 'view')""",
+    "pod_sighting": """
+        select concat(case event_type when 'error' then 'tool-' when 'view' then 'tools-' else 'app-' end,
+               cast(user_id as string)) as name, ts from {events}""",
+    "attempt": """
+        select user_id as target, event_id, ts, case event_type when 'view' then 200 when 'click' then 503 when 'signup' then 404 end as status,
+               concat(event_type, ' at ', cast(event_id as string)) as failure
+        from {events} where event_type <> 'purchase'""",
+    "job_poll": """
+        select cast(floor(event_id / 20) as bigint) as job, ts,
+               case when event_type = 'purchase' and value > 50 then 1 else 0 end as succeeded,
+               case when event_type = 'error' and value > 40 then 2 else 0 end as failed,
+               event_type <> 'click' or value < 60 as found
+        from {events}""",
+    "verify_poll": """
+        select cast(floor(event_id / 40) as bigint) as service, cast(event_id % 40 as int) as attempt,
+               case when event_type = 'purchase' and value > 80 then 'verified' when event_type = 'error' and value > 90 then 'failed'
+                    else 'pendingVerification' end as state
+        from {events}""",
+}
