@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import audit, capacity, egress, health, logs, polling, ranges, snapshots
+from . import audit, capacity, egress, health, logs, polling, ranges, snapshots, streams
 
-_MODULES = (ranges, logs, health, capacity, audit, egress, snapshots, polling)
+_MODULES = (ranges, logs, health, capacity, audit, egress, snapshots, polling, streams)
 
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in _MODULES for name, sql in module.ORACLES.items()}
