@@ -8,8 +8,8 @@ from ..operators import capacity as K
 from ..sources.schemas import SERVER_SKUS
 from .fixtures import fixture, oracle, supplied
 
-ITEMS = ("1-URGENT", "3-MEDIUM", "6-NONE", "5-LOW")
-BRANDS = ("Brand#4", "Brand#1", "Brand#12", "Brand#99", "Brand#7")
+ITEMS = ("5-LOW", "1-URGENT", "3-MEDIUM")
+BRANDS = ("Brand#4", "Brand#1", "Brand#12", "Brand#7")
 SKUS = ("1-URGENT", "2-HIGH", "3-MEDIUM", "7-NONE")
 GATEWAYS_PER_ZONE = 90
 

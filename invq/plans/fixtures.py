@@ -97,7 +97,7 @@ FIXTURES = {
               from (select o_orderkey as range_id, cast(16 + o_orderkey % 5 as int) as prefix,
                            case o_orderstatus when 'F' then cast(1879048192 as bigint) - 131072
                                 when 'O' then cast(4294967296 as bigint) - 262144
-                                else cast({TEN} as bigint) + 6291456 end
+                                else cast({TEN} as bigint) + 6422528 end
                              + (o_orderkey * 7919 % 64) * 4096 as raw
                     from {{orders}}) a) b""",
 }

@@ -146,7 +146,7 @@ def target_set_resolve(spark, sf_dir):
 
 
 def outcome_tally(spark, sf_dir):
-    outcomes = fixture(spark, sf_dir, "namespace").withColumn("ok", ~F.contains("name", F.lit("7")))
+    outcomes = fixture(spark, sf_dir, "namespace").withColumn("ok", ~F.contains("name", F.lit("77")))
     return S.outcome_tally(outcomes, ["cluster"])
 
 
@@ -321,8 +321,8 @@ ORACLES = {
         "namespace",
     ),
     "outcome_tally": oracle(
-        """select cluster, count(*) filter (not contains(name, '7')) as n_ok, count(*) filter (contains(name, '7')) as n_failed,
-           not bool_or(contains(name, '7')) as passed from namespace group by cluster""",
+        """select cluster, count(*) filter (not contains(name, '77')) as n_ok, count(*) filter (contains(name, '77')) as n_failed,
+           not bool_or(contains(name, '77')) as passed from namespace group by cluster""",
         "namespace",
     ),
     "nodepool_flatten": oracle(

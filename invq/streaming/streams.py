@@ -44,7 +44,8 @@ def sustained_condition(
 ) -> DataFrame:
     """Keys present without a break for at least the grace, each once. A key is emitted at the
     first observation past the grace, never by a timer. With ``ttl_seconds`` a key that is quiet
-    for that long is forgotten and may come out again."""
+    for that long is forgotten and may come out again; that runs in processing time, where a
+    stream never comes to an end by itself, so start it with a time trigger."""
     breaks = F.lit(False)
     if "breaks" in observations.columns:
         breaks = F.coalesce("breaks", breaks)
