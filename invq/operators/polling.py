@@ -9,7 +9,7 @@ done per (key, stretch of time) first; what is left per key is one or two rows p
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -177,49 +177,101 @@ def throttle_per_key(
     key_types = ", ".join(_ddl(firsts, c) for c in keys)
     by_stretch = [*keys, "stretch"]
 
-    def table(group: pd.DataFrame) -> pd.DataFrame:
-        times = np.sort(group["at_us"].to_numpy())
-        ends = _chain_ends(times, interval)
-        # only a threshold below start + interval can come in from an earlier stretch
-        entries = min(len(times), int(np.searchsorted(times, group["stretch"].iat[0] * length + interval)) + 1)
-        last_of_run = np.append(np.flatnonzero(np.diff(ends[:entries])), entries - 1)
-        row = group[by_stretch].iloc[[0]].reset_index(drop=True)
-        row["upto"], row["ends"] = [times[last_of_run]], [ends[last_of_run]]
-        return row
-
-    tables = (
-        firsts.select(*by_stretch, "at_us")
-        .groupBy(*by_stretch)
-        .applyInPandas(table, f"{key_types}, stretch bigint, upto array<bigint>, ends array<bigint>")
+    def table(frame: pd.DataFrame) -> pd.DataFrame:
+        starts, times = group_starts(frame, by_stretch), frame["at_us"].to_numpy()
+        stretches, upto, last = frame["stretch"].to_numpy(), [], []
+        for begin, end in zip(starts, [*starts[1:], len(frame)], strict=True):
+            mine = times[begin:end]
+            ends = _chain_ends(mine, interval)
+            # only a threshold below start + interval can come in from an earlier stretch
+            highest = stretches[begin] * length + interval
+            entries = min(len(mine), int(np.searchsorted(mine, highest)) + 1)
+            last_of_run = np.append(np.flatnonzero(np.diff(ends[:entries])), entries - 1)
+            upto.append(mine[last_of_run])
+            last.append(ends[last_of_run])
+        return frame.iloc[starts][by_stretch].assign(upto=upto, ends=last)
+
+    tables = map_groups(
+        firsts.select(*by_stretch, "at_us"),
+        by_stretch,
+        ["at_us"],
+        table,
+        f"{key_types}, stretch bigint, upto array<bigint>, ends array<bigint>",
     )
 
-    def follow(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("stretch", ignore_index=True)
+    def follow(frame: pd.DataFrame) -> pd.DataFrame:
+        first_of_key = set(group_starts(frame, keys).tolist())
         before, passed = [], None
-        for upto, ends in zip(group["upto"], group["ends"], strict=True):
+        for i, (upto, ends) in enumerate(zip(frame["upto"], frame["ends"], strict=True)):
+            passed = None if i in first_of_key else passed
             before.append(passed)
             entry = 0 if passed is None else int(np.searchsorted(upto, passed + interval))
             if entry < len(ends):
                 passed = int(ends[entry])
-        out = group[by_stretch].copy()
-        out["passed"] = pd.array(before, dtype="Int64")
-        return out
-
-    states = tables.groupBy(*keys).applyInPandas(follow, f"{key_types}, stretch bigint, passed bigint")
-
-    def emit(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("at_us", ignore_index=True)
-        times, passed = group["at_us"].to_numpy(), group["passed"].iat[0]
-        i, kept = 0, []
-        if not pd.isna(passed):
-            i = int(np.searchsorted(times, int(passed) + interval))
-        while i < len(times):
-            kept.append(i)
-            i = int(np.searchsorted(times, times[i] + interval))
-        return group.loc[kept, [*keys, "at_us", *order]]
+        return frame[by_stretch].assign(passed=pd.array(before, dtype="Int64"))
+
+    states = map_groups(
+        tables, keys, ["stretch"], follow, f"{key_types}, stretch bigint, passed bigint"
+    )
+
+    def emit(frame: pd.DataFrame) -> pd.DataFrame:
+        starts, times = group_starts(frame, by_stretch), frame["at_us"].to_numpy()
+        passed, kept = frame["passed"], []
+        for begin, end in zip(starts, [*starts[1:], len(frame)], strict=True):
+            mine, i = times[begin:end], 0
+            if not pd.isna(passed.iat[begin]):
+                i = int(np.searchsorted(mine, int(passed.iat[begin]) + interval))
+            while i < len(mine):
+                kept.append(begin + i)
+                i = int(np.searchsorted(mine, mine[i] + interval))
+        return frame.iloc[kept][[*keys, "at_us", *order]]
 
     kept_columns = ", ".join(_ddl(firsts, c) for c in [*keys, "at_us", *order])
-    return firsts.join(states, by_stretch).groupBy(*by_stretch).applyInPandas(emit, kept_columns)
+    return map_groups(firsts.join(states, by_stretch), by_stretch, ["at_us"], emit, kept_columns)
+
+
+def group_starts(frame: pd.DataFrame, columns: Sequence[str]) -> np.ndarray:
+    """Positions where a sorted frame changes group; nulls are one group."""
+    changes = np.zeros(len(frame), dtype=bool)
+    changes[:1] = True
+    for name in columns:
+        codes = pd.factorize(frame[name], use_na_sentinel=False)[0]
+        changes[1:] |= codes[1:] != codes[:-1]
+    return np.flatnonzero(changes)
+
+
+def map_groups(
+    df: DataFrame,
+    by: Sequence[str],
+    order: Sequence[str],
+    work: Callable[[pd.DataFrame], pd.DataFrame],
+    schema: str,
+) -> DataFrame:
+    """Hands ``work`` frames of whole, sorted groups. Unlike a grouped pandas function it costs per
+    Arrow batch and not per group, so many small groups are cheap; only a group's own rows are
+    held together."""
+    by = list(by)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        pending: list[pd.DataFrame] = []
+        for batch in batches:
+            if batch.empty:
+                continue
+            starts = group_starts(batch, by)
+            goes_on = bool(pending) and (
+                len(group_starts(pd.concat([pending[-1].tail(1), batch.head(1)]), by)) == 1
+            )
+            if goes_on and len(starts) == 1:
+                pending.append(batch)
+                continue
+            whole = pd.concat([*pending, batch.iloc[: starts[-1]]], ignore_index=True)
+            if len(whole):
+                yield work(whole)
+            pending = [batch.iloc[starts[-1] :]]
+        if pending:
+            yield work(pd.concat(pending, ignore_index=True))
+
+    return df.repartition(*by).sortWithinPartitions(*by, *order).mapInPandas(run, schema)
 
 
 def _ddl(df: DataFrame, name: str) -> str:
