@@ -45,13 +45,13 @@ def parse_cidr(text: Column) -> Column:
     Strict: host bits, leading zeros, octets over 255, IPv6 and netmask notation are all null.
     A bare address is a /32.
     """
-    # each part appears once in the expression, so filters pushed below it stay small
-    lo = F.aggregate(
-        F.split(F.substring_index(text, "/", 1), r"\."),
-        F.lit(0).cast("bigint"),
-        lambda address, octet: address * 256 + octet.try_cast("bigint"),
-    )
+    address = F.substring_index(text, "/", 1)
+    octets = [F.substring_index(F.substring_index(address, ".", n), ".", -1) for n in (1, 2, 3, 4)]
+    lo = F.lit(0).cast("bigint")
+    for octet in octets:
+        lo = lo * 256 + octet.try_cast("bigint")
     prefix = F.coalesce(F.get(F.split(text, "/"), F.lit(1)).try_cast("int"), F.lit(32))
+    # bound once by the filter, so that the strict test does not spell the address out again
     shaped = F.array(F.when(text.rlike(_NOTATION), block(lo, prefix)))
     return F.get(F.filter(shaped, lambda b: truncate(b["lo"], b["prefix"]) == b["lo"]), F.lit(0))
 

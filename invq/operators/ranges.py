@@ -176,19 +176,20 @@ def overlap_join(
     scope = list(scope)
     l_nets = distinct_nets(left, scope, left_net, "l", "ln")
     r_nets = distinct_nets(right, scope, right_net, "r", "rn")
-    pairs = net_pairs(l_nets, r_nets, scope).select(*scope, "l", "r")
+    pairs = net_pairs(l_nets, r_nets, scope)
     rows = hot_join(
         right.withColumn("r", F.col(right_net)),
-        pairs,
+        pairs.select(*scope, "l", "r"),
         [*scope, "r"],
         counts=r_nets.withColumnRenamed("rn", "n"),
         hot_rows=hot_rows,
     )
-    # a left block's copies are the many here: each meets the right rows its block overlaps
+    # how many rows each left block has now is known from the pairs alone
     both = hot_join(
         rows,
         left.withColumn("l", F.col(left_net)),
         [*scope, "l"],
+        counts=pairs.groupBy(*scope, "l").agg(F.sum("rn").alias("n")),
         hot_rows=hot_rows,
     )
     extra = [c for c in left.columns if c not in scope]
@@ -276,7 +277,7 @@ def fleet_range_conflicts(
         *scope, request_id, "non_interactive", F.explode(F.array(*nets)).alias("l")
     )
     l_nets = distinct_nets(asked, scope, "l", "l", "ln")
-    r_nets = distinct_nets(listed_prefixes(networks, scope), scope, "r", "r", "rn")
+    r_nets = distinct_nets(listed_prefixes(networks), scope, "r", "r", "rn")
     hits = overlap_summary(l_nets, r_nets, scope)
     found = hot_join(asked, hits, [*scope, "l"], "left", l_nets.withColumnRenamed("ln", "n"))
     return (
@@ -289,14 +290,15 @@ def fleet_range_conflicts(
     )
 
 
-def listed_prefixes(networks: DataFrame, scope: Sequence[str]) -> DataFrame:
-    """The readable prefixes of network listings, one row each, as block ``r``."""
-    return (
-        networks.select(*[c for c in networks.columns if c != "prefixes"], F.explode("prefixes"))
-        .withColumn("r", C.parse_cidr(F.trim("col")))
-        .where(F.col("r").isNotNull())
-        .drop("col")
-    )
+def listed_prefixes(networks: DataFrame) -> DataFrame:
+    """The readable prefixes of network listings, one row each, as block ``r``.
+
+    Read before they are exploded, and exploded with nulls, so that no inferred filter repeats
+    the reading.
+    """
+    blocks = F.transform("prefixes", lambda p: C.parse_cidr(F.trim(p)))
+    rest = [c for c in networks.columns if c != "prefixes"]
+    return networks.select(*rest, F.explode_outer(blocks).alias("r")).where(F.col("r").isNotNull())
 
 
 def fleet_range_conflict_pairs(
@@ -308,7 +310,7 @@ def fleet_range_conflict_pairs(
     """The conflicts behind `fleet_range_conflicts`, one row per request block and prefix."""
     rest = [c for c in requests.columns if c not in nets]
     asked = requests.select(*rest, F.explode(F.array(*nets)).alias("asked"))
-    listed = listed_prefixes(networks, scope).withColumnRenamed("r", "listed")
+    listed = listed_prefixes(networks).withColumnRenamed("r", "listed")
     return overlap_join(asked, listed, scope, "asked", "listed")
 
 

@@ -369,7 +369,7 @@ def retention_sweep(objects: DataFrame, rules: Sequence[RetentionRule], as_of: C
     Objects have ``object_key``, ``is_current`` and the clock columns. The rules are a literal
     list, so this is one pass over the listing without a join.
     """
-    hits = []
+    hits, due_by_any = [], F.lit(False)
     for rule in rules:
         applies = F.startswith(F.col("object_key"), F.lit(rule.prefix))
         if rule.applies_to != "any":
@@ -377,11 +377,12 @@ def retention_sweep(objects: DataFrame, rules: Sequence[RetentionRule], as_of: C
             applies = applies & wanted
         due = F.col(rule.clock) + F.expr(f"interval {rule.days} days")
         past = as_of >= due if rule.inclusive else as_of > due
+        due_by_any = due_by_any | (applies & past)
         hits.append(F.when(applies & past, F.struct(due.alias("due"), F.lit(rule.name).alias("rule"))))
-    first = F.array_min(F.array_compact(F.array(*hits)))
+    first = F.least(*hits) if len(hits) > 1 else hits[0]
     return (
-        objects.withColumn("__hit", first)
-        .where(F.col("__hit").isNotNull())
+        objects.where(due_by_any)
+        .withColumn("__hit", first)
         .select(*objects.columns, "__hit.rule", "__hit.due")
     )
 

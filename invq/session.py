@@ -27,6 +27,7 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8) -> SparkSession
         .appName("invq")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.driver.memory", "8g")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     )
