@@ -361,8 +361,7 @@ FIXTURES |= {
                       case o_orderstatus when 'F' then 'export A=2' when 'O' then 'export BROKEN' else 'exported C=3' end) as exports
         from {orders}""",
     "object": """
-        select l_orderkey * 1000000000 + l_partkey * 10000 + l_suppkey * 10 + l_linenumber as id,
-               concat(case l_partkey % 6 when 0 then 'activity-scrapes/' when 1 then 'janitor/' when 2 then 'lag-reporter/'
+        select concat(case l_partkey % 6 when 0 then 'activity-scrapes/' when 1 then 'janitor/' when 2 then 'lag-reporter/'
                       when 3 then 'data/activity-scrapes/' when 4 then 'internal/lag-reporter/' else 'data/' end, cast(l_partkey as string)) as object_key,
                l_shipdate as modified, l_returnflag <> 'R' as is_current,
                case when l_returnflag = 'R' and l_linestatus = 'O' then l_shipdate + interval '9' day

@@ -193,12 +193,13 @@ def _sweep_sql(rules):
         due = f"{r.clock} + interval {r.days} day"
         sign = ">=" if r.inclusive else ">"
         tests.append(
-            f"select object_key, id, '{r.name}' as rule, {due} as due from object where {applies} "
+            f"select object_key, nr as row_nr, '{r.name}' as rule, {due} as due from numbered where {applies} "
             f"and starts_with(object_key, '{r.prefix}') and timestamp '{AS_OF}' {sign} {due}"
         )
     return oracle(
-        f"""with hit as ({" union all ".join(tests)}),
-            first as (select * from (select *, row_number() over (partition by id order by due, rule) as nr from hit) x where nr = 1)
+        f"""with numbered as materialized (select *, row_number() over () as nr from object),
+            hit as ({" union all ".join(tests)}),
+            first as (select * from (select *, row_number() over (partition by row_nr order by due, rule) as nr from hit) x where nr = 1)
             select object_key, rule, strftime(due, '%Y-%m-%d') as due, count(*) as n from first group by all""",
         "object",
     )
