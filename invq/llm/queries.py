@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe
+from . import bpe, quality
+from .common import written
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,5 +26,25 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op1_byte_bpe": op1_byte_bpe}
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stats = quality.statistics(documents(spark, sf_dir).select("doc_id", "text", "lang", "source"))
+    slim = stats.withColumn("row", F.struct("row.doc_id", "row.lang", "row.source"))
+    vectors = written(quality.prepared(slim), "quality")
+    return quality.judged(vectors, quality.fit(vectors)).select(
+        "row.doc_id",
+        "n_words",
+        "word_chars",
+        "n_symbols",
+        "n_dup_lines",
+        "n_repeat_words",
+        "base_failed",
+        "kept",
+        F.round("distance", 6).alias("distance"),
+    )
+
+
+QUERIES = {
+    "op1_byte_bpe": op1_byte_bpe,
+    "op4_quality": op4_quality,
+}
 ORACLES: dict[str, str] = {}
