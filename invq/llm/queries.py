@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, quality
+from . import bpe, near_dup, quality, substring
 from .common import written
 
 
@@ -43,8 +43,19 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = substring.remove_repeats(documents(spark, sf_dir))
+    return made.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op7_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.classes(documents(spark, sf_dir))
+
+
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
     "op4_quality": op4_quality,
+    "op6_substring_dedup": op6_substring_dedup,
+    "op7_near_dup": op7_near_dup,
 }
 ORACLES: dict[str, str] = {}
