@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, near_dup, quality, substring
+from . import bpe, decontaminate, near_dup, quality, substring, token_files
 from .common import written
 
 
@@ -52,10 +52,26 @@ def op7_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.classes(documents(spark, sf_dir))
 
 
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return decontaminate.found(documents(spark, sf_dir), benchmark)
+
+
+#: The id that ends each document in the token files.
+END_ID = 2
+
+
+def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = token_files.write(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), END_ID)
+    return token_files.read(files)
+
+
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
+    "op3_decontaminate": op3_decontaminate,
     "op4_quality": op4_quality,
     "op6_substring_dedup": op6_substring_dedup,
     "op7_near_dup": op7_near_dup,
+    "op8_token_files": op8_token_files,
 }
 ORACLES: dict[str, str] = {}
