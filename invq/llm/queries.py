@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, near_dup, quality, substring, token_files
+from . import bpe, decontaminate, near_dup, pii, quality, substring, token_files
 from .common import written
 
 
@@ -66,6 +66,12 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read(files)
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = [f"n_{kind}" for kind in pii.KINDS]
+    made = pii.found(documents(spark, sf_dir))
+    return made.select("doc_id", *counts, F.sha2("base_spans", 256).alias("base_sha256"), "spans")
+
+
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
     "op3_decontaminate": op3_decontaminate,
@@ -73,5 +79,6 @@ QUERIES = {
     "op6_substring_dedup": op6_substring_dedup,
     "op7_near_dup": op7_near_dup,
     "op8_token_files": op8_token_files,
+    "op9_pii": op9_pii,
 }
 ORACLES: dict[str, str] = {}
