@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, near_dup, pii, quality, substring, token_files
+from . import bpe, decontaminate, near_dup, pii, quality, sharding, substring, token_files
 from .common import written
 
 
@@ -72,6 +72,10 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", *counts, F.sha2("base_spans", 256).alias("base_sha256"), "spans")
 
 
+def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.sharded(documents(spark, sf_dir))
+
+
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
     "op3_decontaminate": op3_decontaminate,
@@ -80,5 +84,6 @@ QUERIES = {
     "op7_near_dup": op7_near_dup,
     "op8_token_files": op8_token_files,
     "op9_pii": op9_pii,
+    "op10_sharding": op10_sharding,
 }
 ORACLES: dict[str, str] = {}
