@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, near_dup, pii, quality, sharding, substring, token_files
+from . import bpe, decontaminate, langid, near_dup, pii, quality, sharding, substring, token_files
 from .common import written
 
 
@@ -76,8 +76,22 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.sharded(documents(spark, sf_dir))
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = langid.train(langid.sample(docs.where(~langid.held_out())))
+    made = langid.predicted(docs.select("doc_id", "text"), model)
+    return made.select(
+        "doc_id",
+        langid.held_out().alias("held_out"),
+        "lang_pred",
+        "score",
+        F.greatest(F.size("spans") - 1, F.lit(0)).cast("long").alias("n_switches"),
+    )
+
+
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
+    "op2_language_id": op2_language_id,
     "op3_decontaminate": op3_decontaminate,
     "op4_quality": op4_quality,
     "op6_substring_dedup": op6_substring_dedup,
