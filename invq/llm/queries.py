@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, langid, near_dup, pii, quality, sharding, substring, token_files
+from . import bpe, decontaminate, langid, line_dedup, near_dup, pii, quality, sharding, substring, token_files
 from .common import written
 
 
@@ -89,15 +89,64 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = line_dedup.deduplicated(documents(spark, sf_dir).select("doc_id", "text"))
+    kept = F.sha2(F.coalesce("kept", F.lit("")), 256)
+    return made.select("row.doc_id", "n_lines", "n_removed", kept.alias("kept_sha256"))
+
+
+OP5_SQL = r"""
+with lines as (
+  select doc_id, unnest(range(len(parts))) as line, unnest(parts) as body
+  from (select doc_id, string_split(text, chr(10)) as parts from documents)
+), sets as (
+  select doc_id, line, list_sort(list_distinct(list_filter(
+    regexp_split_to_array(body, '[\x09-\x0D ]+'), lambda w: w <> ''))) as words
+  from lines
+), firsts as (
+  select words, len(words) as n, min({'doc': doc_id, 'line': line}) as first,
+         row_number() over () as id
+  from sets where len(words) > 0 group by words
+), wide as (
+  select id, n, first, unnest(words) as word from firsts where n >= 9
+), counted as (
+  select word, count(*) as often from wide group by word
+), ranked as (
+  select id, n, first, word,
+         row_number() over (partition by id order by often, word) as place
+  from wide join counted using (word)
+), prefixes as (
+  select * from ranked where place <= n - cast(ceil(n * 90 / 100.0) as int) + 1
+), candidates as (
+  select distinct a.id as id, b.id as other
+  from prefixes a join prefixes b on a.word = b.word and b.first < a.first
+    and 100 * least(a.n, b.n) >= 90 * greatest(a.n, b.n)
+), gone as (
+  select distinct c.id
+  from candidates c join firsts a on a.id = c.id join firsts b on b.id = c.other
+  where 190 * len(list_intersect(a.words, b.words)) >= 90 * (a.n + b.n)
+), judged as (
+  select s.doc_id, s.line, l.body,
+         f.id is not null and (f.first <> {'doc': s.doc_id, 'line': s.line} or g.id is not null) as removed
+  from sets s join lines l using (doc_id, line)
+  left join firsts f on f.words = s.words left join gone g on g.id = f.id
+)
+select d.doc_id, count(j.line) as n_lines, count(*) filter (where j.removed) as n_removed,
+       sha256(coalesce(string_agg(j.body, chr(10) order by j.line) filter (where not j.removed), '')) as kept_sha256
+from documents d left join judged j using (doc_id) group by d.doc_id
+"""
+
+
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_language_id": op2_language_id,
     "op3_decontaminate": op3_decontaminate,
     "op4_quality": op4_quality,
+    "op5_line_dedup": op5_line_dedup,
     "op6_substring_dedup": op6_substring_dedup,
     "op7_near_dup": op7_near_dup,
     "op8_token_files": op8_token_files,
     "op9_pii": op9_pii,
     "op10_sharding": op10_sharding,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op5_line_dedup": OP5_SQL}
