@@ -25,7 +25,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import chunks as C
@@ -299,3 +299,15 @@ def classes(
     members = vectors.select("key", *same).join(of_class, same).groupBy("key").agg(F.min("class_id").alias("class_id"))
     joined = df.select(F.col(key).cast("bigint").alias("key")).join(members, "key", "left")
     return joined.select(F.col("key").alias(key), F.coalesce("class_id", "key").alias("class_id"))
+
+
+def deduplicated(df: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """The rows of `df` without near duplicates: of each class the document with the least key.
+
+    Of rows with that same key one stays; rows without a key cannot be told apart and all stay.
+    """
+    least = classes(df, key, text, **options).where(F.col(key) == F.col("class_id")).select(F.col(key).alias("stays")).distinct()
+    rows = df.select(F.struct("*").alias("row"), F.col(key).cast("bigint").alias("stays"), F.xxhash64(text).alias("print"))
+    first = F.row_number().over(Window.partitionBy("stays").orderBy("print"))
+    kept = rows.join(least, "stays").withColumn("nth", first).where("nth = 1").select("row.*")
+    return kept.unionByName(df.where(F.col(key).isNull()))
