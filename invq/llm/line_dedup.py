@@ -97,13 +97,12 @@ def _similar(pairs: DataFrame, sets: DataFrame, rows: DataFrame, threshold: int)
     needed = pairs.select(F.explode(F.array("id", "other")).alias("id")).distinct()
     where = needed.join(sets, "id").select("id", "first.doc", "first.print", "first.line")
     wanted = where.groupBy("doc", "print").agg(F.collect_list(F.struct("line", "id")).alias("wanted"))
-    bodies = rows.select("doc", "print", "text").dropDuplicates(["doc", "print"]).join(wanted, ["doc", "print"])
+    bodies = rows.join(wanted, ["doc", "print"])
     bodies = bodies.select(F.split("text", "\n").alias("lines"), F.explode("wanted").alias("at"))
     made = bodies.select(
         "at.id", F.transform(_words(F.get("lines", F.col("at.line"))), lambda w: F.xxhash64(w)).alias("words")
     )
-    made = made.join(sets.select("id", "first"), "id")
-    made = written(made, "line-words")
+    made = written(made.dropDuplicates(["id"]).join(sets.select("id", "first"), "id"), "line-words")
     left = made.select("id", F.col("words").alias("words_a"), F.col("first").alias("first_a"))
     right = made.select(F.col("id").alias("other"), F.col("words").alias("words_b"), F.col("first").alias("first_b"))
     both = pairs.join(left, "id").join(right, "other").where("first_b < first_a")

@@ -4,8 +4,9 @@ The fixed forms (email, ip, card, phone) are the seeds. Every seed and every oth
 (digits or an at sign in it, outside the seeds) stands in a context; two words before, one on each side
 and two after make its lexical patterns. Spark scores the graph of patterns and instances in rounds: a
 pattern is as good as the share of its instances that are known or likely to be of a kind, an
-instance as likely as its patterns are good together. Patterns must have been seen with `MIN_SEEDS`
-different seeds; tokens that a good pattern points at become further spans of that kind.
+instance as likely as its good patterns are together, and only what a good pattern points at counts for other
+patterns in the next round, so doubtful contexts do not prop each other up. Patterns must have been
+seen with `MIN_SEEDS` different seeds; tokens that a good one points at become spans of that kind.
 
 Defined results: a null text is empty; spans are code points, end exclusive; fixed spans always stay;
 rows equal in key and text get the same spans; a token that patterns of two kinds point at gets the
@@ -196,12 +197,13 @@ def discovered(scan: DataFrame, min_seeds: int = MIN_SEEDS, min_score: float = M
             "pattern", "kind", (F.col("score") / (F.col("total") + 1)).alias("quality")
         )
         patterns = written(patterns, f"pii-patterns-{i}")
+        good = patterns.where(F.col("quality") >= min_score)
         together = F.lit(1.0) - F.exp(F.sum(F.log1p(-F.least("quality", F.lit(0.999)))))
-        instances = unknown.join(patterns, "pattern").groupBy("value", "kind").agg(together.alias("score"))
+        instances = unknown.join(good, "pattern").groupBy("value", "kind").agg(together.alias("score"))
         instances = written(instances, f"pii-instances-{i}")
         likely = known.unionByName(unknown.join(instances, "value").select("pattern", "value", "kind", "score"))
-    good = patterns.where(F.col("quality") >= min_score).select("pattern", F.col("kind").alias("of"))
-    sure = instances.where(F.col("score") >= min_score).select("value", F.col("kind").alias("of"), "score")
+    good = good.select("pattern", F.col("kind").alias("of"))
+    sure = instances.select("value", F.col("kind").alias("of"), "score")
     hits = met.where("kind < 0").join(good, "pattern").join(sure, ["value", "of"])
     return hits.groupBy("key", "print", "start", "end").agg(F.max_by("of", F.struct("score", -F.col("of"))).alias("kind"))
 
@@ -228,8 +230,9 @@ def found(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     rows = scan.select("key", "print", base.alias("base"))
     same = F.col("key").eqNullSafe(F.col("of_key")) & (F.col("print") == F.col("of_print"))
     joined = rows.join(more, same, "left").withColumn("more", F.coalesce("more", F.filter("base", lambda _: F.lit(False))))
+    kinds = F.transform("base", lambda p: p["kind"])
     counts = [
-        F.size(F.filter("base", lambda p, i=i: p["kind"] == i)).cast("long").alias(f"n_{kind}")
+        (F.size("base") - F.size(F.array_remove(kinds, i))).cast("long").alias(f"n_{kind}")
         for i, kind in enumerate(KINDS)
     ]
     return joined.select(
