@@ -1,12 +1,13 @@
 """Quota and availability questions: counting, set difference, ordered lists.
 
 Counts are combined before every shuffle. Lists that come out as arrays are bounded by a list
-the caller gives (required items, check names, requested zones), never by the data.
+the caller gives (required items, requested zones) or, for failed checks, by how many kinds of
+check there are.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -65,31 +66,50 @@ SERVER_EDITION = "GeneralPurpose"
 SERVER_SKU = "Standard_D2s_v3"
 ZONES_OFFERED = 2
 
-# fixed values: the checks of each deployment shape, in order
-CHECKS_IN_OUR_NETWORK = (
-    "VPC Quota",
-    "Elastic IPs",
-    "NAT Gateways",
-    "Internet Gateways",
-    "EKS Clusters",
-    "Network Load Balancers",
-    "Availability Zones",
-    "Instance Types",
-    "VPC CIDR",
-)
-CHECKS_IN_THEIR_NETWORK = (
-    "VPC Exists",
-    "VPC DNS",
-    "VPC CIDR",
-    "VPC Permissions",
-    "Subnet Egress",
-    "EKS Clusters",
-    "Internet Gateway",
-    "Network Load Balancers",
-    "Availability Zones",
-    "Instance Types",
-)
-PUBLIC_ONLY_CHECK = "Internet Gateway"
+# fixed values: the checks of each deployment shape, in order, by the names their results carry
+CHECK_ORDERS = {
+    "aws_own_network": (
+        "VPC Quota",
+        "Elastic IPs",
+        "NAT Gateways",
+        "Internet Gateways",
+        "EKS Cluster Quota",
+        "Network Load Balancers",
+        "Availability Zones",
+        "Instance Types",
+        "VPC CIDR",
+    ),
+    "aws_their_network": (
+        "VPC Exists",
+        "VPC DNS",
+        "VPC CIDR",
+        "VPC Permissions",
+        "Subnet Egress",
+        "EKS Cluster Quota",
+        "Internet Gateway",
+        "Network Load Balancers",
+        "Availability Zones",
+        "Instance Types",
+    ),
+    "gcp": (
+        "GCP APIs",
+        "VPC Networks",
+        "External IPs",
+        "GKE Clusters",
+        "Machine Types",
+        "Availability Zones",
+        "VPC CIDR",
+    ),
+    "azure": (
+        "Resource Providers",
+        "PostgreSQL Flexible Server",
+        "vCPU Quota",
+        "AKS Clusters",
+        "VM SKUs",
+        "Availability Zones",
+        "VNet CIDR",
+    ),
+}
 
 
 def effective_limit(strict_zero: bool = False) -> Column:
@@ -354,29 +374,35 @@ def nested_sku_search(
 
 
 def preflight_rollup(
-    results: DataFrame, deployments: DataFrame, deployment: str = "deployment"
+    results: DataFrame,
+    deployments: DataFrame,
+    orders: Mapping[str, Sequence[str]] = CHECK_ORDERS,
+    deployment: str = "deployment",
+    shape: str = "shape",
 ) -> DataFrame:
-    """Per deployment: passed if no check of its shape failed, the failed ones in check order.
+    """Per deployment: passed only if none of its results failed.
 
-    ``deployments`` has ``in_their_network`` and ``is_public``. Check names outside the known
-    lists are ignored, which bounds the list of failures.
+    ``failed`` lists the names of the failed checks in the order of the deployment's ``shape``;
+    names that order does not have come last, by name. Nothing that failed is left out.
     """
-    known = sorted({*CHECKS_IN_OUR_NETWORK, *CHECKS_IN_THEIR_NETWORK})
     failures = (
-        results.where(~F.col("passed") & F.col("name").isin(*known))
-        .groupBy(deployment)
-        .agg(F.collect_set("name").alias("failures"))
-    )
-    ours = F.array(*[F.lit(c) for c in CHECKS_IN_OUR_NETWORK])
-    theirs = F.array(*[F.lit(c) for c in CHECKS_IN_THEIR_NETWORK])
-    without_gateway = F.array_remove(theirs, PUBLIC_ONLY_CHECK)
-    applying = F.when(~F.col("in_their_network"), ours).otherwise(
-        F.when(F.col("is_public"), theirs).otherwise(without_gateway)
+        results.where(~F.col("passed")).groupBy(deployment).agg(F.collect_set("name").alias("failures"))
     )
-    failed = F.array_intersect(applying, F.coalesce("failures", F.array().cast("array<string>")))
+
+    def ranked(places: Mapping[str, int]) -> Column:
+        known = F.create_map(*[F.lit(x) for pair in places.items() for x in pair])
+        place = lambda name: F.coalesce(known[name], F.lit(len(places)))
+        pairs = F.transform("failures", lambda name: F.struct(place(name), name.alias("name")))
+        return F.transform(F.array_sort(pairs), lambda pair: pair["name"])
+
+    failed = F.array_sort("failures")
+    for name, order in orders.items():
+        places = {check: i for i, check in enumerate(order)}
+        failed = F.when(F.col(shape) == name, ranked(places)).otherwise(failed)
+    none = F.array().cast("array<string>")
     return (
         deployments.join(failures, deployment, "left")
-        .withColumn("failed", failed)
+        .withColumn("failed", F.coalesce(failed, none))
         .withColumn("n_failed", F.size("failed").cast("bigint"))
         .withColumn("passed", F.col("n_failed") == 0)
         .drop("failures")

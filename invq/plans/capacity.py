@@ -113,9 +113,15 @@ def nested_sku_search(spark, sf_dir):
 
 
 def preflight_rollup(spark, sf_dir):
-    out = K.preflight_rollup(
-        fixture(spark, sf_dir, "check_result"), fixture(spark, sf_dir, "deployment")
+    shape = (
+        F.when(F.col("vpc_id") % 5 == 3, "gcp")
+        .when(F.col("vpc_id") % 5 == 4, "azure")
+        .when(F.col("vpc_id") % 50 == 1, "other")
+        .when(F.col("in_their_network"), "aws_their_network")
+        .otherwise("aws_own_network")
     )
+    deployments = fixture(spark, sf_dir, "deployment").withColumn("shape", shape)
+    out = K.preflight_rollup(fixture(spark, sf_dir, "check_result"), deployments)
     return out.select("deployment", "passed", "n_failed", F.concat_ws(",", "failed").alias("failed"))
 
 
@@ -154,8 +160,6 @@ def _headroom(where, quota):
         select account, resource, used, quota, quota - used as available, quota - used >= needed as passed from q"""
 
 
-_CHECKS = "list_distinct(" + _listed([*K.CHECKS_IN_OUR_NETWORK, *K.CHECKS_IN_THEIR_NETWORK]) + ")"
-
 ORACLES = {
     "quota_headroom": oracle(
         _headroom(
@@ -248,14 +252,26 @@ ORACLES = {
         "server_listing",
     ),
     "preflight_rollup": oracle(
-        f"""with ours as (select unnest({_listed(K.CHECKS_IN_OUR_NETWORK)}) as name, unnest(range(0, 9)) as i),
-            theirs as (select unnest({_listed(K.CHECKS_IN_THEIR_NETWORK)}) as name, unnest(range(0, 10)) as i),
-            applies as (select deployment, name, i from deployment, ours where not in_their_network
-                        union all select deployment, name, i from deployment, theirs
-                        where in_their_network and (is_public or name <> 'Internet Gateway')),
+        """with checks as (
+             select 'aws_own_network' as shape, unnest(['VPC Quota', 'Elastic IPs', 'NAT Gateways', 'Internet Gateways',
+                    'EKS Cluster Quota', 'Network Load Balancers', 'Availability Zones', 'Instance Types', 'VPC CIDR']) as name,
+                    unnest(range(0, 9)) as i
+             union all
+             select 'aws_their_network', unnest(['VPC Exists', 'VPC DNS', 'VPC CIDR', 'VPC Permissions', 'Subnet Egress',
+                    'EKS Cluster Quota', 'Internet Gateway', 'Network Load Balancers', 'Availability Zones', 'Instance Types']),
+                    unnest(range(0, 10))
+             union all
+             select 'gcp', unnest(['GCP APIs', 'VPC Networks', 'External IPs', 'GKE Clusters', 'Machine Types',
+                    'Availability Zones', 'VPC CIDR']), unnest(range(0, 7))
+             union all
+             select 'azure', unnest(['Resource Providers', 'PostgreSQL Flexible Server', 'vCPU Quota', 'AKS Clusters',
+                    'VM SKUs', 'Availability Zones', 'VNet CIDR']), unnest(range(0, 7))),
+            shaped as (select deployment, case when vpc_id % 5 = 3 then 'gcp' when vpc_id % 5 = 4 then 'azure'
+                         when vpc_id % 50 = 1 then 'other' when in_their_network then 'aws_their_network'
+                         else 'aws_own_network' end as shape from deployment),
             bad as (select distinct deployment, name from check_result where not passed),
-            f as (select deployment, count(*) as n, string_agg(name, ',' order by i) as names
-                  from applies join bad using (deployment, name) group by deployment)
+            f as (select deployment, count(*) as n, string_agg(name, ',' order by coalesce(i, 99), name) as names
+                  from bad join shaped using (deployment) left join checks using (shape, name) group by deployment)
             select deployment, n is null as passed, coalesce(n, 0) as n_failed, coalesce(names, '') as failed
             from deployment left join f using (deployment)""",
         "deployment",

@@ -223,10 +223,12 @@ FIXTURES |= {
         from {supplier}""",
     "check_result": """
         select l_orderkey as deployment, l_returnflag <> 'R' or l_quantity < 25 as passed,
-               case cast(l_partkey % 14 as int) when 0 then 'VPC Quota' when 1 then 'Elastic IPs' when 2 then 'NAT Gateways'
+               case cast(l_partkey % 20 as int) when 0 then 'VPC Quota' when 1 then 'Elastic IPs' when 2 then 'NAT Gateways'
                  when 3 then 'Internet Gateways' when 4 then 'EKS Clusters' when 5 then 'Network Load Balancers'
                  when 6 then 'Availability Zones' when 7 then 'Instance Types' when 8 then 'VPC CIDR' when 9 then 'VPC Exists'
-                 when 10 then 'VPC DNS' when 11 then 'VPC Permissions' when 12 then 'Subnet Egress' else 'Internet Gateway' end as name
+                 when 10 then 'VPC DNS' when 11 then 'VPC Permissions' when 12 then 'Subnet Egress' when 13 then 'Internet Gateway'
+                 when 14 then 'EKS Cluster Quota' when 15 then 'GCP APIs' when 16 then 'GKE Clusters' when 17 then 'vCPU Quota'
+                 when 18 then 'VNet CIDR' else 'Something New' end as name
         from {lineitem}""",
     "deployment": """
         select o_orderkey as deployment, o_custkey as vpc_id, o_orderstatus <> 'F' as in_their_network,

@@ -108,18 +108,19 @@ def test_nested_search(spark):
     assert {r["t"]: r["verdict"] for r in K.nested_sku_search(df).collect()} == cases
 
 
-def test_only_the_checks_of_the_shape_count(spark):
+def test_no_failed_check_is_left_out(spark):
+    failed = {1: ("Instance Types", "Unheard Of", "VPC Exists", "EKS Cluster Quota"), 2: ("vCPU Quota", "Another"), 3: ("VPC Quota",)}
     results = spark.createDataFrame(
-        [(d, n, False) for d in (1, 2, 3) for n in ("Internet Gateway", "VPC Quota")] + [(1, "Instance Types", False), (3, "VPC DNS", True)],
+        [(d, n, False) for d, names in failed.items() for n in names] + [(3, "VPC Quota", False), (4, "VPC DNS", True)],
         "deployment int, name string, passed boolean",
     )
     shapes = spark.createDataFrame(
-        [(1, True, True), (2, True, False), (3, False, True), (4, False, True)],
-        "deployment int, in_their_network boolean, is_public boolean",
+        [(1, "aws_their_network"), (2, "azure"), (3, "no such shape"), (4, "gcp"), (5, None)], "deployment int, shape string"
     )
     out = K.preflight_rollup(results, shapes)
     assert rows(out, "deployment", "passed", "failed") == [
-        (1, False, ["Internet Gateway", "Instance Types"]), (2, True, []), (3, False, ["VPC Quota"]), (4, True, []),
+        (1, False, ["VPC Exists", "EKS Cluster Quota", "Instance Types", "Unheard Of"]), (2, False, ["vCPU Quota", "Another"]),
+        (3, False, ["VPC Quota"]), (4, True, []), (5, True, []),
     ]
 
 
