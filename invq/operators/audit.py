@@ -72,7 +72,7 @@ def foreign_account_guard(
     state: DataFrame, callers: DataFrame, stack: str = "stack", text: str = "outputs"
 ) -> DataFrame:
     """Per stack to be changed: a violation if its state names accounts, but not the caller's."""
-    named = hot_join(stack_accounts(state, stack, text), callers, [stack])
+    named = stack_accounts(state, stack, text).join(callers, stack)
     owned = named.groupBy(stack).agg(
         F.count(F.lit(1)).alias("n_accounts"),
         F.min("account").alias("first_account"),
@@ -154,14 +154,17 @@ def resource_shape_audit(
         found[f"stray {prefix}"] = F.startswith(kind, F.lit(prefix))
     ends = [F.endswith(urn, F.lit(suffix)) for suffix in FORBIDDEN_SUFFIXES]
     found["forbidden name"] = F.greatest(*ends)
-    found["foreign network"] = (kind == SUBNET) & F.coalesce(
-        F.col("vpc_id") != F.col("expected_vpc_id"), F.lit(False)
-    )
+    found["foreign network"] = (kind == SUBNET) & F.col("vpc_id").isNotNull()
     names = list(found)
-    with_stack = hot_join(resources, stacks.select(stack, "expected_vpc_id"), [stack])
-    counted = with_stack.groupBy(stack).agg(
+    # counted in the map tasks per stack and network; only then is a stack's own network looked up
+    by_network = resources.groupBy(stack, "vpc_id").agg(
         *[F.count_if(F.coalesce(test, F.lit(False))).alias(f"c{i}") for i, test in enumerate(found.values())]
     )
+    foreign = f"c{names.index('foreign network')}"
+    with_stack = by_network.join(stacks.select(stack, "expected_vpc_id"), stack).withColumn(
+        foreign, F.when(F.col("vpc_id") != F.col("expected_vpc_id"), F.col(foreign)).otherwise(0)
+    )
+    counted = with_stack.groupBy(stack).agg(*[F.sum(f"c{i}").alias(f"c{i}") for i in range(len(names))])
     zero = F.lit(0).cast("bigint")
     checks = F.array(
         *[
