@@ -35,32 +35,44 @@ class KindRule:
     stable: tuple[str, ...] = ()
 
 
-# fixed values: what the control plane's kinds of record do on change
-KIND_RULES = {
-    "environment": KindRule(
-        identity=("env_name",),
-        ignore_case=("cloud",),
-        replace=("region", "global_env", "is_public_endpoint_enabled"),
-        update=("cloud",),
-        defaults={"is_public_endpoint_enabled": "true"},
-        stable=("env_name", "org_id", "org_name"),
-    ),
-    "service_account": KindRule(
-        identity=("client_id", "client_secret"),
-        replace=("name",),
-        stable=("client_id", "client_secret"),
-    ),
-    "api_key": KindRule(
-        identity=("value",),
-        replace=("project_name", "key_name", "org_id", "auth0_client_id", "auth0_client_secret"),
-        stable=("value", "api_key_id", "project_id"),
-    ),
-    "dns_delegation": KindRule(replace=("subdomain",), update=("nameservers",)),
-    "metrics_key": KindRule(stable=("api_key", "key_id")),
-    "metrics_access": KindRule(update=("workload_role_arn",)),
-    "gateway_key": KindRule(replace=("environment",), stable=("key_id", "key")),
-    "uninstaller": KindRule(update=("kubeconfig", "image", "cloud")),
-}
+def kind_rules(image_field: str = "image", access_fields: Sequence[str] = ()) -> dict[str, KindRule]:
+    """The rules of the control plane's kinds of record.
+
+    ``image_field`` is the uninstaller's field that names its image; ``access_fields`` are
+    further server-assigned fields of metrics access, by the names the records use.
+    """
+    # fixed values: what these kinds do on change
+    return {
+        "environment": KindRule(
+            identity=("env_name",),
+            ignore_case=("cloud",),
+            replace=("region", "global_env", "is_public_endpoint_enabled"),
+            update=("cloud",),
+            defaults={"is_public_endpoint_enabled": "true"},
+            stable=("env_name", "org_id", "org_name"),
+        ),
+        "service_account": KindRule(
+            identity=("client_id", "client_secret"),
+            replace=("name",),
+            stable=("client_id", "client_secret"),
+        ),
+        "api_key": KindRule(
+            identity=("value",),
+            replace=("project_name", "key_name", "org_id", "auth0_client_id", "auth0_client_secret"),
+            stable=("value", "api_key_id", "project_id"),
+        ),
+        "dns_delegation": KindRule(replace=("subdomain",), update=("nameservers",)),
+        "metrics_key": KindRule(stable=("api_key", "key_id")),
+        "metrics_access": KindRule(
+            update=("workload_role_arn",),
+            stable=(*access_fields, "amp_remote_write_endpoint", "amp_region"),
+        ),
+        "gateway_key": KindRule(replace=("environment",), stable=("key_id", "key")),
+        "uninstaller": KindRule(update=("kubeconfig", image_field, "cloud")),
+    }
+
+
+KIND_RULES = kind_rules()
 
 
 def _changes(rule: KindRule) -> tuple[Column, Column]:
@@ -145,18 +157,22 @@ def stable_carry_forward(
 ) -> DataFrame:
     """The new records, with the server-assigned fields of their kind kept from the old ones.
 
-    A stable field the old record lacks is dropped from the new one; records without an old
-    version stay as they are.
+    A record that the rules replace (see `state_diff`), or whose kind changed, is a new one and
+    keeps nothing. A stable field the old record lacks is dropped from the new one; records
+    without an old version stay as they are.
     """
-    before = old.select(key, F.col("props").alias("old_props"))
+    before = old.select(key, F.col("kind").alias("old_kind"), F.col("props").alias("old_props"))
+    both = new.join(before, key, "left").withColumn("new_props", F.col("props"))
     props = F.col("props")
     carried = props
     for name, rule in rules.items():
         if rule.stable:
             kept, rest = _only(F.col("old_props"), rule.stable), _without(props, rule.stable)
-            known = F.col("old_props").isNotNull() & (F.col("kind") == name)
+            replaces, _ = _changes(rule)
+            lasting = (F.col("kind") == name) & (F.col("old_kind") == name) & (F.size(replaces) == 0)
+            known = F.col("old_props").isNotNull() & lasting
             carried = F.when(known, F.map_concat(rest, kept)).otherwise(carried)
-    return new.join(before, key, "left").withColumn("props", carried).drop("old_props")
+    return both.withColumn("props", carried).drop("old_kind", "old_props", "new_props")
 
 
 # -- merges and layers -------------------------------------------------------------------------

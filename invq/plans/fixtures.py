@@ -322,8 +322,9 @@ FIXTURES |= {
 
 _RECORD = """
         select o_orderkey as id,
-               case o_orderkey % 5 when 0 then 'environment' when 1 then 'api_key' when 2 then 'dns_delegation'
-                    when 3 then 'metrics_key' else 'uninstaller' end as kind, {fields}
+               case o_orderkey % 8 when 0 then 'environment' when 1 then 'api_key' when 2 then 'dns_delegation'
+                    when 3 then 'metrics_key' when 4 then 'uninstaller' when 5 then 'service_account'
+                    when 6 then 'metrics_access' else 'gateway_key' end as kind, {fields}
         from {{orders}} where o_orderpriority <> '{absent}'"""
 
 FIXTURES |= {

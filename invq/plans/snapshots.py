@@ -14,6 +14,9 @@ FIELDS = {
     "dns_delegation": ("unused", "subdomain", "nameservers", "zone"),
     "metrics_key": ("api_key", "name", "key_id", "org_id"),
     "uninstaller": ("unused", "image", "kubeconfig", "note"),
+    "service_account": ("client_id", "name", "client_secret", "note"),
+    "metrics_access": ("amp_region", "workload_role_arn", "amp_remote_write_endpoint", "note"),
+    "gateway_key": ("key", "environment", "key_id", "note"),
 }
 SETTINGS = ("api_url", "cidr", "domain", "env", "key", "region", "zones")
 AS_OF = "2001-11-04"
@@ -181,9 +184,26 @@ QUERIES = {
     )
 }
 
-_BOTH = """pair as (select coalesce(n.id, o.id) as id, coalesce(n.kind, o.kind) as kind, o.id is null as created, n.id is null as deleted,
+_JUDGED = """pair as (select coalesce(n.id, o.id) as id, coalesce(n.kind, o.kind) as kind, o.id is null as created, n.id is null as deleted,
       o.a as oa, o.b as ob, o.c as oc, o.d as od, n.a as na, n.b as nb, n.c as nc, n.d as nd
-    from record_old o full join record_new n using (id))"""
+    from record_old o full join record_new n using (id)),
+  judged as (select *, case kind
+      when 'environment' then case when coalesce(oa, '') = '' then 'env_name' else concat_ws(',',
+          case when lower(coalesce(ob, '')) <> lower(coalesce(nb, '')) then 'cloud' end,
+          case when oc is distinct from nc then 'region' end,
+          case when coalesce(od, 'true') <> coalesce(nd, 'true') then 'is_public_endpoint_enabled' end) end
+      when 'api_key' then case when coalesce(oa, '') = '' then 'value' else concat_ws(',',
+          case when ob is distinct from nb then 'project_name' end,
+          case when oc is distinct from nc then 'key_name' end,
+          case when od is distinct from nd then 'org_id' end) end
+      when 'dns_delegation' then case when ob is distinct from nb then 'subdomain' else '' end
+      when 'service_account' then case when coalesce(oa, '') = '' or coalesce(oc, '') = '' then 'client_id'
+          when ob is distinct from nb then 'name' else '' end
+      when 'gateway_key' then case when ob is distinct from nb then 'environment' else '' end
+      else '' end as r,
+    case kind when 'environment' then ob is distinct from nb when 'dns_delegation' then oc is distinct from nc
+         when 'metrics_access' then ob is distinct from nb
+         when 'uninstaller' then ob is distinct from nb or oc is distinct from nc else false end as u from pair)"""
 
 
 def _sweep_sql(rules):
@@ -219,20 +239,7 @@ _CELL = """t as (select id, environment, pool, left(regexp_replace(lower(organis
 
 ORACLES = {
     "state_diff": oracle(
-        f"""with {_BOTH},
-            judged as (select *, case kind
-                when 'environment' then case when coalesce(oa, '') = '' then 'env_name' else concat_ws(',',
-                    case when lower(coalesce(ob, '')) <> lower(coalesce(nb, '')) then 'cloud' end,
-                    case when oc is distinct from nc then 'region' end,
-                    case when coalesce(od, 'true') <> coalesce(nd, 'true') then 'is_public_endpoint_enabled' end) end
-                when 'api_key' then case when coalesce(oa, '') = '' then 'value' else concat_ws(',',
-                    case when ob is distinct from nb then 'project_name' end,
-                    case when oc is distinct from nc then 'key_name' end,
-                    case when od is distinct from nd then 'org_id' end) end
-                when 'dns_delegation' then case when ob is distinct from nb then 'subdomain' else '' end
-                else '' end as r,
-              case kind when 'environment' then ob is distinct from nb when 'dns_delegation' then oc is distinct from nc
-                   when 'uninstaller' then ob is distinct from nb or oc is distinct from nc else false end as u from pair)
+        f"""with {_JUDGED}
             select id, kind, case when created then 'create' when deleted then 'delete' when r <> '' then 'replace'
                    when u then 'update' else 'same' end as action, case when created or deleted then '' else r end as replaces
             from judged""",
@@ -240,15 +247,22 @@ ORACLES = {
         "record_new",
     ),
     "stable_carry_forward": oracle(
-        f"""with {_BOTH},
-            f as (select id, kind, case when not created and kind in ('environment', 'api_key', 'metrics_key') then oa else na end as a,
-                         nb as b, case when not created and kind = 'metrics_key' then oc else nc end as c, nd as d
-                  from pair where not deleted)
+        f"""with {_JUDGED},
+            f as (select id, kind,
+                    case when not created and r = '' and kind in ('environment', 'api_key', 'metrics_key', 'service_account',
+                              'metrics_access', 'gateway_key') then oa else na end as a, nb as b,
+                    case when not created and r = '' and kind in ('metrics_key', 'service_account', 'metrics_access',
+                              'gateway_key') then oc else nc end as c, nd as d
+                  from judged where not deleted)
             select id, case kind
               when 'environment' then concat_ws(';', 'cloud=' || b, 'env_name=' || a, 'is_public_endpoint_enabled=' || d, 'region=' || c)
               when 'api_key' then concat_ws(';', 'key_name=' || c, 'org_id=' || d, 'project_name=' || b, 'value=' || a)
               when 'dns_delegation' then concat_ws(';', 'nameservers=' || c, 'subdomain=' || b, 'unused=' || a, 'zone=' || d)
               when 'metrics_key' then concat_ws(';', 'api_key=' || a, 'key_id=' || c, 'name=' || b, 'org_id=' || d)
+              when 'service_account' then concat_ws(';', 'client_id=' || a, 'client_secret=' || c, 'name=' || b, 'note=' || d)
+              when 'metrics_access' then concat_ws(';', 'amp_region=' || a, 'amp_remote_write_endpoint=' || c, 'note=' || d,
+                                                   'workload_role_arn=' || b)
+              when 'gateway_key' then concat_ws(';', 'environment=' || b, 'key=' || a, 'key_id=' || c, 'note=' || d)
               else concat_ws(';', 'image=' || b, 'kubeconfig=' || c, 'note=' || d, 'unused=' || a) end as props
             from f""",
         "record_old",

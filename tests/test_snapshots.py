@@ -49,10 +49,37 @@ def test_diff(spark, kind, old, new, action, replaces):
 
 
 def test_server_assigned_fields_are_carried(spark):
-    old = spark.createDataFrame([(1, "environment", ENV | {"org_id": "o"})], BAG)
-    new = spark.createDataFrame([(1, "environment", {"env_name": "x", "region": "q"}), (2, "environment", {"region": "z"})], BAG)
+    old = spark.createDataFrame(
+        [
+            (1, "environment", ENV | {"org_id": "o"}),
+            (3, "environment", ENV),
+            (4, "metrics_access", {"workload_role_arn": "a", "amp_region": "r", "their_role": "t"}),
+            (5, "metrics_key", {"api_key": "k"}),
+        ],
+        BAG,
+    )
+    new = spark.createDataFrame(
+        [
+            (1, "environment", ENV | {"env_name": "x", "note": "n"}),
+            (2, "environment", {"region": "z"}),
+            (3, "environment", ENV | {"env_name": "x", "region": "q"}),  # replaced
+            (4, "metrics_access", {"workload_role_arn": "b"}),
+            (5, "api_key", {"value": "v"}),  # another kind
+        ],
+        BAG,
+    )
     out = {r["id"]: r["props"] for r in S.stable_carry_forward(old, new).collect()}
-    assert out == {1: {"env_name": "e", "org_id": "o", "region": "q"}, 2: {"region": "z"}}
+    assert out == {
+        1: ENV | {"org_id": "o", "note": "n"},
+        2: {"region": "z"},
+        3: ENV | {"env_name": "x", "region": "q"},
+        4: {"workload_role_arn": "b", "amp_region": "r"},
+        5: {"value": "v"},
+    }
+    rules = S.kind_rules(access_fields=["their_role"])
+    out = {r["id"]: r["props"] for r in S.stable_carry_forward(old, new, rules).collect()}
+    assert out[4] == {"workload_role_arn": "b", "amp_region": "r", "their_role": "t"}
+    assert S.kind_rules("own_image")["uninstaller"].update == ("kubeconfig", "own_image", "cloud")
 
 
 def test_later_tags_win(spark):
