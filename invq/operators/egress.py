@@ -13,6 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.skew import join_where_known
+
 # fixed values: the default route, its usable targets by priority, the usable kind of gateway
 DEFAULT_ROUTE = "0.0.0.0/0"
 TARGETS = (
@@ -133,10 +135,9 @@ def zone_egress(
         fallback = F.lit(None).cast("struct<table_id:string,target:string>")
     table = F.when(named, F.col("named")).when(n > 0, F.col("own.table_id"))
     target = F.when(named, F.col("named_target")).when(n > 0, F.col("own.target"))
+    located = zones.join(own, keys, "left").join(inherited, "vpc_id", "left")
     return (
-        zones.join(own, keys, "left")
-        .join(inherited, "vpc_id", "left")
-        .join(by_name, "named", "left")
+        join_where_known(located, by_name, "named")  # nearly all zones name no table
         .select(
             *keys,
             status.alias("status"),

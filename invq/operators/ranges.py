@@ -184,12 +184,12 @@ def overlap_join(
         counts=r_nets.withColumnRenamed("rn", "n"),
         hot_rows=hot_rows,
     )
-    # how many rows each left block has now is known from the pairs alone
+    # how many rows either side has of a left block is known from the pairs alone
     both = hot_join(
         rows,
         left.withColumn("l", F.col(left_net)),
         [*scope, "l"],
-        counts=pairs.groupBy(*scope, "l").agg(F.sum("rn").alias("n")),
+        counts=pairs.groupBy(*scope, "l").agg(F.sum("rn").alias("n"), F.max("ln").alias("m")),
         hot_rows=hot_rows,
     )
     extra = [c for c in left.columns if c not in scope]

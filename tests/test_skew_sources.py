@@ -3,7 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from invq.functions.skew import hot_join
+from invq.functions.skew import hot_join, join_where_known
 from invq.sources import io, schemas
 from tests.helpers import rows, text_of
 
@@ -36,6 +36,39 @@ def test_hot_rows_are_cut_into_slices(spark):
     assert "__slot" in plan and "xxhash64" in plan
 
 
+def _largest_part(df, column):
+    sizes = df.select(F.spark_partition_id().alias("p"), column).groupBy("p").count().collect()
+    return max(r["count"] for r in sizes)
+
+
+@pytest.fixture
+def as_dealt(spark):
+    """No adaptive execution, no broadcast: partitions are as the shuffle deals them."""
+    names = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "8"}
+    before = {k: spark.conf.get(k) for k in names}
+    for k, v in names.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
+def test_null_keys_are_spread(spark, as_dealt):
+    many = spark.range(4000).withColumn("key", F.when(F.col("id") % 1000 == 0, F.col("id")))
+    few = spark.range(4000).select(F.col("id").alias("key"), (F.col("id") + 1).alias("v"))
+    for joined in (hot_join(many, few, ["key"], "left", hot_rows=1000), join_where_known(many, few, "key")):
+        assert rows(joined.where("v is not null"), "id", "v") == [(i, i + 1) for i in range(0, 4000, 1000)]
+        assert joined.count() == 4000 and _largest_part(joined, "id") < 1000
+
+
+def test_a_key_that_is_hot_on_the_other_side_is_cut_there(spark, as_dealt):
+    many = spark.createDataFrame([(1, "a"), (2, "b")], "key int, name string")
+    few = spark.range(4000).select(F.when(F.col("id") < 3900, 1).otherwise(2).alias("key"), "id")
+    counts = spark.createDataFrame([(1, 1, 3900), (2, 1, 100)], "key int, n long, m long")
+    joined = hot_join(many, few, ["key"], counts=counts, hot_rows=100)
+    assert joined.count() == 4000 and _largest_part(joined, "id") < 1500
+
+
 def test_listings_are_read_with_a_fixed_schema(spark, tmp_path):
     folder = tmp_path / "account=a" / "region=r"
     folder.mkdir(parents=True)
