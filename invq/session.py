@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -30,6 +32,7 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8) -> SparkSession
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.driver.memory", "8g")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="invq-"))
     )
     for key, value in RECOMMENDED.items():
         builder = builder.config(key, value)
@@ -41,13 +44,21 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8) -> SparkSession
 def scratch(spark: SparkSession, purpose: str) -> str:
     """A fresh folder for stream checkpoints and written tables.
 
-    It lies in the shared folder named by ``spark.checkpoint.dir``. Only a local master
-    without that setting falls back to the machine's temporary folder; on a cluster the
-    executors would not see it, so a missing setting is an error there.
+    It lies in the shared folder named by ``spark.checkpoint.dir``, else in the session's
+    warehouse, which executors share too. Nothing here removes it: results are read from it for
+    as long as the caller keeps them, so whoever owns that folder clears it.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-        root = tempfile.mkdtemp(prefix="invq-")
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the Python workers, once per application; they need not have it."""
+    if spark.sparkContext.applicationId not in _shipped:
+        package = Path(__file__).resolve().parent
+        made = shutil.make_archive(f"{tempfile.mkdtemp(prefix='invq-')}/invq", "zip", package.parent, package.name)
+        spark.sparkContext.addPyFile(made)
+        _shipped.add(spark.sparkContext.applicationId)
