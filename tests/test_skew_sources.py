@@ -83,7 +83,10 @@ def test_listings_are_read_with_a_fixed_schema(spark, tmp_path):
     }
     (folder / "x.json").write_text(json.dumps(vpc) + "\n" + json.dumps({"VpcId": "w"}) + "\nbroken{\n")
     df = io.read_listing(spark, str(tmp_path), schemas.VPC, "vpc")
-    assert df.where(F.col("vpc.VpcId").isNotNull()).count() == 2
+    assert rows(df, "vpc.VpcId") == [("v",), ("w",)]
+    bad = io.unreadable_lines(spark, str(tmp_path), schemas.VPC)
+    assert rows(bad, "account", "region", "line") == [("a", "r", "broken{")]
+    assert bad.first()["file"].endswith("x.json")
     assert {r["account"] for r in df.collect()} == {"a"}
     blocks = schemas.blocks_of(df).collect()
     assert [(b["vpc_id"], b["state"], text_of(b["net"])) for b in blocks] == [
@@ -102,6 +105,11 @@ def test_pages_state_and_logs(spark, tmp_path):
         (tmp_path / f"p{i}.json").write_text(json.dumps({"value": [{"name": f"n{i}"}, {"name": "z"}], "nextLink": "x"}, indent=1))
     items = io.read_pages(spark, str(tmp_path / "p*.json"), "struct<name:string>")
     assert rows(items, "item.name") == [("n0",), ("n1",), ("z",), ("z",)]
+    for page in (2, 10):
+        text = json.dumps({"value": [{"name": f"{page}-{i}"} for i in range(2)]})
+        (tmp_path / f"listing-{page}.json").write_text(text)
+    ordered = io.read_pages(spark, str(tmp_path / "listing-*.json"), "struct<name:string>").orderBy("position")
+    assert [r["name"] for r in ordered.select("item.name").collect()] == ["2-0", "2-1", "10-0", "10-1"]
     export = {"deployment": {"resources": [{"type": "t", "urn": "u", "outputs": {"vpcId": "v"}}, {"type": "x"}]}}
     state = spark.createDataFrame([("s", json.dumps(export))], "stack string, export string")
     assert rows(schemas.resources_of(state), "stack", "type", "urn", "vpc_id") == [("s", "t", "u", "v"), ("s", "x", None, None)]
