@@ -267,7 +267,7 @@ FIXTURES |= {
         from {orders}""",
     "balancer": """
         select o_custkey as vpc_id, case when l_returnflag = 'R' and l_tax > 0.06 then 'internet-facing' else 'internal' end as scheme
-        from {lineitem} join {orders} on l_orderkey = o_orderkey where l_linenumber <> 7""",
+        from {lineitem} join {orders} on l_orderkey = o_orderkey""",
     "ingress": """
         select l_orderkey as deployment, case when l_returnflag = 'N' then 'other' else 'gloo-system' end as namespace,
                case l_linenumber when 1 then 'gloo-lb' when 2 then 'gloo-lb-http1' when 3 then 'x' else 'private-gloo-lb' end as name
@@ -393,18 +393,20 @@ FIXTURES |= {
     # one listing a day per cluster, one in ten of them failed
     "poll": """
         select cluster, poll_seq, min(ts) as ts, poll_seq % 10 <> 4 as poll_ok
-        from (select user_id % 3 as cluster, cast(extract(day from ts) as bigint) as poll_seq, ts from {events}) e
+        from (select user_id % 3 as cluster, cast(extract(year from ts) * 372 + extract(month from ts) * 31 + extract(day from ts) as bigint)
+                     as poll_seq, ts from {events}) e
         group by cluster, poll_seq""",
     "poll_seen": """
-        select distinct user_id % 3 as cluster, cast(extract(day from ts) as bigint) as poll_seq, user_id
-        from {events} where event_type in ('error', 'click', 'view')""",
+        select distinct user_id % 3 as cluster,
+               cast(extract(year from ts) * 372 + extract(month from ts) * 31 + extract(day from ts) as bigint) as poll_seq, user_id
+        from {events}""",
     "pod_sighting": """
         select concat(case event_type when 'error' then 'tool-' when 'view' then 'tools-' else 'app-' end,
                cast(user_id as string)) as name, ts from {events}""",
     "attempt": """
         select user_id as target, event_id, ts, case event_type when 'view' then 200 when 'click' then 503 when 'signup' then 404 end as status,
                concat(event_type, ' at ', cast(event_id as string)) as failure
-        from {events} where event_type <> 'purchase'""",
+        from {events}""",
     "job_poll": """
         select cast(floor(event_id / 20) as bigint) as job, ts,
                case when event_type = 'purchase' and value > 50 then 1 else 0 end as succeeded,

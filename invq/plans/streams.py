@@ -15,9 +15,14 @@ _JOB_TIMEOUT = 1800
 
 
 def _source(session, sf_dir, table):
-    schema = session.read.parquet(f"{sf_dir}/{table}.parquet").schema
-    reader = session.readStream.schema(schema).option("pathGlobFilter", f"{table}.parquet")
-    return reader.parquet(sf_dir)
+    """The stream of a table, which is one file or a folder of part files."""
+    path = f"{sf_dir}/{table}.parquet"
+    known = session.read.parquet(path)
+    reader = session.readStream.schema(known.schema)
+    files = known.inputFiles()
+    if len(files) == 1 and files[0].endswith(f"/{table}.parquet"):  # streams read folders
+        return reader.option("pathGlobFilter", f"{table}.parquet").parquet(sf_dir)
+    return reader.parquet(path)
 
 
 def _derived(session, sf_dir, name, table):

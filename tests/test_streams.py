@@ -131,3 +131,14 @@ def test_a_stream_goes_on_from_its_checkpoint(spark, landed, tmp_path):
     batch = P.sustained_condition(errors_of_users(spark.read.parquet(EVENTS)), ["user_id"], 12 * HOUR, order=["event_id"])
     got = spark.read.parquet(str(tmp_path / "out"))
     assert rows(got, "user_id", "at_us", "event_id") == rows(batch, "user_id", "at_us", "event_id")
+
+
+@pytest.mark.parametrize("name", ["redact_text_stream", "first_seen_follow_stream"])
+def test_tables_of_several_files_are_read_whole(spark, tmp_path, name):
+    from invq.plans import registry
+
+    for table in ("events", "documents"):
+        whole = spark.read.parquet(f"/root/testdata/sf0.001/{table}.parquet")
+        whole.repartition(3).write.parquet(str(tmp_path / f"{table}.parquet"))
+    parts = registry.QUERIES[name](spark, str(tmp_path)).count()
+    assert parts == registry.QUERIES[name](spark, "/root/testdata/sf0.001").count() > 0
