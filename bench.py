@@ -49,6 +49,8 @@ HEADLINE = (
     "redact_text",
     "secret_scan",
     "not_ready_pods",
+    "baseline_new_keys",
+    "reached_within",
     "sustained_condition",
     "throttle_per_key",
     "job_outcome",
