@@ -6,6 +6,7 @@ import contextlib
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import scratch
 
@@ -40,3 +41,20 @@ def written(df: DataFrame, purpose: str) -> DataFrame:
 
 def type_of(df: DataFrame, column: str) -> str:
     return df.schema[column].dataType.simpleString()
+
+
+#: Rows of a table that may be sent to every task, and slices that a larger one's keys are cut into.
+SENT_ROWS, SLICES = 20_000, 64
+
+
+def looked_up(rows: DataFrame, table: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """`rows` joined to a written `table` with one row a key, however many rows share a key.
+
+    A table of at most SENT_ROWS rows is sent to the tasks. A larger one is repeated for SLICES slices, and each
+    row meets the one that its content's hash names.
+    """
+    if table.count() <= SENT_ROWS:
+        return rows.join(F.broadcast(table), keys, how)
+    slice_ = F.pmod(F.xxhash64(*rows.columns), F.lit(SLICES)).cast("int")
+    repeated = table.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(SLICES - 1))))
+    return rows.withColumn("slice", slice_).join(repeated, [*keys, "slice"], how).drop("slice")

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import written
+from .common import looked_up, written
 from .words import WHITE, Texts, runs, slices, windows, words
 
 #: Symbols that count, as the contract lists them.
@@ -198,9 +198,9 @@ def fit(vectors: DataFrame) -> DataFrame:
     rows = _levelled(vectors.where("not base_failed").select("g_lang", "g_source", *FEATURES))
     x = [F.col(c) for c in FEATURES]
     middle = [F.percentile_approx(c, 0.5, 1000).alias(f"m_{c}") for c in FEATURES]
-    centres = rows.groupBy(*_KEYS).agg(F.count(F.lit(1)).alias("n"), *middle)
+    centres = written(rows.groupBy(*_KEYS).agg(F.count(F.lit(1)).alias("n"), *middle), "mcd-centres")
     spread = [F.percentile_approx(F.abs(F.col(c) - F.col(f"m_{c}")), 0.5, 1000).alias(f"s_{c}") for c in FEATURES]
-    spreads = rows.join(centres, _KEYS).groupBy(*_KEYS).agg(*spread)
+    spreads = looked_up(rows, centres, _KEYS).groupBy(*_KEYS).agg(*spread)
     factor = consistency(len(FEATURES), SUPPORT)
     start = [
         F.pow(1.4826 * F.col(f"s_{FEATURES[i]}"), 2) / factor if i == j else F.lit(0.0) for i, j in _PAIRS
@@ -215,9 +215,10 @@ def fit(vectors: DataFrame) -> DataFrame:
         "mcd-start",
     )
     for step in range(STEPS):
-        far = rows.join(estimate, _KEYS).withColumn("d2", _distance(x))
+        far = looked_up(rows, estimate, _KEYS).withColumn("d2", _distance(x))
         near = far.groupBy(*_KEYS).agg(F.percentile_approx("d2", SUPPORT, 1000).alias("radius"))
-        kept = far.join(near, _KEYS).where("d2 <= radius")
+        reach = written(estimate.join(near, _KEYS), f"mcd-radius-{step}")
+        kept = looked_up(rows, reach, _KEYS).withColumn("d2", _distance(x)).where("d2 <= radius")
         means = [F.avg(c).alias(f"m_{c}") for c in FEATURES]
         spread = [F.covar_pop(FEATURES[i], FEATURES[j]).alias(f"c_{i}_{j}") for i, j in _PAIRS]
         moments = kept.groupBy(*_KEYS).agg(F.max("n").alias("n"), *means, *spread)
@@ -247,7 +248,7 @@ def chosen(estimate: DataFrame, min_rows: int = MIN_ROWS) -> DataFrame:
 
 def judged(vectors: DataFrame, estimate: DataFrame, cutoff: float = CUTOFF, min_rows: int = MIN_ROWS) -> DataFrame:
     """Adds `distance` (null: nothing to compare with) and `kept`."""
-    joined = vectors.join(chosen(estimate, min_rows), ["g_lang", "g_source"], "left")
+    joined = looked_up(vectors, written(chosen(estimate, min_rows), "mcd"), ["g_lang", "g_source"], "left")
     joined = joined.withColumn("distance", F.sqrt(F.greatest(_distance([F.col(c) for c in FEATURES]), F.lit(0.0))))
     near = F.coalesce(F.col("distance") <= cutoff, F.lit(True))
     return joined.withColumn("kept", ~F.col("base_failed") & near)
