@@ -10,10 +10,12 @@ draws make a band, and documents that agree in one of `BANDS` are compared exact
 * A document whose shared shingles weigh less than the threshold's share of it can have no partner;
   it is not sampled. That loses nothing.
 * Documents with equal shingles are one class from the start; only its least key goes on.
-* Within a band's bucket, all are compared with the least. Documents not yet connected to the largest
-  part of the bucket are then compared with all that they are not connected to. Links within a
-  connected part change no class, so nothing of use is left out, and a bucket of thousands of near
-  copies costs about one comparison each.
+* Within a band's bucket, all are compared with the one that shares most of its weight with others (the
+  original, among edited copies). Documents not yet connected to the largest part of the bucket are then
+  compared with all that they are not connected to, unless what each shares with any document at all is
+  too little for the pair, or the triangle inequality rules it out. Links within a connected part change
+  no class, so nothing of use is left out, and a bucket of thousands of near copies costs about one
+  comparison each, plus those of its outliers.
 
 Defined results: every row has a class, the least key among those connected to it; null and wordless
 texts are alone; rows with equal keys share a class; a null key gets a null class.
@@ -25,7 +27,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import chunks as C
@@ -160,7 +162,10 @@ def sample(hash_: np.ndarray, weight: np.ndarray, at: np.ndarray, bands: int, ro
     return out
 
 
-_VECTORS = "key bigint, same_1 bigint, same_2 bigint, bands array<bigint>, hashes binary, weights binary"
+_VECTORS = (
+    "key bigint, same_1 bigint, same_2 bigint, whole double, shared double, "
+    "bands array<bigint>, hashes binary, weights binary"
+)
 
 
 def _vectors(length: int, n_docs: int, threshold: float, bands: int, rows: int):
@@ -199,21 +204,24 @@ def _vectors(length: int, n_docs: int, threshold: float, bands: int, rows: int):
             print_2 = np.add.reduceat(mix(mix(hash_) + count), at).view(np.int64)
             drawn = sample(hash_, weight, at, bands, rows).view(np.int64)
             for i, (a, k) in enumerate(zip(at.tolist(), n.tolist(), strict=True)):
-                key, same = keys[texts.first + row[a]], (int(print_1[i]), int(print_2[i]))
+                key = keys[texts.first + row[a]]
                 if key is None:
                     continue
+                same = int(print_1[i]), int(print_2[i])
+                same = (*same, float(whole[row[a]]), float(shared[row[a]]))
                 vector = drawn[i], _narrow(hash_[a : a + k]), weight[a : a + k].astype(np.float32).tobytes()
                 if same not in seen:
                     seen[same] = len(out)
                 elif out[seen[same]][0] <= key:
                     vector = None, None, None
                 else:  # the least key of the class keeps the vector
-                    out[seen[same]] = (*out[seen[same]][:3], None, None, None)
+                    out[seen[same]] = (*out[seen[same]][:5], None, None, None)
                     seen[same] = len(out)
                 out.append((key, *same, *vector))
-        columns = list(zip(*out, strict=True)) if out else [[]] * 6
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary())
-        names = ("key", "same_1", "same_2", "bands", "hashes", "weights")
+        columns = list(zip(*out, strict=True)) if out else [[]] * 8
+        number, real = pa.int64(), pa.float64()
+        kinds = (number, number, number, real, real, pa.list_(number), pa.binary(), pa.binary())
+        names = ("key", "same_1", "same_2", "whole", "shared", "bands", "hashes", "weights")
         return pa.table({m: pa.array(c, k) for m, c, k in zip(names, columns, kinds, strict=True)})
 
     return run
@@ -237,30 +245,48 @@ def _compared(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(arrays, names=["a", "b", "similarity"])
 
 
-def _links(pairs: DataFrame, vectors: DataFrame, threshold: float, purpose: str) -> DataFrame:
-    """The pairs (a, b) whose weighted Jaccard similarity reaches the threshold."""
+def _similarities(pairs: DataFrame, vectors: DataFrame, purpose: str) -> DataFrame:
+    """The pairs (a, b) with their weighted Jaccard similarity."""
     left = vectors.select(F.col("key").alias("a"), F.col("hashes").alias("ha"), F.col("weights").alias("wa"))
     right = vectors.select(F.col("key").alias("b"), F.col("hashes").alias("hb"), F.col("weights").alias("wb"))
     joined = pairs.join(left, "a").join(right, "b").select("a", "b", "ha", "wa", "hb", "wb")
-    made = joined.mapInArrow(_compared, "a bigint, b bigint, similarity double")
-    return written(made.where(F.col("similarity") >= threshold), purpose)
+    return written(joined.mapInArrow(_compared, "a bigint, b bigint, similarity double"), purpose)
 
 
-def _later_pairs(entries: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs in one bucket that are not connected yet, one of them outside the bucket's largest part."""
+def _possible(x: str, y: str, threshold: float) -> Column:
+    """What two entries of a bucket must satisfy to be similar, and to be named in this bucket.
+
+    Two vectors have no more in common than the lesser of what each shares with any document. One
+    minus the similarity is a metric, so both lie about as far from the bucket's leader. A pair is
+    named in the first band alone in which it agrees.
+    """
+    column = lambda side, name: F.col(f"{side}.{name}")
+    both = F.least(column(x, "shared"), column(y, "shared"))
+    room = both * (1 + threshold) >= threshold * (column(x, "whole") + column(y, "whole")) * (1 - 1e-9)
+    level = F.abs(column(x, "near") - column(y, "near")) <= 1 - threshold + 1e-5
+    agree = F.zip_with(column(x, "bands"), column(y, "bands"), lambda p, q: p == q)
+    return room & level & (F.array_position(agree, True) == column(x, "band") + 1)
+
+
+def _later_pairs(entries: DataFrame, known: DataFrame, labels: DataFrame, threshold: float) -> DataFrame:
+    """Pairs in one bucket that are not connected yet, one of them outside the bucket's largest part.
+
+    `known` has the similarity of each entry to its bucket's leader.
+    """
     at = ["band", "h"]
     placed = entries.join(labels.withColumnRenamed("node", "key"), "key", "left")
     placed = placed.withColumn("label", F.coalesce("label", "key"))
-    parts = placed.groupBy(*at, "label").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("least"))
+    parts = placed.groupBy(*at, "label").agg(F.count(F.lit(1)).alias("n"))
     mixed = parts.groupBy(*at).agg(
-        F.max_by("label", F.struct("n", "label")).alias("home"),
-        F.min("least").alias("leader"),
-        F.count(F.lit(1)).alias("n_parts"),
+        F.max_by("label", F.struct("n", "label")).alias("home"), F.count(F.lit(1)).alias("n_parts")
     )
-    inside = placed.join(mixed.where("n_parts > 1").drop("n_parts"), at)
-    stray = inside.where("label <> home").select(*at, F.col("key").alias("x"), F.col("label").alias("x_label"))
-    met = stray.join(inside, at).where("x_label <> label and x <> leader and key <> leader")
-    return met.select(F.least("x", "key").alias("a"), F.greatest("x", "key").alias("b")).distinct()
+    inside = placed.join(mixed.where("n_parts > 1").drop("n_parts"), at).where("key <> leader")
+    inside = inside.withColumn("a", F.least("key", "leader")).withColumn("b", F.greatest("key", "leader"))
+    inside = inside.join(known.withColumnRenamed("similarity", "near"), ["a", "b"]).drop("a", "b")
+    x, y = inside.where("label <> home").alias("x"), inside.alias("y")
+    same = (F.col("x.band") == F.col("y.band")) & (F.col("x.h") == F.col("y.h"))
+    met = x.join(y, same & (F.col("x.label") != F.col("y.label")) & _possible("x", "y", threshold))
+    return met.select(F.least("x.key", "y.key").alias("a"), F.greatest("x.key", "y.key").alias("b")).distinct()
 
 
 def classes(
@@ -283,19 +309,23 @@ def classes(
     vectors = written(by_chunk.cogroup(shared.groupBy("chunk")).applyInArrow(make, _VECTORS), "vectors")
     whole = vectors.where("hashes is not null")
     same = ["same_1", "same_2"]
-    leaders = whole.groupBy(*same).agg(F.min("key").alias("leader"))
-    firsts = whole.join(leaders, same).where("key = leader").drop("leader")
-    entries = firsts.select("key", F.posexplode("bands").alias("band", "h"))
-    buckets = entries.groupBy("band", "h").agg(F.min("key").alias("least"), F.count(F.lit(1)).alias("n"))
-    entries = written(entries.join(buckets.where("n > 1"), ["band", "h"]), "bands")
-    pairs = entries.where("key <> least").select(F.col("least").alias("a"), F.col("key").alias("b")).distinct()
-    links = _links(pairs, firsts.select("key", "hashes", "weights"), threshold, "links")
-    labels = components(links)
-    later = _later_pairs(entries.select("key", "band", "h"), labels)
-    more = _links(later, firsts.select("key", "hashes", "weights"), threshold, "more-links")
-    labels = components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(more.select("a", "b")))
-    of_class = leaders.join(labels.withColumnRenamed("node", "leader"), "leader", "left")
-    of_class = of_class.select(*same, F.coalesce("label", "leader").alias("class_id"))
+    leaders = whole.groupBy(*same).agg(F.min("key").alias("first"))
+    firsts = whole.join(leaders, same).where("key = first").drop("first")
+    entries = firsts.select("key", "whole", "shared", "bands", F.posexplode("bands").alias("band", "h"))
+    hub = F.max_by("key", F.struct(F.col("shared") / F.col("whole"), -F.col("key")))
+    buckets = entries.groupBy("band", "h").agg(hub.alias("leader"), F.count(F.lit(1)).alias("n"))
+    entries = written(entries.join(buckets.where("n > 1").drop("n"), ["band", "h"]), "bands")
+    whole = firsts.select("key", "hashes", "weights")
+    pairs = entries.where("key <> leader").select(F.least("leader", "key").alias("a"), F.greatest("leader", "key").alias("b"))
+    enough = F.col("similarity") >= threshold
+    known = _similarities(pairs.distinct(), whole, "similarities")
+    labels = components(known.where(enough))
+    later = _later_pairs(entries, known, labels, threshold)
+    more = _similarities(later, whole, "more-similarities").where(enough).select("a", "b")
+    if not more.isEmpty():
+        labels = components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(more))
+    of_class = leaders.join(labels.withColumnRenamed("node", "first"), "first", "left")
+    of_class = of_class.select(*same, F.coalesce("label", "first").alias("class_id"))
     members = vectors.select("key", *same).join(of_class, same).groupBy("key").agg(F.min("class_id").alias("class_id"))
     joined = df.select(F.col(key).cast("bigint").alias("key")).join(members, "key", "left")
     return joined.select(F.col("key").alias(key), F.coalesce("class_id", "key").alias("class_id"))
