@@ -4,11 +4,12 @@ A line is the set of its words. Lines with equal sets are one entry, that of the
 ordered by rarity (counts of all lines' words in a fixed number of hash buckets, then by hash), and two
 sets of similarity t can only meet if they share one of the n - ceil(t n) + 1 rarest words of each: the
 prefix filter. Pairs that share a prefix word must also agree in length (t n <= m) and have enough
-words left behind the shared one (positional filter); what remains is verified by Jaccard similarity.
+words left behind the shared one (positional filter). Bitmaps of the words rule out most of what remains, and the rest is verified by
+Jaccard similarity of the words themselves.
 
 A line is removed if an earlier one, in order of key and line, is as similar as the threshold asks,
-whether that one is kept or not. One such line is enough, so each line is first held against those
-of the least key among the lines that share a prefix word; only lines that are not removed by that
+whether that one is kept or not. One such line is enough, so where many lines share a prefix word, each
+is first held against those of the least key among them; only lines that are not removed by that
 are held against all earlier ones. Thousands of variants of one line cost a comparison or a few each.
 
 Words and sets are known by 64-bit hashes. Defined results: lines without a word are kept; a null text
@@ -25,13 +26,27 @@ from .common import written
 
 #: Jaccard similarity in hundredths.
 THRESHOLD = 90
+#: Lines that share a prefix word and are compared with each other at once; more go by the least key first.
+FEW = 50
 #: Hash buckets in which words are counted: the size of what every task is sent.
-COUNTED = 1 << 16
+COUNTED = 1 << 17
 _SPACE = r"[\x09-\x0D ]+"
 
 
+#: Bits of a word's hash; the bits above hold its rarity.
+_HASHED = 53
+_NO_WORD = "xxhash64('')"
+
+
+def _parts(text: Column) -> Column:
+    """The words of a text, and empty strings among them. Splitting at one character is the cheap case."""
+    plain = F.replace(text, F.lit("\n"), F.lit(" "))
+    return F.when(text.rlike(r"[\x09\x0B-\x0D]"), F.split(text, _SPACE)).otherwise(F.split(plain, " "))
+
+
 def _words(line: Column) -> Column:
-    return F.array_distinct(F.filter(F.split(line, _SPACE), lambda w: w != ""))
+    """Hashes of the words of a line, each once."""
+    return F.array_remove(F.array_distinct(F.transform(_parts(line), lambda w: F.xxhash64(w))), F.expr(_NO_WORD))
 
 
 def _identified(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -42,109 +57,132 @@ def _identified(df: DataFrame, key: str, text: str) -> DataFrame:
 
 def _lines(rows: DataFrame) -> DataFrame:
     split = rows.where("text is not null").select("doc", "print", F.posexplode(F.split("text", "\n")).alias("line", "body"))
-    words = F.transform(_words(F.col("body")), lambda w: F.xxhash64(w))
-    return split.select("doc", "print", "line", words.alias("words")).where(F.size("words") > 0)
+    worded = split.where(F.col("body").rlike(r"[^\x09-\x0D ]"))  # asked of the text: words would be split twice
+    return worded.select("doc", "print", "line", _words(F.col("body")).alias("words"))
 
 
 def _bucket(word: Column) -> Column:
     return F.pmod(word, F.lit(COUNTED)).cast("int")
 
 
-def _counts(lines: DataFrame) -> Column:
+def _rarities(rows: DataFrame) -> Column:
     """How often words of each bucket occur, as 16 times the binary logarithm: a constant of COUNTED numbers."""
-    met = lines.select(F.explode("words").alias("word")).groupBy(_bucket(F.col("word")).alias("bucket"))
+    hashes = F.transform(_parts(F.col("text")), lambda w: _bucket(F.xxhash64(w)))
+    met = rows.select(F.explode(hashes).alias("bucket")).groupBy("bucket")
     n = met.agg(F.count(F.lit(1)).alias("n")).select("bucket", F.round(16 * F.log2(F.col("n"))).cast("int").alias("n"))
     level = [0] * COUNTED
     for row in n.collect():
         level[row.bucket] = row.n
-    return F.from_json(F.lit(str(level)), "array<int>")
+    return F.from_json(F.lit(str(level)), "array<bigint>")
 
 
 def _ceil(part: Column, whole: int) -> Column:
     return F.floor((part + (whole - 1)) / whole).cast("int")
 
 
-def _prefixes(lines: DataFrame, counts: Column, threshold: int) -> DataFrame:
-    """Per line: id of its set, size, and the words of its prefix in order of rarity."""
+def _bitmap(words: Column) -> Column:
+    """64 bits in which every word sets one."""
+
+    def with_bit(seen: Column, word: Column) -> Column:
+        bit = word.bitwiseAND(F.lit(63)).cast("int")
+        return seen.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), bit))
+
+    return F.aggregate(words, F.lit(0).cast("bigint"), with_bit)
+
+
+def _prefixes(lines: DataFrame, rarities: Column, threshold: int) -> DataFrame:
+    """Per line: id and size of its set, its prefix in order of rarity, and a bitmap of its words."""
+
+    def ranked(word: Column) -> Column:
+        level = F.call_function("shiftleft", F.get(rarities, _bucket(word)), F.lit(_HASHED))
+        return level.bitwiseOR(word.bitwiseAND(F.lit((1 << _HASHED) - 1)))
+
     n = F.size("words")
     long_enough = (100 - threshold) * n >= threshold - (100 - threshold)  # else no other set is similar enough
-    ranked = F.array_sort(F.transform("words", lambda w: F.struct(F.get(counts, _bucket(w)), w.alias("word"))))
-    prefix = F.slice(ranked, F.lit(1), n - _ceil(threshold * n, 100) + 1)
-    return lines.select(
+    ordered = lines.select("doc", "print", "line", F.sort_array(F.transform("words", ranked)).alias("words"))
+    return ordered.select(
         "doc",
         "print",
         "line",
-        F.xxhash64(F.sort_array("words")).alias("id"),
+        F.xxhash64("words").alias("id"),
         n.alias("n"),
-        F.when(long_enough, F.transform(prefix, lambda x: x["word"])).alias("prefix"),
+        F.when(long_enough, F.slice("words", F.lit(1), n - _ceil(threshold * n, 100) + 1)).alias("prefix"),
+        F.when(long_enough, _bitmap(F.col("words"))).alias("bits"),
     )
 
 
 def _pairs(later: DataFrame, earlier: DataFrame, threshold: int) -> DataFrame:
-    """Distinct pairs of sets (id, other) that share a prefix word and pass the length and positional filters."""
+    """Distinct pairs of sets (id, other) that share a prefix word and pass all filters.
+
+    Every word in only one of two sets changes at most one bit of the bitmaps, so the bits that
+    differ bound those words from below and the shared ones from above.
+    """
     a, b = later.alias("a"), earlier.alias("b")
     n, m = F.col("a.n"), F.col("b.n")
     sizes = (100 * F.least(n, m) >= threshold * F.greatest(n, m)) & (F.col("a.id") != F.col("b.id"))
     ahead = F.least(n - F.col("a.place"), m - F.col("b.place"))
     enough = (100 + threshold) * ahead >= threshold * (n + m)
+    apart = F.bit_count(F.col("a.bits").bitwiseXOR(F.col("b.bits")))
+    room = (100 + threshold) * (n + m - apart) >= 2 * threshold * (n + m)
     order = F.col("b.doc") <= F.col("a.doc")
-    met = a.join(b, (F.col("a.word") == F.col("b.word")) & sizes & enough & order)
+    met = a.join(b, (F.col("a.word") == F.col("b.word")) & sizes & enough & room & order)
     return met.select(F.col("a.id").alias("id"), F.col("b.id").alias("other")).distinct()
 
 
 def _similar(pairs: DataFrame, sets: DataFrame, rows: DataFrame, threshold: int) -> DataFrame:
-    """Ids of the sets that have an earlier similar one among their pairs."""
-    needed = pairs.select(F.explode(F.array("id", "other")).alias("id")).distinct()
+    """Ids of the sets that have an earlier similar one among their pairs (id, other)."""
+    order = sets.select("id", "first")
+    pairs = pairs.join(order, "id").withColumnRenamed("first", "own")
+    pairs = pairs.join(order.withColumnRenamed("id", "other"), "other").where("first < own").select("id", "other")
+    pairs = written(pairs, "line-pairs")
+    needed = pairs.select("id").unionByName(pairs.select(F.col("other").alias("id"))).distinct()
     where = needed.join(sets, "id").select("id", "first.doc", "first.print", "first.line")
     wanted = where.groupBy("doc", "print").agg(F.collect_list(F.struct("line", "id")).alias("wanted"))
     bodies = rows.join(wanted, ["doc", "print"])
     bodies = bodies.select(F.split("text", "\n").alias("lines"), F.explode("wanted").alias("at"))
-    made = bodies.select(
-        "at.id", F.transform(_words(F.get("lines", F.col("at.line"))), lambda w: F.xxhash64(w)).alias("words")
-    )
-    made = written(made.dropDuplicates(["id"]).join(sets.select("id", "first"), "id"), "line-words")
-    left = made.select("id", F.col("words").alias("words_a"), F.col("first").alias("first_a"))
-    right = made.select(F.col("id").alias("other"), F.col("words").alias("words_b"), F.col("first").alias("first_b"))
-    both = pairs.join(left, "id").join(right, "other").where("first_b < first_a")
+    bodies = bodies.select("at.id", F.get("lines", F.col("at.line")).alias("body")).dropDuplicates(["id"])
+    made = written(bodies.select("id", _words(F.col("body")).alias("words")), "line-words")
+    left = made.select("id", F.col("words").alias("words_a"))
+    right = made.select(F.col("id").alias("other"), F.col("words").alias("words_b"))
+    both = pairs.join(left, "id").join(right, "other")
     shared = F.size(F.array_intersect("words_a", "words_b"))
     enough = (100 + threshold) * shared >= threshold * (F.size("words_a") + F.size("words_b"))
-    return both.where(enough).select("id").distinct()
+    return written(both.where(enough).select("id").distinct(), "lines-gone")
 
 
 def removed_lines(df: DataFrame, key: str = "doc_id", text: str = "text", threshold: int = THRESHOLD) -> DataFrame:
     """doc, print and `removed`: the numbers (from 0) of the lines to remove from the rows that have any."""
     rows = _identified(df, key, text)
     lines = _lines(rows)
-    table = written(_prefixes(lines, _counts(lines), threshold), "lines")
+    table = written(_prefixes(_lines(rows), _rarities(rows), threshold), "lines")
     first = F.min(F.struct("doc", "print", "line")).alias("first")
-    sets = written(table.groupBy("id").agg(first, F.max("n").alias("n")), "line-sets")
-    firsts = table.where("prefix is not null").join(
-        sets.select("id", F.col("first.doc").alias("doc"), F.col("first.print").alias("print"), F.col("first.line").alias("line")),
-        ["id", "doc", "print", "line"],
-    )
-    entries = firsts.select("id", "doc", "n", F.posexplode("prefix").alias("place", "word"))
+    sets = written(table.groupBy("id").agg(first), "line-sets")
+    at_first = [F.col(f"first.{c}").alias(c) for c in ("doc", "print", "line")]
+    firsts = table.where("prefix is not null").join(sets.select("id", *at_first), ["id", "doc", "print", "line"])
+    entries = firsts.select("id", "doc", "n", "bits", F.posexplode("prefix").alias("place", "word"))
     shared = entries.groupBy("word").agg(F.min("doc").alias("least"), F.count(F.lit(1)).alias("met"))
-    entries = written(entries.join(shared.where("met > 1").drop("met"), "word"), "line-prefixes")
-    nearest = written(_pairs(entries, entries.where("doc = least"), threshold), "line-pairs")
-    gone = written(_similar(nearest, sets, rows, threshold), "lines-gone")
-    left = entries.join(gone, "id", "left_anti")
-    others = written(_pairs(left, entries.where("doc > least"), threshold), "more-line-pairs")
+    entries = written(entries.join(shared.where("met > 1"), "word"), "line-prefixes")
+    rare, common = entries.where(F.col("met") <= FEW), entries.where(F.col("met") > FEW)
+    nearest = _pairs(common, common.where("doc = least"), threshold)
+    gone = _similar(nearest, sets, rows, threshold)
+    others = _pairs(common.join(gone, "id", "left_anti"), common.where("doc > least"), threshold)
+    others = others.unionByName(_pairs(rare, rare, threshold)).distinct()
     gone = gone.unionByName(_similar(others, sets, rows, threshold)).distinct().withColumn("gone", F.lit(True))
     judged = table.join(sets.select("id", "first"), "id").join(gone, "id", "left")
     again = F.col("first") != F.struct("doc", "print", "line")
     lost = judged.where(again | F.col("gone")).select("doc", "print", "line").distinct()
-    return lost.groupBy("doc", "print").agg(F.collect_list("line").alias("removed"))
+    return written(lost.groupBy("doc", "print").agg(F.collect_list("line").alias("removed")), "lines-removed")
 
 
 def deduplicated(df: DataFrame, key: str = "doc_id", text: str = "text", threshold: int = THRESHOLD) -> DataFrame:
     """The rows of `df`, as struct `row`, with `kept` (the text without its removed lines), n_lines, n_removed."""
     removed = removed_lines(df, key, text, threshold)
-    rows = df.select(F.struct("*").alias("row"), F.col(text).alias("body"))
+    rows, body = df.select(F.struct("*").alias("row")), F.col("row")[text]
     doc = F.coalesce(F.col("row")[key].cast("bigint"), F.lit(-(1 << 63)))
-    rows = rows.withColumn("doc", doc).withColumn("print", F.xxhash64("body"))
-    joined = rows.join(removed, ["doc", "print"], "left").withColumn("lines", F.split("body", "\n"))
+    rows = rows.withColumn("doc", doc).withColumn("print", F.xxhash64(body))
+    joined = rows.join(removed, ["doc", "print"], "left").withColumn("lines", F.split(body, "\n"))
     stay = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("removed"))
-    kept = F.when(F.col("removed").isNull(), F.col("body")).otherwise(
+    kept = F.when(F.col("removed").isNull(), body).otherwise(
         F.array_join(F.transform(stay, lambda i: F.get("lines", i)), "\n")
     )
     return joined.select(
