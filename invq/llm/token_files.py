@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import chunks, strange_space
-from .common import type_of, written
+from .common import looked_up, type_of, written
 from .pieces import Memory
 from .words import slices, span_keys
 
@@ -170,7 +170,7 @@ def placed(files: DataFrame) -> DataFrame:
     order = Window.partitionBy("part").orderBy("place")
     index = files.select("part", "place", (F.sum("n_tokens").over(order) - F.col("n_tokens")).alias("inside"))
     index = index.join(starts, "part").select("part", "place", (F.col("part_start") + F.col("inside")).alias("start"))
-    return files.join(index, ["part", "place"])
+    return looked_up(files, written(index, "token-starts"), ["part", "place"])
 
 
 def read(files: DataFrame, key: str = "doc_id") -> DataFrame:
