@@ -20,6 +20,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.skew import hot_join
 from .common import written
 
 SHARDS = 40
@@ -113,7 +114,7 @@ def sharded(df: DataFrame, n_shards: int = SHARDS, key: str = "doc_id", text: st
     sets = narrow.groupBy("same").agg(F.count(F.lit(1)).alias("copies"))
     parts = F.ceil(F.col("copies") / part_rows)
     part = F.when(parts > 1, F.pmod(F.xxhash64("key"), parts)).otherwise(F.lit(0))
-    placed = narrow.join(sets, "same").select(
+    placed = hot_join(narrow, sets, ["same"], counts=sets.withColumnRenamed("copies", "n")).select(
         "key",
         "size",
         "text_crc32",

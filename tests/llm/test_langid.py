@@ -64,7 +64,7 @@ def test_edges(spark, model):
     rows = L.predicted(cases.odd(spark), model).collect()
     assert len(rows) == len(cases.ROWS)
     for r in rows:
-        und = r.doc_id in (3, 4, 5)
+        und = r.doc_id in (3, 4, 5, 9)
         assert (r.lang_pred == "und") == und and (r.score == 0.0) == und
     digits = L.predicted(cases.table(spark, [(1, "12 34 !!"), (2, "_ 5")]), model).collect()
     assert {(r.lang_pred, r.score) for r in digits} == {("und", 0.0)}
