@@ -46,6 +46,36 @@ def test_a_third_of_all_documents_alike(spark):
     assert max(inside.values()) <= 300
 
 
+def shards_of_sets(spark, pairs, n_shards):
+    rows = S.sharded(cases.table(spark, pairs), n_shards).collect()
+    lawful(rows, pairs, n_shards)
+    text, of = dict(pairs), defaultdict(set)
+    for r in rows:
+        of[text[r.doc_id]].add(r.shard)
+    return of
+
+
+def test_sets_of_a_small_table_stay_whole(spark):
+    pairs = [(i, f"set {i // 4}" if i < 40 else f"single {i}") for i in range(200)]
+    of = shards_of_sets(spark, pairs, 40)
+    assert all(len(of[f"set {g}"]) == 1 for g in range(10))
+
+
+def test_sets_from_a_hundredth_of_a_shard_to_a_shard_stay_whole(spark):
+    copies = [4, 4, 10, 20, 40, 49, 50, 51, 60, 100, 200, 300, 390, 400]
+    pairs = [(g * 1000 + i, f"set {g}") for g, n in enumerate(copies) for i in range(n)]
+    pairs += [(100_000 + i, f"single {i}") for i in range(4000 - len(pairs))]
+    of = shards_of_sets(spark, pairs, 10)
+    assert all(len(of[f"set {g}"]) == 1 for g in range(len(copies)))
+
+
+def test_a_set_larger_than_a_shard_fills_neighbours(spark):
+    pairs = [(i, "the same" if i < 950 else f"set {i // 50}") for i in range(4000)]
+    of = shards_of_sets(spark, pairs, 10)
+    assert len(of["the same"]) == 3 and max(of["the same"]) - min(of["the same"]) == 2
+    assert sum(len(s) > 1 for t, s in of.items() if t != "the same") <= 9
+
+
 def test_quotas_hold_capacity():
     rng = np.random.default_rng(2)
     wishes = rng.integers(0, 50, (8, 8)).astype(float)
