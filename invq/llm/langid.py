@@ -5,6 +5,11 @@ it often enough, itself. Learned transitions tie neighbouring words; forward-bac
 the probability of each language in its context, so stretches in another language stand out. A
 text's language is the one with most words by expectation, its score that language's share.
 
+Words are cut at ASCII white space. A run in a script that is written without spaces (Chinese, Japanese, Thai and
+others), or of over `LONG` characters, is cut further into units of `UNIT` characters that overlap by two, so
+that every character and n-gram of it takes part; units stand in the chain as words do, and the word gets the
+language that its units have by expectation.
+
 Training reads a bounded sample: at most `TRAIN_DOCS` texts a language of at most `TRAIN_CHARS`
 characters, chosen by a hash of the key. Their words are joined into chains that switch between
 texts, so that transitions are learned from code-switched examples. Prediction reads whole texts.
@@ -15,6 +20,7 @@ learned; a tie goes to the alphabetically first language; words without letters
 
 from __future__ import annotations
 
+import itertools
 import re
 import zlib
 from collections.abc import Iterable, Iterator
@@ -26,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import type_of
-from .words import slices, words
+from .words import Texts, Words, slices, span_keys, words
 
 TRAIN_DOCS, TRAIN_CHARS = 120, 8_000
 #: Words of a chain; longer texts are consecutive chains.
@@ -37,8 +43,41 @@ BUCKETS = 1 << 16
 LEXICON_COUNT = 3
 STEPS, RATE, RIDGE = 40, 0.3, 1e-4
 
+#: Characters of a unit, beside the two it shares with the next, and of the longest run that is one word.
+UNIT, LONG = 6, 64
+
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
-_N_FEATURES = 24
+#: Blocks of 64 code points in scripts without spaces: Thai to Tibetan, Myanmar, Khmer, kana, Han and its
+#: compatibility forms, half-width kana. Han beyond the first plane begins with four other bytes.
+_UNSPACED = np.zeros(1024, bool)
+for _a, _b in ((0xE00, 0x1000), (0x1000, 0x10A0), (0x1780, 0x1800), (0x3040, 0x3100), (0x31C0, 0xA000), (0xF900, 0xFB00), (0xFF40, 0xFFA0)):
+    _UNSPACED[_a >> 6 : -(-_b >> 6)] = True
+
+
+def units(texts: Texts) -> tuple[Words, np.ndarray]:
+    """The words of the texts, long and unspaced ones as overlapping units, and which word each is of."""
+    found, data = words(texts), texts.data
+    if not len(found.key) or data.max() < 0xE0 and (found.end - found.start).max() <= LONG:
+        return found, np.arange(len(found.key))
+    begins = np.append((data & 0xC0) != 0x80, np.ones(1, bool))
+    upto = np.concatenate(([0], np.cumsum(begins[:-1])))  # characters that begin before each byte
+    n = upto[found.end] - upto[found.start]
+    second = np.append(data[1:], 0)
+    block = (data & 0xF).astype(np.int64) << 6 | second & 0x3F
+    unspaced = ((data >> 4) == 0xE) & _UNSPACED[block] | (data == 0xF0) & (second >= 0xA0)
+    total = np.concatenate(([0], np.cumsum(unspaced)))
+    cut = (n > LONG) | (n > UNIT + 2) & (total[found.end] > total[found.start])
+    if not cut.any():
+        return found, np.arange(len(n))
+    pieces = np.where(cut, np.maximum(1, -(-(n - 2) // UNIT)), 1)
+    word = np.repeat(np.arange(len(n)), pieces)
+    nth = np.arange(len(word)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+    at = np.flatnonzero(begins)
+    first = upto[found.start][word] + nth * UNIT
+    last = nth == pieces[word] - 1
+    start = at[first]
+    end = np.where(last, found.end[word], at[np.minimum(first + UNIT + 2, len(at) - 1)])
+    return Words(found.row[word], start, end, span_keys(data, start, end)), word
 
 
 def letters(word: str) -> str:
@@ -46,18 +85,26 @@ def letters(word: str) -> str:
 
 
 def features(word: str, lexicon: frozenset[str]) -> list[int]:
-    """Buckets of a word's features; of a long word the n-grams near its ends, as many as fit."""
+    """Buckets of a word's features, all its n-grams among them."""
     marked = f"^{word}$"
     found = [f"p{word[:i]}" for i in (1, 2, 3)] + [f"s{word[-i:]}" for i in (1, 2, 3)]
     grams = [f"g{marked[i : i + n]}" for n in (2, 3) for i in range(len(marked) - n + 1)]
-    room = _N_FEATURES - len(found) - 1
-    if len(grams) > room:
-        grams = grams[: room // 2] + grams[-(room - room // 2) :]
     if word in lexicon:
         found.append(f"w{word}")
     return [1 + zlib.crc32(x.encode()) % (BUCKETS - 1) for x in found + grams]
 
 
+def ragged(found: list[str], lexicon: frozenset[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of all words' features, one after the other, and where each word's begin.
+
+    A word without letters has bucket 0 alone, which weighs nothing.
+    """
+    lists = [features(word, lexicon) if word else [0] for word in found]
+    sizes = np.fromiter(map(len, lists), np.int64, len(lists))
+    index = np.fromiter(itertools.chain.from_iterable(lists), np.int64, int(sizes.sum()))
+    return index, np.cumsum(sizes) - sizes
+
+
 class Model(NamedTuple):
     """Languages, one weight a bucket and language, transition scores and the lexicon."""
 
@@ -68,12 +115,10 @@ class Model(NamedTuple):
 
     def emissions(self, found: list[str]) -> np.ndarray:
         """Score of each language for each word; words without letters are neutral."""
-        index = np.zeros((len(found), _N_FEATURES), np.int32)
-        for i, word in enumerate(found):
-            if word:
-                buckets = features(word, self.lexicon)
-                index[i, : len(buckets)] = buckets
-        return self.weights[index].sum(1)
+        if not found:
+            return np.zeros((0, len(self.langs)), np.float32)
+        index, first = ragged(found, self.lexicon)
+        return np.add.reduceat(self.weights[index], first, axis=0)
 
 
 def forward_backward(scores: np.ndarray, real: np.ndarray, transitions: np.ndarray):
@@ -106,10 +151,17 @@ def forward_backward(scores: np.ndarray, real: np.ndarray, transitions: np.ndarr
     return marginals, pairs * step
 
 
+def spelled(text: str) -> list[str]:
+    """The units of one text."""
+    raw = text.encode()
+    found, _ = units(Texts(0, np.frombuffer(raw, np.uint8), np.array([0, len(raw)])))
+    return [raw[a:b].decode() for a, b in zip(found.start.tolist(), found.end.tolist(), strict=True)]
+
+
 def train(texts: list[tuple[str, str]], seed: int = 7) -> Model:
     """A model from (language, text) pairs, by gradient steps on the chains' likelihood."""
     langs = sorted({lang for lang, _ in texts})
-    told = [(langs.index(lang), [w for w in map(letters, text.split()) if w]) for lang, text in texts]
+    told = [(langs.index(lang), [w for w in map(letters, spelled(text)) if w]) for lang, text in texts]
     rng = np.random.default_rng(seed)
     stretches = [
         (lang, found[i : i + STRETCH]) for lang, found in told for i in range(0, len(found), STRETCH)
@@ -125,10 +177,8 @@ def train(texts: list[tuple[str, str]], seed: int = 7) -> Model:
         return Model([], np.zeros((BUCKETS, 0)), np.zeros((0, 0)), lexicon)
     distinct = list(counts)
     place = {word: i for i, word in enumerate(distinct)}
-    index = np.zeros((len(distinct), _N_FEATURES), np.int64)
-    for i, word in enumerate(distinct):
-        buckets = features(word, lexicon)
-        index[i, : len(buckets)] = buckets
+    index, first = ragged(distinct, lexicon)
+    sizes = np.diff(np.append(first, len(index)))
     n = -(-len(flat) // CHAIN)
     word_at, lang_at = np.zeros(n * CHAIN, np.int64), np.zeros(n * CHAIN, np.int64)
     word_at[: len(flat)] = [place[word] for word, _ in flat]
@@ -144,14 +194,12 @@ def train(texts: list[tuple[str, str]], seed: int = 7) -> Model:
     square_w, square_t = np.full_like(weights, 1e-8), np.full_like(transitions, 1e-8)
     used = real.reshape(-1)
     for _ in range(STEPS):
-        scores = weights[index].sum(1)[word_at]
+        scores = np.add.reduceat(weights[index], first, axis=0)[word_at]
         marginals, pairs = forward_backward(scores, real, transitions)
         wrong = ((truth - marginals) / len(flat)).reshape(-1, k)[used]
         by_word = np.stack([np.bincount(word_at.reshape(-1)[used], wrong[:, j], len(distinct)) for j in range(k)], 1)
-        flat_index = index.reshape(-1)
-        spread = np.repeat(by_word, _N_FEATURES, axis=0)
-        gradient = np.stack([np.bincount(flat_index, spread[:, j], BUCKETS) for j in range(k)], 1)
-        gradient[0] = 0  # bucket 0 pads words with fewer features
+        spread = np.repeat(by_word, sizes, axis=0)
+        gradient = np.stack([np.bincount(index, spread[:, j], BUCKETS) for j in range(k)], 1)
         gradient -= RIDGE * weights / len(distinct)
         change = (seen - pairs) / len(flat) - RIDGE * transitions
         square_w += gradient**2
@@ -246,7 +294,7 @@ def predicted(df: DataFrame, model: Model, key: str = "doc_id", text: str = "tex
             for texts in slices(batch.column(1)):
                 pred, score = np.full(texts.n, len(langs) - 1), np.zeros(texts.n)
                 spans: list[list] = [[] for _ in range(texts.n)]
-                found = words(texts)
+                found, word = units(texts)
                 if len(found.key) and model.langs:
                     scores, spoken = memory.lookup(found, texts.data)
                     marginals = chain_marginals(found.row, scores, model)
@@ -256,8 +304,10 @@ def predicted(df: DataFrame, model: Model, key: str = "doc_id", text: str = "tex
                     best = sums.argmax(1)
                     pred = np.where(n > 0, best, pred)
                     score = np.where(n > 0, np.clip(sums.max(1) / np.maximum(n, 1), 0, 1), 0.0)
-                    at_first = np.searchsorted(found.row, np.arange(texts.n))
-                    _fill(spans, found.row, marginals.argmax(1), at_first, langs)
+                    begin = np.flatnonzero(np.diff(word, prepend=-1))
+                    row, by_word = found.row[begin], np.add.reduceat(marginals, begin, axis=0)
+                    at_first = np.searchsorted(row, np.arange(texts.n))
+                    _fill(spans, row, by_word.argmax(1), at_first, langs)
                 columns = [
                     batch.column(0).slice(texts.first, texts.n),
                     pa.array(langs[pred].tolist(), pa.string()),

@@ -79,3 +79,35 @@ def test_sample_is_bounded_and_leaves_the_key_out(spark, monkeypatch):
     texts = L.sample(docs)
     assert len(texts) <= 5 * 4 and {lang for lang, _ in texts} == {"de", "en", "es", "fr"}
     assert all(len(text) <= L.TRAIN_CHARS for _, text in texts)
+
+
+def test_all_ngrams_of_a_word_are_features():
+    word = "donaudampfschifffahrt"
+    have = set(L.features(word, frozenset()))
+    grams = [f"^{word}$"[i : i + n] for n in (2, 3) for i in range(len(word) + 3 - n)]
+    assert all(1 + zlib.crc32(f"g{g}".encode()) % (L.BUCKETS - 1) in have for g in grams)
+
+
+def test_runs_without_spaces_are_cut_into_overlapping_units():
+    for run in ("今天天气很好我们一起去公园散步吧", "วันนี้อากาศดีมากเราไปเดินเล่นกัน", "𠀀𠀁𠀂𠀃𠀄𠀅𠀆𠀇𠀈𠀉", "abc" * 100):
+        pieces = L.spelled(f"some {run} words")
+        assert pieces[0] == "some" and pieces[-1] == "words" and max(map(len, pieces)) <= L.UNIT + 2
+        assert "".join(p[2:] if i else p for i, p in enumerate(pieces[1:-1])) == run
+    assert L.spelled("Rindfleischetikettierungsgesetz हिन्दुस्तानियों 한국어문장입니다요") == [
+        "Rindfleischetikettierungsgesetz", "हिन्दुस्तानियों", "한국어문장입니다요"
+    ]
+
+
+def test_the_middle_of_a_run_without_spaces_decides(spark):
+    rng = np.random.default_rng(3)
+    letters = {"aa": "今天气很好我们一起去公园散步", "bb": "あいうえおかきくけこさしすせそ"}
+
+    def run(lang, n):
+        return "".join(rng.choice(list(letters[lang]), n))
+
+    model = L.train([(lang, run(lang, 200)) for lang in letters for _ in range(20)])
+    edge = run("bb", 12)
+    pairs = [(1, edge + run("aa", 120) + edge), (2, run("aa", 5)), (3, f"{run('bb', 60)} {run('aa', 60)}")]
+    got = {r.doc_id: r for r in L.predicted(cases.table(spark, pairs), model).collect()}
+    assert got[1].lang_pred == "aa" and got[2].lang_pred == "aa" and 0.7 < got[1].score < 0.95
+    assert [(s.first, s.n, s.lang) for s in got[3].spans] == [(0, 1, "bb"), (1, 1, "aa")]
