@@ -1,12 +1,14 @@
 """Personal data: fixed forms first, then bootstrapped contextual extraction.
 
 The fixed forms (email, ip, card, phone) are the seeds. Every seed and every other identifier-like token
-(digits or an at sign in it, outside the seeds) stands in a context; two words before, one on each side
+(two digits or an at sign in it, outside the seeds, of any length) stands in a context, and so does every
+longest run of neighbouring groups of digits (joined by spaces, dots, dashes or brackets); two words before, one on each side
 and two after make its lexical patterns. Spark scores the graph of patterns and instances in rounds: a
 pattern is as good as the share of its instances that are known or likely to be of a kind, an
 instance as likely as its good patterns are together, and only what a good pattern points at counts for other
 patterns in the next round, so doubtful contexts do not prop each other up. Patterns must have been
-seen with `MIN_SEEDS` different seeds; tokens that a good one points at become spans of that kind.
+seen with `MIN_SEEDS` different seeds; what a good one points at becomes a span of that kind, and if a run of
+groups does, its single groups do not.
 
 Defined results: a null text is empty; spans are code points, end exclusive; fixed spans always stay;
 rows equal in key and text get the same spans; a token that patterns of two kinds point at gets the
@@ -16,12 +18,13 @@ likelier kind, the first listed in a tie.
 from __future__ import annotations
 
 import re
+import sys
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import type_of, written
@@ -38,7 +41,11 @@ _IP = re.compile(r"(?<![0-9])[0-9]++(\.[0-9]++)(\.[0-9]++)(\.[0-9]++)")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _TOKEN = re.compile(r"\S+")
+#: An at sign or a digit of any script, as str.isdigit has it.
+_MARKED = re.compile(f"[@{''.join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isdigit())}]")
 _EDGE = ".,;:!?()[]{}<>\"'"
+#: What may stand between the groups of one number, beside spaces.
+_JOINTS = frozenset(".-()[]")
 
 
 def emails(text: str) -> Iterator[tuple[int, int]]:
@@ -84,11 +91,54 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def _like_identifier(token: str) -> bool:
-    return 5 <= len(token) <= 64 and ("@" in token or sum(map(str.isdigit, token)) >= 2)
+    return "@" in token or sum(map(str.isdigit, token)) >= 2
+
+
+def _named(text: str, limit: int) -> str:
+    """The text in lower case, of a longer one than the limit its beginning and a hash of all."""
+    text = text.lower()
+    return text if len(text) <= limit else f"{text[:limit]}\u0001{xxhash.xxh3_64_hexdigest(text.encode())}"
+
+
+def _joined(text: str, tokens: list[tuple[int, int]], taken: np.ndarray, i: int, j: int) -> bool:
+    """Whether nothing but spaces and joints stands between the digits of token i and those of token j."""
+    tail, head = text[slice(*tokens[i])], text[slice(*tokens[j])]
+    if not _JOINTS.issuperset(tail[len(tail.rstrip(_EDGE)) :] + head[: len(head) - len(head.lstrip(_EDGE))]):
+        return False
+    for k in range(i + 1, j + 1):
+        if text[tokens[k - 1][1] : tokens[k][0]].strip("\x20") or taken[k]:
+            return False
+        if k < j and not _JOINTS.issuperset(text[slice(*tokens[k])]):
+            return False
+    return True
+
+
+def _grouped(
+    text: str, tokens: list[tuple[int, int]], taken: np.ndarray, marked: list[int]
+) -> Iterator[tuple[int, int]]:
+    """First and last token of each longest run of at least two neighbouring groups of digits.
+
+    `marked` are the tokens with a digit or an at sign; a plus may stand before a run.
+    """
+    first = last = -1
+    for i in marked:
+        core = text[slice(*tokens[i])].strip(_EDGE)
+        group = not taken[i] and all(c in _JOINTS or c.isdigit() for c in core.removeprefix("+"))
+        if first >= 0 and group and not core.startswith("+") and _joined(text, tokens, taken, last, i):
+            last = i
+            continue
+        if last > first:
+            yield first, last
+        first = last = i if group else -1
+    if last > first:
+        yield first, last
 
 
 def occurrences(text: str, seeds: list[tuple[int, int, int]]) -> list[dict]:
-    """Seeds and other identifier-like tokens, each with the two words on either side."""
+    """Seeds, other identifier-like tokens and runs of digit groups, each with the two words on either side.
+
+    `run` is where the run begins that a token is in, `whole` is false for tokens that are part of one.
+    """
     tokens = [m.span() for m in _TOKEN.finditer(text)]
     begins, ends = np.array([a for a, _ in tokens]), np.array([b for _, b in tokens])
     taken = np.zeros(len(tokens), bool)
@@ -96,31 +146,45 @@ def occurrences(text: str, seeds: list[tuple[int, int, int]]) -> list[dict]:
     for kind, a, b in seeds:
         first, last = int(np.searchsorted(ends, a, "right")), int(np.searchsorted(begins, b))
         taken[first:last] = True
-        places.append((kind, a, b, first, last))
-    for i, (a, b) in enumerate(tokens):
+        places.append((kind, a, b, first, last, a, True))
+
+    def core(i: int) -> tuple[int, int]:
+        a, b = tokens[i]
+        token = text[a:b]
+        a += len(token) - len(token.lstrip(_EDGE))
+        return a, a + len(token.strip(_EDGE))
+
+    marks = np.array([m.start() for m in _MARKED.finditer(text)], np.int64)
+    marked = np.unique(np.searchsorted(begins, marks, "right") - 1).tolist()
+    run_of = {}
+    for first, last in _grouped(text, tokens, taken, marked):
+        a, b = core(first)[0], core(last)[1]
+        places.append((-1, a, b, first, last + 1, a, True))
+        run_of |= dict.fromkeys(range(first, last + 1), a)
+    for i in marked:
         if not taken[i]:
-            token = text[a:b]
-            a += len(token) - len(token.lstrip(_EDGE))
-            token = token.strip(_EDGE)
-            if _like_identifier(token):
-                places.append((-1, a, a + len(token), i, i + 1))
+            a, b = core(i)
+            if _like_identifier(text[a:b]):
+                places.append((-1, a, b, i, i + 1, run_of.get(i, a), i not in run_of))
 
     def word(i: int) -> str:
-        return text[slice(*tokens[i])].strip(_EDGE).lower()[:64] if 0 <= i < len(tokens) else ""
+        return _named(text[slice(*tokens[i])].strip(_EDGE), 64) if 0 <= i < len(tokens) else ""
 
     return [
         {
             "kind": kind,
             "start": a,
             "end": b,
-            "value": text[a:b].lower()[:256],
+            "value": _named(text[a:b], 256),
             "context": [word(first - 2), word(first - 1), word(last), word(last + 1)],
+            "run": run,
+            "whole": whole,
         }
-        for kind, a, b, first, last in places
+        for kind, a, b, first, last, run, whole in places
     ]
 
 
-_PLACE = "struct<kind:int,start:bigint,`end`:bigint,value:string,context:array<string>>"
+_PLACE = "struct<kind:int,start:bigint,`end`:bigint,value:string,context:array<string>,run:bigint,whole:boolean>"
 _PLACE_TYPE = pa.list_(
     pa.struct(
         [
@@ -129,6 +193,8 @@ _PLACE_TYPE = pa.list_(
             ("end", pa.int64()),
             ("value", pa.string()),
             ("context", pa.list_(pa.string())),
+            ("run", pa.int64()),
+            ("whole", pa.bool_()),
         ]
     )
 )
@@ -179,9 +245,9 @@ def _patterns() -> Column:
 
 
 def discovered(scan: DataFrame, min_seeds: int = MIN_SEEDS, min_score: float = MIN_SCORE) -> DataFrame:
-    """Key, print, kind, start and end of tokens that good patterns point at."""
+    """Key, print, kind, start and end of tokens and runs that good patterns point at."""
     places = scan.select("key", "print", F.explode("places").alias("p")).select("key", "print", "p.*")
-    met = places.select("key", "print", "kind", "start", "end", "value", F.explode(_patterns()).alias("pattern"))
+    met = places.select("key", "print", "kind", "start", "end", "run", "whole", "value", F.explode(_patterns()).alias("pattern"))
     edges = met.select("pattern", "value", "kind").distinct()
     seeds = edges.where("kind >= 0")
     able = seeds.groupBy("pattern", "kind").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_seeds)
@@ -205,7 +271,10 @@ def discovered(scan: DataFrame, min_seeds: int = MIN_SEEDS, min_score: float = M
     good = good.select("pattern", F.col("kind").alias("of"))
     sure = instances.select("value", F.col("kind").alias("of"), "score")
     hits = met.where("kind < 0").join(good, "pattern").join(sure, ["value", "of"])
-    return hits.groupBy("key", "print", "start", "end").agg(F.max_by("of", F.struct("score", -F.col("of"))).alias("kind"))
+    likeliest = F.max_by("of", F.struct("score", -F.col("of"))).alias("kind")
+    hits = hits.groupBy("key", "print", "run", "whole", "start", "end").agg(likeliest)
+    as_whole = F.max("whole").over(Window.partitionBy("key", "print", "run"))
+    return hits.withColumn("as_whole", as_whole).where("whole or not as_whole").drop("run", "whole", "as_whole")
 
 
 def spelled(places: Column) -> Column:

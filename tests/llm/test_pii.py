@@ -88,3 +88,29 @@ def test_edges(spark):
     for r in rows:
         assert r.spans == r.base_spans == spelled(brute(texts[r.doc_id]))
     assert pii.found(cases.none(spark)).collect() == []
+
+
+def test_contexts_discover_numbers_in_groups_and_of_any_length(spark):
+    pairs = [(i, f"please dial extension +1 (555) 555-{1000 + i} during office hours") for i in range(60)]
+    odd = ["020 7946 0958", "555 0199", "(020) 7946-0958", "1234 5678 9012 3456", "020 7946 - 0958", "9" * 70, "42"]
+    pairs += [(100 + i, f"please dial extension {x} during office hours") for i, x in enumerate(odd)]
+    pairs += [(200, "parcel number 020 7946 0957 has left the depot")]
+    rows = {r.doc_id: r for r in pii.found(cases.table(spark, pairs)).collect()}
+    for i, x in enumerate(odd):
+        begin = 22 + x.startswith("(")
+        assert rows[100 + i].spans == f"phone:{begin}:{22 + len(x)}" and rows[100 + i].base_spans == "", x
+    assert rows[200].spans == ""
+
+
+def test_runs_of_groups_end_where_the_number_ends():
+    def runs(text):
+        return [text[p["start"] : p["end"]] for p in pii.occurrences(text, pii.base_spans(text)) if " " in text[p["start"] : p["end"]]]
+
+    assert runs("x12 345 678, 90 12; (1) 2") == ["345 678", "90 12", "1) 2"]
+    assert runs("12\n34 a 5 - b 6 \u0663\u0664") == ["6 \u0663\u0664"]
+    assert runs("12 10.0.0.1 34") == []
+
+
+def test_long_values_that_begin_alike_are_different():
+    values = {p["value"] for end in "12" for p in pii.occurrences("7" * 300 + end, [])}
+    assert len(values) == 2
