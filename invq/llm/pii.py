@@ -7,7 +7,8 @@ and two after make its lexical patterns. Spark scores the graph of patterns and
 pattern is as good as the share of its instances that are known or likely to be of a kind, an
 instance as likely as its good patterns are together, and only what a good pattern points at counts for other
 patterns in the next round, so doubtful contexts do not prop each other up. Patterns must have been
-seen with `MIN_SEEDS` different seeds; what a good one points at becomes a span of that kind, and if a run of
+seen with `MIN_SEEDS` different seeds, and as the score counts one value more than were seen, `MIN_SCORE` asks for
+four where all values are seeds and for eight where one is not; what a good one points at becomes a span of that kind, and if a run of
 groups does, its single groups do not.
 
 Defined results: a null text is empty; spans are code points, end exclusive; fixed spans always stay;
@@ -199,11 +200,11 @@ _PLACE_TYPE = pa.list_(
     )
 )
 _MARK = np.zeros(256, bool)
-_MARK[[*range(0x30, 0x3A), ord("@")]] = True
+_MARK[[*range(0x30, 0x3A), ord("@"), *range(0x80, 0x100)]] = True  # beyond ASCII there may be digits too
 
 
 def _scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Only texts with a digit or an at sign are decoded; nothing that counts can be in the others."""
+    """Texts without a digit of any script and without an at sign are passed over; nothing that counts is in them."""
     for batch in batches:
         key, column = batch.column(0), batch.column(1)
         for texts in slices(column):
@@ -213,8 +214,8 @@ def _scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for i, look in enumerate(maybe.tolist()):
                 raw = texts.data[texts.bounds[i] : texts.bounds[i + 1]]
                 prints.append(xxhash.xxh3_64_intdigest(raw.tobytes()) - (1 << 63) if look else 0)
-                if look:
-                    text = raw.tobytes().decode()
+                text = raw.tobytes().decode() if look else ""
+                if _MARKED.search(text):
                     places.append(occurrences(text, base_spans(text)))
                 else:
                     places.append([])

@@ -114,3 +114,10 @@ def test_runs_of_groups_end_where_the_number_ends():
 def test_long_values_that_begin_alike_are_different():
     values = {p["value"] for end in "12" for p in pii.occurrences("7" * 300 + end, [])}
     assert len(values) == 2
+
+
+def test_digits_of_other_scripts_need_no_ascii_digit(spark):
+    pairs = [(i, f"please dial extension +1 (555) 555-{1000 + i} during office hours") for i in range(12)]
+    pairs.append((50, "please dial extension \u0665\u0665\u0665-\u0660\u0661\u0669\u0669 during office hours"))
+    rows = {r.doc_id: r for r in pii.found(cases.table(spark, pairs)).collect()}
+    assert rows[50].spans == "phone:22:30" and rows[50].base_spans == ""
