@@ -10,8 +10,8 @@ others), or of over `LONG` characters, is cut further into units of `UNIT` chara
 that every character and n-gram of it takes part; units stand in the chain as words do, and the word gets the
 language that its units have by expectation.
 
-Training reads a bounded sample: at most `TRAIN_DOCS` texts a language of at most `TRAIN_CHARS`
-characters, chosen by a hash of the key. Their words are joined into chains that switch between
+Training reads a bounded sample: at most `TRAIN_DOCS` different rows a language, chosen by a hash of key and text
+from rows of any length, and of each at most `TRAIN_CHARS` characters. Their words are joined into chains that switch between
 texts, so that transitions are learned from code-switched examples. Prediction reads whole texts.
 
 Defined results: `und` and score 0 for null texts and texts without a letter, or when nothing could be
@@ -28,14 +28,14 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import type_of
 from .words import Texts, Words, slices, span_keys, words
 
 TRAIN_DOCS, TRAIN_CHARS = 120, 8_000
-#: Words of a chain; longer texts are consecutive chains.
+#: Words of a chain; longer texts are consecutive chains, and messages pass between them.
 CHAIN = 64
 #: Words that stay in one text while a training chain is joined.
 STRETCH = 16
@@ -121,17 +121,19 @@ class Model(NamedTuple):
         return np.add.reduceat(self.weights[index], first, axis=0)
 
 
-def forward_backward(scores: np.ndarray, real: np.ndarray, transitions: np.ndarray):
-    """Marginals (chain, place, language) and expected transitions.
+def forward_backward(scores: np.ndarray, real: np.ndarray, transitions: np.ndarray, before=None, after=None):
+    """Marginals (chain, place, language) and expected transitions within chains.
 
-    scores: (chain, place, language); real: (chain, place) flags, true up to a chain's end.
+    scores: (chain, place, language); real: (chain, place) flags, true up to a chain's end. `before` and `after`
+    (chain, language) are the messages to the first word and to the last, from what is around the chain.
     """
     n, length, k = scores.shape
     step = np.exp(transitions)
     top = scores.max(2, keepdims=True)
     local = np.exp(scores - top)
     forward, scale = np.zeros_like(local), np.ones((n, length))
-    now = np.full((n, k), 1.0 / k)
+    now = np.full((n, k), 1.0 / k) if before is None else before
+    end = np.ones((n, k)) if after is None else after
     for t in range(length):
         new = (now if t == 0 else now @ step) * local[:, t]
         total = new.sum(1)
@@ -140,10 +142,13 @@ def forward_backward(scores: np.ndarray, real: np.ndarray, transitions: np.ndarr
         scale[:, t] = np.where(real[:, t], total, 1.0)
         forward[:, t] = now
     backward = np.ones_like(local)
+    backward[:, -1] = end
     for t in range(length - 2, -1, -1):
         ahead = (backward[:, t + 1] * local[:, t + 1]) @ step.T / scale[:, t + 1, None]
-        backward[:, t] = np.where(real[:, t + 1, None], ahead, 1.0)
+        backward[:, t] = np.where(real[:, t + 1, None], ahead, end)
     marginals = forward * backward * real[:, :, None]
+    if after is not None:
+        marginals /= np.maximum(marginals.sum(2, keepdims=True), 1e-300)
     pairs = np.zeros((k, k))
     for t in range(length - 1):
         right = backward[:, t + 1] * local[:, t + 1] / scale[:, t + 1, None] * real[:, t + 1, None]
@@ -151,6 +156,19 @@ def forward_backward(scores: np.ndarray, real: np.ndarray, transitions: np.ndarr
     return marginals, pairs * step
 
 
+def transfers(scores: np.ndarray, real: np.ndarray, transitions: np.ndarray) -> np.ndarray:
+    """For each chain the matrix from the message to its first word to the one from its last, but for a factor."""
+    step = np.exp(transitions)
+    local = np.exp(scores - scores.max(2, keepdims=True))
+    out = local[:, 0, :, None] * np.eye(len(step))
+    for t in range(1, scores.shape[1]):
+        new = (out @ step) * local[:, t, None, :]
+        out = new if real[:, t].all() else np.where(real[:, t, None, None], new, out)
+        if t % 8 == 0:
+            out /= out.max((1, 2), keepdims=True)
+    return out
+
+
 def spelled(text: str) -> list[str]:
     """The units of one text."""
     raw = text.encode()
@@ -213,17 +231,11 @@ def sample(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "
     """The training texts: rows with a text and a language, chosen by a hash of the key."""
     rows = df.select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"))
     rows = rows.where("text is not null and lang is not null")
-    rows = rows.withColumn("short", F.char_length("text") <= TRAIN_CHARS)
-    rows = rows.withColumn("draw", F.pmod(F.xxhash64("key", "text"), F.lit(1_000_003)))
-    counts = rows.where("short").groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
-    share = F.lit(1_000_003 * 2.0 * TRAIN_DOCS) / F.col("n")
-    chosen = rows.where("short").join(counts, "lang").where(F.col("draw") < share)
-    taken: dict[str, list] = {}
-    for row in sorted(chosen.select("lang", "draw", "text").collect()):
-        taken.setdefault(row.lang, [])
-        if len(taken[row.lang]) < TRAIN_DOCS:
-            taken[row.lang].append((row.lang, row.text))
-    return [pair for pairs in taken.values() for pair in pairs]
+    rows = rows.select("lang", F.xxhash64("key", "text").alias("draw"), F.substring("text", 1, TRAIN_CHARS).alias("text"))
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy("draw"))
+    drawn = rows.select("lang", "draw").distinct().withColumn("nth", nth).where(F.col("nth") <= TRAIN_DOCS).drop("nth")
+    chosen = rows.join(F.broadcast(drawn), ["lang", "draw"]).groupBy("lang", "draw").agg(F.min("text").alias("text"))
+    return [(row.lang, row.text) for row in sorted(chosen.collect())]
 
 
 class Memory:
@@ -262,23 +274,49 @@ class Memory:
 
 
 def chain_marginals(row: np.ndarray, scores: np.ndarray, model: Model) -> np.ndarray:
-    """Each word's probabilities, from chains of at most CHAIN words of one text."""
+    """Each word's probabilities in its whole text, worked out in chains of at most CHAIN words."""
     out = np.zeros(scores.shape, np.float64)
     place = np.arange(len(row)) - np.searchsorted(row, row)
     at = np.flatnonzero(place % CHAIN == 0)
     size = np.diff(np.append(at, len(row)))
+    groups = []
     for short in (8, 16, 32, CHAIN):  # chains of like length together
         mine = np.flatnonzero((size <= short) & (size > short // 2 if short > 8 else size <= 8))
-        if not len(mine):
-            continue
-        index = at[mine][:, None] + np.arange(short)
-        real = np.arange(short) < size[mine][:, None]
-        index = np.where(real, index, 0)
-        marginals, _ = forward_backward(scores[index].astype(np.float64), real, model.transitions)
+        if len(mine):
+            index = at[mine][:, None] + np.arange(short)
+            real = np.arange(short) < size[mine][:, None]
+            groups.append((mine, np.where(real, index, 0), real))
+    before, after = _messages(row[at], groups, scores, model.transitions)
+    for mine, index, real in groups:
+        around = before[mine], after[mine]
+        marginals, _ = forward_backward(scores[index].astype(np.float64), real, model.transitions, *around)
         out[index[real]] = marginals[real]
     return out
 
 
+def _messages(text: np.ndarray, groups: list, scores: np.ndarray, transitions: np.ndarray):
+    """What each chain (of the texts `text`) is told by the chains before and after it in its text."""
+    n, k = len(text), scores.shape[1]
+    before, after = np.full((n, k), 1.0 / k), np.ones((n, k))
+    nth = np.arange(n) - np.searchsorted(text, text)
+    several = np.searchsorted(text, text, "right") - np.searchsorted(text, text) > 1
+    if not several.any():
+        return before, after
+    step, through = np.exp(transitions), np.zeros((n, k, k))
+    for mine, index, real in groups:
+        of = several[mine]
+        if of.any():
+            through[mine[of]] = transfers(scores[index[of]].astype(np.float64), real[of], transitions)
+    later = np.split(np.argsort(nth, kind="stable"), np.cumsum(np.bincount(nth))[:-1])[1:]
+    for c in later:
+        told = (before[c - 1, None] @ through[c - 1])[:, 0] @ step
+        before[c] = told / told.sum(1, keepdims=True)
+    for c in reversed(later):
+        told = (through[c] @ after[c][:, :, None])[:, :, 0] @ step.T
+        after[c - 1] = told / told.max(1, keepdims=True)
+    return before, after
+
+
 _SPANS = "array<struct<first:int,n:int,lang:string>>"
 _SPAN_TYPE = pa.list_(pa.struct([("first", pa.int32()), ("n", pa.int32()), ("lang", pa.string())]))
 

@@ -111,3 +111,30 @@ def test_the_middle_of_a_run_without_spaces_decides(spark):
     got = {r.doc_id: r for r in L.predicted(cases.table(spark, pairs), model).collect()}
     assert got[1].lang_pred == "aa" and got[2].lang_pred == "aa" and 0.7 < got[1].score < 0.95
     assert [(s.first, s.n, s.lang) for s in got[3].spans] == [(0, 1, "bb"), (1, 1, "aa")]
+
+
+def test_messages_pass_between_the_chains_of_a_text():
+    rng = np.random.default_rng(8)
+    sizes = [150, 3, 64, 65, 400, 129]
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    scores, transitions = rng.normal(size=(len(row), 3)), rng.normal(size=(3, 3)) * 2
+    got = L.chain_marginals(row, scores, L.Model(["a", "b", "c"], np.zeros((1, 3)), transitions, frozenset()))
+    for r, n in enumerate(sizes):
+        whole, _ = L.forward_backward(scores[row == r][None], np.ones((1, n), bool), transitions)
+        assert np.allclose(got[row == r], whole[0])
+
+
+def test_a_language_of_long_texts_is_learned(spark):
+    long = [(100 + i, "kala maja vesi " * 1000 + str(i), "et") for i in range(3)]
+    short = [(i, f"some plain words {i}", "en") for i in range(20)]
+    texts = L.sample(spark.createDataFrame(long + short, "doc_id long, text string, lang string"))
+    assert {lang for lang, _ in texts} == {"en", "et"} and all(len(text) <= L.TRAIN_CHARS for _, text in texts)
+    row = L.predicted(cases.table(spark, [(1, "vesi maja kala")]), L.train(texts)).first()
+    assert row.lang_pred == "et"
+
+
+def test_equal_rows_are_drawn_once(spark):
+    same = [(None, "the same words", "en")] * 500
+    docs = spark.createDataFrame(same + [(i, f"other words {i}", "en") for i in range(300)], "doc_id long, text string, lang string")
+    texts = L.sample(docs)
+    assert len(texts) == L.TRAIN_DOCS == len(set(texts))
