@@ -8,11 +8,12 @@ shares one (drawing without replacement; for small items that is certain, for la
 less than once in 10**9). All windows of a document are looked up among those minima; documents
 with too few windows for an item are not its candidates; candidates are then counted exactly.
 
-Items travel to the tasks in blocks of bounded size; every block is held against all documents.
-Words are runs of letters and digits in lower case, so case and punctuation make no difference.
+Items travel to the tasks in blocks of bounded size, each set of windows once however many items have it; every
+block is held against all documents. Words are runs of letters and digits in lower case, so case, punctuation
+and white space of any script make no difference.
 
-Defined results: null texts have no words; an item of fewer than five words has no window and is
-never found; repeated items and documents each keep their own rows.
+Defined results: null texts have no words; an item of fewer than five words has one window of all its
+words; an item without a word is never found; repeated items and documents each keep their own rows.
 """
 
 from __future__ import annotations
@@ -25,8 +26,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import type_of
-from .words import mix, runs, slices, windows, words
+from ..functions.skew import hot_join
+from .common import type_of, written
+from .words import Texts, Words, mix, runs, slices, windows, words
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -34,22 +36,29 @@ MISS = 1e-9
 #: Windows of items that one block holds at most, or those of a single item.
 BLOCK = 2_000_000
 
-#: Bytes that are no part of a word; bytes beyond ASCII are letters.
+#: Bytes that are no part of a word; bytes beyond ASCII are letters once `_SEPARATORS` are blanks.
 APART = np.ones(256, bool)
 APART[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = False
 
 
-def distinct_windows(column, length: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """Per slice: first row, number of rows, and (row, hash) of each distinct window, sorted."""
-    for texts in slices(pc.utf8_lower(column)):
-        found = words(texts, APART)
-        key, fits = windows(found, length)
-        row, key = found.row[fits], key[fits]
-        order = np.lexsort((key, row))
-        row, key = row[order], key[order]
-        new = np.ones(len(row), bool)
-        new[1:] = (row[1:] != row[:-1]) | (key[1:] != key[:-1])
-        yield texts.first, texts.n, row[new], key[new]
+_SEPARATORS = r"[\p{P}\p{Z}\x{0085}]+"
+
+
+def worded(column) -> Iterator[tuple[Texts, Words]]:
+    """Slices of the column in lower case, and their words."""
+    for texts in slices(pc.replace_substring_regex(pc.utf8_lower(column), _SEPARATORS, " ")):
+        yield texts, words(texts, APART)
+
+
+def distinct_windows(found: Words, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, hash) of each distinct window, sorted."""
+    key, fits = windows(found, length)
+    row, key = found.row[fits], key[fits]
+    order = np.lexsort((key, row))
+    row, key = row[order], key[order]
+    new = np.ones(len(row), bool)
+    new[1:] = (row[1:] != row[:-1]) | (key[1:] != key[:-1])
+    return row[new], key[new]
 
 
 def sketch_size(n: int, threshold: float = THRESHOLD, miss: float = MISS) -> int:
@@ -63,23 +72,38 @@ def sketch_size(n: int, threshold: float = THRESHOLD, miss: float = MISS) -> int
 
 
 def _item_rows(length: int):
+    """Item, words of a window (fewer than `length` in a shorter item), number of windows and their hashes."""
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, n, row, key in distinct_windows(batch.column(1), length):
-                at = np.searchsorted(row, np.arange(n + 1)).tolist()
-                blobs = [key[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)]
-                sizes = np.diff(at)
-                columns = [batch.column(0).slice(first, n), pa.array(sizes, pa.int64()), pa.array(blobs, pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, names=["item", "n", "hashes"])
+            for texts, found in worded(batch.column(1)):
+                n_words = np.bincount(found.row, minlength=texts.n)
+                of = np.minimum(n_words, length)
+                sizes, blobs = np.zeros(texts.n, np.int64), [b""] * texts.n
+                for m in np.unique(of[of > 0]).tolist():
+                    row, key = distinct_windows(found, m)
+                    at = np.searchsorted(row, np.arange(texts.n + 1))
+                    for i in np.flatnonzero(of == m).tolist():
+                        sizes[i], blobs[i] = at[i + 1] - at[i], key[at[i] : at[i + 1]].tobytes()
+                columns = [
+                    batch.column(0).slice(texts.first, texts.n),
+                    pa.array(of, pa.int32()),
+                    pa.array(sizes, pa.int64()),
+                    pa.array(blobs, pa.binary()),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, names=["item", "length", "n", "hashes"])
 
     return run
 
 
 class Block:
-    """Some items: their windows and, by partition of size, the minima that stand for them."""
+    """Some items: their windows and, by partition of size, the minima that stand for them.
+
+    `items` are (item, number of windows, hashes), all of windows of one length.
+    """
 
     def __init__(self, items: list, threshold: float):
-        self.items = [item for item, _, _ in items]
+        self.items = np.array([item for item, _, _ in items], np.int64)
         self.n = np.array([n for _, n, _ in items], np.int64)
         of = np.repeat(np.arange(len(items)), self.n)
         key = np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(h, np.uint64) for _, _, h in items)])
@@ -132,15 +156,40 @@ class Block:
         return at[enough], item[enough], shared[enough]
 
 
-def blocks(items: DataFrame, key: str, text: str, length: int, threshold: float) -> Iterator[Block]:
-    """All items with a window, some at a time, on the driver."""
+class Blocks:
+    """One block for each length of window."""
+
+    def __init__(self, rows: list, threshold: float):
+        self.threshold = threshold
+        lengths = sorted({r.length for r in rows})
+        self.parts = {m: Block([(r.item, r.n, r.hashes) for r in rows if r.length == m], threshold) for m in lengths}
+
+    def search(self, texts: Texts, found: Words):
+        """Rows, items, shared windows and windows in all of every pair that reaches the threshold."""
+        out = [[np.zeros(0, np.int64)] * 4]
+        for length, block in self.parts.items():
+            at, item, shared = block.search(texts.n, *distinct_windows(found, length), self.threshold)
+            out.append([at, block.items[item], shared, block.n[item]])
+        return [np.concatenate(x) for x in zip(*out, strict=True)]
+
+
+def item_windows(items: DataFrame, key: str, text: str, length: int) -> DataFrame:
+    """Items with a word, their windows and `same`, which items of equal windows share."""
     rows = items.select(F.col(key).alias("item"), F.col(text).alias("text"))
-    made = rows.mapInArrow(_item_rows(length), f"item {type_of(items, key)}, n bigint, hashes binary").where("n > 0")
-    total = made.agg(F.sum("n")).first()[0] or 0
+    schema = f"item {type_of(items, key)}, length int, n bigint, hashes binary"
+    made = rows.mapInArrow(_item_rows(length), schema).where("n > 0")
+    return written(made.withColumn("same", F.xxhash64("length", "hashes")), "item-windows")
+
+
+def blocks(made: DataFrame, threshold: float) -> Iterator[Blocks]:
+    """All different sets of windows, some at a time, on the driver."""
+    first = [F.first(c).alias(c) for c in ("length", "n", "hashes")]
+    sets = written(made.groupBy(F.col("same").alias("item")).agg(*first), "item-sets")
+    total = sets.agg(F.sum("n")).first()[0] or 0
     n_blocks = -(-total // BLOCK)
     for i in range(n_blocks):
-        mine = made.where(F.pmod(F.xxhash64("hashes"), F.lit(n_blocks)) == i)
-        yield Block([(r.item, r.n, r.hashes) for r in mine.collect()], threshold)
+        mine = sets.where(F.pmod(F.xxhash64("item"), F.lit(n_blocks)) == i)
+        yield Blocks(mine.collect(), threshold)
 
 
 def found(
@@ -156,27 +205,26 @@ def found(
     """Every (document, item) with containment of at least the threshold, windows shared and in all."""
     spark = docs.sparkSession
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    kind = type_of(items, item_key)
-    schema = f"key {type_of(docs, key)}, item {kind}, n_shared bigint, n_windows bigint"
+    schema = f"key {type_of(docs, key)}, same bigint, n_shared bigint, n_windows bigint"
+    made = item_windows(items, item_key, item_text, length)
     out = spark.createDataFrame([], schema)
-    for block in blocks(items, item_key, item_text, length, threshold):
+    for block in blocks(made, threshold):
         sent = spark.sparkContext.broadcast(block)
 
         def run(batches: Iterable[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            block = sent.value
             for batch in batches:
-                for first, n, row, hash_ in distinct_windows(batch.column(1), length):
-                    at, item, shared = block.search(n, row, hash_, threshold)
-                    columns = [
-                        batch.column(0).take(pa.array(first + at)),
-                        pa.array([block.items[i] for i in item.tolist()]),
-                        pa.array(shared, pa.int64()),
-                        pa.array(block.n[item], pa.int64()),
-                    ]
+                for texts, words_ in worded(batch.column(1)):
+                    at, *told = sent.value.search(texts, words_)
+                    columns = [batch.column(0).take(pa.array(texts.first + at)), *(pa.array(x, pa.int64()) for x in told)]
                     if len(at):
-                        yield pa.RecordBatch.from_arrays(columns, names=["key", "item", "n_shared", "n_windows"])
+                        yield pa.RecordBatch.from_arrays(columns, names=["key", "same", "n_shared", "n_windows"])
 
         out = out.unionByName(rows.mapInArrow(run, schema))
+    out = written(out, "item-matches")
+    named = made.select("same", "item")
+    counts = out.groupBy("same").agg(F.count(F.lit(1)).alias("n"))
+    counts = counts.join(named.groupBy("same").agg(F.count(F.lit(1)).alias("m")), "same")
+    out = hot_join(out, named, ["same"], counts=counts).select("key", "item", "n_shared", "n_windows")
     out = out.withColumn("containment", F.col("n_shared") / F.col("n_windows"))
     return out.withColumnRenamed("key", key).withColumnRenamed("item", item_key)
 
@@ -192,15 +240,15 @@ def cleaned(
 ) -> DataFrame:
     """The documents that hold no item; their columns are unchanged."""
     spark = docs.sparkSession
-    for block in blocks(items, item_key, item_text, length, threshold):
+    for block in blocks(item_windows(items, item_key, item_text, length), threshold):
         sent = spark.sparkContext.broadcast(block)
 
         def run(batches: Iterable[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for first, n, row, hash_ in distinct_windows(batch.column(0), length):
-                    stay = np.ones(n, bool)
-                    stay[sent.value.search(n, row, hash_, threshold)[0]] = False
-                    rows = batch.column(1).slice(first, n).filter(pa.array(stay))
+                for texts, words_ in worded(batch.column(0)):
+                    stay = np.ones(texts.n, bool)
+                    stay[sent.value.search(texts, words_)[0]] = False
+                    rows = batch.column(1).slice(texts.first, texts.n).filter(pa.array(stay))
                     yield pa.RecordBatch.from_arrays([rows], names=["row"])
 
         rows = docs.select(F.col(text).alias("text"), F.struct("*").alias("row"))

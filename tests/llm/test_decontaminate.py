@@ -91,3 +91,25 @@ def test_edges(spark, items):
     nothing = spark.createDataFrame([], "item_id long, text string")
     assert D.found(docs, nothing).collect() == []
     assert D.cleaned(docs, nothing).count() == len(cases.ROWS)
+
+
+def test_items_of_few_words_are_found_whole(spark):
+    rows = [(1, "red fox"), (2, "Lonely"), (3, "a b c d"), (4, "..."), (5, "fox red")]
+    pairs = [(1, "the Red, fox ran"), (2, "lonely hearts"), (3, "x a b c d y"), (4, "a b c"), (5, "red")]
+    df = spark.createDataFrame(rows, "item_id long, text string")
+    assert run(cases.table(spark, pairs), df) == Counter([(1, 1, 1, 1), (2, 2, 1, 1), (3, 3, 1, 1)])
+    assert sorted(r.doc_id for r in D.cleaned(cases.table(spark, pairs), df).collect()) == [4, 5]
+
+
+def test_punctuation_of_any_script_makes_no_difference(spark):
+    plain = "he said the old bridge fell into the river last night"
+    typeset = "\u201che said\u201d \u2014 the\u00a0old bridge\u2026 fell\u2013into the \u00abriver\u00bb last\u2003night\u3002"
+    items = spark.createDataFrame([(1, plain)], "item_id long, text string")
+    assert run(cases.table(spark, [(7, typeset)]), items) == Counter([(7, 1, 7, 7)])
+
+
+def test_equal_items_reach_the_driver_once(spark):
+    items = spark.createDataFrame([(i, "one two three four five six") for i in range(50)], "item_id long, text string")
+    (block,) = D.blocks(D.item_windows(items, "item_id", "text", 5), 0.8)
+    assert sum(len(b.items) for b in block.parts.values()) == 1
+    assert len(run(cases.table(spark, [(1, "one two three four five six")]), items)) == 50
