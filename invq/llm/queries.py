@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, langid, line_dedup, near_dup, pii, quality, sharding, substring, token_files
+from . import bpe, decontaminate, langid, line_dedup, near_dup, pii, quality, sharding, substring, token_counts, token_files
 from .common import written
 
 
@@ -95,6 +95,11 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("row.doc_id", "n_lines", "n_removed", kept.alias("kept_sha256"))
 
 
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Over a cache of its own, so that every distinct text is encoded here."""
+    return token_counts.counted(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 OP5_SQL = r"""
 with lines as (
   select doc_id, unnest(range(len(parts))) as line, unnest(parts) as body
@@ -148,5 +153,6 @@ QUERIES = {
     "op8_token_files": op8_token_files,
     "op9_pii": op9_pii,
     "op10_sharding": op10_sharding,
+    "op13_token_counts": op13_token_counts,
 }
 ORACLES: dict[str, str] = {"op5_line_dedup": OP5_SQL}
