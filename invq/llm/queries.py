@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, langid, line_dedup, near_dup, pii, quality, sharding, substring, token_counts, token_files
+from . import bpe, decontaminate, langid, line_dedup, manifest, near_dup, pii, quality, sharding, substring, token_counts, token_files
 from .common import written
 
 
@@ -95,6 +95,31 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("row.doc_id", "n_lines", "n_removed", kept.alias("kept_sha256"))
 
 
+#: What a leaf of the manifest covers, in this order.
+MANIFEST_FIELDS = ["doc_id", "source", "lang", "n_chars", "text"]
+
+
+def op12_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Proofs of all rows, held against rows of which every fifth, by hash, has lost its capital letters."""
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    fifth = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    text = F.when(fifth, F.translate("text", letters, letters.lower())).otherwise(F.col("text"))
+    claims = [text if f == "text" else F.col(f) for f in MANIFEST_FIELDS]
+    rows = manifest.leaves_of(documents(spark, sf_dir), MANIFEST_FIELDS, claims, "doc_id", "source")
+    made = manifest.proven(rows)
+
+    def shown(name: str):
+        return F.lower(F.hex(name))
+
+    return made.select(
+        F.col("key").alias("doc_id"),
+        *[shown(c).alias(c) for c in ("leaf", "subroot", "root")],
+        F.sha2(shown("siblings"), 256).alias("proof_sha256"),
+        shown("folded_root").alias("folded_root"),
+        (F.col("folded_root") == F.col("root")).alias("verified"),
+    )
+
+
 def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Over a cache of its own, so that every distinct text is encoded here."""
     return token_counts.counted(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
@@ -153,6 +178,7 @@ QUERIES = {
     "op8_token_files": op8_token_files,
     "op9_pii": op9_pii,
     "op10_sharding": op10_sharding,
+    "op12_manifest": op12_manifest,
     "op13_token_counts": op13_token_counts,
 }
 ORACLES: dict[str, str] = {"op5_line_dedup": OP5_SQL}
