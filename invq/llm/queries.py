@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, langid, line_dedup, manifest, near_dup, pii, quality, sharding, substring, token_counts, token_files
+from . import bpe, conversations, decontaminate, langid, line_dedup, manifest, near_dup, pii, quality, sharding, substring, token_counts, token_files
 from .common import written
 
 
@@ -95,6 +95,29 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("row.doc_id", "n_lines", "n_removed", kept.alias("kept_sha256"))
 
 
+def damaged(rows: DataFrame) -> DataFrame:
+    """conv_id, turn, role and text after the damage that the query's contract names."""
+    space = F.lit(" ")
+    name = F.concat_ws(":", *[F.coalesce(F.col(c).cast("string"), space) for c in ("conv_id", "turn")])
+    fate = F.crc32(name) % 20
+    role, text = F.coalesce("role", space), F.coalesce("text", space)
+    bare = F.regexp_replace(text, "[.!?]", "")
+    copies = F.when(fate == 0, 0).when(fate == 3, 2).otherwise(1)
+    rows = rows.select(
+        "conv_id",
+        "turn",
+        F.when(fate == 4, "user").otherwise(role).alias("role"),
+        F.when(fate == 1, "").when(fate == 2, bare).otherwise(text).alias("text"),
+        F.explode(F.array_repeat(F.lit(0), copies)).alias("copy"),
+    )
+    return rows.drop("copy")
+
+
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    return conversations.judged(damaged(rows), rows)
+
+
 #: What a leaf of the manifest covers, in this order.
 MANIFEST_FIELDS = ["doc_id", "source", "lang", "n_chars", "text"]
 
@@ -178,6 +201,7 @@ QUERIES = {
     "op8_token_files": op8_token_files,
     "op9_pii": op9_pii,
     "op10_sharding": op10_sharding,
+    "op11_conversation_repair": op11_conversation_repair,
     "op12_manifest": op12_manifest,
     "op13_token_counts": op13_token_counts,
 }
