@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, conversations, decontaminate, langid, line_dedup, manifest, near_dup, pii, quality, sharding, substring, token_counts, token_files
+from . import bpe, checks, conversations, decontaminate, langid, line_dedup, manifest, near_dup, pii, quality, sharding, substring, token_counts, token_files
 from .common import written
 
 
@@ -205,4 +205,8 @@ QUERIES = {
     "op12_manifest": op12_manifest,
     "op13_token_counts": op13_token_counts,
 }
-ORACLES: dict[str, str] = {"op5_line_dedup": OP5_SQL}
+ORACLES: dict[str, str] = {
+    "op5_line_dedup": OP5_SQL,
+    "op11_conversation_repair": checks.OP11_CONVERSATIONS,
+    "op12_manifest": checks.OP12_MANIFEST,
+}

@@ -9,7 +9,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from invq.llm import conversations as C
-from invq.llm import queries
+from invq.llm import checks, queries
+from tests.checker import compare, duck
 
 SF = "/root/testdata/sf0.001"
 SPACE = "\x20\t\n\x0b\x0c\r"
@@ -114,6 +115,11 @@ def some(rng, convs, most=9):
     return rows
 
 
+def test_query_equals_its_sql(spark):
+    problem, n = compare(spark, duck(SF), "op11_conversation_repair", queries.op11_conversation_repair, checks.OP11_CONVERSATIONS, SF)
+    assert problem is None and n > 0
+
+
 def test_query_equals_brute_force(spark):
     rows = [tuple(r) for r in spark.read.parquet(f"{SF}/conversations.parquet").select("conv_id", "turn", "role", "text").collect()]
     assert found(queries.op11_conversation_repair(spark, SF)) == brute(rows)

@@ -8,7 +8,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from invq.llm import manifest as M
-from invq.llm import queries
+from invq.llm import checks, queries
+from tests.checker import compare, duck
 from tests.llm import cases
 
 SF = "/root/testdata/sf0.001"
@@ -75,6 +76,11 @@ def five(df):
     return [tuple(r) for r in df.select(*queries.MANIFEST_FIELDS).collect()]
 
 
+def test_query_equals_its_sql(spark):
+    problem, n = compare(spark, duck(SF), "op12_manifest", queries.op12_manifest, checks.OP12_MANIFEST, SF)
+    assert problem is None and n > 0
+
+
 def test_query_equals_brute_force(spark):
     rows = queries.op12_manifest(spark, SF).collect()
     assert sorted(map(tuple, rows), key=repr) == brute(five(spark.read.parquet(f"{SF}/documents.parquet")))
