@@ -1,7 +1,7 @@
 """Merkle manifest of a table: a leaf a row, a tree a group, a tree over the groups' roots.
 
 Where a leaf lies in its group's tree is a rank query, not a sort. Tasks reduce the keys they hold to
-bitmaps of 2^16 keys each (short ones as sorted offsets), which are merged by group and range of keys;
+bitmaps of 2^12 keys each (short ones as sorted offsets), which are merged by group and range of keys;
 a merged bitmap has a popcount directory, and a running sum over the bitmaps of a group says how many leaves
 come before each. A key's coordinate is that sum, the directory's entry and the ones before it in its block.
 Keys that occur more than once are counted beside the bitmap; their leaves follow each other in order of
@@ -37,9 +37,9 @@ BLOCK = RUN**LEVELS
 _DIGEST = 32
 
 #: Keys that a bitmap covers, by the bits below its bucket; offsets beyond which it is no list any more.
-_BITS = 16
+_BITS = 12
 _KEYS = 1 << _BITS
-_LIST = 4096
+_LIST = _KEYS // 16
 #: Keys that a task holds before it sends their bitmaps, and leaves of one bitmap that meet in a task.
 HELD, HOT_LEAVES = 1 << 20, 500_000
 #: The bucket of null keys, below all others.
@@ -59,7 +59,7 @@ def digest_of(values: list[Column]) -> Column:
 
 
 def pack(counts: np.ndarray) -> bytes:
-    """A bitmap from the number of leaves of each of its 2^16 keys: its kind, the keys that repeat and how
+    """A bitmap from the number of leaves of each of its keys: its kind, the keys that repeat and how
     often beyond the first, then sorted offsets, or bits after a directory of ones before every 512th."""
     present, more = np.flatnonzero(counts), np.flatnonzero(counts > 1)
     head = np.array([len(more)], "<u4").tobytes()

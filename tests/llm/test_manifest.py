@@ -7,8 +7,8 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from invq.llm import manifest as M
 from invq.llm import checks, queries
+from invq.llm import manifest as M
 from tests.checker import compare, duck
 from tests.llm import cases
 
@@ -116,13 +116,13 @@ def test_edges(spark, tmp_path):
 
 
 @settings(max_examples=60, deadline=None)
-@given(st.lists(st.integers(0, 65535), max_size=300), st.booleans())
+@given(st.lists(st.integers(0, M._KEYS - 1), max_size=300), st.booleans())
 def test_ranks_of_a_bitmap(offsets, wide):
     if wide:
-        offsets = [*offsets, *range(0, 65536, 9)]
-    counts = np.bincount(offsets, minlength=65536).astype(np.int64)
+        offsets = [*offsets, *range(0, M._KEYS, 9)]
+    counts = np.bincount(offsets, minlength=M._KEYS).astype(np.int64)
     bitmap = M.Bitmap(M.pack(counts))
-    assert bitmap.listed == (len(set(offsets)) <= 4096)
+    assert bitmap.listed == (len(set(offsets)) <= M._LIST)
     asked = np.array(sorted(set(offsets)), np.int32)
     rank, tied = bitmap.rank(asked)
     assert rank.tolist() == (np.cumsum(counts) - counts)[asked].tolist()
