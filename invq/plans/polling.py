@@ -91,7 +91,7 @@ def sustained_sql(hours):
         qualify row_number() over (partition by user_id order by at_us, event_id) = 1"""
 
 
-def _polls_sql(polls):
+def polls_sql(polls):
     return oracle(
         f"""with p as (select *, row_number() over (partition by cluster order by poll_seq) as nr from poll {polls}),
             o as (select s.cluster, s.user_id, p.nr, epoch_us(p.ts) as at_us,
@@ -120,8 +120,8 @@ def throttle_sql(hours):
 
 ORACLES = {
     "sustained_condition": sustained_sql(12),
-    "sustained_condition_polls": _polls_sql(""),
-    "sustained_condition_polls_ignore_failed": _polls_sql("where poll_ok"),
+    "sustained_condition_polls": polls_sql(""),
+    "sustained_condition_polls_ignore_failed": polls_sql("where poll_ok"),
     "throttle_per_key": throttle_sql(12),
     "first_seen_follow": oracle(
         "select name, min(epoch_us(ts)) as at_us from pod_sighting where starts_with(name, 'tool-') group by name",

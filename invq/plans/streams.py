@@ -1,24 +1,30 @@
 """Queries that run the streaming forms over a supplied table to its end.
 
-Their checks are those of the batch forms. Where a deadline is involved, a key without an outcome
-comes out only once event time has passed its deadline.
+Nothing is known of how the table's files lie in time, so the stateful ones wait for as long as the
+table spans, and are closed at its latest time. Their checks are those of the batch forms; where a deadline is
+involved, a key without an outcome comes out only once event time has passed its deadline.
 """
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from ..functions.clock import MICROS, micros
 from ..operators.logs import REDACTED, SECRET_SHAPES, redact_text
 from ..streaming import streams as T
 from .fixtures import FIXTURES, oracle, spark_sql
-from .polling import HOUR, errors_of_users, sustained_sql, throttle_sql
+from .polling import DAY, HOUR, errors_of_users, polls_sql, sustained_sql, throttle_sql
 
 _JOB_TIMEOUT = 1800
+#: Files that one micro-batch takes.
+FILES = 64
 
 
 def _source(session, sf_dir, table):
     """The stream of a table, which is one file or a folder of part files."""
     path = f"{sf_dir}/{table}.parquet"
     known = session.read.parquet(path)
-    reader = session.readStream.schema(known.schema)
+    reader = session.readStream.schema(known.schema).option("maxFilesPerTrigger", FILES)
     files = known.inputFiles()
     if len(files) == 1 and files[0].endswith(f"/{table}.parquet"):  # streams read folders
         return reader.option("pathGlobFilter", f"{table}.parquet").parquet(sf_dir)
@@ -32,18 +38,55 @@ def _derived(session, sf_dir, name, table):
     return session.sql(spark_sql(FIXTURES[name].replace("{" + table + "}", view), sf_dir))
 
 
-def sustained_condition_stream(spark, sf_dir):
+def _closed(spark, sf_dir, purpose, make, table="events"):
+    """The results of make(session, settings) once event time has reached the end of the table."""
     session = T.stream_session(spark)
-    obs = errors_of_users(_source(session, sf_dir, "events"))
-    out = T.sustained_condition(obs, ["user_id"], 12 * HOUR, order=["event_id"])
-    return T.run_to_end(spark, out, "sustained")
+    whole = session.read.parquet(f"{sf_dir}/{table}.parquet")
+    at = whole.select(micros(whole, "ts").alias("at")).agg(F.min("at"), F.max("at")).first()
+    first, last = (x or 0 for x in at)
+    seconds = (last - first) // MICROS + 1
+
+    def stream(closing):
+        return make(session, {"delay": f"{seconds} seconds", "closing": closing})
+
+    return T.results(T.run_closed(spark, session, stream, purpose, last + seconds * MICROS + 1000))
+
+
+def sustained_condition_stream(spark, sf_dir):
+    def make(session, settings):
+        obs = errors_of_users(_source(session, sf_dir, "events"))
+        return T.sustained_condition(obs, ["user_id"], 12 * HOUR, order=["event_id"], **settings)
+
+    return _closed(spark, sf_dir, "sustained", make)
+
+
+def _polls_stream(spark, sf_dir, ignore_failed):
+    def make(session, settings):
+        events = _source(session, sf_dir, "events")
+        day = F.year("ts") * 372 + F.month("ts") * 31 + F.day("ts")
+        named = events.select((F.col("user_id") % 3).alias("cluster"), day.cast("bigint").alias("poll_seq"), "ts", "user_id")
+        polls = named.select("cluster", "poll_seq", "ts", (F.col("poll_seq") % 10 != 4).alias("poll_ok"))
+        return T.sustained_condition_polls(
+            polls, named, ["cluster"], ["user_id"], 3 * DAY, ignore_failed, slices=4, **settings
+        )
+
+    return _closed(spark, sf_dir, "sustained-polls", make)
+
+
+def sustained_condition_polls_stream(spark, sf_dir):
+    return _polls_stream(spark, sf_dir, ignore_failed=False)
+
+
+def sustained_condition_polls_ignore_failed_stream(spark, sf_dir):
+    return _polls_stream(spark, sf_dir, ignore_failed=True)
 
 
 def throttle_per_key_stream(spark, sf_dir):
-    session = T.stream_session(spark)
-    events = _source(session, sf_dir, "events")
-    out = T.throttle_per_key(events, ["user_id"], 12 * HOUR, order=["event_id"])
-    return T.run_to_end(spark, out, "throttle")
+    def make(session, settings):
+        events = _source(session, sf_dir, "events")
+        return T.throttle_per_key(events, ["user_id"], 12 * HOUR, order=["event_id"], **settings)
+
+    return _closed(spark, sf_dir, "throttle", make)
 
 
 def first_seen_follow_stream(spark, sf_dir):
@@ -60,30 +103,39 @@ def redact_text_stream(spark, sf_dir):
     return out.select("id", "logger", "text")
 
 
+#: No key of these tables begins anew.
+_EVER = {"keep_seconds": 10_000 * DAY}
+
+
 def reached_within_stream(spark, sf_dir):
-    session = T.stream_session(spark)
-    attempts = _derived(session, sf_dir, "attempt", "events")
-    out = T.reached_within(attempts, timeout_seconds=12 * HOUR, order=["event_id"])
-    return T.run_to_end(spark, out, "reached")
+    def make(session, settings):
+        attempts = _derived(session, sf_dir, "attempt", "events")
+        return T.reached_within(attempts, timeout_seconds=12 * HOUR, order=["event_id"], **settings, **_EVER)
+
+    return _closed(spark, sf_dir, "reached", make)
 
 
 def never_reached_stream(spark, sf_dir):
-    session = T.stream_session(spark)
-    attempts = _derived(session, sf_dir, "attempt", "events")
-    out = T.never_reached(attempts, settle_seconds=6 * HOUR, order=["event_id"])
-    return T.run_to_end(spark, out.drop("detail"), "never-reached")
+    def make(session, settings):
+        attempts = _derived(session, sf_dir, "attempt", "events")
+        return T.never_reached(attempts, settle_seconds=6 * HOUR, order=["event_id"], **settings, **_EVER)
+
+    return _closed(spark, sf_dir, "never-reached", make).drop("detail")
 
 
 def job_outcome_stream(spark, sf_dir):
-    session = T.stream_session(spark)
-    out = T.job_outcome(_derived(session, sf_dir, "job_poll", "events"))
-    return T.run_to_end(spark, out.drop("detail"), "jobs")
+    def make(session, settings):
+        return T.job_outcome(_derived(session, sf_dir, "job_poll", "events"), **settings, **_EVER)
+
+    return _closed(spark, sf_dir, "jobs", make).drop("detail")
 
 
 QUERIES = {
     f.__name__: f
     for f in (
         sustained_condition_stream,
+        sustained_condition_polls_stream,
+        sustained_condition_polls_ignore_failed_stream,
         throttle_per_key_stream,
         first_seen_follow_stream,
         redact_text_stream,
@@ -117,6 +169,8 @@ _ENDED = """case when found and succeeded > 0 then 'succeeded' when found and fa
 
 ORACLES = {
     "sustained_condition_stream": sustained_sql(12),
+    "sustained_condition_polls_stream": polls_sql(""),
+    "sustained_condition_polls_ignore_failed_stream": polls_sql("where poll_ok"),
     "throttle_per_key_stream": throttle_sql(12),
     "first_seen_follow_stream": oracle(
         "select distinct name from pod_sighting where starts_with(name, 'tool-')", "pod_sighting"

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import shutil
 import tempfile
 import uuid
@@ -56,9 +57,16 @@ _shipped: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Sends this package to the Python workers, once per application; they need not have it."""
-    if spark.sparkContext.applicationId not in _shipped:
+    """Sends this package to the Python workers, once per application; they need not have it.
+
+    Streams with state also start a Python process beside the driver, which gets no added files: it finds the
+    package by the path that it and the workers are started with.
+    """
+    context = spark.sparkContext
+    if context.applicationId not in _shipped:
         package = Path(__file__).resolve().parent
         made = shutil.make_archive(f"{tempfile.mkdtemp(prefix='invq-')}/invq", "zip", package.parent, package.name)
-        spark.sparkContext.addPyFile(made)
-        _shipped.add(spark.sparkContext.applicationId)
+        context.addPyFile(made)
+        paths = [made, context.environment.get("PYTHONPATH", "")]
+        context.environment["PYTHONPATH"] = os.pathsep.join(p for p in paths if p)
+        _shipped.add(context.applicationId)

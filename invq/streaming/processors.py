@@ -1,133 +1,328 @@
-"""Stateful processors: a few values of state per key, one decision per row in time order.
+"""Stateful processors in event time: rows are held until the watermark has passed them, then decided in order.
 
-Rows of a micro-batch come in no particular order, so each call sorts its key's rows by time and
-the order columns. A row older than the last one handled for its key is late and is dropped.
-A call holds one key's rows of one micro-batch; the source's rate limit bounds them.
+The order in which files or micro-batches bring rows therefore makes no difference, as long as a row comes before the
+watermark passes it. One that comes later is given out as it is, with its time in ``late_at_us``, and
+takes no part in any decision.
+
+Held rows lie in state by key and bucket of time, packed as Arrow; a timer a bucket and micro-batch fires once the
+watermark has passed all it has seen. One call decides one bucket of one key, so neither a key's rows nor a micro-batch
+are ever in memory together. What a processor remembers besides is one value a key, cleared once it can no longer matter.
+Modules that import nothing of this package can be unpickled wherever a Python worker runs.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+LATE = "late_at_us"
+
+
+def _packed(frame: pd.DataFrame) -> bytes:
+    table = pa.Table.from_pandas(frame, preserve_index=False).replace_schema_metadata(None)
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema) as out:
+        out.write_table(table)
+    return sink.getvalue().to_pybytes()
+
+
+def _unpacked(data: bytes) -> pd.DataFrame:
+    """The frames of a bucket, one after the other as micro-batches brought them."""
+    reader, frames = pa.BufferReader(data), []
+    while reader.tell() < reader.size():
+        frames.append(pa.ipc.open_stream(reader).read_all())
+    return pa.concat_tables(frames, promote_options="permissive").to_pandas()
+
+
+def _passes(at_us: int) -> int:
+    """The watermark, in milliseconds, at which a time has been passed."""
+    return -(-at_us // 1000) + 1
 
-def _in_order(rows: Iterator[pd.DataFrame], order: Sequence[str]) -> pd.DataFrame:
-    return pd.concat(list(rows), ignore_index=True).sort_values(list(order), ignore_index=True)
 
+class EventTimeProcessor(StatefulProcessor):
+    """Hands on a key's rows in order of time and of the order columns, a bucket at a time."""
 
-class SustainedProcessor(StatefulProcessor):
-    """Emits a key at the first observation at or past the grace, once ever."""
+    #: What is remembered of a key.
+    MEMO = ""
 
-    def __init__(self, keys: Sequence[str], order: Sequence[str], grace: int, ttl_ms: int | None):
-        self.keys, self.order, self.grace, self.ttl_ms = list(keys), list(order), grace, ttl_ms
+    def __init__(self, keys: Sequence[str], order: Sequence[str], results: Sequence[str], bucket: int):
+        self.keys, self.order, self.results, self.bucket = list(keys), list(order), list(results), max(1, bucket)
+        #: Results that late rows show.
+        self.shown = [name for name in order if name in results]
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        # since is -1 while absent; captured keys stay, for as long as the time to live
-        self.clock = handle.getValueState(
-            "clock", "since bigint, seen bigint, captured boolean", self.ttl_ms
-        )
+        self.handle = handle
+        self.held = handle.getMapState("held", "bucket bigint", "rows binary")
+        self.memo = handle.getValueState("memo", self.MEMO)
+
+    def wanted(self, rows: pd.DataFrame) -> pd.DataFrame:
+        """The rows that can still matter."""
+        return rows
+
+    def decide(self, key, rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        """Results of the next rows, which are in order and later than all before."""
+        raise NotImplementedError
+
+    def passed(self, key, watermark: int) -> Iterator[pd.DataFrame]:
+        """Results of time itself, after all rows before the watermark; may forget the key."""
+        yield from ()
+
+    def remembered(self, nothing: tuple) -> tuple:
+        return self.memo.get() if self.memo.exists() else nothing
+
+    def remind(self, at_us: int) -> None:
+        """Asks for a call once a time has been passed."""
+        self.handle.registerTimer(_passes(at_us))
+
+    def row(self, key, rows: int = 1, **values) -> pd.DataFrame:
+        """Result rows of a key; columns that are not given are null."""
+        out = {name: [value] * rows for name, value in zip(self.keys, key, strict=True)}
+        for name in [*self.results, LATE]:
+            out[name] = values.get(name, [None] * rows)
+        whole = [name for name in ("since_us", "at_us", "elapsed_us", LATE) if name in self.results or name == LATE]
+        return pd.DataFrame(out).astype(dict.fromkeys(whole, "Int64"))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        since, seen, captured = self.clock.get() if self.clock.exists() else (-1, -(2**62), False)
-        found = None
-        for row in _in_order(rows, ["at_us", *self.order]).itertuples(index=False):
-            if row.at_us < seen:
-                continue
-            seen = row.at_us
-            if captured:
-                break
-            if not row.present or row.breaks:
-                since = -1
-            if row.present:
-                since = row.at_us if since < 0 else since
-                if row.at_us - since >= self.grace:
-                    found, captured = row, True
-        self.clock.update((int(since), int(seen), captured))
-        if found is not None:
-            out = dict(zip(self.keys, key, strict=True)) | {"since_us": since, "at_us": found.at_us}
-            out |= {name: getattr(found, name) for name in self.order}
-            yield pd.DataFrame([out])
+        watermark = timerValues.getCurrentWatermarkInMs()
+        for frame in rows:
+            late = (frame["at_us"] // 1000 < watermark).to_numpy()
+            if late.any():
+                gone = frame[late]
+                known = {name: gone[name].tolist() for name in self.shown}
+                yield self.row(key, len(gone), **known, **{LATE: gone["at_us"].tolist()})
+                frame = frame[~late]
+            frame = self.wanted(frame) if len(frame) else frame
+            for bucket, part in frame.groupby(frame["at_us"] // self.bucket):
+                at = (int(bucket),)
+                before = self.held.getValue(at)[0] if self.held.containsKey(at) else b""
+                self.held.updateValue(at, (bytes(before) + _packed(part),))
+                self.handle.registerTimer(int(part["at_us"].max()) // 1000 + 1)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        watermark = timerValues.getCurrentWatermarkInMs()
+        if self.held.exists():
+            for (bucket,) in sorted(tuple(at) for at in self.held.keys()):
+                if bucket * self.bucket // 1000 >= watermark:
+                    break
+                rows = _unpacked(bytes(self.held.getValue((bucket,))[0]))
+                ready = (rows["at_us"] // 1000 < watermark).to_numpy()
+                if ready.all():
+                    self.held.removeKey((bucket,))
+                elif ready.any():
+                    self.held.updateValue((bucket,), (_packed(rows[~ready]),))
+                rows = rows[ready].sort_values(["at_us", *self.order], ignore_index=True)
+                if len(rows):
+                    yield from self.decide(key, rows)
+        yield from self.passed(key, watermark)
 
     def close(self) -> None:
         pass
 
 
-class ThrottleProcessor(StatefulProcessor):
+class SustainedProcessor(EventTimeProcessor):
+    """Emits a key at the first observation at or past the grace, once; with a time to live it is forgotten,
+    and may come again, when it has not been present for that long."""
+
+    # since is -1 while absent
+    MEMO = "since bigint, seen bigint, captured boolean"
+
+    def __init__(self, keys: Sequence[str], order: Sequence[str], grace: int, ttl: int | None):
+        super().__init__(keys, order, ["since_us", "at_us", *order], grace)
+        self.grace, self.ttl = grace, ttl
+
+    def wanted(self, rows: pd.DataFrame) -> pd.DataFrame:
+        _, _, captured = self.remembered((-1, -1, False))
+        return rows.iloc[:0] if captured and self.ttl is None else rows
+
+    def decide(self, key, rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        since, seen, captured = self.remembered((-1, -1, False))
+        at, present = rows["at_us"].to_numpy(), rows["present"].to_numpy(bool)
+        if self.ttl is not None and captured and int(at[0]) - seen >= self.ttl:
+            since, captured = -1, False
+        run, begun = runs_since(at, present, ~present | rows["breaks"].to_numpy(bool), since)
+        due = np.flatnonzero(present & (at - begun[run] >= self.grace))
+        if len(due) and not captured:
+            first, captured = int(due[0]), True
+            values = {name: [rows[name].iat[first]] for name in self.order}
+            yield self.row(key, since_us=[int(begun[run[first]])], at_us=[int(at[first])], **values)
+        since = int(begun[-1]) if begun[-1] < _NEVER else -1
+        seen = int(at[present][-1]) if present.any() else seen
+        if since < 0 and not captured:
+            self.memo.clear()
+        else:
+            self.memo.update((since, seen, bool(captured)))
+            if self.ttl is not None:
+                self.remind(seen + self.ttl)
+
+    def passed(self, key, watermark: int) -> Iterator[pd.DataFrame]:
+        if self.ttl is not None and self.memo.exists():
+            _, seen, captured = self.memo.get()
+            if captured and _passes(seen + self.ttl) <= watermark and not self.held.exists():
+                self.memo.clear()
+        yield from ()
+
+
+_NEVER = np.iinfo(np.int64).max // 2
+
+
+def runs_since(at: np.ndarray, present: np.ndarray, starts: np.ndarray, since: int) -> tuple[np.ndarray, np.ndarray]:
+    """For rows in order: the run each is in, and since when each run has been present (_NEVER: not at all).
+    Run 0 goes on from before, where it began at `since` (negative: it did not)."""
+    run = np.cumsum(starts)
+    begun = np.full(int(run[-1]) + 1, _NEVER, np.int64)
+    np.minimum.at(begun, run[present], at[present])
+    if since >= 0:
+        begun[0] = since
+    return run, begun
+
+
+class ThrottleProcessor(EventTimeProcessor):
     """Lets a row pass when the last that passed is at least the interval ago."""
 
-    def __init__(self, keys: Sequence[str], order: Sequence[str], interval: int):
-        self.keys, self.order, self.interval = list(keys), list(order), interval
+    MEMO = "passed bigint"
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.passed = handle.getValueState("passed", "at_us bigint")
+    def __init__(self, keys: Sequence[str], order: Sequence[str], interval: int):
+        super().__init__(keys, order, ["at_us", *order], interval)
+        self.interval = interval
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        passed = self.passed.get()[0] if self.passed.exists() else None
-        batch = _in_order(rows, ["at_us", *self.order])
-        times, kept = batch["at_us"].to_numpy(), []
-        i = 0 if passed is None else int(times.searchsorted(passed + self.interval))
-        while i < len(times):
+    def decide(self, key, rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        at, kept = rows["at_us"].to_numpy(), []
+        (last,) = self.remembered((None,))
+        i = 0 if last is None else int(at.searchsorted(last + self.interval))
+        while i < len(at):
             kept.append(i)
-            i = int(times.searchsorted(times[i] + self.interval))
+            i = int(at.searchsorted(at[i] + self.interval))
         if kept:
-            self.passed.update((int(times[kept[-1]]),))
-            out = batch.loc[kept, ["at_us", *self.order]].reset_index(drop=True)
-            for name, value in reversed(list(zip(self.keys, key, strict=True))):
-                out.insert(0, name, value)
-            yield out
+            last = int(at[kept[-1]])
+            self.memo.update((last,))
+            self.remind(last + self.interval)
+            passed = rows.iloc[kept]
+            yield self.row(key, len(kept), **{name: passed[name].tolist() for name in self.results})
 
-    def close(self) -> None:
-        pass
+    def passed(self, key, watermark: int) -> Iterator[pd.DataFrame]:
+        if self.memo.exists() and _passes(self.memo.get()[0] + self.interval) <= watermark:
+            self.memo.clear()  # whatever comes now passes
+        yield from ()
 
 
-class DeadlineProcessor(StatefulProcessor):
-    """Emits a key's first outcome before its deadline, or the overdue one once event time has
-    passed it. The deadline counts from the key's first row.
+class DeadlineProcessor(EventTimeProcessor):
+    """Emits a key's first outcome before its deadline, or the overdue one once the watermark has
+    passed that. The deadline counts from the key's first row in time, whichever micro-batch brings it.
 
-    Rows have ``outcome`` (null while undecided) and ``detail`` (the last undecided one is given
-    when the deadline passes).
+    Rows have ``outcome`` (null while undecided) and ``detail`` (that of the last undecided one is given
+    when the deadline passes). A key is remembered as decided until ``keep`` after its deadline.
     """
 
-    def __init__(self, keys: Sequence[str], order: Sequence[str], timeout: int, overdue: str):
-        self.keys, self.order, self.timeout, self.overdue = list(keys), list(order), timeout, overdue
+    MEMO = "start bigint, done boolean, detail string"
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.watch = handle.getValueState("watch", "start bigint, done boolean, detail string")
+    def __init__(self, keys: Sequence[str], order: Sequence[str], timeout: int, overdue: str, keep: int):
+        super().__init__(keys, order, ["outcome", "elapsed_us", "detail"], timeout)
+        self.timeout, self.overdue, self.keep = timeout, overdue, keep
 
-    def _row(self, key, outcome: str, elapsed: int | None, detail: str | None) -> pd.DataFrame:
-        out = dict(zip(self.keys, key, strict=True))
-        out |= {"outcome": outcome, "elapsed_us": elapsed, "detail": detail}
-        return pd.DataFrame([out]).astype({"elapsed_us": "Int64"})
+    def wanted(self, rows: pd.DataFrame) -> pd.DataFrame:
+        start, done, _ = self.remembered((None, False, None))
+        if start is None:
+            return rows
+        return rows.iloc[:0] if done else rows[rows["at_us"] < start + self.timeout]
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        batch = _in_order(rows, ["at_us", *self.order])
-        if self.watch.exists():
-            start, done, detail = self.watch.get()
-        else:
-            start, done, detail = int(batch["at_us"].iat[0]), False, None
-            # a timer fires when event time reaches it: round the deadline up to milliseconds
-            self.handle.registerTimer(-(-(start + self.timeout) // 1000))
-        if done:
+    def decide(self, key, rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        at = rows["at_us"].to_numpy()
+        start, done, detail = self.remembered((None, False, None))
+        if start is None:
+            start = int(at[0])
+            self.remind(start + self.timeout)
+            self.remind(start + self.timeout + self.keep)
+        inside = at < start + self.timeout
+        decided = rows["outcome"].notna().to_numpy()
+        if not done:
+            found = np.flatnonzero(inside & decided)
+            if len(found):
+                done, first = True, int(found[0])
+                yield self.row(key, outcome=[rows["outcome"].iat[first]], elapsed_us=[int(at[first]) - start])
+            else:
+                open_ = np.flatnonzero(inside & ~decided)
+                if len(open_):
+                    detail = rows["detail"].iat[int(open_[-1])]
+        self.memo.update((start, done, None if done or pd.isna(detail) else detail))
+
+    def passed(self, key, watermark: int) -> Iterator[pd.DataFrame]:
+        if not self.memo.exists():
             return
-        for row in batch.itertuples(index=False):
-            if not start <= row.at_us < start + self.timeout:
-                continue
-            if not pd.isna(row.outcome):
-                done = True
-                yield self._row(key, row.outcome, int(row.at_us - start), None)
-                break
-            if not pd.isna(row.detail):
-                detail = row.detail
-        self.watch.update((start, done, detail))
+        start, done, detail = self.memo.get()
+        if not done and _passes(start + self.timeout) <= watermark:
+            yield self.row(key, outcome=[self.overdue], detail=[detail])
+            done = True
+            self.memo.update((start, True, None))
+        if done and _passes(start + self.timeout + self.keep) <= watermark:
+            self.memo.clear()
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        start, done, detail = self.watch.get()
-        if not done:
-            self.watch.update((start, True, None))
-            yield self._row(key, self.overdue, None, detail)
 
-    def close(self) -> None:
-        pass
+class PollsProcessor(EventTimeProcessor):
+    """Lasting conditions out of full listings, for one slice of a scope's keys.
+
+    Rows are polls (``poll_ok`` is not null) and sightings of keys in them. Polls are numbered as they pass. A
+    key's clock runs while it is in every poll; one that the next poll does not list, or that a failed poll
+    follows, is taken out of the open ones, so state holds the keys of the last poll and those captured.
+    """
+
+    MEMO = "number bigint, seq bigint, at_us bigint, ok boolean, open binary, captured binary"
+
+    def __init__(self, scope: Sequence[str], keys: Sequence[str], grace: int, ignore_failed: bool):
+        super().__init__([*scope, "slice"], ["poll_seq", "is_seen"], [*keys, "since_us", "at_us"], grace)
+        self.names, self.grace, self.ignore_failed = list(keys), grace, ignore_failed
+        self.shown = self.names
+
+    def _numbered(self, polls: pd.DataFrame, number: int, current: tuple) -> tuple[pd.DataFrame, int, tuple]:
+        """seq, number, at_us and ok of the polls in these rows, that of before first."""
+        polls = polls.assign(ok=polls["poll_ok"].astype(bool))
+        times = polls.groupby("poll_seq", sort=True).agg(at_us=("at_us", "min"), ok=("ok", "min")).reset_index()
+        known = [] if current[0] is None else [(current[0], current[1], current[2], number)]
+        for seq, at_us, ok in times[["poll_seq", "at_us", "ok"]].itertuples(index=False):
+            if (current[0] is None or seq > current[0]) and (ok or not self.ignore_failed):
+                number, current = number + 1, (int(seq), int(at_us), bool(ok))
+                known.append((*current, number))
+        return pd.DataFrame(known, columns=["poll_seq", "at_us", "ok", "number"]), number, current
+
+    def decide(self, key, rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        number, seq, at_us, ok, packed_open, packed_captured = self.remembered((0, None, None, None, None, None))
+        is_poll = rows["poll_ok"].notna().to_numpy()
+        times, number, current = self._numbered(rows[is_poll], number, (seq, at_us, ok))
+        if not len(times):
+            return
+        good = times[times["ok"]][["poll_seq", "at_us", "number"]]
+        seen = rows[~is_poll][["poll_seq", *self.names]].drop_duplicates().merge(good, on="poll_seq")
+        seen = seen[[*self.names, "number", "at_us"]].assign(since_us=_NEVER)
+        if packed_open:
+            seen = pd.concat([_unpacked(bytes(packed_open)), seen], ignore_index=True)
+        # a key that is open and seen again in the same poll is one row, the one that knows since when
+        seen = seen.sort_values([*self.names, "number", "since_us"], ignore_index=True)
+        seen = seen.drop_duplicates([*self.names, "number"], ignore_index=True)
+        captured = _unpacked(bytes(packed_captured)) if packed_captured else None
+        if len(seen):
+            seen = self._clocked(seen)
+            due = seen[seen["at_us"] - seen["since_us"] >= self.grace].drop_duplicates(self.names)
+            if captured is not None:
+                due = due.merge(captured, on=self.names, how="left", indicator=True)
+                due = due[due["_merge"] == "left_only"]
+            if len(due):
+                yield self.row(key, len(due), **{name: due[name].tolist() for name in self.results})
+                captured = due[self.names] if captured is None else pd.concat([captured, due[self.names]])
+        # the last poll may have more rows to come, so a key of the one before it is not gone yet
+        latest = seen.drop_duplicates(self.names, keep="last")
+        latest = latest[latest["number"] >= number - 1]
+        self.memo.update(
+            (number, *current, _packed(latest) if len(latest) else None, None if captured is None else _packed(captured))
+        )
+
+    def _clocked(self, seen: pd.DataFrame) -> pd.DataFrame:
+        """Sets since_us, for rows in order of key and number."""
+        codes = seen.groupby(self.names, dropna=False, sort=False).ngroup().to_numpy()
+        n, known = seen["number"].to_numpy(), seen["since_us"].to_numpy()
+        starts = np.ones(len(seen), bool)
+        starts[1:] = (codes[1:] != codes[:-1]) | (n[1:] != n[:-1] + 1)
+        at = np.minimum(known, seen["at_us"].to_numpy())
+        return seen.assign(since_us=at[starts][np.cumsum(starts) - 1])

@@ -1,23 +1,35 @@
 """Streaming forms of the polled-state and log operators.
 
-Each takes and returns a streaming DataFrame; with rows in time order it gives what its batch form
-in `invq.operators.polling` gives. The stateful ones need the RocksDB state store
-(`state_store_settings`). State per key is one value; it is kept until a time to live, where
-one is given.
+Each takes and returns a streaming DataFrame. The stateful ones work in event time and need the RocksDB
+state store (`state_store_settings`): rows are decided in order of time once the watermark, which trails the
+latest row by ``delay``, has passed them, so the results are those of the batch form in
+`invq.operators.polling`, in whatever order files come. Rows that come later than that are given
+out with their time in ``late_at_us`` and nothing else decided (`results` and `late` tell them apart).
+
+A watermark stands still when nothing comes. ``closing`` is a stream of times (``event_time``) that move it on
+without being rows: `run_closed` ends a bounded stream with one.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.clock import MICROS, micros
 from ..operators import polling as P
 from ..operators.logs import log_route_filter, redact_text  # noqa: F401 - they run on streams as is
 from ..session import ROCKSDB, scratch
-from .processors import DeadlineProcessor, SustainedProcessor, ThrottleProcessor
+from .processors import (
+    LATE,
+    DeadlineProcessor,
+    EventTimeProcessor,
+    PollsProcessor,
+    SustainedProcessor,
+    ThrottleProcessor,
+)
 
 
 def state_store_settings(partitions: int) -> dict[str, str]:
@@ -34,6 +46,42 @@ def _fields(df: DataFrame, names: Sequence[str]) -> str:
     return ", ".join(f"`{n}` {df.schema[n].dataType.simpleString()}" for n in names)
 
 
+def _in_event_time(rows: DataFrame, columns: Sequence[Column | str], delay: str, closing: DataFrame | None) -> DataFrame:
+    """The columns of the rows (``at_us`` among them) beside a watermark over their times.
+
+    The engine drops what is older than the watermark. To give such rows out instead, every row is two: its time, which
+    moves the watermark and ends there, and the row itself, which has no event time.
+    """
+    named = rows.select(*columns)
+    kind = named.schema.simpleString()
+    event_time = F.timestamp_micros("at_us")
+    apart = F.array(
+        F.struct(event_time.alias("event_time"), F.lit(None).cast(kind).alias("row")),
+        F.struct(F.lit(None).cast("timestamp").alias("event_time"), F.struct(*named.columns).alias("row")),
+    )
+    both = named.select(F.explode(apart).alias("one")).select("one.event_time", "one.row")
+    if closing is not None:
+        both = both.unionByName(closing.select("event_time", F.lit(None).cast(kind).alias("row")))
+    # asked of the event time, so that it is asked after the watermark has seen all times
+    return both.withWatermark("event_time", delay).where(F.col("event_time").isNull()).select("event_time", "row.*")
+
+
+def _decided(timed: DataFrame, processor: EventTimeProcessor, results: str) -> DataFrame:
+    schema = f"{_fields(timed, processor.keys)}, {results}, {LATE} bigint"
+    return timed.groupBy(*processor.keys).transformWithStateInPandas(processor, schema, "Append", "EventTime")
+
+
+def results(decided: DataFrame) -> DataFrame:
+    """What was decided, without the rows that came too late."""
+    return decided.where(F.col(LATE).isNull()).drop(LATE)
+
+
+def late(decided: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """How many rows of each key came too late, and the time of the latest of them."""
+    came = decided.where(F.col(LATE).isNotNull())
+    return came.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_late"), F.max(LATE).alias("last_late_at_us"))
+
+
 def sustained_condition(
     observations: DataFrame,
     keys: Sequence[str],
@@ -41,26 +89,52 @@ def sustained_condition(
     ts: str = "ts",
     order: Sequence[str] = (),
     ttl_seconds: int | None = None,
+    delay: str = "0 seconds",
+    closing: DataFrame | None = None,
 ) -> DataFrame:
-    """Keys present without a break for at least the grace, each once. A key is emitted at the
-    first observation past the grace, never by a timer. With ``ttl_seconds`` a key that is quiet
-    for that long is forgotten and may come out again; that runs in processing time, where a
-    stream never comes to an end by itself, so start it with a time trigger."""
-    breaks = F.lit(False)
-    if "breaks" in observations.columns:
-        breaks = F.coalesce("breaks", breaks)
-    obs = observations.select(
-        *keys, micros(observations, ts).alias("at_us"), *order, "present", breaks.alias("breaks")
-    )
-    processor = SustainedProcessor(
-        keys, order, int(grace_seconds * MICROS), None if ttl_seconds is None else ttl_seconds * 1000
-    )
-    return obs.groupBy(*keys).transformWithStateInPandas(
-        processor,
-        f"{_fields(obs, keys)}, since_us bigint, at_us bigint" + "".join(f", {_fields(obs, [o])}" for o in order),
-        "Append",
-        "None" if ttl_seconds is None else "ProcessingTime",
-    )
+    """Keys present without a break for at least the grace, each once: since_us, at_us and the order columns of
+    the first observation past the grace. With ``ttl_seconds`` a key that has not been present for that
+    long is forgotten and may come out again; without it a flag is kept of every key that came out."""
+    breaks = F.coalesce("breaks", F.lit(False)) if "breaks" in observations.columns else F.lit(False)
+    columns = [*keys, micros(observations, ts).alias("at_us"), *order, "present", breaks.alias("breaks")]
+    timed = _in_event_time(observations, columns, delay, closing)
+    ttl = None if ttl_seconds is None else ttl_seconds * MICROS
+    processor = SustainedProcessor(keys, order, int(grace_seconds * MICROS), ttl)
+    return _decided(timed, processor, ", ".join(["since_us bigint, at_us bigint", *[_fields(timed, [o]) for o in order]]))
+
+
+def sustained_condition_polls(
+    polls: DataFrame,
+    seen: DataFrame,
+    scope: Sequence[str],
+    keys: Sequence[str],
+    grace_seconds: float = P.GRACE,
+    ignore_failed: bool = False,
+    slices: int = 1,
+    delay: str = "0 seconds",
+    closing: DataFrame | None = None,
+) -> DataFrame:
+    """Keys that every poll of their scope has listed for at least the grace, each once.
+
+    ``polls`` has scope, ``poll_seq``, ``ts`` and ``poll_ok``; several rows of one poll are one, at the earliest of their
+    times. ``seen`` has scope, ``poll_seq``, ``ts`` and the keys that the poll listed, at no time before the poll's own.
+    Polls of a scope come one after the other in time, numbered upwards. A scope's keys are dealt to
+    ``slices`` tasks; each is told of every poll, so a key's absence is seen without the other keys.
+    """
+    scope, keys = list(scope), list(keys)
+    part = F.pmod(F.xxhash64(*keys), F.lit(slices)).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.lit(slices - 1)))
+    common = [*scope, "poll_seq"]
+    told = polls.select(*common, micros(polls, "ts").alias("at_us"), F.coalesce("poll_ok", F.lit(False)).alias("poll_ok"), every.alias("slice"))
+    told = told.select("*", *[F.lit(None).cast(seen.schema[k].dataType).alias(k) for k in keys], F.lit(False).alias("is_seen"))
+    listed = seen.select(
+        *common, micros(seen, "ts").alias("at_us"), F.lit(None).cast("boolean").alias("poll_ok"), part.alias("slice"), *keys,
+        F.lit(True).alias("is_seen"),
+    )
+    both = told.unionByName(listed)
+    timed = _in_event_time(both, both.columns, delay, closing)
+    processor = PollsProcessor(scope, keys, int(grace_seconds * MICROS), ignore_failed)
+    return _decided(timed, processor, f"{_fields(timed, keys)}, since_us bigint, at_us bigint").drop("slice")
 
 
 def throttle_per_key(
@@ -69,15 +143,14 @@ def throttle_per_key(
     interval_seconds: float = P.THROTTLE,
     ts: str = "ts",
     order: Sequence[str] = (),
+    delay: str = "0 seconds",
+    closing: DataFrame | None = None,
 ) -> DataFrame:
-    """Events that pass when at most one per interval may, counted from the last that passed."""
-    timed = events.select(*keys, micros(events, ts).alias("at_us"), *order)
-    return timed.groupBy(*keys).transformWithStateInPandas(
-        ThrottleProcessor(keys, order, int(interval_seconds * MICROS)),
-        _fields(timed, [*keys, "at_us", *order]),
-        "Append",
-        "None",
-    )
+    """Events that pass when at most one per interval may, counted from the last that passed. A key is
+    forgotten once the interval is over."""
+    timed = _in_event_time(events, [*keys, micros(events, ts).alias("at_us"), *order], delay, closing)
+    processor = ThrottleProcessor(keys, order, int(interval_seconds * MICROS))
+    return _decided(timed, processor, _fields(timed, ["at_us", *order]))
 
 
 def first_seen_follow(
@@ -91,6 +164,10 @@ def first_seen_follow(
     return wanted.withWatermark(ts, within).dropDuplicatesWithinWatermark([key])
 
 
+#: Seconds for which a decided key is remembered after its deadline.
+KEEP = 24 * 3600
+
+
 def _deadline(
     rows: DataFrame,
     key: str,
@@ -101,22 +178,19 @@ def _deadline(
     ts: str,
     order: Sequence[str],
     delay: str,
+    closing: DataFrame | None,
+    keep_seconds: int,
 ) -> DataFrame:
-    at = micros(rows, ts)
-    timed = rows.select(
+    columns = [
         key,
-        at.alias("at_us"),
+        micros(rows, ts).alias("at_us"),
         *order,
         outcome.cast("string").alias("outcome"),
         detail.cast("string").alias("detail"),
-        F.timestamp_micros(at).alias("event_time"),
-    ).withWatermark("event_time", delay)
-    return timed.groupBy(key).transformWithStateInPandas(
-        DeadlineProcessor([key], order, timeout_seconds * MICROS, overdue),
-        f"{_fields(timed, [key])}, outcome string, elapsed_us bigint, detail string",
-        "Append",
-        "EventTime",
-    )
+    ]
+    timed = _in_event_time(rows, columns, delay, closing)
+    processor = DeadlineProcessor([key], order, timeout_seconds * MICROS, overdue, keep_seconds * MICROS)
+    return _decided(timed, processor, "outcome string, elapsed_us bigint, detail string")
 
 
 def reached_within(
@@ -127,12 +201,16 @@ def reached_within(
     ts: str = "ts",
     order: Sequence[str] = (),
     delay: str = "0 seconds",
+    closing: DataFrame | None = None,
+    keep_seconds: int = KEEP,
 ) -> DataFrame:
     """Targets as they are reached, or as their deadline passes (``unreached``, with the last
-    failure). ``delay`` is how late rows may come."""
+    failure). A target that is tried again later than ``keep_seconds`` past its deadline begins anew."""
     reached = F.when(F.col("status") == expect, F.lit("reached"))
     failure = F.col("failure")
-    return _deadline(attempts, target, reached, failure, timeout_seconds, "unreached", ts, order, delay)
+    return _deadline(
+        attempts, target, reached, failure, timeout_seconds, "unreached", ts, order, delay, closing, keep_seconds
+    )
 
 
 def never_reached(
@@ -142,12 +220,14 @@ def never_reached(
     ts: str = "ts",
     order: Sequence[str] = (),
     delay: str = "0 seconds",
+    closing: DataFrame | None = None,
+    keep_seconds: int = KEEP,
 ) -> DataFrame:
     """Targets as they first answer (``answered``, a violation), or as the settle window passes
     without an answer (``silent``)."""
     answered = F.when(F.col("status").isNotNull(), F.lit("answered"))
     none = F.lit(None)
-    return _deadline(attempts, target, answered, none, settle_seconds, "silent", ts, order, delay)
+    return _deadline(attempts, target, answered, none, settle_seconds, "silent", ts, order, delay, closing, keep_seconds)
 
 
 def job_outcome(
@@ -156,6 +236,8 @@ def job_outcome(
     timeout_seconds: int = P.JOB_TIMEOUT,
     ts: str = "ts",
     delay: str = "0 seconds",
+    closing: DataFrame | None = None,
+    keep_seconds: int = KEEP,
 ) -> DataFrame:
     """Jobs as they end (succeeded, failed, gone) or as their deadline passes (``timed_out``)."""
     found = F.coalesce("found", F.lit(True))
@@ -164,13 +246,11 @@ def job_outcome(
         .when(found & (F.coalesce("failed", F.lit(0)) > 0), "failed")
         .when(~found, "gone")
     )
-    return _deadline(polls, job, ended, F.lit(None), timeout_seconds, "timed_out", ts, (), delay)
+    none = F.lit(None)
+    return _deadline(polls, job, ended, none, timeout_seconds, "timed_out", ts, (), delay, closing, keep_seconds)
 
 
-def run_to_end(spark: SparkSession, stream: DataFrame, purpose: str) -> DataFrame:
-    """Runs a stream over all there is now, into a Parquet table of the shared scratch folder,
-    and gives that table. A restart goes on from the checkpoint beside it."""
-    folder = scratch(spark, purpose)
+def _run(stream: DataFrame, folder: str) -> StreamingQuery:
     query = (
         stream.writeStream.format("parquet")
         .option("path", f"{folder}/out")
@@ -180,6 +260,31 @@ def run_to_end(spark: SparkSession, stream: DataFrame, purpose: str) -> DataFram
         .start()
     )
     query.awaitTermination()
+    return query
+
+
+def run_to_end(spark: SparkSession, stream: DataFrame, purpose: str) -> DataFrame:
+    """Runs a stream over all there is now, into a Parquet table of the shared scratch folder,
+    and gives that table. A restart goes on from the checkpoint beside it."""
+    folder = scratch(spark, purpose)
+    _run(stream, folder)
+    return spark.read.schema(stream.schema).parquet(f"{folder}/out")
+
+
+def run_closed(
+    spark: SparkSession, session: SparkSession, make: Callable[[DataFrame], DataFrame], purpose: str, until_us: int
+) -> DataFrame:
+    """Runs a stream of ``session`` over all there is now, then goes on from its checkpoint with a time and no rows,
+    so that the watermark passes ``until_us`` less the stream's delay. ``make`` takes the closing times."""
+    folder = scratch(spark, purpose)
+    times = f"{folder}/closing"
+    moment = F.timestamp_micros(F.lit(until_us)).alias("event_time")
+    session.range(0).select(moment).write.parquet(times)
+    reader = session.readStream.schema("event_time timestamp")
+    _run(make(reader.parquet(times)), folder)
+    session.range(1).select(moment).write.mode("append").parquet(times)
+    stream = make(reader.parquet(times))
+    _run(stream, folder)
     return spark.read.schema(stream.schema).parquet(f"{folder}/out")
 
 

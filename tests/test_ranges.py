@@ -265,7 +265,7 @@ def test_layout_integrity(spark):
 def test_many_equal_planned_blocks_meet_one_existing(spark):
     planned = spark.range(500).select(F.lit(1).alias("vpc_id"), "id", C.parse_cidr(F.lit("10.0.0.0/24")).alias("subnet"))
     there = spark.createDataFrame([(1, "s", "10.0.0.128/25")], "vpc_id int, subnet_id string, cidr string")
-    there = there.select("vpc_id", "subnet_id", C.parse_cidr("cidr").alias("existing"))
+    there = there.select("vpc_id", "subnet_id", C.parse_cidr(F.col("cidr")).alias("existing"))
     for hot_rows in (10, 10**6):
         out = R.overlap_join(planned, there, ["vpc_id"], "subnet", "existing", hot_rows=hot_rows)
         assert sorted(r["id"] for r in out.collect()) == list(range(500))

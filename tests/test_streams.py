@@ -1,68 +1,144 @@
-"""Streams over several time-ordered micro-batches, against their batch forms."""
+"""Streams over several micro-batches, in time order and in none, against their batch forms."""
 
 import os
+import subprocess
+import sys
 import time
+from datetime import UTC, datetime
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
+from invq.functions.clock import MICROS, micros
 from invq.operators import polling as P
 from invq.operators.logs import redact_text
-from invq.plans.polling import HOUR, errors_of_users
+from invq.plans.polling import DAY, HOUR, errors_of_users
 from invq.streaming import streams as T
 from tests.helpers import rows
 
 EVENTS = "/root/testdata/sf0.001/events.parquet"
 
 
-@pytest.fixture(scope="module")
-def landed(spark, tmp_path_factory):
-    """The events in four files, each later than the one before, rows within a file shuffled."""
-    folder = tmp_path_factory.mktemp("events")
-    events = spark.read.parquet(EVENTS)
-    cuts = events.approxQuantile("event_id", [0.0, 0.25, 0.5, 0.75, 1.0], 0.0)
+def write_files(spark, parts, folder):
+    """One file a part, landed in this order; rows within a file are shuffled."""
     now = time.time()
-    for i in range(4):
-        part = events.where((F.col("event_id") >= cuts[i]) & ((F.col("event_id") < cuts[i + 1]) | F.lit(i == 3)))
-        table = part.orderBy(F.rand(i)).toPandas()
+    for i, part in enumerate(parts):
         path = folder / f"{i}.parquet"
-        spark.createDataFrame(table, events.schema).coalesce(1).write.parquet(str(folder / f"tmp{i}"))
+        part.orderBy(F.rand(i)).coalesce(1).write.parquet(str(folder / f"tmp{i}"))
         (source,) = (folder / f"tmp{i}").glob("*.parquet")
         path.write_bytes(source.read_bytes())
         os.utime(path, (now - 100 + i * 10,) * 2)
     return str(folder)
 
 
-def stream(spark, landed):
-    session = T.stream_session(spark, 4)
-    schema = spark.read.parquet(EVENTS).schema
+@pytest.fixture(scope="module")
+def landed(spark, tmp_path_factory):
+    """The events in four files, each later than the one before."""
+    events = spark.read.parquet(EVENTS)
+    cuts = events.approxQuantile("event_id", [0.0, 0.25, 0.5, 0.75, 1.0], 0.0)
+    parts = [
+        events.where((F.col("event_id") >= cuts[i]) & ((F.col("event_id") < cuts[i + 1]) | F.lit(i == 3)))
+        for i in range(4)
+    ]
+    return write_files(spark, parts, tmp_path_factory.mktemp("events"))
+
+
+@pytest.fixture(scope="module")
+def mixed(spark, tmp_path_factory):
+    """The events in four files, each from all over the time, the latest of all in the first."""
+    events = spark.read.parquet(EVENTS)
+    last = events.agg(F.max("event_id")).first()[0]
+    part = F.when(F.col("event_id") >= last - 20, 0).otherwise(F.pmod(F.xxhash64("event_id"), F.lit(4)))
+    return write_files(spark, [events.where(part == i) for i in range(4)], tmp_path_factory.mktemp("mixed"))
+
+
+@pytest.fixture(params=["in order", "mixed"])
+def case(request, landed, mixed):
+    """Folder of files and how late their rows may come."""
+    return (landed, "0 seconds") if request.param == "in order" else (mixed, "60 days")
+
+
+def stream(session, folder):
+    schema = session.read.parquet(EVENTS).schema
     reader = session.readStream.schema(schema).option("maxFilesPerTrigger", 1)
-    return reader.option("pathGlobFilter", "?.parquet").parquet(landed)
+    return reader.option("pathGlobFilter", "?.parquet").parquet(folder)
+
+
+def until(spark, days=0):
+    """Just after the latest event, and what the longest delay takes."""
+    events = spark.read.parquet(EVENTS)
+    return events.agg(F.max(micros(events, "ts"))).first()[0] + 1000 + (60 + days) * DAY * MICROS
+
+
+def closed(spark, make, case, days=0, purpose="t"):
+    """make(stream, **settings) run file by file and closed."""
+    folder, delay = case
+    session = T.stream_session(spark, 2)
+
+    def made(closing):
+        return make(stream(session, folder), delay=delay, closing=closing)
+
+    return T.run_closed(spark, session, made, purpose, until(spark, days))
+
+
+@pytest.fixture
+def progress(monkeypatch):
+    """What each run of a stream says at its end."""
+    said, run = [], T._run
+
+    def noting(stream, folder):
+        query = run(stream, folder)
+        said.append(query.recentProgress)
+        return query
+
+    monkeypatch.setattr(T, "_run", noting)
+    return said
+
+
+def sustained(events, **settings):
+    return T.sustained_condition(errors_of_users(events), ["user_id"], 12 * HOUR, order=["event_id"], **settings)
 
 
-def test_sustained(spark, landed):
+def test_sustained(spark, case):
     batch = P.sustained_condition(errors_of_users(spark.read.parquet(EVENTS)), ["user_id"], 12 * HOUR, order=["event_id"])
-    out = T.sustained_condition(errors_of_users(stream(spark, landed)), ["user_id"], 12 * HOUR, order=["event_id"])
-    got = rows(T.run_to_end(spark, out, "t"), "user_id", "since_us", "at_us", "event_id")
+    got = rows(T.results(closed(spark, sustained, case)), "user_id", "since_us", "at_us", "event_id")
     assert got == rows(batch, "user_id", "since_us", "at_us", "event_id") and got
 
 
-def test_sustained_with_a_time_to_live(spark, landed, tmp_path):
-    """In processing time a stream always has a next batch, so this one runs a single one."""
-    obs = errors_of_users(stream(spark, landed))
-    out = T.sustained_condition(obs, ["user_id"], 12 * HOUR, order=["event_id"], ttl_seconds=3600)
-    query = (
-        out.writeStream.format("parquet").option("path", str(tmp_path / "out"))
-        .option("checkpointLocation", str(tmp_path / "cp")).trigger(once=True).start()
-    )
-    assert query.awaitTermination(90)
-    assert spark.read.parquet(str(tmp_path / "out")).count() > 0
+def test_sustained_is_forgotten_after_its_time_to_live(spark, tmp_path, progress):
+    """Two lasting spells, far apart: without a time to live the second does not count."""
+    start = int(datetime(2024, 1, 1, tzinfo=UTC).timestamp()) * MICROS
+    spells = [(1, start + (day * DAY + 60 * i) * MICROS) for day in (0, 1, 20) for i in range(5)]
+    data = spark.createDataFrame([(k, t, True) for k, t in spells], "k int, us long, present boolean")
+    data = data.select("k", F.timestamp_micros("us").alias("ts"), "present")
+    folder = write_files(spark, [data.where("k = 1")], tmp_path)
+
+    def run(ttl):
+        session = T.stream_session(spark, 2)
+
+        def make(closing):
+            obs = session.readStream.schema(data.schema).option("pathGlobFilter", "?.parquet").parquet(folder)
+            return T.sustained_condition(obs, ["k"], 120, ttl_seconds=ttl, closing=closing)
+
+        out = T.results(T.run_closed(spark, session, make, "t", start + 100 * DAY * MICROS))
+        return [(since - start) // MICROS // DAY for _, since, _ in rows(out, "k", "since_us", "at_us")]
 
+    assert run(None) == [0]
+    assert run(5 * DAY) == [0, 20]
+    assert progress[-1][-1]["stateOperators"][0]["numRowsTotal"] == 0
 
-def test_throttle(spark, landed):
+
+def throttled(events, **settings):
+    return T.throttle_per_key(events, ["user_id"], 12 * HOUR, order=["event_id"], **settings)
+
+
+def test_throttle(spark, case, progress):
     batch = P.throttle_per_key(spark.read.parquet(EVENTS), ["user_id"], 12 * HOUR, order=["event_id"])
-    out = T.throttle_per_key(stream(spark, landed), ["user_id"], 12 * HOUR, order=["event_id"])
-    assert rows(T.run_to_end(spark, out, "t"), "user_id", "at_us", "event_id") == rows(batch, "user_id", "at_us", "event_id")
+    out = T.results(closed(spark, throttled, case, days=1))
+    assert rows(out, "user_id", "at_us", "event_id") == rows(batch, "user_id", "at_us", "event_id")
+    held = [p["stateOperators"][0]["numRowsTotal"] for run in progress for p in run if p["stateOperators"]]
+    assert held[-1] == 0 < max(held)
 
 
 def attempts(events):
@@ -73,23 +149,88 @@ def attempts(events):
     )
 
 
-def test_reached(spark, landed):
+EVER = 1000 * DAY
+
+
+def test_reached(spark, case, progress):
     batch = P.reached_within(attempts(spark.read.parquet(EVENTS)), timeout_seconds=6 * HOUR, order=["event_id"])
     want = [
         (t, "reached" if ok else "unreached", after, failure)
         for t, ok, after, failure in rows(batch, "target", "ok", "latency_us", "last_failure")
     ]
-    out = T.reached_within(attempts(stream(spark, landed)), timeout_seconds=6 * HOUR, order=["event_id"])
-    got = rows(T.run_to_end(spark, out, "t"), "target", "outcome", "elapsed_us", "detail")
+
+    def make(events, **settings):
+        return T.reached_within(attempts(events), timeout_seconds=6 * HOUR, order=["event_id"], keep_seconds=EVER, **settings)
+
+    got = rows(T.results(closed(spark, make, case, days=2000)), "target", "outcome", "elapsed_us", "detail")
     assert got == sorted(want, key=repr)
     assert {g[1] for g in got} == {"reached", "unreached"}
+    assert progress[-1][-1]["stateOperators"][0]["numRowsTotal"] == 0
 
 
-def test_never_reached(spark, landed):
+def test_never_reached(spark, case):
     batch = P.never_reached(attempts(spark.read.parquet(EVENTS)), settle_seconds=6 * HOUR, order=["event_id"])
     want = [(t, "silent" if ok else "answered", after) for t, ok, after in rows(batch, "target", "passed", "after_us")]
-    out = T.never_reached(attempts(stream(spark, landed)), settle_seconds=6 * HOUR, order=["event_id"])
-    assert rows(T.run_to_end(spark, out, "t"), "target", "outcome", "elapsed_us") == sorted(want, key=repr)
+
+    def make(events, **settings):
+        return T.never_reached(attempts(events), settle_seconds=6 * HOUR, order=["event_id"], keep_seconds=EVER, **settings)
+
+    got = rows(T.results(closed(spark, make, case, days=1)), "target", "outcome", "elapsed_us")
+    assert got == sorted(want, key=repr)
+
+
+def test_job_outcome(spark, mixed):
+    def polls(events):
+        ended = F.when((F.col("event_type") == "purchase") & (F.col("value") > 50), 1).otherwise(0)
+        return events.select(
+            F.floor(F.col("event_id") / 20).alias("job"), "ts", ended.alias("succeeded"), F.lit(0).alias("failed"), F.lit(True).alias("found")
+        )
+
+    batch = P.job_outcome(polls(spark.read.parquet(EVENTS)), timeout_seconds=3 * HOUR)
+    want = [(j, o if o != "running" else "timed_out", e) for j, o, e in rows(batch, "job", "outcome", "elapsed_us")]
+
+    def make(events, **settings):
+        return T.job_outcome(polls(events), timeout_seconds=3 * HOUR, keep_seconds=EVER, **settings)
+
+    got = rows(T.results(closed(spark, make, (mixed, "60 days"), days=1)), "job", "outcome", "elapsed_us")
+    assert got == sorted(want, key=repr) and {g[1] for g in got} == {"succeeded", "timed_out"}
+
+
+def listings(events):
+    poll = F.floor(micros(events, "ts") / (6 * HOUR * MICROS))
+    named = events.select((F.col("user_id") % 2).alias("scope"), poll.alias("poll_seq"), "ts", (F.col("user_id") % 5).alias("pod"))
+    return named.withColumn("poll_ok", F.col("poll_seq") % 11 != 3)
+
+
+@pytest.mark.parametrize("ignore_failed", [False, True])
+def test_absence_from_a_poll_is_seen(spark, case, ignore_failed):
+    table = listings(spark.read.parquet(EVENTS))
+    polls = table.groupBy("scope", "poll_seq").agg(F.min("ts").alias("ts"), F.first("poll_ok").alias("poll_ok"))
+    obs = P.poll_observations(polls, table.select("scope", "poll_seq", "pod"), ["scope"], ["pod"], ignore_failed)
+    batch = P.sustained_condition(obs, ["scope", "pod"], 18 * HOUR)
+
+    def make(events, **settings):
+        made = listings(events)
+        polls = made.select("scope", "poll_seq", "ts", "poll_ok")
+        return T.sustained_condition_polls(polls, made, ["scope"], ["pod"], 18 * HOUR, ignore_failed, slices=2, **settings)
+
+    got = rows(T.results(closed(spark, make, case)), "scope", "pod", "since_us", "at_us")
+    assert got == rows(batch, "scope", "pod", "since_us", "at_us") and got
+
+
+def test_late_rows_are_given_out_and_counted(spark, landed, tmp_path):
+    """The second file goes last, when the watermark has long passed its rows."""
+    paths = [Path(landed) / f"{i}.parquet" for i in (0, 2, 3, 1)]
+    parts = [spark.read.parquet(str(p)) for p in paths]
+    folder = write_files(spark, parts, tmp_path)
+    out = closed(spark, throttled, (folder, "0 seconds"))
+    assert T.late(out, []).first()["n_late"] == parts[3].count()
+    assert sorted(r["event_id"] for r in out.where(f"{T.LATE} is not null").collect()) == sorted(
+        r["event_id"] for r in parts[3].collect()
+    )
+    in_time = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    batch = P.throttle_per_key(in_time, ["user_id"], 12 * HOUR, order=["event_id"])
+    assert rows(T.results(out), "user_id", "at_us", "event_id") == rows(batch, "user_id", "at_us", "event_id")
 
 
 def test_first_seen(spark, landed):
@@ -113,26 +254,41 @@ def test_redaction(spark, landed):
 
 
 def test_a_stream_goes_on_from_its_checkpoint(spark, landed, tmp_path):
-    """Two runs over one checkpoint: state of the first is there in the second."""
+    """Three runs over one checkpoint: state of the first is there in the others."""
+    session = T.stream_session(spark, 2)
+    times = session.range(0).select(F.timestamp_micros("id").alias("event_time"))
+    times.write.parquet(str(tmp_path / "times"))
 
     def run(files):
-        session = T.stream_session(spark, 4)
-        schema = spark.read.parquet(EVENTS).schema
-        source = session.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("pathGlobFilter", files).parquet(landed)
-        out = T.sustained_condition(errors_of_users(source), ["user_id"], 12 * HOUR, order=["event_id"])
-        query = (
-            out.writeStream.format("parquet").option("path", str(tmp_path / "out"))
-            .option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
-        )
-        query.awaitTermination()
+        source = session.readStream.schema(spark.read.parquet(EVENTS).schema).option("maxFilesPerTrigger", 1)
+        closing = session.readStream.schema(times.schema).parquet(str(tmp_path / "times"))
+        T._run(sustained(source.option("pathGlobFilter", files).parquet(landed), closing=closing), str(tmp_path))
 
     run("[01].parquet")
     run("?.parquet")
+    end = session.range(1).select(F.timestamp_micros(F.lit(until(spark))).alias("event_time"))
+    end.write.mode("append").parquet(str(tmp_path / "times"))
+    run("?.parquet")
     batch = P.sustained_condition(errors_of_users(spark.read.parquet(EVENTS)), ["user_id"], 12 * HOUR, order=["event_id"])
-    got = spark.read.parquet(str(tmp_path / "out"))
+    got = T.results(spark.read.parquet(str(tmp_path / "out")))
     assert rows(got, "user_id", "at_us", "event_id") == rows(batch, "user_id", "at_us", "event_id")
 
 
+def test_streams_run_from_any_folder(tmp_path):
+    """The process beside the driver that starts a stateful stream finds the package too."""
+    root = Path(__file__).resolve().parents[1]
+    code = (
+        f"import sys; sys.path.insert(0, {str(root)!r})\n"
+        "import __spark_entry__ as entry\n"
+        "from invq.session import local_session\n"
+        "spark = local_session('2', 2)\n"
+        "print('rows', entry.queries()['throttle_per_key_stream'](spark, '/root/testdata/sf0.001').count())\n"
+    )
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert "rows 479" in done.stdout, done.stderr[-2000:]
+
+
 @pytest.mark.parametrize("name", ["redact_text_stream", "first_seen_follow_stream"])
 def test_tables_of_several_files_are_read_whole(spark, tmp_path, name):
     from invq.plans import registry
