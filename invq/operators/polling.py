@@ -147,6 +147,36 @@ def _chain_ends(times: np.ndarray, interval: int) -> np.ndarray:
     return times[last[:n]]
 
 
+#: Step tables that are composed in one group.
+FAN_IN = 32
+
+
+def _enter(upto: np.ndarray, ends: np.ndarray, passed, interval: int):
+    """The last event passed after a step table, given the last before it (None: none)."""
+    at = 0 if passed is None else int(np.searchsorted(upto, passed + interval))
+    return int(ends[at]) if at < len(ends) else passed
+
+
+def _composed(tables: Sequence[tuple[np.ndarray, np.ndarray]], begin: int, interval: int):
+    """One step table for consecutive ones. An entry says up to which threshold what is passed last.
+
+    Only a threshold below ``begin`` + interval can come in from before, so the result is no longer
+    than the distinct times of one interval.
+    """
+    upto, ends = tables[0]
+    for more_upto, more_ends in tables[1:]:
+        at = np.searchsorted(more_upto, ends + interval)
+        goes_on = at < len(more_ends)
+        through = np.where(goes_on, more_ends[np.minimum(at, len(more_ends) - 1)], ends)
+        # a threshold beyond all of the first table's times meets the second one as it is
+        beyond = more_upto > upto[-1]
+        upto = np.concatenate((upto, more_upto[beyond]))
+        ends = np.concatenate((through, more_ends[beyond]))
+    entries = min(len(upto), int(np.searchsorted(upto, begin + interval)) + 1)
+    last_of_run = np.append(np.flatnonzero(np.diff(ends[:entries])), entries - 1)
+    return upto[last_of_run], ends[last_of_run]
+
+
 def throttle_per_key(
     events: DataFrame,
     keys: Sequence[str],
@@ -160,8 +190,10 @@ def throttle_per_key(
     Which event passes depends on all before it, but exactly and in parallel: a stretch of time
     turns the last event passed before it into the last passed in it. (1) Every (key, stretch)
     works that function out as a step table: at most as long as the distinct times in one
-    interval, and short in practice since chains merge. (2) Per key the tables are followed in
-    order of time. (3) Every (key, stretch) lists what passes, given what passed before.
+    interval, and short in practice since chains merge. (2) The tables of `FAN_IN` neighbours are composed into
+    one, level by level, as many levels as the digits of the number of stretches; then, from the top down, every table
+    learns what passed before it. So no task ever holds more than `FAN_IN` tables of a key. (3) Every
+    (key, stretch) lists what passes, given what passed before.
     """
     keys, order = list(keys), list(order)
     interval = int(interval_seconds * MICROS)
@@ -182,13 +214,9 @@ def throttle_per_key(
         stretches, upto, last = frame["stretch"].to_numpy(), [], []
         for begin, end in zip(starts, [*starts[1:], len(frame)], strict=True):
             mine = times[begin:end]
-            ends = _chain_ends(mine, interval)
-            # only a threshold below start + interval can come in from an earlier stretch
-            highest = stretches[begin] * length + interval
-            entries = min(len(mine), int(np.searchsorted(mine, highest)) + 1)
-            last_of_run = np.append(np.flatnonzero(np.diff(ends[:entries])), entries - 1)
-            upto.append(mine[last_of_run])
-            last.append(ends[last_of_run])
+            short = _composed([(mine, _chain_ends(mine, interval))], int(stretches[begin]) * length, interval)
+            upto.append(short[0])
+            last.append(short[1])
         return frame.iloc[starts][by_stretch].assign(upto=upto, ends=last)
 
     tables = map_groups(
@@ -198,21 +226,7 @@ def throttle_per_key(
         table,
         f"{key_types}, stretch bigint, upto array<bigint>, ends array<bigint>",
     )
-
-    def follow(frame: pd.DataFrame) -> pd.DataFrame:
-        first_of_key = set(group_starts(frame, keys).tolist())
-        before, passed = [], None
-        for i, (upto, ends) in enumerate(zip(frame["upto"], frame["ends"], strict=True)):
-            passed = None if i in first_of_key else passed
-            before.append(passed)
-            entry = 0 if passed is None else int(np.searchsorted(upto, passed + interval))
-            if entry < len(ends):
-                passed = int(ends[entry])
-        return frame[by_stretch].assign(passed=pd.array(before, dtype="Int64"))
-
-    states = map_groups(
-        tables, keys, ["stretch"], follow, f"{key_types}, stretch bigint, passed bigint"
-    )
+    states = _passed_before(tables, keys, key_types, length, interval, _levels(events.select(at), length))
 
     def emit(frame: pd.DataFrame) -> pd.DataFrame:
         starts, times = group_starts(frame, by_stretch), frame["at_us"].to_numpy()
@@ -230,6 +244,64 @@ def throttle_per_key(
     return map_groups(firsts.join(states, by_stretch), by_stretch, ["at_us"], emit, kept_columns)
 
 
+def _levels(times: DataFrame, length: int) -> int:
+    """Levels of composition until at most two tables span all stretches."""
+    first, last = times.agg(F.min("at_us"), F.max("at_us")).first()
+    levels = 1
+    while first is not None and last // length // FAN_IN**levels - first // length // FAN_IN**levels > 1:
+        levels += 1
+    return levels
+
+
+def _passed_before(
+    tables: DataFrame, keys: Sequence[str], key_types: str, length: int, interval: int, levels: int
+) -> DataFrame:
+    """keys, stretch and ``passed``: the last event passed before each stretch (null: none)."""
+    table_type = "upto array<bigint>, ends array<bigint>"
+    below = [tables]
+
+    def arrays(frame: pd.DataFrame) -> list[tuple[np.ndarray, np.ndarray]]:
+        return [(np.asarray(u, np.int64), np.asarray(e, np.int64)) for u, e in zip(frame["upto"], frame["ends"], strict=True)]
+
+    for level in range(1, levels):
+        span = length * FAN_IN**level
+
+        def compose(frame: pd.DataFrame, span=span) -> pd.DataFrame:
+            starts, known, out = group_starts(frame, [*keys, "parent"]), arrays(frame), []
+            parents = frame["parent"].to_numpy()
+            for begin, end in zip(starts, [*starts[1:], len(frame)], strict=True):
+                out.append(_composed(known[begin:end], int(parents[begin]) * span, interval))
+            made = frame.iloc[starts][[*keys, "parent"]].rename(columns={"parent": "stretch"})
+            return made.assign(upto=[u for u, _ in out], ends=[e for _, e in out])
+
+        named = below[-1].withColumn("parent", F.floor(F.col("stretch") / FAN_IN))
+        below.append(map_groups(named, [*keys, "parent"], ["stretch"], compose, f"{key_types}, stretch bigint, {table_type}"))
+
+    def follow(frame: pd.DataFrame) -> pd.DataFrame:
+        starts, known, before = set(group_starts(frame, [*keys, "parent"]).tolist()), arrays(frame), []
+        given = frame["given"]
+        for i, (upto, ends) in enumerate(known):
+            if i in starts:
+                passed = None if pd.isna(given.iat[i]) else int(given.iat[i])
+            before.append(passed)
+            passed = _enter(upto, ends, passed, interval)
+        return frame[[*keys, "stretch"]].assign(passed=pd.array(before, dtype="Int64"))
+
+    above = None
+    for level in reversed(range(levels)):
+        top = above is None
+        # the last level is followed per key; under it, under the table that holds it
+        named = below[level].withColumn("parent", F.lit(0).cast("bigint") if top else F.floor(F.col("stretch") / FAN_IN))
+        if top:
+            named = named.withColumn("given", F.lit(None).cast("bigint"))
+        else:
+            named = named.join(above.withColumnsRenamed({"stretch": "parent", "passed": "given"}), [*keys, "parent"])
+        above = map_groups(
+            named, [*keys, "parent"], ["stretch"], follow, f"{key_types}, stretch bigint, passed bigint"
+        )
+    return above
+
+
 def group_starts(frame: pd.DataFrame, columns: Sequence[str]) -> np.ndarray:
     """Positions where a sorted frame changes group; nulls are one group."""
     changes = np.zeros(len(frame), dtype=bool)

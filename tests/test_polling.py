@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from invq.operators import polling as P
 from invq.plans.polling import HOUR, errors_of_users
@@ -120,6 +121,25 @@ def test_throttle_equals_a_loop(spark, seed, per_stretch):
     assert rows(out, "key", "at_us", "i") == sorted([(k, t, firsts[k, t]) for k, t in want], key=repr)
 
 
+def test_throttle_composes_a_bounded_number_of_tables(spark, monkeypatch):
+    """One key over thousands of stretches, on both sides of time zero: the loop's rows, and no large group."""
+    monkeypatch.setattr(P, "FAN_IN", 3)
+    groups, plain = [], P.map_groups
+
+    def counted(df, by, order, work, schema):
+        if "parent" in by:
+            groups.append(df.groupBy(*by).count().agg(F.max("count")).first()[0])
+        return plain(df, by, order, work, schema)
+
+    monkeypatch.setattr(P, "map_groups", counted)
+    rng = random.Random(4)
+    times = sorted(rng.choices(range(-400_000, 400_000), k=2500))
+    df = spark.createDataFrame([(1, t * S, i) for i, t in enumerate(times)], "key int, ts long, i int")
+    out = P.throttle_per_key(df, ["key"], 300, order=["i"], intervals_per_stretch=2)
+    assert rows(out, "at_us") == sorted([(t * S,) for t in brute_throttle(times, 300)], key=repr)
+    assert len(groups) > 8 and max(groups) <= 6
+
+
 def test_first_sight(spark):
     df = spark.createDataFrame([("tool-a", 5), ("tool-a", 3), ("app", 1)], "name string, ts long")
     assert rows(P.first_seen_follow(df, "tool-"), "name", "at_us") == [("tool-a", 3)]
