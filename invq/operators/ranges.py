@@ -9,6 +9,9 @@ data looks like:
   2^17 - 1 distinct blocks in it, so that is the most rows one key can bring.
 
 Copies of a block are counted, joined once, and joined back with `hot_join`.
+
+Where no scope has more than `FEW_BLOCKS` blocks on the right, which is counted first, comparing all of them is as linear
+as 33 ancestors are, and needs one join.
 """
 
 from __future__ import annotations
@@ -40,6 +43,9 @@ RESERVED_SERVICE_BLOCKS = (("112.0.0.0/16", 1879048192, 16),)
 #: Width no join key goes below; see the module text.
 PIVOT = 16
 
+#: Blocks of a scope that a block is compared with one by one.
+FEW_BLOCKS = 32
+
 
 # -- policy and layout -------------------------------------------------------------------------
 
@@ -134,6 +140,13 @@ def _climb(pieces: DataFrame, up_to: Column) -> DataFrame:
     )
 
 
+def few_per_scope(nets: DataFrame, scope: Sequence[str]) -> bool:
+    """Whether no scope has more than `FEW_BLOCKS` rows. Null scopes match nothing and do not count."""
+    known = nets.dropna(subset=list(scope)) if scope else nets
+    held = known.groupBy(*scope).agg(F.count(F.lit(1)).alias("held"))
+    return held.where(F.col("held") > FEW_BLOCKS).isEmpty()
+
+
 def net_pairs(left: DataFrame, right: DataFrame, scope: Sequence[str]) -> DataFrame:
     """Overlapping pairs of distinct blocks: column ``l`` of left with column ``r`` of right.
 
@@ -142,8 +155,10 @@ def net_pairs(left: DataFrame, right: DataFrame, scope: Sequence[str]) -> DataFr
     """
     scope = list(scope)
     keys = [*scope, "q", "at"]
-    lp, rp = _pieces(left, "l"), _pieces(right, "r")
     kept = [*left.columns, *[c for c in right.columns if c not in scope]]
+    if scope and few_per_scope(right, scope):
+        return left.join(right, scope).where(C.overlaps(F.col("l"), F.col("r"))).select(*kept)
+    lp, rp = _pieces(left, "l"), _pieces(right, "r")
 
     # the right block holds the left one, or both are wider than the pivot
     holds = (
@@ -174,6 +189,10 @@ def overlap_join(
     Result columns: the scope, then the other columns of both sides, which must differ in name.
     """
     scope = list(scope)
+    extra = [c for c in left.columns if c not in scope]
+    shown = [*scope, *extra, *[c for c in right.columns if c not in scope]]
+    if scope and few_per_scope(right, scope):
+        return left.join(right, scope).where(C.overlaps(F.col(left_net), F.col(right_net))).select(*shown)
     l_nets = distinct_nets(left, scope, left_net, "l", "ln")
     r_nets = distinct_nets(right, scope, right_net, "r", "rn")
     pairs = net_pairs(l_nets, r_nets, scope)
@@ -192,8 +211,7 @@ def overlap_join(
         counts=pairs.groupBy(*scope, "l").agg(F.sum("rn").alias("n"), F.max("ln").alias("m")),
         hot_rows=hot_rows,
     )
-    extra = [c for c in left.columns if c not in scope]
-    return both.select(*scope, *extra, *[c for c in right.columns if c not in scope])
+    return both.select(*shown)
 
 
 def overlap_summary(
@@ -347,26 +365,43 @@ def range_placement_verdict(
     In order: taken (a planned subnet collides with one not ours), covered (inside a block the
     network carries), wrong_family (outside the private blocks it numbers from, if any),
     partial_overlap, free. Only associated blocks count.
+
+    Requests of one scope, range and shape have one answer. A shape's own range meets the carried blocks and its
+    planned subnets meet the subnets in one join, told apart by ``kind``; the answers are joined back once.
     """
-    scope = list(scope)
+    scope, shape = list(scope), [*scope, "net", "zones", "is_public"]
+    own, planned_kind = F.lit(0).alias("kind"), F.lit(1).alias("kind")
     carried = blocks.where(F.col("state") == "associated")
+    theirs = subnets.where(~F.col("is_ours"))
+    shapes = requests.groupBy(*shape).agg(F.count(F.lit(1)).alias("n"))
+    planned = subnet_layout(shapes.drop("n").withColumn("zone_list", F.col("zones")))
+    planned = planned.select(*scope, "net", F.col("zone_list").alias("zones"), "is_public", planned_kind, F.col("subnet").alias("l"))
+    asked = shapes.select(*shape, own, F.col("net").alias("l")).unionByName(planned)
+    there = carried.select(*scope, own, "net").unionByName(theirs.select(*scope, planned_kind, "net"))
+    found = distinct_nets(there, [*scope, "kind"], "net", "r", "rn")
+    if few_per_scope(found, [*scope, "kind"]):
+        met = asked.join(found, [*scope, "kind"]).where(C.overlaps(F.col("l"), F.col("r")))
+        hits = met.withColumn("n_overlaps", F.col("rn")).withColumn(
+            "n_holding", F.when(C.inside(F.col("l"), F.col("r")), F.col("rn")).otherwise(0)
+        )
+    else:
+        distinct = asked.select(*scope, "kind", "l").distinct()
+        summary = overlap_summary(distinct, found, [*scope, "kind"])
+        hits = hot_join(asked, summary, [*scope, "kind", "l"])
+    judged = hits.groupBy(*shape).agg(
+        F.sum(F.when(F.col("kind") == 1, F.col("n_overlaps"))).alias("n_taken"),
+        F.sum(F.when(F.col("kind") == 0, F.col("n_overlaps"))).alias("n_overlaps"),
+        F.sum(F.when(F.col("kind") == 0, F.col("n_holding"))).alias("n_holding"),
+    )
     families = carried.groupBy(*scope).agg(
         *[
             F.bool_or(C.inside(F.col("net"), C.lit_block(lo, p))).alias(f"uses_{i}")
             for i, (_, lo, p) in enumerate(C.PRIVATE_BLOCKS)
         ]
     )
-    wanted = distinct_nets(requests, scope, "net", "l", "ln")
-    against = (
-        overlap_summary(wanted, distinct_nets(carried, scope, "net", "r", "rn"), scope)
-        .select(*scope, F.col("l").alias("net"), "n_overlaps", "n_holding")
-    )
-    judged = _with_taken(requests, subnets, scope)
-    judged = hot_join(
-        judged, against, [*scope, "net"], "left",
-        wanted.select(*scope, F.col("l").alias("net"), F.col("ln").alias("n")),
-    )
-    judged = hot_join(judged, families, scope, "left")
+    judged = hot_join(requests, judged, shape, "left", counts=shapes)
+    judged = hot_join(judged, families, scope, "left", counts=shapes.groupBy(*scope).agg(F.sum("n").alias("n")))
+    judged = judged.withColumn("n_taken", F.coalesce("n_taken", F.lit(0).cast("bigint")))
 
     uses = [F.coalesce(F.col(f"uses_{i}"), F.lit(False)) for i in range(len(C.PRIVATE_BLOCKS))]
     in_used = [
