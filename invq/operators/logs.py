@@ -23,6 +23,17 @@ SECRET_SHAPES = {
     "hex_key": r"\b[0-9a-f]{32}\b",
 }
 
+#: What any text with a shape in it has, asked without Unicode rules and without the shape's tail. The shapes
+#: themselves are only looked for where this is there.
+SECRET_SIGNS = {
+    "service_key": ("pcsk_",),
+    "stack_token": ("pul-",),
+    "access_key": ("AKIA", "ASIA"),
+    "signed_token": r"ey[A-Za-z0-9_-]{10}",
+    "database_url": ("postgres",),
+    "hex_key": r"[0-9a-f]{32}",
+}
+
 # fixed values: the tokens read from log lines, and the answer of a probe that got none
 CLUSTER_TOKEN = r"--name\s+(\S+)"
 HOST_TOKEN = r"server:\s*https://([^:/\s]+)"
@@ -33,8 +44,21 @@ NO_ANSWER = "000"
 UNICODE = "(?U)"
 
 
+def may_hold(text: Column, shape: str) -> Column:
+    """Whether a text can have a shape in it, by plain search or a pattern without borders."""
+    sign = SECRET_SIGNS[shape]
+    if isinstance(sign, str):
+        return text.rlike(sign)
+    found = [F.contains(text, F.lit(literal)) for literal in sign]
+    return found[0] if len(found) == 1 else found[0] | found[1]
+
+
 def redacted(text: Column) -> Column:
-    return F.regexp_replace(text, UNICODE + "|".join(SECRET_SHAPES.values()), REDACTED)
+    masked = F.regexp_replace(text, UNICODE + "|".join(SECRET_SHAPES.values()), REDACTED)
+    may = F.lit(False)
+    for shape in SECRET_SHAPES:
+        may = may | may_hold(text, shape)
+    return F.when(may, masked).otherwise(text)
 
 
 def redact_text(df: DataFrame, text: str = "text") -> DataFrame:
@@ -48,7 +72,7 @@ def secret_scan(df: DataFrame, source: Sequence[str], text: str = "text") -> Dat
     Counted per row and summed per source first; only then are the six sums turned into rows.
     """
     counts = [
-        F.sum(F.regexp_count(F.col(text), F.lit(UNICODE + shape))).cast("bigint").alias(name)
+        F.sum(F.when(may_hold(F.col(text), name), F.regexp_count(F.col(text), F.lit(UNICODE + shape)))).cast("bigint").alias(name)
         for name, shape in SECRET_SHAPES.items()
     ]
     per_source = df.groupBy(*source).agg(*counts)
