@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
@@ -403,6 +404,58 @@ def retention_sweep(objects: DataFrame, rules: Sequence[RetentionRule], as_of: C
     )
 
 
+#: Rules that are sent to every task; more are joined by shuffle.
+RULES_SENT = 20_000
+
+
+def prefix_ladder(key: Column, separator: str = "/", lengths: Sequence[int] = ()) -> Column:
+    """The prefixes of a key that a rule may name: the empty one, those that end with the separator, and those of
+    the given lengths, longest first and each once."""
+    parts = F.split(key, re.escape(separator))
+    ends = F.when(F.size(parts) > 1, F.sequence(F.lit(1), F.size(parts) - 1)).otherwise(F.array().cast("array<int>"))
+    cut = F.transform(ends, lambda n: F.concat(F.array_join(F.slice(parts, F.lit(1), n), separator), F.lit(separator)))
+    long_enough = F.filter(F.array(*[F.lit(n) for n in lengths]).cast("array<int>"), lambda n: n <= F.char_length(key))
+    given = F.transform(long_enough, lambda n: F.substr(key, F.lit(1), n))
+    every = F.array_distinct(F.concat(cut, given, F.array(F.lit(""))))
+    return F.array_sort(every, lambda a, b: F.char_length(b) - F.char_length(a))
+
+
+def retention_sweep_by_rules(
+    objects: DataFrame,
+    rules: DataFrame,
+    as_of: Column,
+    scope: Sequence[str] = ("account",),
+    clocks: Sequence[str] = ("modified", "noncurrent_since"),
+    separator: str = "/",
+    rules_sent: int = RULES_SENT,
+) -> DataFrame:
+    """`retention_sweep` with any number of rules per account, given as a table.
+
+    ``rules`` has the scope, ``rule``, ``prefix``, ``days``, ``clock`` (one of ``clocks``), ``inclusive`` and
+    ``applies_to``. An object meets them by equality of the prefixes it has: those that end with the separator, and those
+    as long as rules that end elsewhere (at most as many lengths as a key has characters). Equal objects are
+    asked about once, so an object is known by its columns, and all rules it meets come together again.
+    """
+    scope, columns = list(scope), objects.columns
+    rules = rules.select(*scope, "rule", "prefix", "days", "clock", "inclusive", "applies_to")
+    odd = rules.where((F.col("prefix") != "") & ~F.endswith(F.col("prefix"), F.lit(separator)))
+    lengths = [r.n for r in odd.select(F.char_length("prefix").alias("n")).distinct().collect()]
+    listed = objects.groupBy(*columns).agg(F.count(F.lit(1)).alias("__copies"))
+    asked = listed.withColumn("prefix", F.explode(prefix_ladder(F.col("object_key"), separator, sorted(lengths))))
+    keys = [*scope, "prefix"]
+    if rules.limit(rules_sent + 1).count() <= rules_sent:
+        met = asked.join(F.broadcast(rules), keys)
+    else:
+        met = hot_join(asked, rules, keys)
+    from_clock = F.coalesce(*[F.when(F.col("clock") == c, F.col(c)) for c in clocks])
+    due = from_clock + F.make_dt_interval(F.col("days"))
+    applies = (F.col("applies_to") == "any") | (F.col("is_current") == (F.col("applies_to") == "current"))
+    past = F.when(F.col("inclusive"), as_of >= due).otherwise(as_of > due)
+    first = met.where(applies & past).groupBy(*columns, "__copies").agg(F.min(F.struct(due.alias("due"), "rule")).alias("__hit"))
+    copies = F.explode(F.array_repeat(F.lit(0), F.col("__copies").cast("int")))
+    return first.withColumn("__copy", copies).select(*columns, "__hit.rule", "__hit.due")
+
+
 # -- target sets and node pools ----------------------------------------------------------------
 
 # fixed values: where registry credentials always go, besides the listed names

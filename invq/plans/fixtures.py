@@ -370,6 +370,22 @@ FIXTURES |= {
                case when l_returnflag = 'R' and l_linestatus = 'O' then l_shipdate + interval '9' day
                     when l_returnflag = 'R' then l_shipdate + interval '1' day end as noncurrent_since
         from {lineitem}""",
+    "object_listed": """
+        select l_suppkey % 50 as account, concat(case l_partkey % 6 when 0 then 'activity-scrapes/' when 1 then 'janitor/' when 2 then 'lag-reporter/'
+                      when 3 then 'data/activity-scrapes/' when 4 then 'internal/lag-reporter/' else 'data/' end, cast(l_partkey as string)) as object_key,
+               l_shipdate as modified, l_returnflag <> 'R' as is_current,
+               case when l_returnflag = 'R' and l_linestatus = 'O' then l_shipdate + interval '9' day
+                    when l_returnflag = 'R' then l_shipdate + interval '1' day end as noncurrent_since
+        from {lineitem}""",
+    "retention_rule": """
+        select p_partkey % 50 as account, concat('r', cast(p_partkey as string)) as rule,
+               case p_partkey % 7 when 0 then 'janitor/' when 1 then 'data/' when 2 then concat('data/', cast(p_partkey % 90 as string))
+                    when 3 then 'internal/lag-reporter/' when 4 then concat('activity-scrapes/', cast(p_partkey as string))
+                    when 5 then 'lag-reporter/absent/' else case when p_partkey % 35 = 6 then '' else 'jan' end end as prefix,
+               cast(20 + p_size * 37 as int) as days, case when p_partkey % 4 = 1 then 'noncurrent_since' else 'modified' end as clock,
+               p_partkey % 3 <> 0 as inclusive,
+               case p_partkey % 4 when 0 then 'current' when 1 then 'noncurrent' else 'any' end as applies_to
+        from {part}""",
     "tenant": """
         select c_custkey as id, concat(case when c_nationkey % 5 = 0 then 'My byoc ' else 'Acme_' end, c_mktsegment, ' Group ',
                  cast(c_nationkey as string)) as organisation,

@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from ..operators import naming as N
 from ..operators import snapshots as S
+from ..session import scratch
+from ..sources import versions as V
 from .fixtures import fixture, oracle
 
 FIELDS = {
@@ -116,6 +118,23 @@ def retention_sweep_azure(spark, sf_dir):
     return _sweep(spark, sf_dir, S.azure_rules())
 
 
+def retention_sweep_rules(spark, sf_dir):
+    as_of = F.lit(AS_OF).cast("timestamp_ntz")
+    objects, rules = fixture(spark, sf_dir, "object_listed"), fixture(spark, sf_dir, "retention_rule")
+    out = S.retention_sweep_by_rules(objects, rules, as_of)
+    return out.groupBy("account", "object_key", "rule", F.date_format("due", "yyyy-MM-dd").alias("due")).agg(
+        F.count(F.lit(1)).alias("n")
+    )
+
+
+def snapshot_merge(spark, sf_dir):
+    """Two snapshots kept in one table of versions, the second landed twice as a retried job would."""
+    path = scratch(spark, "snapshot-merge")
+    for name, snapshot in (("record_old", "first"), ("record_new", "second"), ("record_new", "second")):
+        V.upsert_snapshot(fixture(spark, sf_dir, name), path, ["id"], snapshot, buckets=16)
+    return V.read_snapshot(spark, path)
+
+
 def name_collision_audit(spark, sf_dir):
     df = fixture(spark, sf_dir, "tenant").withColumn(
         "cell", N.cell_name(F.col("organisation"), F.col("environment"))
@@ -177,6 +196,8 @@ QUERIES = {
         retention_sweep_aws,
         retention_sweep_gcp,
         retention_sweep_azure,
+        retention_sweep_rules,
+        snapshot_merge,
         name_collision_audit,
         target_set_resolve,
         outcome_tally,
@@ -321,6 +342,23 @@ ORACLES = {
     "retention_sweep_aws": _sweep_sql(S.aws_rules()),
     "retention_sweep_gcp": _sweep_sql(S.gcp_rules()),
     "retention_sweep_azure": _sweep_sql(S.azure_rules()),
+    "retention_sweep_rules": oracle(
+        f"""with o as (select *, row_number() over () as nr from object_listed),
+            hit as (select o.*, rule, case clock when 'modified' then modified else noncurrent_since end + to_days(days) as due, inclusive
+                    from o join retention_rule r on o.account = r.account and starts_with(object_key, prefix)
+                     and (applies_to = 'any' or is_current = (applies_to = 'current'))),
+            first as (select * from hit where case when inclusive then timestamp '{AS_OF}' >= due else timestamp '{AS_OF}' > due end
+                      qualify row_number() over (partition by nr order by due, rule) = 1)
+            select account, object_key, rule, strftime(due, '%Y-%m-%d') as due, count(*) as n from first group by all""",
+        "object_listed",
+        "retention_rule",
+    ),
+    "snapshot_merge": oracle(
+        """select * from record_new union all
+           select * from record_old where id not in (select id from record_new)""",
+        "record_old",
+        "record_new",
+    ),
     "name_collision_audit": oracle(
         f"""with {_CELL}
             select kind, name, count(*) as n_owners, min(id) as first_owner, max(id) as last_owner, length(name) as n_chars,

@@ -218,3 +218,45 @@ def test_pools(spark):
         assert out[i]["labels"] == {"nodepool": "default", "cell": str(i)} and out[i]["taints"] == []
     assert out[3]["labels"] == {"nodepool": "mine", "x": "y", "cell": "3"}
     assert out[3]["taints"] == ["k=v:NO_SCHEDULE", "k=w:NO_EXECUTE"] and out[3]["min_size"] == 2
+
+
+def test_rules_of_a_table_are_those_of_the_list(spark):
+    """The literal rules as a table, over keys that several rules name, and over equal objects."""
+    from datetime import datetime
+
+    days = [datetime(2024, 1, d) for d in (1, 10, 20, 28)]
+    keys = ["janitor/a", "activity-scrapes/x/y", "janitor", "other/janitor/a", "", "lag-reporter/"]
+    data = [(1, k, m, c, None if c else m) for k in keys for m in days for c in (True, False)] * 2
+    objects = spark.createDataFrame(data, "account int, object_key string, modified timestamp, is_current boolean, noncurrent_since timestamp")
+    as_of = F.lit(datetime(2024, 2, 3))
+    for listed in (S.aws_rules(), S.gcp_rules(), S.azure_rules()):
+        rules = [(1, r.name, r.prefix, r.days, r.clock, r.inclusive, r.applies_to) for r in listed]
+        rules = spark.createDataFrame(
+            rules, "account int, rule string, prefix string, days int, clock string, inclusive boolean, applies_to string"
+        )
+        want = rows(S.retention_sweep(objects, listed, as_of), "object_key", "modified", "is_current", "rule", "due")
+        for sent in (100, 0):
+            out = S.retention_sweep_by_rules(objects, rules, as_of, rules_sent=sent)
+            assert rows(out, "object_key", "modified", "is_current", "rule", "due") == want
+    assert want
+
+
+def test_prefixes_of_a_key(spark):
+    df = spark.createDataFrame([("a/bc/d",), ("",), ("/x",), ("ab",)], "k string")
+    got = [r.p for r in df.select(S.prefix_ladder(F.col("k"), "/", [1, 3]).alias("p")).collect()]
+    assert got == [["a/bc/", "a/b", "a/", "a", ""], [""], ["/", ""], ["a", ""]]
+
+
+def test_many_rules_plan_without_a_nested_loop(spark):
+    rules = spark.range(3000).selectExpr(
+        "cast(id % 7 as int) as account", "concat('r', id) as rule", "concat('p', id, '/') as prefix", "cast(id as int) as days",
+        "'modified' as clock", "true as inclusive", "'any' as applies_to",
+    )
+    objects = spark.range(500).selectExpr(
+        "cast(id % 7 as int) as account", "concat('p', id, '/x') as object_key", "timestamp'2020-01-01' as modified",
+        "true as is_current", "cast(null as timestamp) as noncurrent_since",
+    )
+    out = S.retention_sweep_by_rules(objects, rules, F.lit("2024-01-01").cast("timestamp"))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    assert out.count() == sum(1 for i in range(500) if i % 7 == i % 7 and i <= 1461)
