@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.clock import MICROS, micros
 from ..operators.logs import REDACTED, SECRET_SHAPES, redact_text
+from ..session import scratch
 from ..streaming import streams as T
 from .fixtures import FIXTURES, oracle, spark_sql
 from .polling import DAY, HOUR, errors_of_users, polls_sql, sustained_sql, throttle_sql
@@ -96,6 +97,13 @@ def first_seen_follow_stream(spark, sf_dir):
     return T.run_to_end(spark, out.select("name"), "first-seen")
 
 
+def first_seen_once_stream(spark, sf_dir):
+    session, path = T.stream_session(spark), scratch(spark, "first-seen-once")
+    sighted = _derived(session, sf_dir, "pod_sighting", "events")
+    T.first_seen_once(sighted, "tool-", path).trigger(availableNow=True).start().awaitTermination()
+    return T.first_seen_known(spark, path).select("name")
+
+
 def redact_text_stream(spark, sf_dir):
     session = T.stream_session(spark)
     lines = _derived(session, sf_dir, "log_line", "events").withColumnRenamed("line", "text")
@@ -138,6 +146,7 @@ QUERIES = {
         sustained_condition_polls_ignore_failed_stream,
         throttle_per_key_stream,
         first_seen_follow_stream,
+        first_seen_once_stream,
         redact_text_stream,
         reached_within_stream,
         never_reached_stream,
@@ -175,6 +184,9 @@ ORACLES = {
     "first_seen_follow_stream": oracle(
         "select distinct name from pod_sighting where starts_with(name, 'tool-')", "pod_sighting"
     ),
+    "first_seen_once_stream": oracle(
+        "select distinct name from pod_sighting where starts_with(name, 'tool-')", "pod_sighting"
+    ),
     "redact_text_stream": oracle(
         f"""select id, logger, regexp_replace(line, '{"|".join(SECRET_SHAPES.values())}', '{REDACTED}', 'g') as text
             from log_line""",

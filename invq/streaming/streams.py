@@ -16,7 +16,7 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from ..functions.clock import MICROS, micros
 from ..operators import polling as P
@@ -164,6 +164,31 @@ def first_seen_follow(
     return wanted.withWatermark(ts, within).dropDuplicatesWithinWatermark([key])
 
 
+def first_seen_known(spark: SparkSession, path: str) -> DataFrame:
+    """What `first_seen_once` has put into its table: key, at_us and the number of the micro-batch."""
+    return spark.read.parquet(f"{path}/seen")
+
+
+def first_seen_once(listed: DataFrame, prefix: str, path: str, key: str = "name", ts: str = "ts") -> DataStreamWriter:
+    """Keys with the prefix, each once ever, into a table of the stream's own under ``path``; start it with a trigger.
+
+    The table is the memory: a micro-batch puts in its keys that are not there yet, each with the earliest time it shows,
+    so there is no state to grow and rows may come in any order. A micro-batch that is repeated after a failure
+    overwrites its own folder, so it adds nothing twice.
+    """
+    wanted = listed.where(F.startswith(key, F.lit(prefix))).select(key, micros(listed, ts).alias("at_us"))
+
+    def put(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        new = batch.groupBy(key).agg(F.min("at_us").alias("at_us"))
+        if number:
+            before = first_seen_known(spark, path).where(F.col("batch") < number)
+            new = new.join(before.select(key), key, "left_anti")
+        new.write.mode("overwrite").parquet(f"{path}/seen/batch={number}")
+
+    return wanted.writeStream.foreachBatch(put).option("checkpointLocation", f"{path}/checkpoint")
+
+
 #: Seconds for which a decided key is remembered after its deadline.
 KEEP = 24 * 3600
 

@@ -244,6 +244,31 @@ def test_first_seen(spark, landed):
     assert rows(T.run_to_end(spark, bounded, "t"), "name") == want
 
 
+def test_a_key_that_comes_back_is_not_new(spark, tmp_path):
+    """Four files, the latest first; the third micro-batch is repeated as after a failure. No state is kept."""
+    seen = [(f"pod-{i % 7}" if i % 2 else f"pod-{i}", 21_600 * day + i) for day in range(20) for i in range(30)]
+    data = spark.createDataFrame([*seen, ("other-1", 5)], "name string, s long")
+    data = data.select("name", F.timestamp_seconds("s").alias("ts"))
+    part = 3 - F.floor(F.unix_seconds("ts") / 108_000)
+    (tmp_path / "in").mkdir()
+    folder, path = write_files(spark, [data.where(part == i) for i in range(4)], tmp_path / "in"), str(tmp_path / "sink")
+    session = T.stream_session(spark, 2)
+
+    def run(files):
+        source = session.readStream.schema(data.schema).option("maxFilesPerTrigger", 1).option("pathGlobFilter", files)
+        query = T.first_seen_once(source.parquet(folder), "pod-", path).trigger(availableNow=True).start()
+        query.awaitTermination()
+        return query
+
+    run("[012].parquet")
+    for done in (tmp_path / "sink" / "checkpoint" / "commits").glob("*2*"):
+        done.unlink()
+    query = run("?.parquet")
+    got = rows(T.first_seen_known(spark, path), "name")
+    assert got == sorted({(name,) for name, _ in seen}, key=repr)
+    assert not query.lastProgress["stateOperators"]
+
+
 def test_redaction(spark, landed):
     def lines(events):
         return events.select("event_id", F.concat(F.lit("key="), F.md5(F.col("event_id").cast("string")), F.lit(" x")).alias("text"))
