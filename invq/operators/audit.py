@@ -72,7 +72,12 @@ def foreign_account_guard(
     state: DataFrame, callers: DataFrame, stack: str = "stack", text: str = "outputs"
 ) -> DataFrame:
     """Per stack to be changed: a violation if its state names accounts, but not the caller's."""
-    named = stack_accounts(state, stack, text).join(callers, stack)
+    return account_guard(stack_accounts(state, stack, text), callers, stack)
+
+
+def account_guard(accounts: DataFrame, callers: DataFrame, stack: str = "stack") -> DataFrame:
+    """`foreign_account_guard` for accounts that are already known, one row per stack and account."""
+    named = accounts.join(callers, stack)
     owned = named.groupBy(stack).agg(
         F.count(F.lit(1)).alias("n_accounts"),
         F.min("account").alias("first_account"),

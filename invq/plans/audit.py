@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import audit as A
+from ..session import scratch
+from ..sources import exports as E
 from .fixtures import fixture, oracle
 
 
@@ -24,6 +26,26 @@ def foreign_account_guard(spark, sf_dir):
     )
 
 
+def _landed(spark, sf_dir):
+    """The resources as exports of whole stacks, landed once and read back."""
+    outputs = F.struct(F.col("vpc_id").alias("vpcId"), F.col("outputs").alias("raw"))
+    resource = F.struct("type", "urn", outputs.alias("outputs"))
+    stacks = fixture(spark, sf_dir, "state_resource").groupBy("stack").agg(F.collect_list(resource).alias("resources"))
+    exports = stacks.select("stack", F.to_json(F.struct(F.struct("resources").alias("deployment"))).alias("export"))
+    path = scratch(spark, "state-exports")
+    E.land_exports(exports, path)
+    return spark.read.parquet(path)
+
+
+def foreign_account_guard_landed(spark, sf_dir):
+    return A.account_guard(E.landed_accounts(_landed(spark, sf_dir)), fixture(spark, sf_dir, "caller"))
+
+
+def resource_shape_audit_landed(spark, sf_dir):
+    resources = E.landed_resources(_landed(spark, sf_dir), "bigint")
+    return A.resource_shape_audit(resources, fixture(spark, sf_dir, "stack"))
+
+
 def exposure_audit(spark, sf_dir):
     return A.exposure_audit(
         fixture(spark, sf_dir, "deployment"),
@@ -56,8 +78,10 @@ QUERIES = {
         permission_verdicts,
         permission_rollup,
         foreign_account_guard,
+        foreign_account_guard_landed,
         exposure_audit,
         resource_shape_audit,
+        resource_shape_audit_landed,
         leftover_stacks,
         baseline_new_keys,
     )
@@ -147,3 +171,5 @@ ORACLES = {
         "cluster_request",
     ),
 }
+
+ORACLES |= {f"{name}_landed": ORACLES[name] for name in ("foreign_account_guard", "resource_shape_audit")}
