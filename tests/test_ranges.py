@@ -1,11 +1,13 @@
 import ipaddress
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
 from invq.functions import cidr as C
 from invq.operators import ranges as R
+from invq.plans import registry
 from tests.helpers import NET, net, rows, text_of
 
 
@@ -262,10 +264,47 @@ def test_layout_integrity(spark):
     ]
 
 
-def test_many_equal_planned_blocks_meet_one_existing(spark):
+@pytest.fixture
+def ancestors(monkeypatch):
+    """Blocks meet their ancestors however few there are."""
+    monkeypatch.setattr(R, "FEW_BLOCKS", 0)
+
+
+@pytest.mark.parametrize(
+    "name",
+    ["range_overlap", "range_overlap_free", "range_placement_verdict", "fleet_range_conflicts", "layout_integrity_audit"],
+)
+def test_both_ways_give_the_same_rows(spark, name, ancestors):
+    sf = "/root/testdata/sf0.001"
+    by_ancestors = rows(registry.QUERIES[name](spark, sf), "*")
+    R.FEW_BLOCKS = 10**9  # undone by the fixture
+    assert rows(registry.QUERIES[name](spark, sf), "*") == by_ancestors and by_ancestors
+
+
+def test_scopes_are_counted_before_blocks_are_compared(spark):
+    few = spark.range(64).select((F.col("id") % 2).alias("v"), "id")
+    assert R.few_per_scope(few, ["v"])
+    assert not R.few_per_scope(few.union(spark.range(1).select(F.lit(1).alias("v"), "id")), ["v"])
+    assert R.few_per_scope(spark.range(100).select(F.lit(None).cast("int").alias("v")), ["v"])
+
+
+def test_many_equal_planned_blocks_meet_one_existing(spark, ancestors):
     planned = spark.range(500).select(F.lit(1).alias("vpc_id"), "id", C.parse_cidr(F.lit("10.0.0.0/24")).alias("subnet"))
     there = spark.createDataFrame([(1, "s", "10.0.0.128/25")], "vpc_id int, subnet_id string, cidr string")
     there = there.select("vpc_id", "subnet_id", C.parse_cidr(F.col("cidr")).alias("existing"))
-    for hot_rows in (10, 10**6):
-        out = R.overlap_join(planned, there, ["vpc_id"], "subnet", "existing", hot_rows=hot_rows)
-        assert sorted(r["id"] for r in out.collect()) == list(range(500))
+    dealt = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "8"}
+    before = {k: spark.conf.get(k) for k in dealt}
+    largest = {}
+    try:
+        for k, v in dealt.items():
+            spark.conf.set(k, v)
+        for hot_rows in (10, 10**6):
+            out = R.overlap_join(planned, there, ["vpc_id"], "subnet", "existing", hot_rows=hot_rows)
+            found = out.select("id", F.spark_partition_id().alias("part")).collect()
+            assert sorted(r["id"] for r in found) == list(range(500))
+            largest[hot_rows] = max(Counter(r["part"] for r in found).values())
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    # cut into slices the block is spread over the partitions; whole it lies in one
+    assert largest[10] < 200 and largest[10**6] == 500
