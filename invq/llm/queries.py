@@ -27,9 +27,8 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stats = quality.statistics(documents(spark, sf_dir).select("doc_id", "text", "lang", "source"))
-    slim = stats.withColumn("row", F.struct("row.doc_id", "row.lang", "row.source"))
-    vectors = written(quality.prepared(slim), "quality")
+    stats = quality.statistics(documents(spark, sf_dir), keep=["doc_id", "lang", "source"])
+    vectors = written(quality.prepared(stats), "quality")
     return quality.judged(vectors, quality.fit(vectors)).select(
         "row.doc_id",
         "n_words",

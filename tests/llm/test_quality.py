@@ -1,3 +1,4 @@
+import itertools
 from collections import Counter
 
 import numpy as np
@@ -74,6 +75,41 @@ def test_scatter_of_normal_rows_is_recovered(spark):
     assert judged.where("not kept").count() == 600
 
 
+@pytest.mark.parametrize("seed", range(6))
+def test_support_of_least_determinant_equals_trying_all(seed):
+    rng = np.random.default_rng(seed)
+    x = rng.normal(size=(11, 5)) * [1, 0.5, 0.4, 0.6, 0.5]
+    x[:3] += rng.normal(size=(3, 5)) + 4
+    h = int(np.ceil(Q.SUPPORT * len(x)))
+    least = min(Q._moments(x[list(some)])[2] for some in itertools.combinations(range(len(x)), h))
+    assert Q.least_determinant(x)[2] == pytest.approx(least, abs=1e-9)
+
+
+def test_steps_over_all_rows_do_not_raise_the_determinant(spark, monkeypatch):
+    """With more steps a group's determinant is the same or less, and small samples end where large ones do."""
+    rng = np.random.default_rng(5)
+    rows = [("=en", f"={i % 2}", False, *map(float, rng.normal(size=5) + 3 * (i % 7 == 0))) for i in range(3000)]
+    kinds = ", ".join(f"{c} double" for c in Q.FEATURES)
+    vectors = spark.createDataFrame(rows, f"g_lang string, g_source string, base_failed boolean, {kinds}")
+
+    def determinants():
+        return {(r.level, r.g_lang, r.g_source): r.log_det for r in Q.fit(vectors).collect()}
+
+    monkeypatch.setattr(Q, "STEPS", 6)
+    many = determinants()
+    monkeypatch.setattr(Q, "STEPS", 1)
+    one = determinants()
+    assert set(one) == set(many) and len(many) == 4
+    assert all(many[k] <= one[k] + 1e-9 for k in one)
+    monkeypatch.setattr(Q, "STEPS", 3)
+    assert all(v == pytest.approx(many[k], abs=0.05) for k, v in determinants().items())
+
+
+def test_cut():
+    assert Q._chi2_quantile(0.95, 5) == pytest.approx(11.0705, abs=1e-3)
+    assert 7 < Q.CUTOFF < 7.2
+
+
 def test_consistency_factor():
     assert Q._chi2_cdf(3.357, 4) == pytest.approx(0.5, abs=1e-3)
     assert Q.consistency(5, 0.75) > 1
