@@ -1,7 +1,7 @@
 """Documents dealt into chunks of bounded size, and tables of hashes exchanged between chunks.
 
-A chunk holds whole documents, dealt by a hash of the key, and is small enough for one task's
-memory. Each chunk first reduces what it has to say about a hash to one entry, so however many
+A chunk holds whole documents, dealt by a hash of key and text, and is small enough for one task's
+memory, however many documents share a key or have none. (Rows equal in both are in one chunk.) Each chunk first reduces what it has to say about a hash to one entry, so however many
 documents share a passage, a hash comes at most once from each chunk. Entries travel packed, some
 thousands to a row, dealt by the top bits of the hash.
 """
@@ -9,7 +9,7 @@ thousands to a row, dealt by the top bits of the hash.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Bytes of text that a chunk holds on average, and entries that a bucket of hashes holds.
@@ -22,11 +22,7 @@ def dealt(df: DataFrame, key: str, text: str) -> tuple[DataFrame, int]:
     size = df.agg(F.sum(F.octet_length(text))).first()[0] or 0
     n = max(1, -(-size // CHUNK_BYTES))
     rows = df.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    return rows.withColumn("chunk", chunk_of(F.col("key"), n)), size
-
-
-def chunk_of(key: Column, n: int) -> Column:
-    return F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
+    return rows.withColumn("chunk", F.pmod(F.xxhash64("key", "text"), F.lit(n)).cast("int")), size
 
 
 def bits_for(entries: int) -> int:

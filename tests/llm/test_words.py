@@ -3,7 +3,9 @@ import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from invq.llm import chunks
 from invq.llm import words as W
+from tests.llm import cases
 from tests.llm.cases import split
 
 texts = st.lists(st.one_of(st.none(), st.text(alphabet="ab é☃\n\t  ", max_size=30)), max_size=8)
@@ -41,3 +43,12 @@ def test_no_text_at_all():
     assert list(W.slices(pa.array([], pa.string()))) == []
     part = next(W.slices(pa.array([None, ""], pa.string())))
     assert part.n == 2 and len(W.words(part).key) == 0
+
+
+def test_one_key_for_many_documents_is_not_one_chunk(spark, monkeypatch):
+    """A third of the rows without a key, a third with the same: no chunk has much more than its share."""
+    monkeypatch.setattr(chunks, "CHUNK_BYTES", 3000)
+    pairs = [(None if i % 3 == 0 else 7 if i % 3 == 1 else i, f"text number {i} " * 3) for i in range(1500)]
+    dealt, size = chunks.dealt(cases.table(spark, pairs), "doc_id", "text")
+    held = [r["count"] for r in dealt.groupBy("chunk").count().collect()]
+    assert sum(held) == 1500 and len(held) > 15 and max(held) < 3 * 1500 / len(held)
