@@ -34,7 +34,9 @@ from pyspark.sql import functions as F
 from .common import type_of
 from .words import Texts, Words, slices, span_keys, words
 
-TRAIN_DOCS, TRAIN_CHARS = 120, 8_000
+#: Bounds of the training sample: texts of a language, characters of a text, languages. And parts of the draw.
+TRAIN_DOCS, TRAIN_CHARS, TRAIN_LANGS = 120, 8_000, 256
+SLOTS = 64
 #: Words of a chain; longer texts are consecutive chains, and messages pass between them.
 CHAIN = 64
 #: Words that stay in one text while a training chain is joined.
@@ -228,13 +230,26 @@ def train(texts: list[tuple[str, str]], seed: int = 7) -> Model:
 
 
 def sample(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> list[tuple[str, str]]:
-    """The training texts: rows with a text and a language, chosen by a hash of the key."""
+    """The training texts: rows with a text and a language, chosen by a hash of key and text.
+
+    Of a text longer than TRAIN_CHARS a piece of that length is taken, which may begin anywhere in it, by the
+    hash too. Of more than TRAIN_LANGS languages those of most texts are learned. Each language's rows are drawn in
+    SLOTS parts first, so no task meets more than SLOTS times TRAIN_DOCS of them.
+    """
     rows = df.select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"))
     rows = rows.where("text is not null and lang is not null")
-    rows = rows.select("lang", F.xxhash64("key", "text").alias("draw"), F.substring("text", 1, TRAIN_CHARS).alias("text"))
-    nth = F.row_number().over(Window.partitionBy("lang").orderBy("draw"))
-    drawn = rows.select("lang", "draw").distinct().withColumn("nth", nth).where(F.col("nth") <= TRAIN_DOCS).drop("nth")
-    chosen = rows.join(F.broadcast(drawn), ["lang", "draw"]).groupBy("lang", "draw").agg(F.min("text").alias("text"))
+    held = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    learned = F.broadcast(held.orderBy(F.desc("n"), "lang").limit(TRAIN_LANGS).select("lang"))
+    draw = F.xxhash64("key", "text")
+    begin = F.pmod(F.xxhash64(draw), F.greatest(F.char_length("text") - TRAIN_CHARS + 1, F.lit(1))).cast("int") + 1
+    rows = rows.join(learned, "lang", "left_semi")
+    rows = rows.select("lang", draw.alias("draw"), F.substr("text", begin, F.lit(TRAIN_CHARS)).alias("text"))
+    slot = F.pmod(F.col("draw"), F.lit(SLOTS))
+    drawn = rows.select("lang", "draw").distinct().withColumn("slot", slot)
+    for by in (["lang", "slot"], ["lang"]):
+        nth = F.row_number().over(Window.partitionBy(*by).orderBy("draw"))
+        drawn = drawn.withColumn("nth", nth).where(F.col("nth") <= TRAIN_DOCS).drop("nth")
+    chosen = rows.join(F.broadcast(drawn.drop("slot")), ["lang", "draw"]).groupBy("lang", "draw").agg(F.min("text").alias("text"))
     return [(row.lang, row.text) for row in sorted(chosen.collect())]
 
 

@@ -133,6 +133,20 @@ def test_a_language_of_long_texts_is_learned(spark):
     assert row.lang_pred == "et"
 
 
+def test_pieces_come_from_anywhere_and_languages_are_bounded(spark, monkeypatch):
+    """Pieces of long texts begin all over them; of many languages those with most texts are learned."""
+    monkeypatch.setattr(L, "TRAIN_CHARS", 400)
+    monkeypatch.setattr(L, "TRAIN_LANGS", 2)
+    long = [(i, " ".join(f"{n:05d}" for n in range(1000)) + f" {i}", "aa") for i in range(40)]
+    rows = long + [(100 + i, f"text {i}", "bb") for i in range(30)] + [(200 + i, f"one {i}", f"c{i}") for i in range(20)]
+    texts = L.sample(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert {lang for lang, _ in texts} == {"aa", "bb"}
+    pieces = [text for lang, text in texts if lang == "aa"]
+    begins = sorted(int(text.split()[1]) for text in pieces)
+    assert all(len(text) == 400 for text in pieces) and len(pieces) == 40
+    assert begins[0] < 250 and begins[-1] > 700 and len(set(begins)) > 20
+
+
 def test_equal_rows_are_drawn_once(spark):
     same = [(None, "the same words", "en")] * 500
     docs = spark.createDataFrame(same + [(i, f"other words {i}", "en") for i in range(300)], "doc_id long, text string, lang string")
