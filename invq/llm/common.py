@@ -14,7 +14,7 @@ _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 @contextlib.contextmanager
-def _shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
     """Shuffle files of a finished job go at once; a lost one is made again from its inputs."""
     before = spark.conf.get(_CLEAN, None)
     spark.conf.set(_CLEAN, "true")
@@ -34,7 +34,7 @@ def written(df: DataFrame, purpose: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = scratch(spark, purpose)
-    with _shuffles_dropped(spark):
+    with shuffles_dropped(spark):
         df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -4,9 +4,10 @@ An id is split into chunks of `WIDTH` bits, least first. Level k holds the k-th
 has one, a bitmap of which of them go on to level k + 1, and a rank directory (ones before every 512th
 bit), so the place of an id's next chunk is a rank query of constant time.
 
-A file is one row of a written table: its place in the order, the keys and lengths of its documents and
-the code as bytes. Rows are written by Spark's committer, so a lost executor leaves no half file. Files
-follow each other in ascending key order; each holds whole documents, about two megabytes of text.
+Files are raw: what Spark writes of a row, byte by byte and without compression, one row a file. They go through Spark's
+committer, so a lost executor leaves no half file. A file has a head (ids and documents in it, the keys and the lengths of
+the documents) and the code; `CodeFile` reads a token of one with a few small reads. Files follow each other in
+ascending key order, by the numbers in their names; each holds whole documents, about sixteen megabytes of text.
 
 Defined results: a null text has only the end id; null keys come first; documents with equal keys
 follow each other in order of their texts.
@@ -22,20 +23,20 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..session import scratch
 from .bpe import chunks, strange_space
-from .common import looked_up, type_of, written
+from .common import looked_up, shuffles_dropped, written
 from .pieces import Memory
-from .words import slices, span_keys
+from .words import SLICE, slices, span_keys
 
 WIDTH = 8
 BLOCK = 512
-MAGIC = b"DAC1"
+MAGIC = b"DAC2"
 #: Text that one file is made of, and that one task writes.
-FILE_BYTES, TASK_BYTES = 1 << 21, 1 << 27
+FILE_BYTES, TASK_BYTES = 1 << 24, 1 << 27
 
 
 def pack(ids: np.ndarray) -> bytes:
@@ -57,7 +58,7 @@ class Codes:
     """A packed file: `token(i)` and `span(a, b)` touch only what they return and its rank blocks."""
 
     def __init__(self, data: bytes):
-        if data[:4] != MAGIC:
+        if bytes(data[:4]) != MAGIC:
             raise ValueError("not a file of directly addressable codes")
         n_levels, at = struct.unpack_from("<I", data, 4)[0], 8
         self.levels = []
@@ -108,12 +109,73 @@ class Codes:
         return out
 
 
-@lru_cache(maxsize=2)
-def _memory(path: str) -> Memory:
+class CodeFile:
+    """A raw file by small reads: its head, and for a token a byte and a rank block a level."""
+
+    def __init__(self, file):
+        self.file = file
+        magic, self.n_tokens, self.n_docs, head = struct.unpack(_HEAD, self._read(0, struct.calcsize(_HEAD)))
+        if magic != MAGIC:
+            raise ValueError("not a file of directly addressable codes")
+        at = struct.calcsize(_HEAD) + head + len(MAGIC)
+        (n_levels,) = struct.unpack("<I", self._read(at, 4))
+        at, self.levels = at + 4, []
+        for _ in range(n_levels):
+            (n,) = struct.unpack("<I", self._read(at, 4))
+            low, bits = at + 4, at + 4 + n
+            before = bits + -(-n // 8)
+            self.levels.append((low, bits, before))
+            at = before + 4 * -(-n // BLOCK)
+
+    def _read(self, at: int, n: int) -> bytes:
+        self.file.seek(at)
+        return self.file.read(n)
+
+    def token(self, i: int) -> int:
+        out = 0
+        for level, (low, bits, before) in enumerate(self.levels):
+            out |= self._read(low + i, 1)[0] << (WIDTH * level)
+            block = i // BLOCK
+            upto = np.unpackbits(
+                np.frombuffer(self._read(bits + block * BLOCK // 8, i // 8 + 1 - block * BLOCK // 8), np.uint8), bitorder="little"
+            )
+            inside = i - block * BLOCK
+            if not upto[inside]:
+                break
+            i = struct.unpack("<I", self._read(before + 4 * block, 4))[0] + int(upto[:inside].sum())
+        return out
+
+
+#: Magic, ids, documents, and bytes of what tells of the documents.
+_HEAD = ">4sQII"
+
+
+def packed_file(ids: np.ndarray, keys: pa.Array, lengths: np.ndarray) -> bytes:
+    table = pa.table({"key": keys, "length": pa.array(lengths, pa.int64())}).replace_schema_metadata(None)
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema) as out:
+        out.write_table(table)
+    documents = sink.getvalue().to_pybytes()
+    return struct.pack(_HEAD, MAGIC, len(ids), len(keys), len(documents)) + documents + pack(ids)
+
+
+def unpacked_file(data: bytes) -> tuple[pa.Table, Codes]:
+    """Keys and lengths of the documents, and the codes."""
+    _, _, _, n = struct.unpack_from(_HEAD, data)
+    at = struct.calcsize(_HEAD)
+    return pa.ipc.open_stream(data[at : at + n]).read_all(), Codes(memoryview(data)[at + n :])
+
+
+@lru_cache(maxsize=1)
+def _tokenizer(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_file(path)
+    return Tokenizer.from_file(path)
+
+
+def _memory(path: str) -> Memory:
+    tokenizer = _tokenizer(path)
 
     def encode(pieces: list[bytes]) -> list[list[int]]:
         texts = [piece.decode() for piece in pieces]
@@ -122,44 +184,55 @@ def _memory(path: str) -> Memory:
     return Memory(encode)
 
 
-_FILE = "part int, place int, n_tokens bigint, keys array<{kind}>, lengths array<bigint>, code binary"
-
-
 def _files(path: str, end: int):
     """White space parts words for this tokenizer, so the pieces between are encoded once each."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memory, part, place = _memory(path), TaskContext.get().partitionId(), 0
+        memory, held, size = _memory(path), [], 0
+
+        def file() -> pa.RecordBatch:
+            keys, count, ids = zip(*held, strict=True)
+            data = packed_file(np.concatenate(ids), pa.concat_arrays(keys), np.concatenate(count))
+            return pa.RecordBatch.from_arrays([pa.array([data], pa.binary())], names=["code"])
+
         for batch in batches:
-            for texts in slices(batch.column(1), FILE_BYTES):
+            for texts in slices(batch.column(1), min(SLICE, FILE_BYTES)):
                 row, begin, stop = chunks(texts, strange_space(texts))
                 n, ids = memory.lookup(span_keys(texts.data, begin, stop), begin, stop, texts.data)
                 count = np.bincount(row, n, texts.n).astype(np.int64)
-                ids = np.insert(ids, np.cumsum(count), end)
-                keys = pa.ListArray.from_arrays(pa.array([0, texts.n], pa.int32()), batch.column(0).slice(texts.first, texts.n))
-                columns = [
-                    pa.array([part], pa.int32()),
-                    pa.array([place], pa.int32()),
-                    pa.array([len(ids)], pa.int64()),
-                    keys,
-                    pa.array([(count + 1).tolist()], pa.list_(pa.int64())),
-                    pa.array([pack(ids)], pa.binary()),
-                ]
-                names = ["part", "place", "n_tokens", "keys", "lengths", "code"]
-                yield pa.RecordBatch.from_arrays(columns, names=names)
-                place += 1
+                ids = np.insert(ids, np.cumsum(count), end).astype(np.uint32)
+                held.append((batch.column(0).slice(texts.first, texts.n), count + 1, ids))
+                size += len(texts.data)
+                if size >= FILE_BYTES:
+                    yield file()
+                    held, size = [], 0
+        if held:
+            yield file()
 
     return run
 
 
-def write(df: DataFrame, path: str, end: int, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Files of the ids of all texts, each text's followed by `end`, in ascending key order."""
+def write(df: DataFrame, path: str, end: int, key: str = "doc_id", text: str = "text", folder: str | None = None) -> DataFrame:
+    """Writes the ids of all texts, each text's followed by `end`, in ascending key order; gives `opened` files."""
     spark = df.sparkSession
     rows = df.select(F.col(key).alias("key"), F.col(text).alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // TASK_BYTES))
     ordered = rows.repartitionByRange(parts, "key").sortWithinPartitions("key", "text")
-    return written(ordered.mapInArrow(_files(path, end), _FILE.format(kind=type_of(df, key))), "token-files")
+    made = ordered.mapInArrow(_files(path, end), "code binary")
+    folder = folder or scratch(spark, "token-files")
+    with shuffles_dropped(spark):
+        # the text writer writes a string's bytes as they are, and a line end after them
+        made.select(F.col("code").cast("string")).write.option("maxRecordsPerFile", 1).text(folder)
+    return opened(spark, folder)
+
+
+def opened(spark: SparkSession, folder: str) -> DataFrame:
+    """The files of a folder: part and place in the order, n_tokens and content."""
+    files = spark.read.format("binaryFile").load(folder).where(F.col("length") > struct.calcsize(_HEAD))
+    name = [F.regexp_extract("path", r"/part-(\d+)-[^/]*-c(\d+)[^/]*$", i).cast("int") for i in (1, 2)]
+    n_tokens = F.conv(F.hex(F.substring("content", len(MAGIC) + 1, 8)), 16, 10).cast("bigint")
+    return files.select(name[0].alias("part"), name[1].alias("place"), n_tokens.alias("n_tokens"), "content")
 
 
 def placed(files: DataFrame) -> DataFrame:
@@ -173,26 +246,26 @@ def placed(files: DataFrame) -> DataFrame:
     return looked_up(files, written(index, "token-starts"), ["part", "place"])
 
 
-def read(files: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Key, `start` (ids of all documents before), n_tokens and ids_crc32, read back from the files."""
+def read(files: DataFrame, key: str = "doc_id", kind: str = "bigint") -> DataFrame:
+    """Key (of type `kind`), `start` (ids of all documents before), n_tokens and ids_crc32, read back from the files."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            starts, keys, lengths, code = (batch.column(i) for i in range(4))
+            starts, content = batch.column(0), batch.column(1)
             for i in range(batch.num_rows):
-                codes, n = Codes(code[i].as_py()), np.array(lengths[i].as_py(), np.int64)
+                documents, codes = unpacked_file(content[i].as_py())
+                n = np.asarray(documents.column("length"))
                 at = np.cumsum(n) - n
                 spans = zip(at.tolist(), (at + n).tolist(), strict=True)
                 sums = [zlib.crc32(codes.span(a, b).astype("<u4").tobytes()) for a, b in spans]
                 columns = [
-                    keys[i].values,
+                    documents.column("key").combine_chunks(),
                     pa.array(starts[i].as_py() + at, pa.int64()),
                     pa.array(n, pa.int64()),
                     pa.array(sums, pa.int64()),
                 ]
                 yield pa.RecordBatch.from_arrays(columns, names=["key", "start", "n_tokens", "ids_crc32"])
 
-    rows = placed(files).select("start", "keys", "lengths", "code")
-    kind = files.schema["keys"].dataType.elementType.simpleString()
+    rows = placed(files).select("start", "content")
     made = rows.mapInArrow(run, f"key {kind}, start bigint, n_tokens bigint, ids_crc32 bigint")
     return made.withColumnRenamed("key", key)

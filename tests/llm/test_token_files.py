@@ -1,3 +1,4 @@
+import io
 import zlib
 
 import numpy as np
@@ -62,6 +63,35 @@ def test_pieces_may_be_encoded_apart(spark, tokenizer):
     assert [tuple(r)[1:] for r in rows] == expected(tokenizer, texts)
 
 
+class Counted(io.BytesIO):
+    """A file that says how much of it was read."""
+
+    total = 0
+
+    def read(self, n=-1):
+        made = super().read(n)
+        self.total += len(made)
+        return made
+
+
+def test_one_token_reads_one_rank_block_a_level(spark, tokenizer, tmp_path):
+    folder = str(tmp_path / "files")
+    T.write(cases.table(spark, [(i, cases.LONG[i * 900 : i * 900 + 40_000]) for i in range(9)]), PATH, 2, folder=folder)
+    names = [p for p in (tmp_path / "files").glob("part-*") if p.stat().st_size > 100]
+    assert names
+    for name in names:
+        data = name.read_bytes()
+        _, codes = T.unpacked_file(data)
+        file = Counted(data)
+        opened = T.CodeFile(file)
+        assert opened.n_tokens == len(codes) and file.total < 64
+        for i in range(0, len(codes), 997):
+            file.total = 0
+            assert opened.token(i) == codes.token(i)
+            assert file.total <= len(opened.levels) * (1 + T.BLOCK // 8 + 4)
+    assert max(len(T.CodeFile(io.BytesIO(n.read_bytes())).levels) for n in names) == 2
+
+
 def test_edges(spark, tokenizer, monkeypatch):
     monkeypatch.setattr(T, "FILE_BYTES", 500)
     rows = sorted((tuple(r) for r in T.read(T.write(cases.odd(spark), PATH, 2)).collect()), key=lambda r: r[1])
