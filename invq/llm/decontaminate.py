@@ -9,7 +9,7 @@ less than once in 10**9). All windows of a document are looked up among those mi
 with too few windows for an item are not its candidates; candidates are then counted exactly.
 
 Items travel to the tasks in blocks of bounded size, each set of windows once however many items have it; every
-block is held against all documents. Words are runs of letters and digits in lower case, so case, punctuation
+block is held against all documents in a pass of its own, written before the next block is sent. Words are runs of letters and digits in lower case, so case, punctuation
 and white space of any script make no difference.
 
 Defined results: null texts have no words; an item of fewer than five words has one window of all its
@@ -19,10 +19,12 @@ words; an item without a word is never found; repeated items and documents each
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -181,15 +183,21 @@ def item_windows(items: DataFrame, key: str, text: str, length: int) -> DataFram
     return written(made.withColumn("same", F.xxhash64("length", "hashes")), "item-windows")
 
 
-def blocks(made: DataFrame, threshold: float) -> Iterator[Blocks]:
-    """All different sets of windows, some at a time, on the driver."""
+def blocks(made: DataFrame, threshold: float) -> Iterator[tuple[Broadcast, bool]]:
+    """All different sets of windows, a block at a time, sent to the tasks, and whether it is the last.
+
+    The driver holds one block; the tasks are rid of it when the next is asked for, so what uses it must
+    have been written by then."""
     first = [F.first(c).alias(c) for c in ("length", "n", "hashes")]
     sets = written(made.groupBy(F.col("same").alias("item")).agg(*first), "item-sets")
     total = sets.agg(F.sum("n")).first()[0] or 0
     n_blocks = -(-total // BLOCK)
     for i in range(n_blocks):
         mine = sets.where(F.pmod(F.xxhash64("item"), F.lit(n_blocks)) == i)
-        yield Blocks(mine.collect(), threshold)
+        sent = made.sparkSession.sparkContext.broadcast(Blocks(mine.collect(), threshold))
+        yield sent, i + 1 == n_blocks
+        if i + 1 < n_blocks:
+            sent.destroy()
 
 
 def found(
@@ -207,9 +215,8 @@ def found(
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
     schema = f"key {type_of(docs, key)}, same bigint, n_shared bigint, n_windows bigint"
     made = item_windows(items, item_key, item_text, length)
-    out = spark.createDataFrame([], schema)
-    for block in blocks(made, threshold):
-        sent = spark.sparkContext.broadcast(block)
+    passes = [spark.createDataFrame([], schema)]
+    for sent, _ in blocks(made, threshold):
 
         def run(batches: Iterable[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -219,8 +226,8 @@ def found(
                     if len(at):
                         yield pa.RecordBatch.from_arrays(columns, names=["key", "same", "n_shared", "n_windows"])
 
-        out = out.unionByName(rows.mapInArrow(run, schema))
-    out = written(out, "item-matches")
+        passes.append(written(rows.mapInArrow(run, schema), "item-matches"))
+    out = reduce(DataFrame.unionByName, passes)
     named = made.select("same", "item")
     counts = out.groupBy("same").agg(F.count(F.lit(1)).alias("n"))
     counts = counts.join(named.groupBy("same").agg(F.count(F.lit(1)).alias("m")), "same")
@@ -239,19 +246,19 @@ def cleaned(
     threshold: float = THRESHOLD,
 ) -> DataFrame:
     """The documents that hold no item; their columns are unchanged."""
-    spark = docs.sparkSession
-    for block in blocks(item_windows(items, item_key, item_text, length), threshold):
-        sent = spark.sparkContext.broadcast(block)
+    for sent, last in blocks(item_windows(items, item_key, item_text, length), threshold):
+        place = docs.columns.index(text)
 
-        def run(batches: Iterable[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterable[pa.RecordBatch], sent=sent, place=place) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for texts, words_ in worded(batch.column(0)):
+                for texts, words_ in worded(pc.struct_field(batch.column(0), [place])):
                     stay = np.ones(texts.n, bool)
                     stay[sent.value.search(texts, words_)[0]] = False
-                    rows = batch.column(1).slice(texts.first, texts.n).filter(pa.array(stay))
+                    rows = batch.column(0).slice(texts.first, texts.n).filter(pa.array(stay))
                     yield pa.RecordBatch.from_arrays([rows], names=["row"])
 
-        rows = docs.select(F.col(text).alias("text"), F.struct("*").alias("row"))
+        rows = docs.select(F.struct("*").alias("row"))
         kind = rows.schema["row"].dataType.simpleString()
         docs = rows.mapInArrow(run, f"row {kind}").select("row.*")
+        docs = docs if last else written(docs, "cleaned")
     return docs

@@ -110,6 +110,18 @@ def test_punctuation_of_any_script_makes_no_difference(spark):
 
 def test_equal_items_reach_the_driver_once(spark):
     items = spark.createDataFrame([(i, "one two three four five six") for i in range(50)], "item_id long, text string")
-    (block,) = D.blocks(D.item_windows(items, "item_id", "text", 5), 0.8)
-    assert sum(len(b.items) for b in block.parts.values()) == 1
+    ((sent, last),) = D.blocks(D.item_windows(items, "item_id", "text", 5), 0.8)
+    assert sum(len(b.items) for b in sent.value.parts.values()) == 1 and last
     assert len(run(cases.table(spark, [(1, "one two three four five six")]), items)) == 50
+
+
+def test_blocks_come_one_after_the_other(spark, monkeypatch):
+    """Many small blocks: the rows are the same, and no plan holds more than one pass."""
+    docs, pairs = cases.documents(spark, 60)
+    items = spark.createDataFrame([(i, " ".join(t.split()[:40])) for i, t in pairs if t][:20], "item_id long, text string")
+    whole, kept = run(docs, items), sorted(r.doc_id for r in D.cleaned(docs, items).collect())
+    monkeypatch.setattr(D, "BLOCK", 100)
+    assert run(docs, items) == whole and whole
+    made = D.cleaned(docs, items)
+    assert sorted(r.doc_id for r in made.collect()) == kept
+    assert made._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
