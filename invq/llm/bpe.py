@@ -7,7 +7,8 @@ with the token before it, and reading a byte either goes down the trie or, where
 may follow, back to the root. Several configurations stay alive until enough bytes were seen; the
 tokens on which all agree are emitted at once, so output lags by a bounded lookahead (no token is
 longer than the longest of the vocabulary). Sets of configurations become states when they are
-first met and are forgotten together once there are too many, so memory is bounded.
+first met and are forgotten together once there are too many, so memory is bounded; a Python worker that
+is kept for the next task keeps the trie alone.
 
 Defined results: a null text is empty and has no ids; ids decode to the very bytes; bytes that are
 no UTF-8 (ids of part of a text) decode to U+FFFD as Python's incremental decoder does. Columns
@@ -17,6 +18,7 @@ other than the key and the text are ignored; repeated keys keep their own rows.
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -29,10 +31,11 @@ from pyspark.sql import functions as F
 from .pieces import Memory
 from .words import Texts, slices, span_keys, words
 
-#: The transducer starts anew beyond so many states.
-MAX_STATES = 250_000
-#: Bytes of text whose rows leave a task together.
-BATCH = 1 << 21
+#: The transducer starts anew beyond so many states or four times as many moves, and asks anew which tokens may
+#: be neighbours beyond so many answers. What it has learned from texts goes when the task ends.
+MAX_STATES, MAX_FITS = 100_000, 200_000
+#: Bytes of text that are looked at, and whose rows leave a task, together.
+BATCH = 1 << 19
 
 
 def read_ranks(path: str) -> list[bytes]:
@@ -64,10 +67,13 @@ class Transducer:
                     self.ends.append(None)
                 node = self.children[node][byte]
             self.ends[node] = i
-        self._fits: dict[tuple[int, int], bool] = {}
-        self._forget()
+        self.forget()
 
-    def _forget(self) -> None:
+    def forget(self) -> None:
+        self._fits: dict[int, bool] = {}
+        self._start()
+
+    def _start(self) -> None:
         start = ((0, -1, ()),)
         self._ids = {start: 0}
         self._states = [start]
@@ -92,12 +98,12 @@ class Transducer:
     def _follows(self, before: int, token: int) -> bool:
         if before < 0:
             return True
-        known = self._fits.get((before, token))
+        known = self._fits.get(before << 32 | token)
         if known is None:
-            if len(self._fits) > 4 * MAX_STATES:
+            if len(self._fits) > MAX_FITS:
                 self._fits.clear()
             known = self._merge(self.tokens[before] + self.tokens[token]) == [before, token]
-            self._fits[before, token] = known
+            self._fits[before << 32 | token] = known
         return known
 
     def _move(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
@@ -117,26 +123,30 @@ class Transducer:
             token = ends[child]
             if root is None and token is not None and self._follows(before, token):
                 root = (0, token, (*out, token))
-        alive.append(root)
-        first, n = alive[0][2], 0
-        for id_ in first:
-            if any(len(c[2]) <= n or c[2][n] != id_ for c in alive):
-                break
-            n += 1
-        following = tuple((node, before, out[n:]) for node, before, out in alive) if n else tuple(alive)
+        if alive:
+            alive.append(root)
+            first, n = alive[0][2], 0
+            for id_ in first:
+                if any(len(c[2]) <= n or c[2][n] != id_ for c in alive):
+                    break
+                n += 1
+            first = first[:n]
+            following = tuple((node, before, out[n:]) for node, before, out in alive) if n else tuple(alive)
+        else:  # all agree on what has been read
+            first, following = root[2], ((0, root[1], ()),)
         to = self._ids.get(following)
         if to is None:
             to = self._ids[following] = len(self._states)
             self._states.append(following)
-        move = self._moves[state << 8 | byte] = to, first[:n]
+        move = self._moves[state << 8 | byte] = to, first
         return move
 
     def encode(self, piece: bytes) -> list[int]:
         whole = self.rank.get(piece)
         if whole is not None:
             return [whole]
-        if len(self._states) > MAX_STATES:
-            self._forget()
+        if len(self._states) > MAX_STATES or len(self._moves) > 4 * MAX_STATES:
+            self._start()
         state, out, known = 0, [], self._moves.get
         for byte in piece:
             state, emitted = known(state << 8 | byte) or self._move(state, byte)
@@ -172,6 +182,11 @@ class Encoder:
             made.append(out)
         return made
 
+    def forget(self) -> None:
+        """Drops all that was learned from texts."""
+        self.transducer.forget()
+        self.memory.empty()
+
     def encode(self, texts: Texts) -> tuple[np.ndarray, np.ndarray]:
         """Number of ids of each text of a slice, and all ids in order."""
         row, begin, end = chunks(texts, strange_space(texts))
@@ -216,33 +231,67 @@ def strange_space(texts: Texts) -> np.ndarray:
     return rows
 
 
+def _machine() -> list[bytes]:
+    """Next state by state and byte. State 0 is between characters, _WRONG is where no character can go on; the others
+    say which bytes may follow, as the Unicode standard's table of well-formed sequences has them."""
+    tail = range(0x80, 0xC0)
+    follows = {1: (tail, 0), 2: (tail, 1), 3: (range(0xA0, 0xC0), 1), 4: (range(0x80, 0xA0), 1)}
+    follows |= {5: (tail, 2), 6: (range(0x90, 0xC0), 2), 7: (range(0x80, 0x90), 2)}
+    leads = {1: range(0xC2, 0xE0), 2: [*range(0xE1, 0xED), 0xEE, 0xEF], 3: [0xE0], 4: [0xED]}
+    leads |= {5: range(0xF1, 0xF4), 6: [0xF0], 7: [0xF4]}
+    table = [bytearray([_WRONG] * 256) for _ in range(8)]
+    table[0][:128] = bytes(128)
+    for state, lead in leads.items():
+        for byte in lead:
+            table[0][byte] = state
+    for state, (allowed, to) in follows.items():
+        for byte in allowed:
+            table[state][byte] = to
+    return [bytes(row) for row in table]
+
+
+_WRONG = 8
+_TABLE = _machine()
+_BEYOND_ASCII = re.compile(rb"[\x80-\xff]+")
+
+
 class StreamDecoder:
-    """Ids to text, some at a time; bytes of an unfinished character wait for the next call.
+    """Ids to text, some at a time, by a state machine over UTF-8 bytes; a character that is not yet whole
+    waits for the next call. Bytes below 128 leave the machine between characters, so it only looks at runs of others.
 
-    A machine over UTF-8 lead and continuation bytes finds where the last whole character ends; only
-    up to three bytes are ever held back.
+    Where no character can go on, what there is of it becomes U+FFFD, and the byte is read anew.
     """
 
     def __init__(self, tokens: list[bytes]):
-        self.tokens, self.held = tokens, b""
+        self.tokens, self.state, self.held = tokens, 0, b""
 
     def feed(self, ids) -> str:
         data = self.held + b"".join(map(self.tokens.__getitem__, ids))
-        cut = len(data)
-        for back in range(1, min(3, len(data)) + 1):
-            byte = data[-back]
-            if byte >= 0xC0:  # a lead byte: does its character end here?
-                needs = 2 if byte < 0xE0 else 3 if byte < 0xF0 else 4
-                if byte <= 0xF4 and back < needs:
-                    cut -= back
-                break
-            if byte < 0x80:
-                break
-        self.held = data[cut:]
-        return data[:cut].decode("utf-8", "replace")
+        out, done, known = [], 0, len(self.held)  # the machine has read what was held
+        state, began = self.state, 0  # where the unfinished character begins
+        for run in _BEYOND_ASCII.finditer(data):
+            at, end = max(run.start(), known), run.end()
+            while at < end:
+                if not state:
+                    began = at
+                to = _TABLE[state][data[at]]
+                if to == _WRONG:
+                    out += (data[done:began].decode(), "\ufffd")
+                    at += not state  # a byte that cannot begin a character is one by itself
+                    done, state = at, 0
+                    continue
+                state, at = to, at + 1
+            if state and end < len(data):  # a byte below 128 where a character should go on
+                out += (data[done:began].decode(), "\ufffd")
+                done, state = end, 0
+        cut = began if state else len(data)
+        out.append(data[done:cut].decode())
+        self.state, self.held = state, data[cut:]
+        return "".join(out)
 
     def end(self) -> str:
-        rest, self.held = self.held.decode("utf-8", "replace"), b""
+        rest = "\ufffd" if self.state else ""
+        self.state, self.held = 0, b""
         return rest
 
 
@@ -255,31 +304,35 @@ def decode_ids(decoder: StreamDecoder, ids: list[int]) -> str:
     return "".join([*parts, decoder.end()])
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def _encoder(path: str, pattern: str) -> Encoder:
     return Encoder(path, pattern)
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def _tokens(path: str) -> list[bytes]:
     return read_ranks(path)
 
 
 def _batches(batches: Iterable[pa.RecordBatch], path: str, pattern: str, back: bool) -> Iterator[pa.RecordBatch]:
     encoder = _encoder(path, pattern)
-    for batch in batches:
-        key, column = batch.column(0), batch.column(1)
-        for texts in slices(column, BATCH):
-            n, ids = encoder.encode(texts)
-            at = np.concatenate(([0], np.cumsum(n)))
-            out = [key.slice(texts.first, texts.n), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids))]
-            names = ["key", "ids"]
-            if back:
-                decoder, flat, ends = StreamDecoder(encoder.transducer.tokens), ids.tolist(), at.tolist()
-                spans = zip(ends[:-1], ends[1:], strict=True)
-                out.append(pa.array([decode_ids(decoder, flat[a:b]) for a, b in spans], pa.string()))
-                names.append("decoded")
-            yield pa.RecordBatch.from_arrays(out, names=names)
+    try:
+        for batch in batches:
+            key, column = batch.column(0), batch.column(1)
+            for texts in slices(column, BATCH):
+                n, ids = encoder.encode(texts)
+                at = np.concatenate(([0], np.cumsum(n)))
+                out = [key.slice(texts.first, texts.n), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids))]
+                names = ["key", "ids"]
+                if back:
+                    decoder, ends = StreamDecoder(encoder.transducer.tokens), at.tolist()
+                    spans = zip(ends[:-1], ends[1:], strict=True)
+                    out.append(pa.array([decode_ids(decoder, ids[a:b].tolist()) for a, b in spans], pa.string()))
+                    names.append("decoded")
+                yield pa.RecordBatch.from_arrays(out, names=names)
+    finally:
+        encoder.forget()
+        pa.default_memory_pool().release_unused()
 
 
 def encode(df: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -7,22 +7,30 @@ from collections.abc import Callable
 import numpy as np
 
 
+#: Bytes that a task remembers at most, beside one slice of text; twice that while it adds to them.
+REMEMBERED = 16 << 20
+
+
 class Memory:
-    """Ids by the 64-bit hash of a chunk, in sorted arrays; emptied when it holds too many."""
+    """Ids by the 64-bit hash of a chunk, in sorted arrays; emptied when it holds too many bytes."""
 
-    def __init__(self, encode: Callable[[list[bytes]], list[list[int]]], limit: int = 1_500_000):
+    def __init__(self, encode: Callable[[list[bytes]], list[list[int]]], limit: int = REMEMBERED):
         self.encode, self.limit = encode, limit
-        self._empty()
+        self.empty()
 
-    def _empty(self) -> None:
+    def empty(self) -> None:
         self.keys = np.zeros(0, np.uint64)
-        self.start = np.zeros(0, np.int64)
-        self.n = np.zeros(0, np.int64)
+        self.start = np.zeros(0, np.uint32)
+        self.n = np.zeros(0, np.uint32)
         self.ids = np.zeros(0, np.int32)
 
+    @property
+    def full(self) -> bool:
+        return self.keys.nbytes + self.start.nbytes + self.n.nbytes + self.ids.nbytes > self.limit
+
     def _learn(self, keys: np.ndarray, chunks: list[bytes]) -> None:
-        if len(self.keys) > self.limit or len(self.ids) > 8 * self.limit:
-            self._empty()
+        if self.full:
+            self.empty()
         known = np.zeros(len(keys), bool)
         if len(self.keys):
             at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
@@ -36,8 +44,8 @@ class Memory:
         start = len(self.ids) + np.cumsum(n) - n
         order = np.argsort(joined := np.concatenate((self.keys, keys)), kind="stable")
         self.keys = joined[order]
-        self.start = np.concatenate((self.start, start))[order]
-        self.n = np.concatenate((self.n, n))[order]
+        self.start = np.concatenate((self.start, start.astype(np.uint32)))[order]
+        self.n = np.concatenate((self.n, n.astype(np.uint32)))[order]
         self.ids = np.concatenate((self.ids, new))
 
     def lookup(self, keys: np.ndarray, begin: np.ndarray, end: np.ndarray, data: np.ndarray):
@@ -51,13 +59,13 @@ class Memory:
             at = np.minimum(np.searchsorted(self.keys, distinct), len(self.keys) - 1)
             missing = self.keys[at] != distinct
         if missing.any():
-            if len(self.keys) > self.limit or len(self.ids) > 8 * self.limit:
+            if self.full:
                 missing[:] = True
             which = first[missing]
             spans = zip(begin[which].tolist(), end[which].tolist(), strict=True)
             self._learn(distinct[missing], [raw[b:e] for b, e in spans])
         at = np.searchsorted(self.keys, distinct)[back]
-        n = self.n[at]
+        n = self.n[at].astype(np.int64)
         total = np.cumsum(n)
-        where = np.repeat(self.start[at] - (total - n), n) + np.arange(total[-1])
+        where = np.repeat(self.start[at].astype(np.int64) - (total - n), n) + np.arange(total[-1])
         return n, self.ids[where]

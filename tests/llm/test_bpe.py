@@ -1,4 +1,6 @@
 import hashlib
+import random
+import tracemalloc
 
 import public_tokenizers as P
 import pyarrow as pa
@@ -66,6 +68,36 @@ def test_decoder_holds_back_unfinished_characters(library):
     assert "".join(parts) + decoder.end() == text
 
 
+@settings(max_examples=500, deadline=None)
+@given(st.lists(st.one_of(st.binary(max_size=6), st.text(max_size=3).map(lambda t: t.encode("utf-8", "ignore"))), max_size=8))
+def test_machine_equals_the_codec_on_any_bytes(parts):
+    """Fed in any pieces, bytes that are no UTF-8 among them."""
+    decoder = bpe.StreamDecoder(parts)
+    made = "".join(decoder.feed([i]) for i in range(len(parts))) + decoder.end()
+    assert made == b"".join(parts).decode("utf-8", "replace")
+
+
+def test_what_a_worker_remembers_is_bounded(library, monkeypatch):
+    """Words that never come again: all caches fill, and none outgrows its bound."""
+    monkeypatch.setattr(bpe, "MAX_STATES", 10_000)
+    monkeypatch.setattr(bpe, "MAX_FITS", 10_000)
+    encoder = bpe.Encoder(PATH, P.PATTERN)
+    encoder.memory.limit = 1 << 19
+    rng = random.Random(1)
+    tracemalloc.start()
+    for _ in range(3):
+        texts = [" ".join("".join(rng.choices("abcdeéstr", k=9)) for _ in range(15_000))]
+        for part in slices(pa.array(texts, pa.string())):
+            encoder.encode(part)
+        assert len(encoder.transducer._states) <= bpe.MAX_STATES + 100 and len(encoder.transducer._fits) <= bpe.MAX_FITS + 1
+    held = tracemalloc.get_traced_memory()[0]
+    encoder.forget()
+    left = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert left < 1 << 20 < held < 40 << 20
+    assert ids(encoder, [texts[0][:999]]) == [library.encode_ordinary(texts[0][:999])]
+
+
 def test_query_equals_the_library(spark, library):
     _, pairs = cases.documents(spark)
     rows = {r.doc_id: r for r in queries.op1_byte_bpe(spark, "/root/testdata/sf0.001").collect()}
