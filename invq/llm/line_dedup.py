@@ -8,7 +8,7 @@ words left behind the shared one (positional filter). Bitmaps of the words rule
 Jaccard similarity of the words themselves.
 
 A line is removed if an earlier one, in order of key and line, is as similar as the threshold asks,
-whether that one is kept or not. One such line is enough, so where many lines share a prefix word, each
+whether that one is kept or not. One such line is enough, so where a share of all lines has a prefix word, each
 is first held against those of the least key among them; only lines that are not removed by that
 are held against all earlier ones. Thousands of variants of one line cost a comparison or a few each.
 
@@ -26,8 +26,8 @@ from .common import written
 
 #: Jaccard similarity in hundredths.
 THRESHOLD = 90
-#: Lines that share a prefix word and are compared with each other at once; more go by the least key first.
-FEW = 50
+#: A word in the prefixes of more than one of so many different lines is common: those go by the least key first.
+COMMON = 10_000
 #: Hash buckets in which words are counted: the size of what every task is sent.
 COUNTED = 1 << 17
 _SPACE = r"[\x09-\x0D ]+"
@@ -55,20 +55,13 @@ def _identified(df: DataFrame, key: str, text: str) -> DataFrame:
     return df.select(doc.alias("doc"), F.xxhash64(text).alias("print"), F.col(text).alias("text"))
 
 
-def _lines(rows: DataFrame) -> DataFrame:
-    split = rows.where("text is not null").select("doc", "print", F.posexplode(F.split("text", "\n")).alias("line", "body"))
-    worded = split.where(F.col("body").rlike(r"[^\x09-\x0D ]"))  # asked of the text: words would be split twice
-    return worded.select("doc", "print", "line", _words(F.col("body")).alias("words"))
-
-
 def _bucket(word: Column) -> Column:
     return F.pmod(word, F.lit(COUNTED)).cast("int")
 
 
 def _rarities(rows: DataFrame) -> Column:
     """How often words of each bucket occur, as 16 times the binary logarithm: a constant of COUNTED numbers."""
-    hashes = F.transform(_parts(F.col("text")), lambda w: _bucket(F.xxhash64(w)))
-    met = rows.select(F.explode(hashes).alias("bucket")).groupBy("bucket")
+    met = rows.select(F.explode(_parts(F.col("text"))).alias("word")).groupBy(_bucket(F.xxhash64("word")).alias("bucket"))
     n = met.agg(F.count(F.lit(1)).alias("n")).select("bucket", F.round(16 * F.log2(F.col("n"))).cast("int").alias("n"))
     level = [0] * COUNTED
     for row in n.collect():
@@ -90,16 +83,21 @@ def _bitmap(words: Column) -> Column:
     return F.aggregate(words, F.lit(0).cast("bigint"), with_bit)
 
 
-def _prefixes(lines: DataFrame, rarities: Column, threshold: int) -> DataFrame:
-    """Per line: id and size of its set, its prefix in order of rarity, and a bitmap of its words."""
+def _prefixes(rows: DataFrame, rarities: Column, threshold: int) -> DataFrame:
+    """Per line with a word: id and size of its set, its prefix in order of rarity, and a bitmap of its words."""
 
     def ranked(word: Column) -> Column:
         level = F.call_function("shiftleft", F.get(rarities, _bucket(word)), F.lit(_HASHED))
         return level.bitwiseOR(word.bitwiseAND(F.lit((1 << _HASHED) - 1)))
 
+    split = rows.where("text is not null").select("doc", "print", F.posexplode(F.split("text", "\n")).alias("line", "body"))
+    worded = split.where(F.col("body").rlike(r"[^\x09-\x0D ]"))  # asked of the text: words would be split twice
+    # hashed and ranked in one go over the words; each once, none empty, the rarest first
+    words = F.transform(_parts(F.col("body")), lambda w: ranked(F.xxhash64(w)))
+    words = F.sort_array(F.array_remove(F.array_distinct(words), ranked(F.expr(_NO_WORD))))
+    ordered = worded.select("doc", "print", "line", words.alias("words"))
     n = F.size("words")
     long_enough = (100 - threshold) * n >= threshold - (100 - threshold)  # else no other set is similar enough
-    ordered = lines.select("doc", "print", "line", F.sort_array(F.transform("words", ranked)).alias("words"))
     return ordered.select(
         "doc",
         "print",
@@ -153,8 +151,7 @@ def _similar(pairs: DataFrame, sets: DataFrame, rows: DataFrame, threshold: int)
 def removed_lines(df: DataFrame, key: str = "doc_id", text: str = "text", threshold: int = THRESHOLD) -> DataFrame:
     """doc, print and `removed`: the numbers (from 0) of the lines to remove from the rows that have any."""
     rows = _identified(df, key, text)
-    lines = _lines(rows)
-    table = written(_prefixes(_lines(rows), _rarities(rows), threshold), "lines")
+    table = written(_prefixes(rows, _rarities(rows), threshold), "lines")
     first = F.min(F.struct("doc", "print", "line")).alias("first")
     sets = written(table.groupBy("id").agg(first), "line-sets")
     at_first = [F.col(f"first.{c}").alias(c) for c in ("doc", "print", "line")]
@@ -162,7 +159,8 @@ def removed_lines(df: DataFrame, key: str = "doc_id", text: str = "text", thresh
     entries = firsts.select("id", "doc", "n", "bits", F.posexplode("prefix").alias("place", "word"))
     shared = entries.groupBy("word").agg(F.min("doc").alias("least"), F.count(F.lit(1)).alias("met"))
     entries = written(entries.join(shared.where("met > 1"), "word"), "line-prefixes")
-    rare, common = entries.where(F.col("met") <= FEW), entries.where(F.col("met") > FEW)
+    few = sets.count() / COMMON
+    rare, common = entries.where(F.col("met") <= few), entries.where(F.col("met") > few)
     nearest = _pairs(common, common.where("doc = least"), threshold)
     gone = _similar(nearest, sets, rows, threshold)
     others = _pairs(common.join(gone, "id", "left_anti"), common.where("doc > least"), threshold)
