@@ -8,7 +8,7 @@ may follow, back to the root. Several configurations stay alive until enough byt
 tokens on which all agree are emitted at once, so output lags by a bounded lookahead (no token is
 longer than the longest of the vocabulary). Sets of configurations become states when they are
 first met and are forgotten together once there are too many, so memory is bounded; a Python worker that
-is kept for the next task keeps the trie alone.
+is kept for the next task keeps the trie and a bounded number of encoded pieces.
 
 Defined results: a null text is empty and has no ids; ids decode to the very bytes; bytes that are
 no UTF-8 (ids of part of a text) decode to U+FFFD as Python's incremental decoder does. Columns
@@ -32,8 +32,8 @@ from .pieces import Memory
 from .words import Texts, slices, span_keys, words
 
 #: The transducer starts anew beyond so many states or four times as many moves, and asks anew which tokens may
-#: be neighbours beyond so many answers. What it has learned from texts goes when the task ends.
-MAX_STATES, MAX_FITS = 100_000, 200_000
+#: be neighbours beyond so many answers. Its states go when the task ends.
+MAX_STATES, MAX_FITS = 200_000, 400_000
 #: Bytes of text that are looked at, and whose rows leave a task, together.
 BATCH = 1 << 19
 
@@ -331,7 +331,7 @@ def _batches(batches: Iterable[pa.RecordBatch], path: str, pattern: str, back: b
                     names.append("decoded")
                 yield pa.RecordBatch.from_arrays(out, names=names)
     finally:
-        encoder.forget()
+        encoder.transducer.forget()  # the pieces are packed and bounded: they may help the worker's next task
         pa.default_memory_pool().release_unused()
 
 

@@ -7,8 +7,8 @@ from collections.abc import Callable
 import numpy as np
 
 
-#: Bytes that a task remembers at most, beside one slice of text; twice that while it adds to them.
-REMEMBERED = 16 << 20
+#: Bytes that a Python worker remembers at most from task to task; twice that while it adds to them.
+REMEMBERED = 48 << 20
 
 
 class Memory:

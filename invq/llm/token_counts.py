@@ -94,8 +94,9 @@ def cuts_at_space(settings: dict) -> bool:
     return plain and alone and settings.get("normalizer") is None
 
 
+@lru_cache(maxsize=1)
 def counter(path: str) -> Callable[[Texts], np.ndarray]:
-    """Number of tokens of each text of a slice. What it remembers ends with the task that made it."""
+    """Number of tokens of each text of a slice. A worker keeps it, with a bounded number of counted pieces."""
     tokenizer, sentence = _tokenizer(path), library(path) == "sentencepiece"
 
     def lengths(texts: list[str]) -> list[int]:
