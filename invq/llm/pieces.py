@@ -8,7 +8,7 @@ import numpy as np
 
 
 #: Bytes that a Python worker remembers at most from task to task; twice that while it adds to them.
-REMEMBERED = 48 << 20
+REMEMBERED = 64 << 20
 
 
 class Memory:
