@@ -76,15 +76,19 @@ def foreign_account_guard(
 
 
 def account_guard(accounts: DataFrame, callers: DataFrame, stack: str = "stack") -> DataFrame:
-    """`foreign_account_guard` for accounts that are already known, one row per stack and account."""
-    named = accounts.join(callers, stack)
+    """`foreign_account_guard` for accounts that are already known, one row per stack and account.
+
+    Accounts are exploded, so they are more than the planner takes them for: merged, not broadcast.
+    """
+    named = accounts.hint("merge").join(callers, stack)
     owned = named.groupBy(stack).agg(
         F.count(F.lit(1)).alias("n_accounts"),
         F.min("account").alias("first_account"),
         F.bool_or(F.col("account") == F.col("caller")).alias("is_owner"),
     )
     return (
-        callers.join(owned, stack, "left")
+        callers.hint("merge")
+        .join(owned, stack, "left")
         .withColumn("n_accounts", F.coalesce("n_accounts", F.lit(0).cast("bigint")))
         .withColumn("violation", (F.col("n_accounts") > 0) & ~F.col("is_owner"))
         .drop("is_owner")
@@ -147,7 +151,8 @@ def resource_shape_audit(
 
     Checks: each network resource type, each stray type prefix, forbidden names, and subnets
     outside the stack's network. All counts of a stack come from one aggregation; the fixed list
-    of checks is turned into rows after it.
+    of checks is turned into rows after it. Resources read out of exports are exploded, so they are more
+    than the planner takes them for: both joins merge, and nothing is gathered on the driver.
     """
     kind, urn = F.col("type"), F.col("urn")
     expected = {
@@ -166,7 +171,7 @@ def resource_shape_audit(
         *[F.count_if(F.coalesce(test, F.lit(False))).alias(f"c{i}") for i, test in enumerate(found.values())]
     )
     foreign = f"c{names.index('foreign network')}"
-    with_stack = by_network.join(stacks.select(stack, "expected_vpc_id"), stack).withColumn(
+    with_stack = by_network.hint("merge").join(stacks.select(stack, "expected_vpc_id"), stack).withColumn(
         foreign, F.when(F.col("vpc_id") != F.col("expected_vpc_id"), F.col(foreign)).otherwise(0)
     )
     counted = with_stack.groupBy(stack).agg(*[F.sum(f"c{i}").alias(f"c{i}") for i in range(len(names))])
@@ -182,7 +187,8 @@ def resource_shape_audit(
         ]
     )
     return (
-        stacks.join(counted, stack, "left")
+        stacks.hint("merge")
+        .join(counted, stack, "left")
         .select(stack, F.inline(checks))
         .withColumn("passed", F.col("expected") == F.col("found"))
     )

@@ -97,15 +97,18 @@ def name_collision_audit(
             for kind, (name, limit) in names.items()
         ]
     )
-    who = F.struct(*owner)
+    # the least and greatest of a struct can only be found by sorting every row; those of one column are hashed
+    one = owner[0] if len(owner) == 1 else None
+    who = F.col("owner")
+    if one:
+        least = F.when(F.count_if(who.isNull()) == 0, F.min(who))  # a null owner comes first, as in a struct
+        first, last = F.struct(least.alias(one)), F.struct(F.max(who).alias(one))
+    else:
+        first, last = F.min(who), F.max(who)
     return (
-        resources.select(who.alias("owner"), F.inline(derived))
+        resources.select((F.col(one) if one else F.struct(*owner)).alias("owner"), F.inline(derived))
         .groupBy("kind", "name", "allowed")
-        .agg(
-            F.count(F.lit(1)).alias("n_owners"),
-            F.min("owner").alias("first_owner"),
-            F.max("owner").alias("last_owner"),
-        )
+        .agg(F.count(F.lit(1)).alias("n_owners"), first.alias("first_owner"), last.alias("last_owner"))
         .withColumn("n_chars", F.length("name").cast("bigint"))
         .withColumn("over_limit", F.col("n_chars") > F.col("allowed"))
         .where((F.col("n_owners") > 1) | F.col("over_limit"))
