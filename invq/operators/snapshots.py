@@ -406,6 +406,8 @@ def retention_sweep(objects: DataFrame, rules: Sequence[RetentionRule], as_of: C
 
 #: Rules that are sent to every task; more are joined by shuffle.
 RULES_SENT = 20_000
+#: Words of 64 bits in the map of prefixes that rules name, which every task gets (at most 4 MB).
+PREFIX_WORDS = 2**18
 
 
 def prefix_ladder(key: Column, separator: str = "/", lengths: Sequence[int] = ()) -> Column:
@@ -420,6 +422,30 @@ def prefix_ladder(key: Column, separator: str = "/", lengths: Sequence[int] = ()
     return F.array_sort(every, lambda a, b: F.char_length(b) - F.char_length(a))
 
 
+def _earliest_rules(rules: DataFrame, scope: Sequence[str], clocks: Sequence[str]) -> DataFrame:
+    """The rules that can be due first: of those alike in all but name and days, the one with the least days.
+
+    Whatever object they meet, that one is due no later than the others, and by name before those due with it.
+    """
+    alike = [*scope, "prefix", "clock", F.coalesce("inclusive", F.lit(False)).alias("inclusive"), "applies_to"]
+    known = rules.where(F.col("days").isNotNull() & F.col("clock").isin(*clocks))
+    first = known.groupBy(*alike).agg(F.min(F.struct("days", "rule")).alias("__first"))
+    return first.select(*scope, "__first.rule", "prefix", "__first.days", "clock", "inclusive", "applies_to")
+
+
+def _named_by_rules(asked: DataFrame, rules: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The asked rows but for most of those whose keys no rule has, by a bitmap of hashes."""
+    if any(asked.schema[k].dataType != rules.schema[k].dataType for k in keys):
+        return asked  # equal values may have other hashes
+    hashed = F.xxhash64(*keys)
+    word = F.pmod(hashed, F.lit(PREFIX_WORDS)).alias("__word")
+    bit = F.call_function("shiftright", hashed, F.lit(32)).bitwiseAND(F.lit(63).cast("bigint")).cast("int")
+    flag = F.call_function("shiftleft", F.lit(1).cast("bigint"), bit)
+    bits = rules.select(word, flag.alias("__flag")).groupBy("__word").agg(F.bit_or("__flag").alias("__bits"))
+    looked_up = asked.select("*", word, flag.alias("__flag")).join(F.broadcast(bits), "__word")
+    return looked_up.where(F.col("__bits").bitwiseAND(F.col("__flag")) != 0).select(*asked.columns)
+
+
 def retention_sweep_by_rules(
     objects: DataFrame,
     rules: DataFrame,
@@ -434,10 +460,11 @@ def retention_sweep_by_rules(
     ``rules`` has the scope, ``rule``, ``prefix``, ``days``, ``clock`` (one of ``clocks``), ``inclusive`` and
     ``applies_to``. An object meets them by equality of the prefixes it has: those that end with the separator, and those
     as long as rules that end elsewhere (at most as many lengths as a key has characters). Equal objects are
-    asked about once, so an object is known by its columns, and all rules it meets come together again.
+    asked about once, so an object is known by its columns, and all rules it meets come together again. It meets
+    a few rules a prefix, however many have that prefix, since only those that can be due first are left.
     """
     scope, columns = list(scope), objects.columns
-    rules = rules.select(*scope, "rule", "prefix", "days", "clock", "inclusive", "applies_to")
+    rules = _earliest_rules(rules, scope, clocks)
     odd = rules.where((F.col("prefix") != "") & ~F.endswith(F.col("prefix"), F.lit(separator)))
     lengths = [r.n for r in odd.select(F.char_length("prefix").alias("n")).distinct().collect()]
     listed = objects.groupBy(*columns).agg(F.count(F.lit(1)).alias("__copies"))
@@ -446,7 +473,8 @@ def retention_sweep_by_rules(
     if rules.limit(rules_sent + 1).count() <= rules_sent:
         met = asked.join(F.broadcast(rules), keys)
     else:
-        met = hot_join(asked, rules, keys)
+        # no pass to count hot keys: a key has few rules now, and a merge join reads its objects as they come
+        met = _named_by_rules(asked, rules, keys).hint("merge").join(rules, keys)
     from_clock = F.coalesce(*[F.when(F.col("clock") == c, F.col(c)) for c in clocks])
     due = from_clock + F.make_dt_interval(F.col("days"))
     applies = (F.col("applies_to") == "any") | (F.col("is_current") == (F.col("applies_to") == "current"))
