@@ -4,19 +4,23 @@ The order in which files or micro-batches bring rows therefore makes no differen
 watermark passes it. One that comes later is given out as it is, with its time in ``late_at_us``, and
 takes no part in any decision.
 
-Held rows lie in state by key and bucket of time, packed as Arrow; a timer a bucket and micro-batch fires once the
-watermark has passed all it has seen. One call decides one bucket of one key, so neither a key's rows nor a micro-batch
-are ever in memory together. What a processor remembers besides is one value a key, cleared once it can no longer matter.
+Held rows lie in state by key: a few in one value, what is beyond that by bucket of time. One call decides a few rows and one
+bucket of one key at a time, so neither a hot key's rows nor a micro-batch are ever in memory together. What a processor remembers besides is one value a key, cleared once it can no longer matter.
 Modules that import nothing of this package can be unpickled wherever a Python worker runs.
 """
 
 from __future__ import annotations
 
+import bisect
+import itertools
+import pickle
+import uuid
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark.sql import Row
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 LATE = "late_at_us"
@@ -56,7 +60,7 @@ class EventTimeProcessor(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.held = handle.getMapState("held", "bucket bigint", "rows binary")
+        self.held = handle.getMapState("held", "bucket bigint, part bigint", "rows binary")
         self.memo = handle.getValueState("memo", self.MEMO)
 
     def wanted(self, rows: pd.DataFrame) -> pd.DataFrame:
@@ -97,23 +101,24 @@ class EventTimeProcessor(StatefulProcessor):
                 frame = frame[~late]
             frame = self.wanted(frame) if len(frame) else frame
             for bucket, part in frame.groupby(frame["at_us"] // self.bucket):
-                at = (int(bucket),)
-                before = self.held.getValue(at)[0] if self.held.containsKey(at) else b""
-                self.held.updateValue(at, (bytes(before) + _packed(part),))
+                # a lot under a number of its own, so that nothing is read or written again
+                self.held.updateValue((int(bucket), uuid.uuid4().int >> 66), (_packed(part),))
                 self.handle.registerTimer(int(part["at_us"].max()) // 1000 + 1)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         watermark = timerValues.getCurrentWatermarkInMs()
         if self.held.exists():
-            for (bucket,) in sorted(tuple(at) for at in self.held.keys()):
+            parts = sorted(tuple(at) for at in self.held.keys())
+            for bucket, lots in itertools.groupby(parts, key=lambda at: at[0]):
                 if bucket * self.bucket // 1000 >= watermark:
                     break
-                rows = _unpacked(bytes(self.held.getValue((bucket,))[0]))
+                lots = list(lots)
+                rows = self.wanted(_unpacked(b"".join(bytes(self.held.getValue(at)[0]) for at in lots)))
                 ready = (rows["at_us"] // 1000 < watermark).to_numpy()
-                if ready.all():
-                    self.held.removeKey((bucket,))
-                elif ready.any():
-                    self.held.updateValue((bucket,), (_packed(rows[~ready]),))
+                for at in lots if ready.any() else []:
+                    self.held.removeKey(at)
+                if ready.any() and not ready.all():
+                    self.held.updateValue(lots[0], (_packed(rows[~ready]),))
                 rows = rows[ready].sort_values(["at_us", *self.order], ignore_index=True)
                 if len(rows):
                     yield from self.decide(key, rows)
@@ -123,7 +128,156 @@ class EventTimeProcessor(StatefulProcessor):
         pass
 
 
-class SustainedProcessor(EventTimeProcessor):
+class KeyedProcessor(StatefulProcessor):
+    """Hands on a key's rows in order of time and of the order columns, for keys that are many and have few rows each.
+
+    Rows are plain tuples, time first. Up to `FEW` of a key lie together in one value, so that a key costs a
+    handful of calls to the store; what is beyond that lies by buckets of time, of which one is read at a time.
+    """
+
+    #: Names and types of what is remembered of a key.
+    MEMO = ""
+    #: Rows of a key that are held and decided together.
+    FEW = 4096
+
+    def __init__(self, keys: Sequence[str], order: Sequence[str], more: Sequence[str], results: Sequence[str], bucket: int):
+        self.keys, self.order, self.results, self.bucket = list(keys), list(order), list(results), max(1, bucket)
+        self.columns = ["at_us", *order, *more]
+        #: Results that late rows show.
+        self.shown = [name for name in order if name in results]
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.near = handle.getValueState("near", "rows binary")
+        self.held = handle.getMapState("held", "bucket bigint, part bigint", "rows binary")
+        self.memo = handle.getValueState("memo", self.MEMO)
+
+    def wanted(self, memo: tuple | None, rows: list[tuple]) -> list[tuple]:
+        """The rows that can still matter."""
+        return rows
+
+    def decide(self, key, memo: tuple | None, rows: list[tuple]) -> tuple[tuple | None, list[Row]]:
+        """What is remembered after the next rows, which are in order and later than all before, and their results."""
+        raise NotImplementedError
+
+    def passed(self, key, memo: tuple | None, watermark: int, idle: bool) -> tuple[tuple | None, list[Row]]:
+        """The same after time itself, once all rows before the watermark are decided; ``idle`` if no rows are held."""
+        return memo, []
+
+    def reminders(self, memo: tuple) -> list[int]:
+        """Times that the key is to be called at."""
+        return []
+
+    def row(self, key, **values) -> Row:
+        """A result row of a key; columns that are not given are null."""
+        named = dict(zip(self.keys, key, strict=True))
+        for name in [*self.results, LATE]:
+            named[name] = values.get(name)
+        return Row(**named)
+
+    def _place(self, row: tuple):
+        """Sort key: time and order columns, nulls last."""
+        return row[0], *((v is None, v) for v in row[1 : 1 + len(self.order)])
+
+    def _put(self, rows: list[tuple]) -> None:
+        """Holds rows by bucket, each lot under a number of its own so that nothing is read or written again."""
+        buckets: dict[int, list[tuple]] = {}
+        for row in rows:
+            buckets.setdefault(row[0] // self.bucket, []).append(row)
+        for bucket, lot in buckets.items():
+            self.held.updateValue((bucket, uuid.uuid4().int >> 66), (pickle.dumps(lot),))
+            self.handle.registerTimer(max(row[0] for row in lot) // 1000 + 1)
+
+    def _hold(self, fresh: list[tuple]) -> None:
+        fresh = self.wanted(self.memo.get(), fresh)
+        if not fresh:
+            return
+        known = self.near.get()
+        near = [*(pickle.loads(bytes(known[0])) if known is not None else []), *fresh]
+        if len(near) <= self.FEW:
+            self.near.update((pickle.dumps(near),))
+            self._call(fresh)
+        else:
+            self._put(fresh)
+
+    def _call(self, rows: list[tuple]) -> None:
+        """Asks for a call once the rows of the first bucket have been passed."""
+        first = min(row[0] for row in rows) // self.bucket
+        self.handle.registerTimer(max(row[0] for row in rows if row[0] // self.bucket == first) // 1000 + 1)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        watermark, fresh = timerValues.getCurrentWatermarkInMs(), []
+        for row in rows:
+            at = row["at_us"]
+            if at is None:
+                continue
+            if at // 1000 < watermark:
+                yield self.row(key, **{name: row[name] for name in self.shown}, **{LATE: at})
+                continue
+            fresh.append(tuple(row[name] for name in self.columns))
+            if len(fresh) == self.FEW:
+                self._hold(fresh)
+                fresh = []
+        if fresh:
+            self._hold(fresh)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        watermark = timerValues.getCurrentWatermarkInMs()
+        before = memo = self._remembered()
+        known = self.near.get()
+        near = pickle.loads(bytes(known[0])) if known is not None else []
+        ready = sorted((row for row in near if row[0] // 1000 < watermark), key=self._place)
+        later = [row for row in near if row[0] // 1000 >= watermark]
+        lots: dict[int, list[tuple]] = {}
+        if self.held.exists():
+            for bucket, part in [tuple(at) for at in self.held.keys()]:
+                lots.setdefault(bucket, []).append((bucket, part))
+        kept = len(lots)
+        for bucket in sorted(lots):
+            if bucket * self.bucket // 1000 >= watermark:
+                break
+            lot = [row for at in lots[bucket] for row in pickle.loads(bytes(self.held.getValue(at)[0]))]
+            for at in lots[bucket]:
+                self.held.removeKey(at)
+            rest = [row for row in lot if row[0] // 1000 >= watermark]
+            if rest:
+                self._put(rest)
+            else:
+                kept -= 1
+            end = bisect.bisect_left(ready, (bucket + 1) * self.bucket, key=lambda row: row[0])
+            now = sorted([*ready[:end], *(row for row in lot if row[0] // 1000 < watermark)], key=self._place)
+            ready = ready[end:]
+            if now:
+                memo, found = self.decide(key, memo, now)
+                yield from found
+        if ready:
+            memo, found = self.decide(key, memo, ready)
+            yield from found
+        if later and len(later) < len(near):
+            self.near.update((pickle.dumps(later),))
+            self._call(later)
+        elif near and not later:
+            self.near.clear()
+        memo, found = self.passed(key, memo, watermark, not kept and not later)
+        yield from found
+        if memo is None:
+            if before is not None:
+                self.memo.clear()
+        elif memo != before:
+            self.memo.update(memo)
+            for at_us in self.reminders(memo):
+                if _passes(at_us) > watermark:
+                    self.handle.registerTimer(_passes(at_us))
+
+    def _remembered(self) -> tuple | None:
+        memo = self.memo.get()
+        return None if memo is None else tuple(memo)
+
+    def close(self) -> None:
+        pass
+
+
+class SustainedProcessor(KeyedProcessor):
     """Emits a key at the first observation at or past the grace, once; with a time to live it is forgotten,
     and may come again, when it has not been present for that long."""
 
@@ -131,85 +285,65 @@ class SustainedProcessor(EventTimeProcessor):
     MEMO = "since bigint, seen bigint, captured boolean"
 
     def __init__(self, keys: Sequence[str], order: Sequence[str], grace: int, ttl: int | None):
-        super().__init__(keys, order, ["since_us", "at_us", *order], grace)
+        super().__init__(keys, order, ["present", "breaks"], ["since_us", "at_us", *order], grace)
         self.grace, self.ttl = grace, ttl
 
-    def wanted(self, rows: pd.DataFrame) -> pd.DataFrame:
-        _, _, captured = self.remembered((-1, -1, False))
-        return rows.iloc[:0] if captured and self.ttl is None else rows
-
-    def decide(self, key, rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
-        since, seen, captured = self.remembered((-1, -1, False))
-        at, present = rows["at_us"].to_numpy(), rows["present"].to_numpy(bool)
-        if self.ttl is not None and captured and int(at[0]) - seen >= self.ttl:
-            since, captured = -1, False
-        run, begun = runs_since(at, present, ~present | rows["breaks"].to_numpy(bool), since)
-        due = np.flatnonzero(present & (at - begun[run] >= self.grace))
-        if len(due) and not captured:
-            first, captured = int(due[0]), True
-            values = {name: [rows[name].iat[first]] for name in self.order}
-            yield self.row(key, since_us=[int(begun[run[first]])], at_us=[int(at[first])], **values)
-        since = int(begun[-1]) if begun[-1] < _NEVER else -1
-        seen = int(at[present][-1]) if present.any() else seen
-        if since < 0 and not captured:
-            self.memo.clear()
-        else:
-            self.memo.update((since, seen, bool(captured)))
-            if self.ttl is not None:
-                self.remind(seen + self.ttl)
+    def wanted(self, memo: tuple | None, rows: list[tuple]) -> list[tuple]:
+        return [] if memo is not None and memo[2] and self.ttl is None else rows
 
-    def passed(self, key, watermark: int) -> Iterator[pd.DataFrame]:
-        if self.ttl is not None and self.memo.exists():
-            _, seen, captured = self.memo.get()
-            if captured and _passes(seen + self.ttl) <= watermark and not self.held.exists():
-                self.memo.clear()
-        yield from ()
+    def decide(self, key, memo: tuple | None, rows: list[tuple]) -> tuple[tuple | None, list[Row]]:
+        (since, seen, captured), found = memo or (-1, -1, False), []
+        for at, *order, present, breaks in rows:
+            if self.ttl is not None and captured and at - seen >= self.ttl:
+                since, captured = -1, False
+            if not present:
+                since = -1
+                continue
+            since, seen = at if breaks or since < 0 else since, at
+            if not captured and at - since >= self.grace:
+                captured = True
+                found.append(self.row(key, since_us=since, at_us=at, **dict(zip(self.order, order, strict=True))))
+        return (None if since < 0 and not captured else (since, seen, captured)), found
 
+    def reminders(self, memo: tuple) -> list[int]:
+        return [] if self.ttl is None else [memo[1] + self.ttl]
 
-_NEVER = np.iinfo(np.int64).max // 2
+    def passed(self, key, memo: tuple | None, watermark: int, idle: bool) -> tuple[tuple | None, list[Row]]:
+        if self.ttl is not None and memo is not None and memo[2] and idle and _passes(memo[1] + self.ttl) <= watermark:
+            return None, []
+        return memo, []
 
 
-def runs_since(at: np.ndarray, present: np.ndarray, starts: np.ndarray, since: int) -> tuple[np.ndarray, np.ndarray]:
-    """For rows in order: the run each is in, and since when each run has been present (_NEVER: not at all).
-    Run 0 goes on from before, where it began at `since` (negative: it did not)."""
-    run = np.cumsum(starts)
-    begun = np.full(int(run[-1]) + 1, _NEVER, np.int64)
-    np.minimum.at(begun, run[present], at[present])
-    if since >= 0:
-        begun[0] = since
-    return run, begun
+_NEVER = np.iinfo(np.int64).max // 2
 
 
-class ThrottleProcessor(EventTimeProcessor):
+class ThrottleProcessor(KeyedProcessor):
     """Lets a row pass when the last that passed is at least the interval ago."""
 
     MEMO = "passed bigint"
 
     def __init__(self, keys: Sequence[str], order: Sequence[str], interval: int):
-        super().__init__(keys, order, ["at_us", *order], interval)
+        super().__init__(keys, order, [], ["at_us", *order], interval)
         self.interval = interval
 
-    def decide(self, key, rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
-        at, kept = rows["at_us"].to_numpy(), []
-        (last,) = self.remembered((None,))
-        i = 0 if last is None else int(at.searchsorted(last + self.interval))
-        while i < len(at):
-            kept.append(i)
-            i = int(at.searchsorted(at[i] + self.interval))
-        if kept:
-            last = int(at[kept[-1]])
-            self.memo.update((last,))
-            self.remind(last + self.interval)
-            passed = rows.iloc[kept]
-            yield self.row(key, len(kept), **{name: passed[name].tolist() for name in self.results})
+    def decide(self, key, memo: tuple | None, rows: list[tuple]) -> tuple[tuple | None, list[Row]]:
+        last, found = None if memo is None else memo[0], []
+        for row in rows:
+            if last is None or row[0] >= last + self.interval:
+                last = row[0]
+                found.append(self.row(key, **dict(zip(self.columns, row, strict=True))))
+        return (None if last is None else (last,)), found
 
-    def passed(self, key, watermark: int) -> Iterator[pd.DataFrame]:
-        if self.memo.exists() and _passes(self.memo.get()[0] + self.interval) <= watermark:
-            self.memo.clear()  # whatever comes now passes
-        yield from ()
+    def reminders(self, memo: tuple) -> list[int]:
+        return [memo[0] + self.interval]
 
+    def passed(self, key, memo: tuple | None, watermark: int, idle: bool) -> tuple[tuple | None, list[Row]]:
+        if memo is not None and _passes(memo[0] + self.interval) <= watermark:
+            return None, []  # whatever comes now passes
+        return memo, []
 
-class DeadlineProcessor(EventTimeProcessor):
+
+class DeadlineProcessor(KeyedProcessor):
     """Emits a key's first outcome before its deadline, or the overdue one once the watermark has
     passed that. The deadline counts from the key's first row in time, whichever micro-batch brings it.
 
@@ -220,45 +354,38 @@ class DeadlineProcessor(EventTimeProcessor):
     MEMO = "start bigint, done boolean, detail string"
 
     def __init__(self, keys: Sequence[str], order: Sequence[str], timeout: int, overdue: str, keep: int):
-        super().__init__(keys, order, ["outcome", "elapsed_us", "detail"], timeout)
+        super().__init__(keys, order, ["outcome", "detail"], ["outcome", "elapsed_us", "detail"], timeout)
         self.timeout, self.overdue, self.keep = timeout, overdue, keep
 
-    def wanted(self, rows: pd.DataFrame) -> pd.DataFrame:
-        start, done, _ = self.remembered((None, False, None))
-        if start is None:
+    def wanted(self, memo: tuple | None, rows: list[tuple]) -> list[tuple]:
+        if memo is None:
             return rows
-        return rows.iloc[:0] if done else rows[rows["at_us"] < start + self.timeout]
-
-    def decide(self, key, rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
-        at = rows["at_us"].to_numpy()
-        start, done, detail = self.remembered((None, False, None))
-        if start is None:
-            start = int(at[0])
-            self.remind(start + self.timeout)
-            self.remind(start + self.timeout + self.keep)
-        inside = at < start + self.timeout
-        decided = rows["outcome"].notna().to_numpy()
-        if not done:
-            found = np.flatnonzero(inside & decided)
-            if len(found):
-                done, first = True, int(found[0])
-                yield self.row(key, outcome=[rows["outcome"].iat[first]], elapsed_us=[int(at[first]) - start])
+        return [] if memo[1] else [row for row in rows if row[0] < memo[0] + self.timeout]
+
+    def decide(self, key, memo: tuple | None, rows: list[tuple]) -> tuple[tuple | None, list[Row]]:
+        (start, done, last), found = memo or (rows[0][0], False, None), []
+        for at, *_, outcome, detail in rows:
+            if done or at >= start + self.timeout:
+                break
+            if outcome is not None:
+                done, last = True, None
+                found.append(self.row(key, outcome=outcome, elapsed_us=at - start))
             else:
-                open_ = np.flatnonzero(inside & ~decided)
-                if len(open_):
-                    detail = rows["detail"].iat[int(open_[-1])]
-        self.memo.update((start, done, None if done or pd.isna(detail) else detail))
+                last = detail
+        return (start, done, last), found
 
-    def passed(self, key, watermark: int) -> Iterator[pd.DataFrame]:
-        if not self.memo.exists():
-            return
-        start, done, detail = self.memo.get()
+    def reminders(self, memo: tuple) -> list[int]:
+        return [memo[0] + self.timeout, memo[0] + self.timeout + self.keep]
+
+    def passed(self, key, memo: tuple | None, watermark: int, idle: bool) -> tuple[tuple | None, list[Row]]:
+        if memo is None:
+            return memo, []
+        (start, done, detail), found = memo, []
         if not done and _passes(start + self.timeout) <= watermark:
-            yield self.row(key, outcome=[self.overdue], detail=[detail])
             done = True
-            self.memo.update((start, True, None))
-        if done and _passes(start + self.timeout + self.keep) <= watermark:
-            self.memo.clear()
+            found.append(self.row(key, outcome=self.overdue, detail=detail))
+            memo = (start, True, None)
+        return (None if done and _passes(start + self.timeout + self.keep) <= watermark else memo), found
 
 
 class PollsProcessor(EventTimeProcessor):
@@ -276,6 +403,11 @@ class PollsProcessor(EventTimeProcessor):
         self.names, self.grace, self.ignore_failed = list(keys), grace, ignore_failed
         self.shown = self.names
 
+    def wanted(self, rows: pd.DataFrame) -> pd.DataFrame:
+        """Each poll, and each key it lists, once, at the earliest of its times; a poll has failed if one of its rows says so."""
+        alike = [*self.order, "poll_ok", *self.names]
+        return rows.sort_values("at_us", kind="stable").drop_duplicates(alike, ignore_index=True)
+
     def _numbered(self, polls: pd.DataFrame, number: int, current: tuple) -> tuple[pd.DataFrame, int, tuple]:
         """seq, number, at_us and ok of the polls in these rows, that of before first."""
         polls = polls.assign(ok=polls["poll_ok"].astype(bool))

@@ -26,6 +26,7 @@ from .processors import (
     LATE,
     DeadlineProcessor,
     EventTimeProcessor,
+    KeyedProcessor,
     PollsProcessor,
     SustainedProcessor,
     ThrottleProcessor,
@@ -66,9 +67,12 @@ def _in_event_time(rows: DataFrame, columns: Sequence[Column | str], delay: str,
     return both.withWatermark("event_time", delay).where(F.col("event_time").isNull()).select("event_time", "row.*")
 
 
-def _decided(timed: DataFrame, processor: EventTimeProcessor, results: str) -> DataFrame:
+def _decided(timed: DataFrame, processor: EventTimeProcessor | KeyedProcessor, results: str) -> DataFrame:
     schema = f"{_fields(timed, processor.keys)}, {results}, {LATE} bigint"
-    return timed.groupBy(*processor.keys).transformWithStateInPandas(processor, schema, "Append", "EventTime")
+    grouped = timed.groupBy(*processor.keys)
+    if isinstance(processor, KeyedProcessor):
+        return grouped.transformWithState(processor, schema, "Append", "EventTime")
+    return grouped.transformWithStateInPandas(processor, schema, "Append", "EventTime")
 
 
 def results(decided: DataFrame) -> DataFrame:
