@@ -308,3 +308,24 @@ def test_many_equal_planned_blocks_meet_one_existing(spark, ancestors):
             spark.conf.set(k, v)
     # cut into slices the block is spread over the partitions; whole it lies in one
     assert largest[10] < 200 and largest[10**6] == 500
+
+
+@pytest.mark.parametrize("name", ["range_overlap", "range_overlap_free", "resource_shape_audit_landed"])
+def test_exploded_sides_are_merged_not_broadcast(spark, name, monkeypatch):
+    """The planner takes an exploded side for as small as what it is made from."""
+    monkeypatch.setattr(R, "FEW_BLOCKS", 10**9)
+    plan = registry.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join" in line]
+    assert any("SortMergeJoin" in line for line in joins)
+    if name != "range_overlap_free":  # its last join is of whole requests, not of exploded ones
+        assert not any("vpc_id" in line or "stack" in line for line in joins if "BroadcastHashJoin" in line)
+
+
+def test_partitions_grow_with_the_tables(spark, monkeypatch):
+    from invq import session as S
+
+    assert S.sized(spark, "/root/testdata/sf0.001") is spark
+    monkeypatch.setattr(S, "PARTITION_BYTES", 1000)
+    other = S.sized(spark, "/root/testdata/sf0.001")
+    assert int(other.conf.get("spark.sql.shuffle.partitions")) > 100
+    assert other.conf.get("spark.sql.session.timeZone") == "UTC" and int(spark.conf.get("spark.sql.shuffle.partitions")) == 4

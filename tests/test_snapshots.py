@@ -260,3 +260,21 @@ def test_many_rules_plan_without_a_nested_loop(spark):
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
     assert out.count() == sum(1 for i in range(500) if i % 7 == i % 7 and i <= 1461)
+
+
+def test_only_rules_that_can_be_due_first_meet_objects(spark):
+    data = [(1, f"r{i:03}", "a/", 5 + i % 7, "modified", True, "any") for i in range(200)]
+    rules = spark.createDataFrame(data, "account int, rule string, prefix string, days int, clock string, inclusive boolean, applies_to string")
+    left = S._earliest_rules(rules, ["account"], ["modified"]).collect()
+    assert [(r["rule"], r["days"]) for r in left] == [("r000", 5)]
+    asked = spark.createDataFrame([(1, "a/"), *[(1, f"x{i}") for i in range(500)]], "account int, prefix string")
+    kept = [r["prefix"] for r in S._named_by_rules(asked, rules, ["account", "prefix"]).collect()]
+    assert "a/" in kept and len(kept) < 5
+
+
+def test_owners_are_hashed_not_sorted(spark):
+    df = spark.createDataFrame([(None, "x"), (3, "x"), (1, "x")], "id int, n string")
+    out = N.name_collision_audit(df, {"k": (F.col("n"), 10)}, ["id"])
+    assert "SortAggregate" not in out._jdf.queryExecution().executedPlan().toString()
+    (row,) = out.collect()
+    assert (row["first_owner"]["id"], row["last_owner"]["id"], row["n_owners"]) == (None, 3, 3)

@@ -323,3 +323,23 @@ def test_tables_of_several_files_are_read_whole(spark, tmp_path, name):
         whole.repartition(3).write.parquet(str(tmp_path / f"{table}.parquet"))
     parts = registry.QUERIES[name](spark, str(tmp_path)).count()
     assert parts == registry.QUERIES[name](spark, "/root/testdata/sf0.001").count() > 0
+
+
+def test_a_key_with_many_rows_is_decided_as_one_with_few(spark, mixed, monkeypatch, tmp_path):
+    """What does not fit into the value of a key lies by buckets; rows without a time are passed over."""
+    from invq.streaming.processors import ThrottleProcessor
+
+    class Full(ThrottleProcessor):
+        FEW = 3
+
+    monkeypatch.setattr(T, "ThrottleProcessor", Full)
+    Full.__module__ = "__main__"  # sent by value, as the workers do not have this file
+    one = spark.read.parquet(EVENTS).withColumn("user_id", F.col("user_id") % 2)
+    batch = P.throttle_per_key(one, ["user_id"], 12 * HOUR, order=["event_id"])
+
+    def make(events, **settings):
+        nulled = events.unionByName(events.withColumn("ts", F.lit(None).cast(events.schema["ts"].dataType)))
+        return throttled(nulled.withColumn("user_id", F.col("user_id") % 2), **settings)
+
+    out = T.results(closed(spark, make, (mixed, "60 days"), days=1))
+    assert rows(out, "user_id", "at_us", "event_id") == rows(batch, "user_id", "at_us", "event_id")
