@@ -16,6 +16,7 @@ follow each other in order of their texts.
 from __future__ import annotations
 
 import os
+import re
 import struct
 import zlib
 from collections.abc import Iterable, Iterator
@@ -27,10 +28,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import scratch
-from .bpe import chunks, strange_space
+from .bpe import strange_space
 from .common import looked_up, shuffles_dropped, written
 from .pieces import Memory
-from .words import SLICE, slices, span_keys
+from .words import SLICE, Texts, slices, span_keys, spans
 
 WIDTH = 8
 BLOCK = 512
@@ -174,19 +175,87 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+_LETTER, _MARK = np.zeros(256, bool), np.zeros(256, bool)
+_LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
+_MARK[0x21:0x7F] = True
+_MARK[0x30:0x3A] = False
+_MARK &= ~_LETTER
+
+
+def pieces(texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Row, begin and end of what this tokenizer encodes apart, and the bytes to encode.
+
+    It drops white space, parts words there and between an ASCII letter and an ASCII mark (but not after an apostrophe, which may
+    take the letter along), and has no capitals. So pieces end there, and ASCII capitals become small ones, but not
+    before another kind of character, with which a capital and a small letter may compose differently. Words
+    with `<|`, of which special tokens may be made, and rows with other white space stay as they are.
+    """
+    data, whole = texts.data, strange_space(texts)
+    row, start, end = spans(texts)
+    ahead = np.append(data[1:], 0) if len(data) else data
+    special = np.zeros(len(start), bool)
+    special[np.searchsorted(start, np.flatnonzero((data == ord("<")) & (ahead == ord("|"))), "right") - 1] = True
+    plain = start[~special & ~whole[row]], end[~special & ~whole[row]]
+    # +1 where a plain word starts, -1 where it ends: 1 within plain words
+    within = np.zeros(len(data) + 1, np.int8)
+    within[plain[0]] = 1
+    within[plain[1]] -= 1
+    within = np.cumsum(within, dtype=np.int8)[:-1].view(bool)
+    last = np.zeros(len(data), bool)
+    last[end - 1] = True
+    capital = (data >= 0x41) & (data <= 0x5A) & within & ((ahead < 0x80) | last)
+    data = data + (capital.astype(np.uint8) << 5)
+    letter, mark = _LETTER[data], _MARK[data]
+    cut = letter[:-1] & mark[1:] | mark[:-1] & letter[1:] & (data[:-1] != ord("'"))
+    at = np.flatnonzero(cut & within[1:] & ~last[:-1]) + 1
+    kept = ~whole[row]
+    begin, stop = np.sort(np.concatenate((start[kept], at))), np.sort(np.concatenate((end[kept], at)))
+    of = np.searchsorted(texts.bounds, begin, "right") - 1
+    rest = np.flatnonzero(whole)
+    row, begin = np.concatenate((of, rest)), np.concatenate((begin, texts.bounds[:-1][rest]))
+    stop = np.concatenate((stop, texts.bounds[1:][rest]))
+    order = np.argsort(begin, kind="stable")
+    return row[order], begin[order], stop[order], data
+
+
+#: Small letters that no normal form changes or joins: a run of them is one word of the tokenizer, whose last id ends it.
+_ONE_WORD = re.compile("[a-zß-öø-ÿα-ωа-я]+")
+#: Words that are encoded as one text.
+_TOGETHER = 100
+
+
 @lru_cache(maxsize=1)
 def _memory(path: str) -> Memory:
     tokenizer = _tokenizer(path)
+    suffix = getattr(tokenizer.model, "end_of_word_suffix", None)
+    vocabulary = tokenizer.get_vocab(with_added_tokens=False)
+    ends = np.zeros(max(vocabulary.values()) + 1, bool)
+    if suffix:
+        ends[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
+
+    def apart(texts: list[str]) -> list[list[int]]:
+        return [made.ids for made in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode(pieces: list[bytes]) -> list[list[int]]:
         texts = [piece.decode() for piece in pieces]
-        return [made.ids for made in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        made: list = [None] * len(texts)
+        single = [i for i, text in enumerate(texts) if _ONE_WORD.fullmatch(text)]
+        groups = [single[i : i + _TOGETHER] for i in range(0, len(single), _TOGETHER)]
+        for group, ids in zip(groups, apart([" ".join([texts[i] for i in group]) for group in groups]), strict=True):
+            stops = (np.flatnonzero(ends[ids]) + 1).tolist()
+            if len(stops) == len(group) and stops[-1] == len(ids):
+                for i, a, b in zip(group, [0, *stops], stops):  # noqa: B905
+                    made[i] = ids[a:b]
+        others = [i for i, ids in enumerate(made) if ids is None]
+        for i, ids in zip(others, apart([texts[i] for i in others]), strict=True):
+            made[i] = ids
+        return made
 
     return Memory(encode)
 
 
 def _files(path: str, end: int):
-    """White space parts words for this tokenizer, so the pieces between are encoded once each."""
+    """Each distinct piece is encoded once and then looked up."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memory, held, size = _memory(path), [], 0
@@ -198,8 +267,8 @@ def _files(path: str, end: int):
 
         for batch in batches:
             for texts in slices(batch.column(1), min(SLICE, FILE_BYTES)):
-                row, begin, stop = chunks(texts, strange_space(texts))
-                n, ids = memory.lookup(span_keys(texts.data, begin, stop), begin, stop, texts.data)
+                row, begin, stop, data = pieces(texts)
+                n, ids = memory.lookup(span_keys(data, begin, stop), begin, stop, data)
                 count = np.bincount(row, n, texts.n).astype(np.int64)
                 ids = np.insert(ids, np.cumsum(count), end).astype(np.uint32)
                 held.append((batch.column(0).slice(texts.first, texts.n), count + 1, ids))

@@ -93,12 +93,12 @@ def span_keys(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarra
     return mix((total[end] - total[start]) * down[start])
 
 
-def words(texts: Texts, apart: np.ndarray = WHITE) -> Words:
-    """Maximal runs of bytes that are not in `apart`, a table of 256 flags."""
+def spans(texts: Texts, apart: np.ndarray = WHITE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, start and end of the maximal runs of bytes that are not in `apart`, a table of 256 flags."""
     data, bounds = texts.data, texts.bounds
     if not len(data):
         none = np.zeros(0, np.int64)
-        return Words(none, none, none, np.zeros(0, np.uint64))
+        return none, none, none
     inside = ~apart[data]
     begins, ends = inside.copy(), inside.copy()
     begins[1:] &= ~inside[:-1]
@@ -107,8 +107,13 @@ def words(texts: Texts, apart: np.ndarray = WHITE) -> Words:
     begins[edge] = inside[edge]
     ends[edge[1:] - 1] = inside[edge[1:] - 1]
     start, end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
-    row = np.searchsorted(bounds, start, "right") - 1
-    return Words(row, start, end, span_keys(data, start, end))
+    return np.searchsorted(bounds, start, "right") - 1, start, end
+
+
+def words(texts: Texts, apart: np.ndarray = WHITE) -> Words:
+    """The same runs with their hashes."""
+    row, start, end = spans(texts, apart)
+    return Words(row, start, end, span_keys(texts.data, start, end) if len(start) else np.zeros(0, np.uint64))
 
 
 def windows(found: Words, length: int) -> tuple[np.ndarray, np.ndarray]:

@@ -2,6 +2,7 @@ import io
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers as P
 import pytest
 from hypothesis import given, settings
@@ -10,6 +11,7 @@ from tokenizers import Tokenizer
 
 from invq.llm import queries
 from invq.llm import token_files as T
+from invq.llm.words import slices
 from tests.llm import cases
 
 PATH = P.path("word_bpe_49k.json")
@@ -63,6 +65,30 @@ def test_pieces_may_be_encoded_apart(spark, tokenizer):
     assert [tuple(r)[1:] for r in rows] == expected(tokenizer, texts)
 
 
+_BITS = [*"aAsStTlLhHkKiIeE'',.-<|>!?09 \n\té̸̱́̇ÉßñİΣςЖй\u0085\x1c\x00😀한"]
+_BITS += ["<|endoftext|>", "<|ENDOFTEXT|>", "'LL", "H\u0331", "word", "Word", "<|", "|>"]
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(_BITS), max_size=25).map("".join), min_size=1, max_size=20))
+def test_pieces_of_odd_texts_equal_the_library(texts):
+    library = Tokenizer.from_file(PATH)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["key", "text"])
+    (file,) = T._files(PATH, 2)([batch])
+    documents, codes = T.unpacked_file(file.column(0)[0].as_py())
+    stops = np.cumsum(documents.column("length"))
+    ids = [codes.span(a, b).tolist() for a, b in zip([0, *stops], stops)]  # noqa: B905
+    assert ids == [[*library.encode(text, add_special_tokens=False).ids, 2] for text in texts]
+
+
+def test_a_word_is_one_piece_whatever_its_capitals_and_marks():
+    (texts,) = slices(pa.array(['Word, word. WORD "word" well-known\n', "it's <|endoftext|> x", "a\x1cB"]))
+    row, begin, end, data = T.pieces(texts)
+    made = [(r, data[a:b].tobytes().decode()) for r, a, b in zip(row.tolist(), begin.tolist(), end.tolist(), strict=True)]
+    first = ["word", ",", "word", ".", "word", '"', "word", '"', "well", "-", "known"]
+    assert made == [(0, p) for p in first] + [(1, p) for p in ("it", "'s", "<|endoftext|>", "x")] + [(2, "a\x1cB")]
+
+
 class Counted(io.BytesIO):
     """A file that says how much of it was read."""
 
