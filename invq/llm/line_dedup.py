@@ -40,8 +40,9 @@ _NO_WORD = "xxhash64('')"
 
 def _parts(text: Column) -> Column:
     """The words of a text, and empty strings among them. Splitting at one character is the cheap case."""
+    other = [text.contains(space) for space in "\t\x0b\x0c\r"]  # a search for each is cheaper than one expression
     plain = F.replace(text, F.lit("\n"), F.lit(" "))
-    return F.when(text.rlike(r"[\x09\x0B-\x0D]"), F.split(text, _SPACE)).otherwise(F.split(plain, " "))
+    return F.when(other[0] | other[1] | other[2] | other[3], F.split(text, _SPACE)).otherwise(F.split(plain, " "))
 
 
 def _words(line: Column) -> Column:
@@ -56,16 +57,16 @@ def _identified(df: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def _bucket(word: Column) -> Column:
-    return F.pmod(word, F.lit(COUNTED)).cast("int")
+    return word.bitwiseAND(F.lit(COUNTED - 1)).cast("int")
 
 
 def _rarities(rows: DataFrame) -> Column:
-    """How often words of each bucket occur, as 16 times the binary logarithm: a constant of COUNTED numbers."""
+    """How often words of each bucket occur, as 16 times the binary logarithm above a hash's bits: a constant of COUNTED numbers."""
     met = rows.select(F.explode(_parts(F.col("text"))).alias("word")).groupBy(_bucket(F.xxhash64("word")).alias("bucket"))
     n = met.agg(F.count(F.lit(1)).alias("n")).select("bucket", F.round(16 * F.log2(F.col("n"))).cast("int").alias("n"))
     level = [0] * COUNTED
     for row in n.collect():
-        level[row.bucket] = row.n
+        level[row.bucket] = row.n << _HASHED
     return F.from_json(F.lit(str(level)), "array<bigint>")
 
 
@@ -87,23 +88,23 @@ def _prefixes(rows: DataFrame, rarities: Column, threshold: int) -> DataFrame:
     """Per line with a word: id and size of its set, its prefix in order of rarity, and a bitmap of its words."""
 
     def ranked(word: Column) -> Column:
-        level = F.call_function("shiftleft", F.get(rarities, _bucket(word)), F.lit(_HASHED))
+        level = F.coalesce(F.get(rarities, _bucket(word)), F.lit(0).cast("bigint"))  # never null: sorted as plain numbers
         return level.bitwiseOR(word.bitwiseAND(F.lit((1 << _HASHED) - 1)))
 
     split = rows.where("text is not null").select("doc", "print", F.posexplode(F.split("text", "\n")).alias("line", "body"))
     worded = split.where(F.col("body").rlike(r"[^\x09-\x0D ]"))  # asked of the text: words would be split twice
-    # hashed and ranked in one go over the words; each once, none empty, the rarest first
-    words = F.transform(_parts(F.col("body")), lambda w: ranked(F.xxhash64(w)))
-    words = F.sort_array(F.array_remove(F.array_distinct(words), ranked(F.expr(_NO_WORD))))
-    ordered = worded.select("doc", "print", "line", words.alias("words"))
-    n = F.size("words")
+    hashed = worded.select("doc", "print", "line", _words(F.col("body")).alias("hashes"))
+    # each once, none empty, the rarest first; what is around a lambda is compiled, what is in it is not
+    ordered = F.sort_array(F.transform("hashes", ranked)).alias("words")
+    ordered = hashed.select("doc", "print", "line", F.size("hashes").alias("n"), ordered)
+    n = F.col("n")
     long_enough = (100 - threshold) * n >= threshold - (100 - threshold)  # else no other set is similar enough
     return ordered.select(
         "doc",
         "print",
         "line",
         F.xxhash64("words").alias("id"),
-        n.alias("n"),
+        "n",
         F.when(long_enough, F.slice("words", F.lit(1), n - _ceil(threshold * n, 100) + 1)).alias("prefix"),
         F.when(long_enough, _bitmap(F.col("words"))).alias("bits"),
     )

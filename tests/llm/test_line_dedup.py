@@ -58,6 +58,23 @@ def test_many_variants_of_a_line(spark, seed):
     assert run(cases.table(spark, pairs)) == brute(pairs)
 
 
+@pytest.mark.parametrize("common", [1, 10**12])
+def test_words_that_are_all_rare_or_all_common(spark, monkeypatch, common):
+    monkeypatch.setattr(D, "COMMON", common)
+    rng = random.Random(common)
+    words = [f"w{i}" for i in range(24)]
+    pairs = [(key // 2, "\n".join(" ".join(rng.sample(words, rng.randrange(19, 23))) for _ in range(3))) for key in range(40)]
+    pairs = [(key, f"{text}\n{key}") for key, text in dict(pairs).items()]
+    assert run(cases.table(spark, pairs)) == brute(pairs)
+
+
+def test_words_are_ranked_as_plain_numbers(spark):
+    rows = D._identified(cases.table(spark, [(1, "a b c\td\ne")]), "doc_id", "text")
+    table = D._prefixes(rows, D._rarities(rows), 90)
+    assert not table.schema["prefix"].dataType.containsNull  # else sorted as objects
+    assert sorted(r.n for r in table.collect()) == [1, 4]
+
+
 def test_all_in_dataframe_operations(spark):
     made = D.deduplicated(cases.table(spark, [(1, "a b\nc"), (2, "a b")]))
     plan = made._jdf.queryExecution().executedPlan().toString()
