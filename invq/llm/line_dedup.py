@@ -12,6 +12,8 @@ whether that one is kept or not. One such line is enough, so where a share of al
 is first held against those of the least key among them; only lines that are not removed by that
 are held against all earlier ones. Thousands of variants of one line cost a comparison or a few each.
 
+A set is named by the place of its first line: prefixes and pairs carry it, so neither order nor words need a join by set.
+
 Words and sets are known by 64-bit hashes. Defined results: lines without a word are kept; a null text
 stays null and has no lines; rows equal in key and text are one document (neither removes the other's lines);
 null keys come first. Columns other than the text are unchanged.
@@ -22,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import SENT_ROWS, written
 
 #: Jaccard similarity in hundredths.
 THRESHOLD = 90
@@ -31,6 +33,8 @@ COMMON = 10_000
 #: Hash buckets in which words are counted: the size of what every task is sent.
 COUNTED = 1 << 17
 _SPACE = r"[\x09-\x0D ]+"
+#: Where a line is: key, hash of the text, number of the line. Places are in the order of lines.
+_PLACE = ["doc", "print", "line"]
 
 
 #: Bits of a word's hash; the bits above hold its rarity.
@@ -38,16 +42,16 @@ _HASHED = 53
 _NO_WORD = "xxhash64('')"
 
 
-def _parts(text: Column) -> Column:
-    """The words of a text, and empty strings among them. Splitting at one character is the cheap case."""
+def _parts(text: Column, lines: bool = True) -> Column:
+    """The words of a text of lines or of one, and empty strings among them. Splitting at one character is the cheap case."""
     other = [text.contains(space) for space in "\t\x0b\x0c\r"]  # a search for each is cheaper than one expression
-    plain = F.replace(text, F.lit("\n"), F.lit(" "))
+    plain = F.replace(text, F.lit("\n"), F.lit(" ")) if lines else text
     return F.when(other[0] | other[1] | other[2] | other[3], F.split(text, _SPACE)).otherwise(F.split(plain, " "))
 
 
 def _words(line: Column) -> Column:
     """Hashes of the words of a line, each once."""
-    return F.array_remove(F.array_distinct(F.transform(_parts(line), lambda w: F.xxhash64(w))), F.expr(_NO_WORD))
+    return F.array_remove(F.array_distinct(F.transform(_parts(line, lines=False), lambda w: F.xxhash64(w))), F.expr(_NO_WORD))
 
 
 def _identified(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -75,11 +79,11 @@ def _ceil(part: Column, whole: int) -> Column:
 
 
 def _bitmap(words: Column) -> Column:
-    """64 bits in which every word sets one."""
+    """64 bits, of which every word turns one: long sets don't fill them."""
 
     def with_bit(seen: Column, word: Column) -> Column:
         bit = word.bitwiseAND(F.lit(63)).cast("int")
-        return seen.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), bit))
+        return seen.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), bit))
 
     return F.aggregate(words, F.lit(0).cast("bigint"), with_bit)
 
@@ -98,7 +102,7 @@ def _prefixes(rows: DataFrame, rarities: Column, threshold: int) -> DataFrame:
     ordered = F.sort_array(F.transform("hashes", ranked)).alias("words")
     ordered = hashed.select("doc", "print", "line", F.size("hashes").alias("n"), ordered)
     n = F.col("n")
-    long_enough = (100 - threshold) * n >= threshold - (100 - threshold)  # else no other set is similar enough
+    long_enough = (100 - threshold) * n >= threshold  # else no other set is similar enough
     return ordered.select(
         "doc",
         "print",
@@ -111,66 +115,78 @@ def _prefixes(rows: DataFrame, rarities: Column, threshold: int) -> DataFrame:
 
 
 def _pairs(later: DataFrame, earlier: DataFrame, threshold: int) -> DataFrame:
-    """Distinct pairs of sets (id, other) that share a prefix word and pass all filters.
+    """Pairs of a set and an earlier one (places `at` and `other`) that share a prefix word and pass all filters.
 
     Every word in only one of two sets changes at most one bit of the bitmaps, so the bits that
     differ bound those words from below and the shared ones from above.
     """
     a, b = later.alias("a"), earlier.alias("b")
     n, m = F.col("a.n"), F.col("b.n")
-    sizes = (100 * F.least(n, m) >= threshold * F.greatest(n, m)) & (F.col("a.id") != F.col("b.id"))
-    ahead = F.least(n - F.col("a.place"), m - F.col("b.place"))
+    sizes = 100 * F.least(n, m) >= threshold * F.greatest(n, m)
+    ahead = F.least(n - F.col("a.nth"), m - F.col("b.nth"))
     enough = (100 + threshold) * ahead >= threshold * (n + m)
     apart = F.bit_count(F.col("a.bits").bitwiseXOR(F.col("b.bits")))
     room = (100 + threshold) * (n + m - apart) >= 2 * threshold * (n + m)
-    order = F.col("b.doc") <= F.col("a.doc")
+    order = F.col("b.line") < F.col("a.line")
+    for c in ("print", "doc"):
+        order = (F.col(f"b.{c}") < F.col(f"a.{c}")) | ((F.col(f"b.{c}") == F.col(f"a.{c}")) & order)
     met = a.join(b, (F.col("a.word") == F.col("b.word")) & sizes & enough & room & order)
-    return met.select(F.col("a.id").alias("id"), F.col("b.id").alias("other")).distinct()
-
-
-def _similar(pairs: DataFrame, sets: DataFrame, rows: DataFrame, threshold: int) -> DataFrame:
-    """Ids of the sets that have an earlier similar one among their pairs (id, other)."""
-    order = sets.select("id", "first")
-    pairs = pairs.join(order, "id").withColumnRenamed("first", "own")
-    pairs = pairs.join(order.withColumnRenamed("id", "other"), "other").where("first < own").select("id", "other")
-    pairs = written(pairs, "line-pairs")
-    needed = pairs.select("id").unionByName(pairs.select(F.col("other").alias("id"))).distinct()
-    where = needed.join(sets, "id").select("id", "first.doc", "first.print", "first.line")
-    wanted = where.groupBy("doc", "print").agg(F.collect_list(F.struct("line", "id")).alias("wanted"))
-    bodies = rows.join(wanted, ["doc", "print"])
-    bodies = bodies.select(F.split("text", "\n").alias("lines"), F.explode("wanted").alias("at"))
-    bodies = bodies.select("at.id", F.get("lines", F.col("at.line")).alias("body")).dropDuplicates(["id"])
-    made = written(bodies.select("id", _words(F.col("body")).alias("words")), "line-words")
-    left = made.select("id", F.col("words").alias("words_a"))
-    right = made.select(F.col("id").alias("other"), F.col("words").alias("words_b"))
-    both = pairs.join(left, "id").join(right, "other")
+    return met.select(*[F.col(f"a.{c}").alias(c) for c in _PLACE], *[F.col(f"b.{c}").alias(f"other_{c}") for c in _PLACE])
+
+
+def _similar(pairs: DataFrame, rows: DataFrame, threshold: int, few: bool = False) -> DataFrame:
+    """Places of the sets that have an earlier similar one among their pairs. few: texts of few lines are expected."""
+    others = [f"other_{c}" for c in _PLACE]
+    pairs = written(pairs.distinct(), "line-pairs")
+    needed = pairs.select(*_PLACE).union(pairs.select(*others)).distinct()
+    needed = written(needed, "line-places") if few else needed
+    wanted = needed.groupBy("doc", "print").agg(F.collect_list("line").alias("wanted"))
+    bodies = rows.join(F.broadcast(wanted) if few and needed.count() <= SENT_ROWS else wanted, ["doc", "print"])
+    bodies = bodies.select("doc", "print", F.split("text", "\n").alias("lines"), F.explode("wanted").alias("line"))
+    bodies = bodies.select(*_PLACE, F.get("lines", F.col("line")).alias("body")).dropDuplicates(_PLACE)
+    made = written(bodies.select(*_PLACE, _words(F.col("body")).alias("words")), "line-words")
+    left = made.withColumnRenamed("words", "words_a")
+    right = made.select(*[F.col(c).alias(f"other_{c}") for c in _PLACE], F.col("words").alias("words_b"))
+    both = pairs.join(left, _PLACE).join(right, others)
     shared = F.size(F.array_intersect("words_a", "words_b"))
     enough = (100 + threshold) * shared >= threshold * (F.size("words_a") + F.size("words_b"))
-    return written(both.where(enough).select("id").distinct(), "lines-gone")
+    return written(both.where(enough).select(*_PLACE).distinct(), "lines-gone")
+
+
+def _sets(table: DataFrame) -> DataFrame:
+    """Per set of words: id, number and place of its lines and first line, and what is known of its words."""
+    known = [F.any_value(c).alias(c) for c in ("n", "prefix", "bits")]
+    made = table.groupBy("id").agg(F.min(F.struct(*_PLACE)).alias("first"), F.count(F.lit(1)).alias("lines"), *known)
+    return made.select("id", "first.*", "lines", "n", "prefix", "bits")
+
+
+def _gone(sets: DataFrame, rows: DataFrame, threshold: int) -> DataFrame:
+    """Places of the sets that have an earlier similar one."""
+    entries = sets.where("prefix is not null")
+    entries = entries.select(*_PLACE, "n", "bits", F.posexplode("prefix").alias("nth", "word"))
+    shared = entries.groupBy("word").agg(F.min("doc").alias("least"), F.count(F.lit(1)).alias("met"))
+    common = written(shared.where(F.col("met") > sets.count() / COMMON).select("word", "least"), "line-common")
+    words = common.count()
+    if not words:
+        return _similar(_pairs(entries, entries, threshold), rows, threshold)
+    common = F.broadcast(common) if words <= SENT_ROWS else common
+    rare = entries.join(common, "word", "left_anti")
+    common = written(entries.join(common, "word"), "line-prefixes")
+    gone = _similar(_pairs(common, common.where("doc = least"), threshold), rows, threshold, few=True)
+    others = _pairs(common.join(gone, _PLACE, "left_anti"), common.where("doc > least"), threshold)
+    return gone.union(_similar(others.union(_pairs(rare, rare, threshold)), rows, threshold))
 
 
 def removed_lines(df: DataFrame, key: str = "doc_id", text: str = "text", threshold: int = THRESHOLD) -> DataFrame:
     """doc, print and `removed`: the numbers (from 0) of the lines to remove from the rows that have any."""
     rows = _identified(df, key, text)
     table = written(_prefixes(rows, _rarities(rows), threshold), "lines")
-    first = F.min(F.struct("doc", "print", "line")).alias("first")
-    sets = written(table.groupBy("id").agg(first), "line-sets")
-    at_first = [F.col(f"first.{c}").alias(c) for c in ("doc", "print", "line")]
-    firsts = table.where("prefix is not null").join(sets.select("id", *at_first), ["id", "doc", "print", "line"])
-    entries = firsts.select("id", "doc", "n", "bits", F.posexplode("prefix").alias("place", "word"))
-    shared = entries.groupBy("word").agg(F.min("doc").alias("least"), F.count(F.lit(1)).alias("met"))
-    entries = written(entries.join(shared.where("met > 1"), "word"), "line-prefixes")
-    few = sets.count() / COMMON
-    rare, common = entries.where(F.col("met") <= few), entries.where(F.col("met") > few)
-    nearest = _pairs(common, common.where("doc = least"), threshold)
-    gone = _similar(nearest, sets, rows, threshold)
-    others = _pairs(common.join(gone, "id", "left_anti"), common.where("doc > least"), threshold)
-    others = others.unionByName(_pairs(rare, rare, threshold)).distinct()
-    gone = gone.unionByName(_similar(others, sets, rows, threshold)).distinct().withColumn("gone", F.lit(True))
-    judged = table.join(sets.select("id", "first"), "id").join(gone, "id", "left")
-    again = F.col("first") != F.struct("doc", "print", "line")
-    lost = judged.where(again | F.col("gone")).select("doc", "print", "line").distinct()
-    return written(lost.groupBy("doc", "print").agg(F.collect_list("line").alias("removed")), "lines-removed")
+    sets = written(_sets(table), "line-sets")
+    gone = _gone(sets, rows, threshold)
+    first = sets.where("lines > 1").select("id", F.struct(*_PLACE).alias("first"))
+    again = table.select("id", *_PLACE).join(first, "id").where(F.col("first") != F.struct(*_PLACE)).select(*_PLACE)
+    lost = again.union(gone).groupBy("doc", "print").agg(F.collect_set("line").alias("removed"))
+    return written(lost, "lines-removed")
 
 
 def deduplicated(df: DataFrame, key: str = "doc_id", text: str = "text", threshold: int = THRESHOLD) -> DataFrame:

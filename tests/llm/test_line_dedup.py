@@ -75,6 +75,32 @@ def test_words_are_ranked_as_plain_numbers(spark):
     assert sorted(r.n for r in table.collect()) == [1, 4]
 
 
+def test_bitmaps_of_long_sets_differ(spark):
+    """Each word turns a bit; where each only sets one, the bitmaps of 400 words are all ones."""
+    both, own = [f"w{i}" for i in range(200)], [[f"{c}{i}" for i in range(200)] for c in "ab"]
+    rows = D._identified(cases.table(spark, [(i, " ".join(both + own[i])) for i in (0, 1)]), "doc_id", "text")
+    a, b = [r.bits for r in D._prefixes(rows, D._rarities(rows), 90).collect()]
+    assert 16 <= ((a ^ b) & (2**64 - 1)).bit_count() <= 400
+
+
+@pytest.mark.parametrize("common, passes", [(1, 1), (10**12, 2)])
+def test_texts_are_read_for_common_words_only_if_there_are_any(spark, monkeypatch, common, passes):
+    made, written = [], D.written
+    monkeypatch.setattr(D, "COMMON", common)
+    monkeypatch.setattr(D, "written", lambda df, purpose: made.append(purpose) or written(df, purpose))
+    pairs = [(i, " ".join(f"w{k}" for k in range(30) if k != i)) for i in range(4)]
+    assert run(cases.table(spark, pairs)) == brute(pairs)
+    assert made.count("line-words") == passes
+
+
+def test_copies_of_a_row_with_similar_lines(spark):
+    lines = [" ".join(f"w{k}" for k in range(30) if k != i) for i in range(3)]
+    pairs = [(1, lines[0] + "\nx"), (1, lines[0] + "\nx"), (2, lines[1]), (2, lines[1]), (2, lines[2]), (3, "x\n" + lines[2])]
+    rows = D.deduplicated(cases.table(spark, pairs)).select("row.doc_id", "row.text", "n_removed").collect()
+    removed = sorted((r.doc_id, r.text, r.n_removed) for r in rows)
+    assert removed == sorted((k, t, {1: 0, 2: 1, 3: 2}[k]) for k, t in pairs)
+
+
 def test_all_in_dataframe_operations(spark):
     made = D.deduplicated(cases.table(spark, [(1, "a b\nc"), (2, "a b")]))
     plan = made._jdf.queryExecution().executedPlan().toString()
