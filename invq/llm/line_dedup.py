@@ -21,6 +21,7 @@ null keys come first. Columns other than the text are unchanged.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -65,13 +66,16 @@ def _bucket(word: Column) -> Column:
 
 
 def _rarities(rows: DataFrame) -> Column:
-    """How often words of each bucket occur, as 16 times the binary logarithm above a hash's bits: a constant of COUNTED numbers."""
+    """How often words of each bucket occur, as 16 times the binary logarithm: a constant of COUNTED small numbers.
+
+    The driver keeps the text of every plan, constants included, for as long as it tells of the query: hence not as
+    the bits above a hash's, and not a row object a bucket.
+    """
     met = rows.select(F.explode(_parts(F.col("text"))).alias("word")).groupBy(_bucket(F.xxhash64("word")).alias("bucket"))
-    n = met.agg(F.count(F.lit(1)).alias("n")).select("bucket", F.round(16 * F.log2(F.col("n"))).cast("int").alias("n"))
-    level = [0] * COUNTED
-    for row in n.collect():
-        level[row.bucket] = row.n << _HASHED
-    return F.from_json(F.lit(str(level)), "array<bigint>")
+    n = met.agg(F.count(F.lit(1)).alias("n")).select("bucket", F.round(16 * F.log2(F.col("n"))).cast("smallint").alias("n"))
+    made, level = n.toArrow(), np.zeros(COUNTED, np.int16)
+    level[made["bucket"].to_numpy()] = made["n"].to_numpy()
+    return F.from_json(F.lit(str(level.tolist()).replace(" ", "")), "array<smallint>")
 
 
 def _ceil(part: Column, whole: int) -> Column:
@@ -92,8 +96,8 @@ def _prefixes(rows: DataFrame, rarities: Column, threshold: int) -> DataFrame:
     """Per line with a word: id and size of its set, its prefix in order of rarity, and a bitmap of its words."""
 
     def ranked(word: Column) -> Column:
-        level = F.coalesce(F.get(rarities, _bucket(word)), F.lit(0).cast("bigint"))  # never null: sorted as plain numbers
-        return level.bitwiseOR(word.bitwiseAND(F.lit((1 << _HASHED) - 1)))
+        level = F.coalesce(F.get(rarities, _bucket(word)), F.lit(0).cast("smallint"))  # never null: sorted as plain numbers
+        return F.shiftleft(level.cast("bigint"), _HASHED).bitwiseOR(word.bitwiseAND(F.lit((1 << _HASHED) - 1)))
 
     split = rows.where("text is not null").select("doc", "print", F.posexplode(F.split("text", "\n")).alias("line", "body"))
     worded = split.where(F.col("body").rlike(r"[^\x09-\x0D ]"))  # asked of the text: words would be split twice

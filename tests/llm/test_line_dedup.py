@@ -1,3 +1,4 @@
+import math
 import random
 
 import pytest
@@ -75,6 +76,18 @@ def test_words_are_ranked_as_plain_numbers(spark):
     assert sorted(r.n for r in table.collect()) == [1, 4]
 
 
+def test_rarities_stay_short_in_the_plan(spark):
+    """The driver keeps the plan's text: every bucket in it is a small number, whatever the words."""
+    pairs = [(i, " ".join([f"w{k}" for k in range(1000 * i, 1000 * i + 1000)] + ["x"] * 50)) for i in range(300)]
+    rows = D._identified(cases.table(spark, pairs), "doc_id", "text")
+    rarities = D._rarities(rows)
+    level = rows.sparkSession.range(1).select(rarities.alias("level")).first().level
+    assert len(level) == D.COUNTED and sum(n > 0 for n in level) > D.COUNTED / 2
+    assert max(level) == round(16 * math.log2(300 * 50))  # of x; a few words share its bucket
+    plan = D._prefixes(rows, rarities, 90)._jdf.queryExecution().optimizedPlan().toString()
+    assert len(plan) < 6 * D.COUNTED
+
+
 def test_bitmaps_of_long_sets_differ(spark):
     """Each word turns a bit; where each only sets one, the bitmaps of 400 words are all ones."""
     both, own = [f"w{i}" for i in range(200)], [[f"{c}{i}" for i in range(200)] for c in "ab"]
