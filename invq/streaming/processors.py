@@ -6,6 +6,7 @@ takes no part in any decision.
 
 Held rows lie in state by key: a few in one value, what is beyond that by bucket of time. One call decides a few rows and one
 bucket of one key at a time, so neither a hot key's rows nor a micro-batch are ever in memory together. What a processor remembers besides is one value a key, cleared once it can no longer matter.
+Where keys are few, their rows come packed by the tasks before the shuffle, many in one value, and are handled as Arrow tables.
 Modules that import nothing of this package can be unpickled wherever a Python worker runs.
 """
 
@@ -18,28 +19,69 @@ import uuid
 from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Row
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 LATE = "late_at_us"
 
 
-def _packed(frame: pd.DataFrame) -> bytes:
-    table = pa.Table.from_pandas(frame, preserve_index=False).replace_schema_metadata(None)
+def _bytes(rows: pa.Table) -> bytes:
     sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, table.schema) as out:
-        out.write_table(table)
+    with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="lz4")) as out:
+        out.write_table(rows)
     return sink.getvalue().to_pybytes()
 
 
-def _unpacked(data: bytes) -> pd.DataFrame:
-    """The frames of a bucket, one after the other as micro-batches brought them."""
-    reader, frames = pa.BufferReader(data), []
-    while reader.tell() < reader.size():
-        frames.append(pa.ipc.open_stream(reader).read_all())
-    return pa.concat_tables(frames, promote_options="permissive").to_pandas()
+def _table(data: bytes) -> pa.Table:
+    return pa.ipc.open_stream(data).read_all()
+
+
+def _together(tables: Sequence[pa.Table]) -> pa.Table:
+    return pa.concat_tables(tables, promote_options="permissive")
+
+
+def _beside(rows: pa.Table, **columns: np.ndarray) -> pa.Table:
+    for name, values in columns.items():
+        rows = rows.append_column(name, pa.array(values))
+    return rows
+
+
+def _groups(rows: pa.Table, names: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Row numbers, those with the same values (null is one) one after the other, and where each group of them begins."""
+    numbered = rows.select(names).append_column("row number", pa.array(np.arange(rows.num_rows)))
+    lists = numbered.group_by(list(names), use_threads=False).aggregate([("row number", "list")])["row number_list"].combine_chunks()
+    lengths = lists.value_lengths().to_numpy()
+    return lists.flatten().to_numpy(), np.cumsum(lengths) - lengths
+
+
+def packed(batches: Iterator[pa.RecordBatch], place: Sequence[str], most: int = 1 << 17) -> Iterator[pa.RecordBatch]:
+    """A task's rows (``at_us`` is never null) some at a time, those of a place in one value: ``packed`` has the distinct
+    rows, each with all its times in order. After those, a row without a place that has their latest time in ``until_us``."""
+    held, count = [], 0
+    for batch in batches:
+        held.append(batch)
+        count += batch.num_rows
+        if count >= most:
+            yield _pack(pa.Table.from_batches(held), place)
+            held, count = [], 0
+    if count:
+        yield _pack(pa.Table.from_batches(held), place)
+
+
+def _pack(rows: pa.Table, place: Sequence[str]) -> pa.RecordBatch:
+    alike = [name for name in rows.column_names if name != "at_us"]
+    sets = rows.sort_by("at_us").group_by(alike, use_threads=False).aggregate([("at_us", "list")])
+    sets = sets.rename_columns([{"at_us_list": "at_us"}.get(name, name) for name in sets.column_names])
+    order, starts = _groups(sets, place)
+    inside = sets.select([name for name in rows.column_names if name not in place]).take(order).combine_chunks()
+    ends = [*starts[1:].tolist(), len(order)]
+    values = [_bytes(inside.slice(start, end - start)) for start, end in zip(starts.tolist(), ends, strict=True)]
+    places = sets.select(place).take(order[starts])
+    columns = [pa.concat_arrays([*column.chunks, pa.nulls(1, column.type)]) for column in places.columns]
+    until = pa.array([*[None] * len(values), pc.max(rows["at_us"]).as_py()], pa.int64())
+    return pa.record_batch([*columns, until, pa.array([*values, None], pa.binary())], [*place, "until_us", "packed"])
 
 
 def _passes(at_us: int) -> int:
@@ -47,82 +89,109 @@ def _passes(at_us: int) -> int:
     return -(-at_us // 1000) + 1
 
 
-class EventTimeProcessor(StatefulProcessor):
-    """Hands on a key's rows in order of time and of the order columns, a bucket at a time."""
+class PackedProcessor(StatefulProcessor):
+    """Hands on a key's rows a bucket of time at a time, for keys that are few and have very many rows each.
 
-    #: What is remembered of a key.
+    Rows come as `packed` leaves them. Those that can still matter are gathered over a micro-batch and held as Arrow
+    tables, a lot for each bucket, so that neither rows nor calls to the store are handled one by one.
+    """
+
+    #: Names and types of what is remembered of a key.
     MEMO = ""
+    #: Rows that are gathered before they are held, and rows of a lot.
+    MANY, LOT = 1 << 19, 1 << 16
 
-    def __init__(self, keys: Sequence[str], order: Sequence[str], results: Sequence[str], bucket: int):
-        self.keys, self.order, self.results, self.bucket = list(keys), list(order), list(results), max(1, bucket)
+    def __init__(self, keys: Sequence[str], shown: Sequence[str], results: Sequence[str], bucket: int):
+        self.keys, self.results, self.bucket = list(keys), list(results), max(1, bucket)
         #: Results that late rows show.
-        self.shown = [name for name in order if name in results]
+        self.shown = list(shown)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.held = handle.getMapState("held", "bucket bigint, part bigint", "rows binary")
         self.memo = handle.getValueState("memo", self.MEMO)
 
-    def wanted(self, rows: pd.DataFrame) -> pd.DataFrame:
-        """The rows that can still matter."""
-        return rows
-
-    def decide(self, key, rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
-        """Results of the next rows, which are in order and later than all before."""
+    def decide(self, key, rows: pa.Table) -> Iterator[Row]:
+        """Results of the next rows, which are distinct, in no order and later than all before."""
         raise NotImplementedError
 
-    def passed(self, key, watermark: int) -> Iterator[pd.DataFrame]:
-        """Results of time itself, after all rows before the watermark; may forget the key."""
-        yield from ()
-
     def remembered(self, nothing: tuple) -> tuple:
         return self.memo.get() if self.memo.exists() else nothing
 
-    def remind(self, at_us: int) -> None:
-        """Asks for a call once a time has been passed."""
-        self.handle.registerTimer(_passes(at_us))
-
-    def row(self, key, rows: int = 1, **values) -> pd.DataFrame:
-        """Result rows of a key; columns that are not given are null."""
-        out = {name: [value] * rows for name, value in zip(self.keys, key, strict=True)}
+    def row(self, key, **values) -> Row:
+        """A result row of a key; columns that are not given are null."""
+        named = dict(zip(self.keys, key, strict=True))
         for name in [*self.results, LATE]:
-            out[name] = values.get(name, [None] * rows)
-        whole = [name for name in ("since_us", "at_us", "elapsed_us", LATE) if name in self.results or name == LATE]
-        return pd.DataFrame(out).astype(dict.fromkeys(whole, "Int64"))
+            named[name] = values.get(name)
+        return Row(**named)
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        watermark = timerValues.getCurrentWatermarkInMs()
-        for frame in rows:
-            late = (frame["at_us"] // 1000 < watermark).to_numpy()
+    def _once(self, tables: Sequence[pa.Table]) -> pa.Table:
+        """Each row once, at the earliest of its times."""
+        rows = _together(tables)
+        names = rows.column_names
+        alike = [name for name in names if name != "at_us"]
+        once = rows.group_by(alike, use_threads=False).aggregate([("at_us", "min")])
+        return once.rename_columns([{"at_us_min": "at_us"}.get(name, name) for name in once.column_names]).select(names)
+
+    def _put(self, rows: pa.Table) -> None:
+        """Holds rows by bucket, each lot under a number of its own so that nothing is read or written again."""
+        at = rows["at_us"].to_numpy()
+        order = np.argsort(at, kind="stable")
+        buckets, starts = np.unique(at[order] // self.bucket, return_index=True)
+        rows, ends = rows.take(order).combine_chunks(), [*starts[1:].tolist(), len(order)]
+        for bucket, start, end in zip(buckets.tolist(), starts.tolist(), ends, strict=True):
+            for first in range(start, end, self.LOT):
+                last = min(end, first + self.LOT)
+                lot = _bytes(rows.slice(first, last - first))
+                self.held.updateValue((bucket, uuid.uuid4().int >> 66), (lot,))
+            self.handle.registerTimer(int(at[order[end - 1]]) // 1000 + 1)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        watermark, kept, count = timerValues.getCurrentWatermarkInMs(), [], 0
+        for row in rows:
+            pack = _table(row["packed"])
+            lists = pack["at_us"].combine_chunks()
+            at, lengths = lists.flatten().to_numpy(), lists.value_lengths().to_numpy()
+            firsts = np.cumsum(lengths) - lengths
+            late = at // 1000 < watermark
             if late.any():
-                gone = frame[late]
-                known = {name: gone[name].tolist() for name in self.shown}
-                yield self.row(key, len(gone), **known, **{LATE: gone["at_us"].tolist()})
-                frame = frame[~late]
-            frame = self.wanted(frame) if len(frame) else frame
-            for bucket, part in frame.groupby(frame["at_us"] // self.bucket):
-                # a lot under a number of its own, so that nothing is read or written again
-                self.held.updateValue((int(bucket), uuid.uuid4().int >> 66), (_packed(part),))
-                self.handle.registerTimer(int(part["at_us"].max()) // 1000 + 1)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+                whose = np.repeat(np.arange(len(lengths)), lengths)
+                shown = pack.select(self.shown).take(whose[late]).to_pylist()
+                for known, at_us in zip(shown, at[late].tolist(), strict=True):
+                    yield self.row(key, **known, **{LATE: at_us})
+                # times are in order, so that the first one in time is the one after those that are late
+                gone = np.add.reduceat(late.astype(np.int64), firsts)
+                pack, firsts = pack.filter(pa.array(gone < lengths)), (firsts + gone)[gone < lengths]
+            if not len(firsts):
+                continue
+            kept.append(_beside(pack.drop_columns("at_us"), at_us=at[firsts]))
+            count += len(firsts)
+            if count >= self.MANY:
+                kept = [self._once(kept)]
+                count = kept[0].num_rows
+                if count >= self.MANY // 2:
+                    self._put(kept[0])
+                    kept, count = [], 0
+        if kept:
+            self._put(self._once(kept))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         watermark = timerValues.getCurrentWatermarkInMs()
-        if self.held.exists():
-            parts = sorted(tuple(at) for at in self.held.keys())
-            for bucket, lots in itertools.groupby(parts, key=lambda at: at[0]):
-                if bucket * self.bucket // 1000 >= watermark:
-                    break
-                lots = list(lots)
-                rows = self.wanted(_unpacked(b"".join(bytes(self.held.getValue(at)[0]) for at in lots)))
-                ready = (rows["at_us"] // 1000 < watermark).to_numpy()
-                for at in lots if ready.any() else []:
-                    self.held.removeKey(at)
-                if ready.any() and not ready.all():
-                    self.held.updateValue(lots[0], (_packed(rows[~ready]),))
-                rows = rows[ready].sort_values(["at_us", *self.order], ignore_index=True)
-                if len(rows):
-                    yield from self.decide(key, rows)
-        yield from self.passed(key, watermark)
+        if not self.held.exists():
+            return
+        parts = sorted(tuple(at) for at in self.held.keys())
+        for bucket, lots in itertools.groupby(parts, key=lambda at: at[0]):
+            if bucket * self.bucket // 1000 >= watermark:
+                break
+            lots = list(lots)
+            rows = self._once([_table(bytes(self.held.getValue(at)[0])) for at in lots])
+            ready = rows["at_us"].to_numpy() // 1000 < watermark
+            for at in lots if ready.any() else []:
+                self.held.removeKey(at)
+            if ready.any() and not ready.all():
+                self._put(rows.filter(pa.array(~ready)))
+            if ready.any():
+                yield from self.decide(key, rows.filter(pa.array(ready)))
 
     def close(self) -> None:
         pass
@@ -388,7 +457,7 @@ class DeadlineProcessor(KeyedProcessor):
         return (None if done and _passes(start + self.timeout + self.keep) <= watermark else memo), found
 
 
-class PollsProcessor(EventTimeProcessor):
+class PollsProcessor(PackedProcessor):
     """Lasting conditions out of full listings, for one slice of a scope's keys.
 
     Rows are polls (``poll_ok`` is not null) and sightings of keys in them. Polls are numbered as they pass. A
@@ -399,62 +468,71 @@ class PollsProcessor(EventTimeProcessor):
     MEMO = "number bigint, seq bigint, at_us bigint, ok boolean, open binary, captured binary"
 
     def __init__(self, scope: Sequence[str], keys: Sequence[str], grace: int, ignore_failed: bool):
-        super().__init__([*scope, "slice"], ["poll_seq", "is_seen"], [*keys, "since_us", "at_us"], grace)
+        super().__init__([*scope, "slice"], keys, [*keys, "since_us", "at_us"], grace)
         self.names, self.grace, self.ignore_failed = list(keys), grace, ignore_failed
-        self.shown = self.names
-
-    def wanted(self, rows: pd.DataFrame) -> pd.DataFrame:
-        """Each poll, and each key it lists, once, at the earliest of its times; a poll has failed if one of its rows says so."""
-        alike = [*self.order, "poll_ok", *self.names]
-        return rows.sort_values("at_us", kind="stable").drop_duplicates(alike, ignore_index=True)
-
-    def _numbered(self, polls: pd.DataFrame, number: int, current: tuple) -> tuple[pd.DataFrame, int, tuple]:
-        """seq, number, at_us and ok of the polls in these rows, that of before first."""
-        polls = polls.assign(ok=polls["poll_ok"].astype(bool))
-        times = polls.groupby("poll_seq", sort=True).agg(at_us=("at_us", "min"), ok=("ok", "min")).reset_index()
-        known = [] if current[0] is None else [(current[0], current[1], current[2], number)]
-        for seq, at_us, ok in times[["poll_seq", "at_us", "ok"]].itertuples(index=False):
+
+    def _numbered(self, polls: pa.Table, number: int, current: tuple) -> tuple[list[tuple], int, tuple]:
+        """seq, at_us, ok and number of the polls in these rows, that of before first; a poll has failed if a row says so."""
+        said: dict[int, tuple] = {}
+        seqs = pc.cast(polls["poll_seq"], pa.int64())
+        for seq, at_us, ok in zip(*(column.to_pylist() for column in (seqs, polls["at_us"], polls["poll_ok"])), strict=True):
+            if seq is not None:
+                earliest, all_ok = said.get(seq, (at_us, True))
+                said[seq] = min(earliest, at_us), all_ok and ok
+        known = [] if current[0] is None else [(*current, number)]
+        for seq, (at_us, ok) in sorted(said.items()):
             if (current[0] is None or seq > current[0]) and (ok or not self.ignore_failed):
-                number, current = number + 1, (int(seq), int(at_us), bool(ok))
+                number, current = number + 1, (seq, at_us, ok)
                 known.append((*current, number))
-        return pd.DataFrame(known, columns=["poll_seq", "at_us", "ok", "number"]), number, current
+        return known, number, current
 
-    def decide(self, key, rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
+    def decide(self, key, rows: pa.Table) -> Iterator[Row]:
         number, seq, at_us, ok, packed_open, packed_captured = self.remembered((0, None, None, None, None, None))
-        is_poll = rows["poll_ok"].notna().to_numpy()
-        times, number, current = self._numbered(rows[is_poll], number, (seq, at_us, ok))
-        if not len(times):
+        is_poll = pc.is_valid(rows["poll_ok"])
+        times, number, current = self._numbered(rows.filter(is_poll), number, (seq, at_us, ok))
+        if not times:
             return
-        good = times[times["ok"]][["poll_seq", "at_us", "number"]]
-        seen = rows[~is_poll][["poll_seq", *self.names]].drop_duplicates().merge(good, on="poll_seq")
-        seen = seen[[*self.names, "number", "at_us"]].assign(since_us=_NEVER)
+        good = np.array([(seq, nr, at) for seq, at, ok, nr in times if ok], np.int64).reshape(-1, 3)
+        seen = rows.filter(pc.and_(pc.invert(is_poll), pc.is_valid(rows["poll_seq"])))
+        seqs = pc.cast(seen["poll_seq"], pa.int64()).to_numpy()
+        place = np.searchsorted(good[:, 0], seqs)
+        known = place < len(good)
+        known[known] = good[place[known], 0] == seqs[known]
+        seen, (_, nr, at) = seen.filter(pa.array(known)).select(self.names), good[place[known]].T
+        seen = _beside(seen, number=nr, at_us=at, since_us=np.full(len(at), _NEVER))
         if packed_open:
-            seen = pd.concat([_unpacked(bytes(packed_open)), seen], ignore_index=True)
-        # a key that is open and seen again in the same poll is one row, the one that knows since when
-        seen = seen.sort_values([*self.names, "number", "since_us"], ignore_index=True)
-        seen = seen.drop_duplicates([*self.names, "number"], ignore_index=True)
-        captured = _unpacked(bytes(packed_captured)) if packed_captured else None
-        if len(seen):
-            seen = self._clocked(seen)
-            due = seen[seen["at_us"] - seen["since_us"] >= self.grace].drop_duplicates(self.names)
-            if captured is not None:
-                due = due.merge(captured, on=self.names, how="left", indicator=True)
-                due = due[due["_merge"] == "left_only"]
+            seen = _together([_table(bytes(packed_open)), seen])
+        captured = [_table(bytes(packed_captured))] if packed_captured else []
+        latest = None
+        if seen.num_rows:
+            order, starts = _groups(_together([seen.select(self.names), *captured]), self.names)
+            codes = np.empty(len(order), np.int64)
+            codes[order] = np.repeat(np.arange(len(starts)), np.diff(starts, append=len(order)))
+            gone = np.zeros(len(starts), bool)
+            gone[codes[seen.num_rows :]] = True
+            row, code, nr, at, since = self._clocked(seen, codes[: seen.num_rows])
+            due = np.flatnonzero((at - since >= self.grace) & ~gone[code])
+            due = due[np.unique(code[due], return_index=True)[1]]
             if len(due):
-                yield self.row(key, len(due), **{name: due[name].tolist() for name in self.results})
-                captured = due[self.names] if captured is None else pd.concat([captured, due[self.names]])
-        # the last poll may have more rows to come, so a key of the one before it is not gone yet
-        latest = seen.drop_duplicates(self.names, keep="last")
-        latest = latest[latest["number"] >= number - 1]
-        self.memo.update(
-            (number, *current, _packed(latest) if len(latest) else None, None if captured is None else _packed(captured))
-        )
-
-    def _clocked(self, seen: pd.DataFrame) -> pd.DataFrame:
-        """Sets since_us, for rows in order of key and number."""
-        codes = seen.groupby(self.names, dropna=False, sort=False).ngroup().to_numpy()
-        n, known = seen["number"].to_numpy(), seen["since_us"].to_numpy()
-        starts = np.ones(len(seen), bool)
-        starts[1:] = (codes[1:] != codes[:-1]) | (n[1:] != n[:-1] + 1)
-        at = np.minimum(known, seen["at_us"].to_numpy())
-        return seen.assign(since_us=at[starts][np.cumsum(starts) - 1])
+                names = seen.select(self.names).take(row[due])
+                for values, since_us, at_us in zip(names.to_pylist(), since[due].tolist(), at[due].tolist(), strict=True):
+                    yield self.row(key, **values, since_us=since_us, at_us=at_us)
+                captured.append(names)
+            # the last poll may have more rows to come, so a key of the one before it is not gone yet
+            last = np.append(code[1:] != code[:-1], True) & (nr >= number - 1)
+            if last.any():
+                names = seen.select(self.names).take(row[last])
+                latest = _bytes(_beside(names, number=nr[last], at_us=at[last], since_us=since[last]))
+        self.memo.update((number, *current, latest, _bytes(_together(captured)) if captured else None))
+
+    def _clocked(self, seen: pa.Table, codes: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Row, code, number, at_us and since_us of each key in each poll, in order of code and number."""
+        nr, at, since = (seen[name].to_numpy() for name in ("number", "at_us", "since_us"))
+        # a key that is open and seen again in the same poll is one row, the one that knows since when
+        row = np.lexsort((since, nr, codes))
+        code, nr = codes[row], nr[row]
+        once = np.append(True, (code[1:] != code[:-1]) | (nr[1:] != nr[:-1]))
+        row, code, nr = row[once], code[once], nr[once]
+        at, since = at[row], np.minimum(since, at)[row]
+        starts = np.append(True, (code[1:] != code[:-1]) | (nr[1:] != nr[:-1] + 1))
+        return row, code, nr, at, since[starts][np.cumsum(starts) - 1]

@@ -218,6 +218,63 @@ def test_absence_from_a_poll_is_seen(spark, case, ignore_failed):
     assert got == rows(batch, "scope", "pod", "since_us", "at_us") and got
 
 
+def polled(events, delay="0 seconds", closing=None, ignore_failed=True):
+    made = listings(events)
+    polls = made.select("scope", "poll_seq", "ts", "poll_ok")
+    return T.sustained_condition_polls(
+        polls, made, ["scope"], ["pod"], 18 * HOUR, ignore_failed, slices=2, delay=delay, closing=closing
+    )
+
+
+def lasting(events, ignore_failed=True):
+    """The batch form over the same listings, a poll being at the earliest of its times."""
+    table = listings(events)
+    polls = table.groupBy("scope", "poll_seq").agg(F.min("ts").alias("ts"), F.first("poll_ok").alias("poll_ok"))
+    obs = P.poll_observations(polls, table.select("scope", "poll_seq", "pod"), ["scope"], ["pod"], ignore_failed)
+    return P.sustained_condition(obs, ["scope", "pod"], 18 * HOUR)
+
+
+def test_repeated_polls_and_sightings_do_not_add_to_state(spark, tmp_path, progress):
+    """A hundred rows for one: what is held grows with slices and buckets, not with the rows of a micro-batch."""
+    events = spark.read.parquet(EVENTS)
+    later = (F.col("ts").cast("timestamp") + F.make_dt_interval(secs=F.col("copy") / 1000)).cast(events.schema["ts"].dataType)
+    many = events.crossJoin(spark.range(100).withColumnRenamed("id", "copy")).withColumn("ts", later)
+    folder = write_files(spark, [many.select(*events.columns)], tmp_path)
+    out = T.results(closed(spark, polled, (folder, "60 days")))
+    columns = "scope", "pod", "since_us", "at_us"
+    assert rows(out, *columns) == rows(lasting(many), *columns) and out.count()
+    held = max(p["stateOperators"][0]["numRowsTotal"] for run in progress for p in run if p["stateOperators"])
+    spans = events.select(F.floor(micros(events, "ts") / (18 * HOUR * MICROS))).distinct().count()
+    # a lot of polls and sightings and its timer for each of two scopes, two slices and the spans
+    assert held <= 2 * 2 * 2 * spans + 8
+
+
+def test_scopes_and_keys_without_a_value_are_apart(spark, tmp_path):
+    """Rows of a scope that is null leave the rows of others where they are."""
+    events = spark.read.parquet(EVENTS)
+    nulled = events.withColumn("user_id", F.when(F.col("event_id") % 7 > 0, F.col("user_id")))
+    folder = write_files(spark, [nulled], tmp_path)
+    got = rows(T.results(closed(spark, polled, (folder, "60 days"))), "scope", "pod", "since_us", "at_us")
+    assert [r for r in got if r[0] is not None] == rows(lasting(nulled), "scope", "pod", "since_us", "at_us")
+    # as a scope with a number has it, whose only key also has one
+    named = nulled.where("user_id is null").withColumn("user_id", F.lit(0).cast("bigint"))
+    alone = rows(lasting(named), "since_us", "at_us")
+    assert [r for r in got if r[0] is None] == [(None, None, *r) for r in alone] and alone
+
+
+def test_late_polls_and_sightings_are_given_out_row_by_row(spark, landed, tmp_path):
+    """The second file goes last; its rows are late for each slice they are for, none is lost in a pack."""
+    paths = [Path(landed) / f"{i}.parquet" for i in (0, 2, 3, 1)]
+    parts = [spark.read.parquet(str(p)) for p in paths]
+    out = closed(spark, polled, (write_files(spark, parts, tmp_path), "0 seconds"))
+    listed = listings(parts[3]).select("scope", "pod", micros(parts[3], "ts").alias("at"))
+    want = [(r["scope"], pod, r["at"]) for r in listed.collect() for pod in (None, None, r["pod"])]
+    assert rows(out.where(f"{T.LATE} is not null"), "scope", "pod", T.LATE) == sorted(want, key=repr)
+    in_time = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    columns = "scope", "pod", "since_us", "at_us"
+    assert rows(T.results(out), *columns) == rows(lasting(in_time), *columns)
+
+
 def test_late_rows_are_given_out_and_counted(spark, landed, tmp_path):
     """The second file goes last, when the watermark has long passed its rows."""
     paths = [Path(landed) / f"{i}.parquet" for i in (0, 2, 3, 1)]
